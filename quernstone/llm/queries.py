@@ -7,17 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op3_byte_bpe
+from .html_text import op8_html_text
+from .jpeg import op1_progressive_jpeg
 from .packing import op6_best_fit_packing
 from .token_counts import op7_token_counts
+from .url_filters import OP10_SQL, op10_url_filters
+from .warc import OP5_SQL, op5_warc_salvage
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_progressive_jpeg": op1_progressive_jpeg,
         "op3_byte_bpe": op3_byte_bpe,
+        "op5_warc_salvage": op5_warc_salvage,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_token_counts": op7_token_counts,
+        "op8_html_text": op8_html_text,
+        "op10_url_filters": op10_url_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc_salvage": OP5_SQL, "op10_url_filters": OP10_SQL}
