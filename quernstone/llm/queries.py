@@ -10,6 +10,7 @@ from .bpe import op3_byte_bpe
 from .html_text import op8_html_text
 from .jpeg import op1_progressive_jpeg
 from .packing import op6_best_fit_packing
+from .quality import op4_quality_rules
 from .token_counts import op7_token_counts
 from .url_filters import OP10_SQL, op10_url_filters
 from .warc import OP5_SQL, op5_warc_salvage
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_progressive_jpeg": op1_progressive_jpeg,
         "op3_byte_bpe": op3_byte_bpe,
+        "op4_quality_rules": op4_quality_rules,
         "op5_warc_salvage": op5_warc_salvage,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_token_counts": op7_token_counts,
