@@ -11,6 +11,7 @@ from .html_text import op8_html_text
 from .jpeg import op1_progressive_jpeg
 from .packing import op6_best_fit_packing
 from .quality import op4_quality_rules
+from .substrings import OP2_SQL, op2_substring_dedup
 from .token_counts import op7_token_counts
 from .url_filters import OP10_SQL, op10_url_filters
 from .warc import OP5_SQL, op5_warc_salvage
@@ -19,6 +20,7 @@ from .warc import OP5_SQL, op5_warc_salvage
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_progressive_jpeg": op1_progressive_jpeg,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_quality_rules": op4_quality_rules,
         "op5_warc_salvage": op5_warc_salvage,
@@ -30,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_salvage": OP5_SQL, "op10_url_filters": OP10_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op5_warc_salvage": OP5_SQL, "op10_url_filters": OP10_SQL}
