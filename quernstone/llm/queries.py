@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op3_byte_bpe
 from .html_text import op8_html_text
 from .jpeg import op1_progressive_jpeg
+from .neardup import OP9_SQL, op9_minhash_neardup
 from .packing import op6_best_fit_packing
 from .quality import op4_quality_rules
 from .substrings import OP2_SQL, op2_substring_dedup
@@ -27,9 +28,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_token_counts": op7_token_counts,
         "op8_html_text": op8_html_text,
+        "op9_minhash_neardup": op9_minhash_neardup,
         "op10_url_filters": op10_url_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op5_warc_salvage": OP5_SQL, "op10_url_filters": OP10_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op5_warc_salvage": OP5_SQL, "op9_minhash_neardup": OP9_SQL, "op10_url_filters": OP10_SQL}
