@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import Scratch, settled
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,14 +15,19 @@ def components(edges: DataFrame) -> DataFrame:
     to what their ends joined and vanish inside one node. A constant share of nodes is expected to go
     in each round, chains included, and a hub's neighbours meet in partial minima.
     """
-    left = settled(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+    with Scratch(edges.sparkSession) as scratch:
+        return settled(contracted(edges, scratch), "components")
+
+
+def contracted(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    left = scratch.settled(edges.select(*ordered(F.col("a"), F.col("b"))).where("a < b").distinct(), "edges")
     steps: list[DataFrame] = []
     while not left.isEmpty():
         order = lambda c: F.struct(F.xxhash64(c, F.lit(len(steps))).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
         ends = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = settled(ends.groupBy("a").agg(F.min(order("b")).alias("m")).select("a", F.least("m", order("a"))["v"].alias("to")), "step")
+        step = scratch.settled(ends.groupBy("a").agg(F.min(order("b")).alias("m")).select("a", F.least("m", order("a"))["v"].alias("to")), "step")
         moved = left.join(step.withColumnRenamed("to", "x"), "a").select("b", "x").join(step.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
-        left = settled(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        left = scratch.settled(moved.where("x <> y").select(*ordered(F.col("x"), F.col("y"))).distinct(), "edges")
         steps.append(step)
     if not steps:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
@@ -30,4 +35,9 @@ def components(edges: DataFrame) -> DataFrame:
     for step in steps[1:]:
         at = at.join(step.select(F.col("a").alias("to"), F.col("to").alias("then")), "to", "left").select("node", F.coalesce("then", "to").alias("to"))
     least = at.groupBy("to").agg(F.min("node").alias("component"))
-    return settled(at.join(least, "to").select("node", "component"), "components")
+    return at.join(least, "to").select("node", "component")
+
+
+def ordered(a: Column, b: Column) -> list[Column]:
+    """The lesser as a, the greater as b."""
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]

@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, rows_of, settled
-from .graph import components
+from .common import Scratch, documents, rows_of, settled
+from .graph import components, ordered
 from .substrings import WordHashes, tagged
 
 ROWS, BANDS = 5, 40
@@ -135,24 +135,24 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return shared.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b").distinct()
 
 
-def ordered(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id reachable) and kept of every document."""
-    rows = tagged(docs)
-    scanned = settled(survey(rows, size), "signatures")
+    with Scratch(docs.sparkSession) as scratch:
+        return settled(linked(tagged(docs), size, percent, scratch), "linked")
+
+
+def linked(rows: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    scanned = scratch.settled(survey(rows, size), "signatures")
     real = scanned.where("n > 0 and doc_id is not null")
-    one_each = settled(real.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "s1", "s2", "s3", "bands")).alias("x")).select("digest", F.col("x.doc_id").alias("node"), "x.n", "x.s1", "x.s2", "x.s3", "x.bands"), "nodes")
+    one_each = scratch.settled(real.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "s1", "s2", "s3", "bands")).alias("x")).select("digest", F.col("x.doc_id").alias("node"), "x.n", "x.s1", "x.s2", "x.s3", "x.bands"), "nodes")
     light = one_each.select("node", "n", "s1", "s2", "s3")
 
     keyed = one_each.select("node", F.explode("bands").alias("key"))
-    buckets = settled(keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("size")).where("a < b"), "buckets")
+    buckets = scratch.settled(keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("size")).where("a < b"), "buckets")
     a, b = light.alias("a"), light.alias("b")
     twos = buckets.where("size = 2").select(F.col("a").alias("i"), F.col("b").alias("j")).distinct()
     twos = twos.join(a, F.col("i") == F.col("a.node")).join(b, F.col("j") == F.col("b.node")).where(may_link("a", "b", percent)).select(F.col("i").alias("a"), F.col("j").alias("b"))
-    members = settled(keyed.join(buckets.where("size > 2").select("key"), "key").join(light, "node"), "members")
+    members = scratch.settled(keyed.join(buckets.where("size > 2").select("key"), "key").join(light, "node"), "members")
 
     def held_to(centres: DataFrame, of: DataFrame, apart: Column) -> DataFrame:
         found = of.alias("m").join(centres.alias("c"), F.col("m.key") == F.col("c.key"))
@@ -160,16 +160,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     light_struct = F.struct("node", "n", "s1", "s2", "s3")
     centres = members.groupBy("key").agg(F.min(light_struct).alias("x")).select("key", "x.*")
-    tested = settled(twos.unionByName(held_to(centres, members, F.lit(True))).distinct(), "pairs")
+    tested = scratch.settled(twos.unionByName(held_to(centres, members, F.lit(True))).distinct(), "pairs")
     named = tested.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct()
-    sets = settled(full_sets(rows, named, size), "sets")
-    links = settled(confirmed(tested, sets, percent), "links")
+    sets = scratch.settled(full_sets(rows, named, size), "sets")
+    links = scratch.settled(confirmed(tested, sets, percent), "links")
     found = components(links)
 
     for turn in range(RANDOM_ROUNDS + 1):
         placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-        placed = settled(placed.join(split, "key"), "placed")
+        placed = scratch.settled(placed.join(split, "key"), "placed")
         if placed.isEmpty():
             break
         apart = F.col("m.component") != F.col("c.component")
@@ -178,10 +178,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             pairs = held_to(placed.groupBy("key").agg(F.min(drawn).alias("x")).select("key", "x.*"), placed, apart)
         else:
             pairs = held_to(placed, placed, apart & (F.col("m.node") < F.col("c.node")))
-        pairs = settled(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = scratch.settled(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
-        more = settled(confirmed(pairs, sets, percent), "links")
+        more = scratch.settled(confirmed(pairs, sets, percent), "links")
         tested = tested.unionByName(pairs)
         if not more.isEmpty():
             links = links.unionByName(more)

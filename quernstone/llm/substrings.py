@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, rows_of, settled
+from .common import Scratch, documents, rows_of, settled
 
 WINDOW = 50
 RUN = 8
@@ -226,17 +226,17 @@ def tagged(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tag"))
 
 
-def find_removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def find_removals(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """What the scan knows of every document (doc_id, tag, n_words, sha), and the documents that lose words (doc_id, tag, n_removed, kept)."""
     rows = tagged(docs)
-    scanned = settled(survey(rows), "survey")
+    scanned = scratch.settled(survey(rows), "survey")
     keys = scanned.where("key is not null").select("key", "doc_id")
     several = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
     shared = keys.join(several, "key").groupBy("doc_id").agg(F.collect_set("key").alias("wanted"))
-    cut = settled(cut_regions(rows, shared), "regions")
+    cut = scratch.settled(cut_regions(rows, shared), "regions")
     found = cut.where("region is not null")
     # One row for each different region, with its least document; content is in at least one of its rows.
-    different = settled(found.groupBy("key", "region").agg(F.min("doc_id").alias("doc_id"), F.max("content").alias("content")), "different")
+    different = scratch.settled(found.groupBy("key", "region").agg(F.min("doc_id").alias("doc_id"), F.max("content").alias("content")), "different")
     large = different.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > GROUP).select("key")
     small = different.join(large, "key", "left_anti")
     parts = max(8, rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -250,15 +250,18 @@ def find_removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def removal_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, and the SHA-256 of the kept words, of every document."""
-    every, changed = find_removals(docs)
-    lost = changed.select("doc_id", "tag", "n_removed", F.sha2("kept", 256).alias("kept_sha"))
-    return every.join(lost, ["doc_id", "tag"], "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha", "sha").alias("kept_sha256"))
+    with Scratch(docs.sparkSession) as scratch:
+        every, changed = find_removals(docs, scratch)
+        lost = changed.select("doc_id", "tag", "n_removed", F.sha2("kept", 256).alias("kept_sha"))
+        joined = every.join(lost, ["doc_id", "tag"], "left")
+        return settled(joined.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha", "sha").alias("kept_sha256")), "removals")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents, all their columns, with texts that lost words replaced by the kept words joined by spaces."""
-    _, changed = find_removals(docs)
-    kept = changed.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("kept").alias("__kept"))
+    with Scratch(docs.sparkSession) as scratch:
+        _, changed = find_removals(docs, scratch)
+        kept = settled(changed.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("kept").alias("__kept")), "changed")
     same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__tag"))
     return docs.join(kept, same, "left").withColumn("text", F.coalesce("__kept", "text")).select(*docs.columns)
 
