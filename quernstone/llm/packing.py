@@ -15,28 +15,30 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, rows_of, settled, texts_of
+from .common import documents, settled, texts_of
 
-REMEMBERED = 800_000  # words that a worker keeps; the table is emptied when it is full
-GAPS = regex.compile(r"\s+")
+BYTES_AT_ONCE = 16_000_000  # text that is encoded together
+REMEMBERED = 1_500_000  # words that a worker keeps; the table is emptied when it is full
 
 
 class WordIds:
-    """Ids by the tokenizers library, which is asked once for each word between white space.
+    """Ids by the tokenizers library, which is asked once for each word between ASCII white space.
 
     The library's normalizer and split never join anything over white space, so a text's ids are those
-    of its words in turn.
+    of its words in turn. Nor do they join a letter or digit and the closing marks after it, or tell
+    capitals apart, so an ASCII word is asked for without either.
     """
 
     def __init__(self, path: str):
@@ -46,27 +48,61 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [GAPS.split(text) for text in texts]
-        new = {word for words in split for word in words if word not in self.known}
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = {word for words in split for word in words}
-        asked = list(new)
-        for word, got in zip(asked, self.tokenizer.encode_batch_fast(asked, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(got.ids, "<u4").tobytes()
-        found = [np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4") for words in split]
-        for word in asked:  # long ones hardly come again
-            if len(word) > 64:
-                del self.known[word]
+    @staticmethod
+    def parts(word: str) -> tuple[str, str]:
+        """The part of a word to ask for, and closing marks after it."""
+        if not word.isascii() or "<|" in word:  # what may hold a special string stays as it is
+            return word, ""
+        stem = word.rstrip(".,;:!?")
+        return (stem.lower(), word[len(stem) :]) if stem and stem[-1].isalnum() else (word.lower(), "")
+
+    def look_up(self, words: list[str]) -> list[bytes]:
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        found = list(map(known.get, words))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        parts = [self.parts(words[i]) for i in new]
+        asked = [part for part in {part for pair in parts for part in pair} if part not in known]
+        fresh = {part: array("I", got.ids).tobytes() for part, got in zip(asked, self.tokenizer.encode_batch_fast(asked, add_special_tokens=False), strict=True)}
+        known.update((part, ids) for part, ids in fresh.items() if len(part) <= 64)  # long ones hardly come again
+        for i, (stem, rest) in zip(new, parts, strict=True):
+            found[i] = ids = (fresh[stem] if stem in fresh else known[stem]) + (fresh[rest] if rest in fresh else known[rest])
+            if len(words[i]) <= 64:
+                known[words[i]] = ids
         return found
 
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text. Each different word of the batch is looked up once."""
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        found = self.look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool = np.frombuffer(b"".join(found), "<u4")
+        at = np.cumsum(sizes) - sizes
+        word = coded.indices.to_numpy()
+        counts = sizes[word]
+        ends = np.cumsum(counts)
+        ids = pool[np.repeat(at[word] - ends + counts, counts) + np.arange(counts.sum())]
+        words = np.cumsum(pc.list_value_length(split).to_numpy())
+        return np.split(ids, np.append(0, ends)[words[:-1]])
+
 
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def by_bytes(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows in a row whose texts, the last column, have so many bytes together, or one row with more."""
+    ends = np.cumsum(pc.binary_length(batch.columns[-1]).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def cut_into_pieces(docs: DataFrame, path: str, length: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32, and the ids if asked for."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
@@ -76,9 +112,10 @@ def cut_into_pieces(docs: DataFrame, path: str, length: int = 2048, end_id: int
         own = word_ids(path)
         end = np.array([end_id], "<u4")
         for batch in batches:
-            for rows in rows_of(batch, 64):
+            for some in by_bytes(batch, BYTES_AT_ONCE):
+                ids_now, texts = some.columns
                 out: list[list] = [[] for _ in names]
-                for (doc_id, _), ids in zip(rows, own.encode([text for _, text in rows]), strict=True):
+                for doc_id, ids in zip(ids_now.to_pylist(), own.encode(texts), strict=True):
                     ids = np.concatenate([ids, end])
                     for piece, start in enumerate(range(0, len(ids), length)):
                         part = ids[start : start + length]
