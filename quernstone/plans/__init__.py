@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("activity", "merge", "points")
+MODULES = ("activity", "merge", "points", "library")
 
 
 def queries() -> dict:
