@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("activity", "merge", "points", "library", "text")
+MODULES = ("activity", "merge", "points", "library", "text", "match")
 
 
 def queries() -> dict:
