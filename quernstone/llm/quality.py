@@ -41,11 +41,11 @@ FEATURES = {
 }
 
 
-def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key, the base statistics and the further counts that the features need, of every whole text."""
-    rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("t"))
+def statistics(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """The columns `keys`, the base statistics and the further counts that the features need, of every whole text."""
+    rows = docs.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("t"))
     split = rows.select(
-        key,
+        *keys,
         F.array_remove(F.split("t", BLANK), "").alias("words"),
         F.filter(F.split("t", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -55,7 +55,7 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     last = F.size("words") - WINDOW
     window = lambda i: F.xxhash64(*(F.get("words", i + k) for k in range(WINDOW)))
     counted = split.select(
-        key,
+        *keys,
         "n_symbols",
         "n_capitals",
         "n_marks",
@@ -68,12 +68,11 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     # Only texts in which some window comes twice go on to find out where.
     suspected = counted.withColumn("windows", F.when(F.size(F.array_distinct("windows")) < F.size("windows"), F.col("windows")).otherwise(F.array().cast("array<bigint>")))
     placed = suspected.withColumn("placed", F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).drop("windows")
-    hashes = placed.withColumn("hashes", F.col("placed.h"))
-    same = lambda p, i: (p["h"] == F.get("hashes", i - 1)) | (p["h"] == F.get("hashes", i + 1))
-    starts = hashes.withColumn("starts", F.array_sort(F.filter(F.transform("placed", lambda p, i: F.when(F.coalesce(same(p, i), F.lit(False)), p["i"])), lambda x: x.isNotNull())))
+    same = lambda p, i: (p["h"] == F.get("placed", i - 1)["h"]) | (p["h"] == F.get("placed", i + 1)["h"])
+    starts = placed.withColumn("starts", F.array_sort(F.filter(F.transform("placed", lambda p, i: F.when(F.coalesce(same(p, i), F.lit(False)), p["i"])), lambda x: x.isNotNull())))
     nothing = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("last"))
     covered = F.aggregate("starts", nothing, lambda acc, s: F.struct((acc["n"] + F.least(F.lit(WINDOW), s - acc["last"])).alias("n"), s.alias("last")), lambda acc: acc["n"])
-    return starts.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), "n_lines", "n_capitals", "n_marks")
+    return starts.select(*keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), "n_lines", "n_capitals", "n_marks")
 
 
 def base_failed() -> Column:
@@ -178,7 +177,7 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE
         .limit(sample)
     )
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
-    measured = statistics(texts).dropDuplicates(["doc_id"]).where(~base_failed()).join(F.broadcast(chosen), "doc_id")
+    measured = statistics(texts, "doc_id").dropDuplicates(["doc_id"]).where(~base_failed()).join(F.broadcast(chosen), "doc_id")
     asked = measured.select("quality", (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)) != 0).cast("int").alias("fold"), *(F.expr(e).cast("long").alias(name) for name, e in FEATURES.items()))
     return [row.asDict() for row in asked.orderBy(*asked.columns).limit(sample).collect()]
 
@@ -186,9 +185,16 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE
 def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Every document's statistics with base_failed and kept."""
     rules = learn(labelled_statistics(docs, labels, sample))
-    judged = statistics(docs).withColumn("base_failed", base_failed())
+    judged = statistics(docs, "doc_id").withColumn("base_failed", base_failed())
     return judged.withColumn("kept", ~F.col("base_failed") & verdict(rules)).select("doc_id", *BASE, "base_failed", "kept")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The documents, all their columns, without those that the rules reject. One scan: the whole row goes along with its statistics."""
+    rules = learn(labelled_statistics(docs, labels, sample))
+    rows = docs.select("text", F.struct(*docs.columns).alias("__row"))
+    return statistics(rows, "__row").where(~base_failed() & verdict(rules)).select("__row.*")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
