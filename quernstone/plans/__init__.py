@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("activity", "merge", "points", "library", "text", "match")
+MODULES = ("activity", "merge", "points", "library", "text", "match", "games")
+
+#: Queries whose rows SQL does not give: their tests say what they must do.
+UNLIKE_SQL: tuple[str, ...] = ("kmeans_assign", "pca_project")
 
 
 def queries() -> dict:
