@@ -1,4 +1,4 @@
-"""Connected components by random contraction, with every step written to the shared folder."""
+"""Connected components by contraction, with every step written to the shared folder."""
 
 from __future__ import annotations
 
@@ -8,22 +8,28 @@ from pyspark.sql import functions as F
 from .common import Scratch, settled
 
 
-def components(edges: DataFrame) -> DataFrame:
+BY_NUMBER = 2
+
+
+def components(edges: DataFrame, used: list[str] | None = None) -> DataFrame:
     """node and component (the least node of it) for the nodes of edges (a, b).
 
-    In each round every node joins the neighbour, or itself, whose hash for the round is least; edges move
-    to what their ends joined and vanish inside one node. A constant share of nodes is expected to go
-    in each round, chains included, and a hub's neighbours meet in partial minima.
+    In each round every node joins the first of itself and its neighbours; edges move to what their ends
+    joined and vanish inside one node. In the first rounds nodes are ordered by their numbers, which
+    ends the stars that star-shaped comparison makes; then by a hash that is new in each round, by which a
+    constant share of nodes is expected to go each time, chains included. A hub's neighbours meet in
+    partial minima.
     """
     with Scratch(edges.sparkSession) as scratch:
-        return settled(contracted(edges, scratch), "components")
+        return settled(contracted(edges, scratch), "components", used)
 
 
 def contracted(edges: DataFrame, scratch: Scratch) -> DataFrame:
     left = scratch.settled(edges.select(*ordered(F.col("a"), F.col("b"))).where("a < b").distinct(), "edges")
     steps: list[DataFrame] = []
     while not left.isEmpty():
-        order = lambda c: F.struct(F.xxhash64(c, F.lit(len(steps))).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
+        turn = F.lit(len(steps))
+        order = lambda c: F.struct((F.xxhash64(c, turn) if len(steps) >= BY_NUMBER else F.lit(0).cast("long")).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
         ends = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = scratch.settled(ends.groupBy("a").agg(F.min(order("b")).alias("m")).select("a", F.least("m", order("a"))["v"].alias("to")), "step")
         moved = left.join(step.withColumnRenamed("to", "x"), "a").select("b", "x").join(step.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
@@ -41,3 +47,13 @@ def contracted(edges: DataFrame, scratch: Scratch) -> DataFrame:
 def ordered(a: Column, b: Column) -> list[Column]:
     """The lesser as a, the greater as b."""
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def joined(found: DataFrame, edges: DataFrame, used: list[str] | None = None) -> DataFrame:
+    """Components (node, component) after further edges, of which only those between components matter."""
+    at = found.select(F.col("node").alias("a"), F.col("component").alias("x"))
+    to = found.select(F.col("node").alias("b"), F.col("component").alias("y"))
+    moved = edges.join(at, "a", "left").join(to, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    merged = components(moved, used)
+    old = found.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return settled(old.unionByName(merged.join(found, "node", "left_anti").select("node", "component")), "components", used)

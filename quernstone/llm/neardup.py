@@ -20,7 +20,7 @@ empty table; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +28,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, documents, rows_of, settled
-from .graph import components, ordered
+from .graph import components, joined, ordered
 from .substrings import WordHashes, tagged
 
 ROWS, BANDS = 5, 40
 BITS = 192
 APART = 46  # sketch bits; sets of similarity 0.8 differ in 19, give or take 4
-RANDOM_ROUNDS = 2
-CHUNK = 8192  # shingles that are permuted at once
+FINE = 2048
+FINE_APART = 280  # of these bits; sets of similarity 0.8 differ in 205, give or take 14
+RANDOM_ROUNDS = 1
+CHUNK = 4096  # shingles that are permuted at once
 
 
 def shingle_set(text: bytes, size: int, hashes: WordHashes) -> np.ndarray:
@@ -62,17 +64,23 @@ def permute(x: np.ndarray, first: int, second: int) -> np.ndarray:
     return x
 
 
-SHIFTS = np.arange(ROWS * BANDS, dtype=np.uint32)[:, None]
-
-
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, size: int = ROWS * BANDS) -> np.ndarray:
+    """The first `size` coordinates; others follow by further shifts of the same permutation."""
     scattered = permute((shingles >> np.uint64(32)).astype(np.uint32), 0x85EBCA6B, 0xC2B2AE35)
-    least = np.full(ROWS * BANDS, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(scattered), CHUNK):
-        np.minimum(least, permute(scattered[at : at + CHUNK] - SHIFTS, 0x7FEB352D, 0x846CA68B).min(1), out=least)
+    least = np.full(size, 0xFFFFFFFF, np.uint32)
+    for first in range(0, size, 256):
+        shifts = np.arange(first, min(first + 256, size), dtype=np.uint32)[:, None]
+        part = least[first : first + 256]
+        for at in range(0, len(scattered), CHUNK):
+            np.minimum(part, permute(scattered[at : at + CHUNK] - shifts, 0x7FEB352D, 0x846CA68B).min(1), out=part)
     return least
 
 
+def bits_of(sign: np.ndarray) -> list[int]:
+    """The lowest bit of each coordinate, 64 in a number."""
+    return np.packbits((sign & 1).astype(np.uint8)).view(np.int64).tolist()
+
+
 def band_keys(sign: np.ndarray) -> np.ndarray:
     rows = sign.reshape(BANDS, ROWS).astype(np.uint64)
     keys = np.arange(1, BANDS + 1, dtype=np.uint64)
@@ -92,7 +100,7 @@ def survey(docs: DataFrame, size: int) -> DataFrame:
             for rows in rows_of(batch):
                 sets = [shingle_set(text.encode(), size, hashes) for _, text in rows]
                 signs = [signature(s) for s in sets]
-                sketches = [np.packbits((s[:BITS] & 1).astype(np.uint8)).view(np.int64).tolist() for s in signs]
+                sketches = [bits_of(s[:BITS]) for s in signs]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([doc_id for doc_id, _ in rows], pa.int64()),
@@ -120,6 +128,19 @@ def full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
+def fine_sketches(sets: DataFrame) -> DataFrame:
+    """node and a long sketch of its set, in numbers f0 and on."""
+    names = ["node", *(f"f{k}" for k in range(FINE // 64))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in rows_of(batch, 64):
+                found = [(node, *bits_of(signature(np.array(shingles, np.int64).view(np.uint64), FINE))) for node, shingles in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=names)
+
+    return sets.select("node", "shingles").mapInArrow(run, ", ".join(f"{name} long" for name in names))
+
+
 def may_link(a: str, b: str, percent: int) -> Column:
     """Sizes and sketches that allow the similarity."""
     small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
@@ -152,40 +173,44 @@ def linked(rows: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFr
     a, b = light.alias("a"), light.alias("b")
     twos = buckets.where("size = 2").select(F.col("a").alias("i"), F.col("b").alias("j")).distinct()
     twos = twos.join(a, F.col("i") == F.col("a.node")).join(b, F.col("j") == F.col("b.node")).where(may_link("a", "b", percent)).select(F.col("i").alias("a"), F.col("j").alias("b"))
-    members = scratch.settled(keyed.join(buckets.where("size > 2").select("key"), "key").join(light, "node"), "members")
+    big = scratch.settled(keyed.join(buckets.where("size > 2").select("key", "size"), "key"), "big")
+    # A node that shares large buckets with many others is the likeliest to link with what is in its own.
+    known = big.groupBy("node").agg(F.sum("size").alias("known"))
+    members = scratch.settled(big.drop("size").join(known, "node").join(light, "node"), "members")
+
+    def held_to(first: Column) -> Callable[[DataFrame, Column], DataFrame]:
+        """Pairs of the members of each bucket with the one that comes first."""
+        one = F.struct(first.alias("first"), "node", "n", "s1", "s2", "s3", "component")
+
+        def pairs(of: DataFrame, apart: Column) -> DataFrame:
+            centres = of.groupBy("key").agg(F.min(one).alias("x")).select("key", "x.*")
+            found = of.alias("m").join(centres.alias("c"), F.col("m.key") == F.col("c.key"))
+            return found.where((F.col("m.node") != F.col("c.node")) & apart & may_link("m", "c", percent)).select(*ordered(F.col("m.node"), F.col("c.node"))).distinct()
 
-    def held_to(centres: DataFrame, of: DataFrame, apart: Column) -> DataFrame:
-        found = of.alias("m").join(centres.alias("c"), F.col("m.key") == F.col("c.key"))
-        return found.where((F.col("m.node") != F.col("c.node")) & apart & may_link("m", "c", percent)).select(*ordered(F.col("m.node"), F.col("c.node"))).distinct()
+        return pairs
 
-    light_struct = F.struct("node", "n", "s1", "s2", "s3")
-    centres = members.groupBy("key").agg(F.min(light_struct).alias("x")).select("key", "x.*")
-    tested = scratch.settled(twos.unionByName(held_to(centres, members, F.lit(True))).distinct(), "pairs")
+    stars = held_to(-F.col("known"))(members.withColumn("component", F.col("node")), F.lit(True))
+    tested = scratch.settled(twos.unionByName(stars).distinct(), "pairs")
     named = tested.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct()
     sets = scratch.settled(full_sets(rows, named, size), "sets")
-    links = scratch.settled(confirmed(tested, sets, percent), "links")
-    found = components(links)
+    found = components(scratch.settled(confirmed(tested, sets, percent), "links"), scratch.paths)
 
+    apart = F.col("m.component") != F.col("c.component")
     for turn in range(RANDOM_ROUNDS + 1):
         placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
         placed = scratch.settled(placed.join(split, "key"), "placed")
         if placed.isEmpty():
             break
-        apart = F.col("m.component") != F.col("c.component")
         if turn < RANDOM_ROUNDS:
-            drawn = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "s1", "s2", "s3", "component")
-            pairs = held_to(placed.groupBy("key").agg(F.min(drawn).alias("x")).select("key", "x.*"), placed, apart)
+            pairs = held_to(F.xxhash64("node", F.lit(turn)))(placed, apart)
         else:
-            pairs = held_to(placed, placed, apart & (F.col("m.node") < F.col("c.node")))
+            pairs = over_borders(placed, sets, one_each, percent, scratch)
         pairs = scratch.settled(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        more = scratch.settled(confirmed(pairs, sets, percent), "links")
         tested = tested.unionByName(pairs)
+        more = scratch.settled(confirmed(pairs, sets, percent), "links")
         if not more.isEmpty():
-            links = links.unionByName(more)
-            found = components(links)
+            found = joined(found, more, scratch.paths)
 
     by_set = one_each.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     whole = scanned.select("doc_id", "n", "digest").join(by_set, "digest", "left")
@@ -196,6 +221,23 @@ def linked(rows: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFr
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def over_borders(placed: DataFrame, sets: DataFrame, one_each: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """All pairs of a bucket whose components differ and that may link by sketches long enough to tell.
+
+    A pair that shares several buckets comes out of the one of its first band only.
+    """
+    nodes = scratch.settled(placed.select("node").distinct(), "left")
+    fine = fine_sketches(sets.join(nodes, "node", "left_semi")).dropDuplicates(["node"])
+    bands = one_each.join(nodes, "node", "left_semi").select("node", "bands").dropDuplicates(["node"])
+    fine = scratch.settled(fine.join(bands, "node"), "fine")
+    full = placed.select("node", "key", "component", "n", "s1", "s2", "s3").join(fine, "node")
+    m, c = full.alias("m"), full.alias("c")
+    differ = sum((F.bit_count(F.col(f"m.f{k}").bitwiseXOR(F.col(f"c.f{k}"))) for k in range(FINE // 64)), F.lit(0))
+    first_band = F.get(F.array_intersect("m.bands", "c.bands"), F.lit(0))  # in the order of the first array
+    wanted = (F.col("m.node") < F.col("c.node")) & (F.col("m.component") != F.col("c.component")) & may_link("m", "c", percent) & (differ <= FINE_APART) & (first_band == F.col("m.key"))
+    return m.join(c, (F.col("m.key") == F.col("c.key")) & wanted).select(F.col("m.node").alias("a"), F.col("c.node").alias("b"))
+
+
 def keep_one_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents, all their columns, without those that a document with a smaller id stands for."""
     gone = near_duplicates(docs, size, percent).where("not kept").select("doc_id").distinct()
