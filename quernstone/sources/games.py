@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 NESTING = 8  # brackets within brackets that are taken out; deeper ones are left, as a rule over depth needs no bound (operators.text.strip_brackets)
 MOVE = r"(?:O-O-O|O-O|[KQRBN]?[a-h]?[1-8]?x?[a-h][1-8](?:=?[QRBN])?)[+#]?"
@@ -61,8 +60,8 @@ def source_of(address: Column) -> Column:
     return F.when(address.rlike(r"/study/\w{8}/\w{8}"), "chapter").when(address.rlike(r"/study/\w{8}"), "study").when(address.rlike(r"^https?://[^/]+/\w{8}(\w{4})?([/?#]|$)"), "game").otherwise("unknown")
 
 
-GAMES = T.StructType.fromDDL("games array<struct<white:struct<username:string,rating:int>,black:struct<username:string,rating:int>,end_time:bigint,time_class:string>>")
-ACTIVITY = T.ArrayType(T.StructType.fromDDL("interval struct<start:bigint>, games map<string,struct<win:int,loss:int,draw:int,rp:struct<after:int>>>, puzzles struct<score:struct<win:int,loss:int,draw:int>>"))
+GAMES = "struct<games:array<struct<white:struct<username:string,rating:int>,black:struct<username:string,rating:int>,end_time:bigint,time_class:string>>>"
+ACTIVITY = "array<struct<interval:struct<start:bigint>,games:map<string,struct<win:int,loss:int,draw:int,rp:struct<after:int>>>,puzzles:struct<score:struct<win:int,loss:int,draw:int>>>>"
 
 
 def games_by_day(payload: DataFrame, column: str, user: str) -> DataFrame:
