@@ -125,7 +125,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
                 sets = [shingle_set(text.encode(), size, hashes).view(np.int64) for _, text in rows]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "node long, shingles array<long>")
+    return docs.join(nodes.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
 def fine_sketches(sets: DataFrame) -> DataFrame:
