@@ -183,7 +183,8 @@ def linked(rows: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFr
         one = F.struct(first.alias("first"), "node", "n", "s1", "s2", "s3", "component")
 
         def pairs(of: DataFrame, apart: Column) -> DataFrame:
-            centres = of.groupBy("key").agg(F.min(one).alias("x")).select("key", "x.*")
+            # Written first, so that nothing but the join needs a bucket's rows together and Spark can split large ones.
+            centres = scratch.settled(of.groupBy("key").agg(F.min(one).alias("x")).select("key", "x.*"), "centres")
             found = of.alias("m").join(centres.alias("c"), F.col("m.key") == F.col("c.key"))
             return found.where((F.col("m.node") != F.col("c.node")) & apart & may_link("m", "c", percent)).select(*ordered(F.col("m.node"), F.col("c.node"))).distinct()
 
