@@ -9,9 +9,9 @@ from pyspark.sql import Window as W
 from ..sources.tables import js_round, with_today
 
 
-def day_spine(today: DataFrame, days: int) -> DataFrame:
-    """The last `days` days up to `today.today`, one row each."""
-    return today.select(F.explode(F.sequence(F.date_sub("today", days - 1), F.col("today"))).alias("day"))
+def day_spine(rows: DataFrame, days: int) -> DataFrame:
+    """Every row with each of the last `days` days up to its `today`."""
+    return rows.withColumn("day", F.explode(F.sequence(F.date_sub("today", days - 1), F.col("today")))).drop("today")
 
 
 def week_spine(today: DataFrame, weeks: int = 18) -> DataFrame:

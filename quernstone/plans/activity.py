@@ -22,10 +22,9 @@ def daily_window(spark, sf):
 
 def daily_locf(spark, sf):
     rows = events(spark, sf)
-    spine = A.day_spine(last_day(rows), DAYS)
-    users = rows.select("user_id").distinct()
+    users = rows.select("user_id").distinct().crossJoin(F.broadcast(last_day(rows)))
     last = A.last_values(rows, ["user_id", "day"], ["ts", "event_id"], "value").drop("n")
-    filled = users.crossJoin(F.broadcast(spine)).join(last, ["user_id", "day"], "left")
+    filled = A.day_spine(users, DAYS).join(last, ["user_id", "day"], "left")
     return A.carry_forward(filled, "user_id", "day", "value").select("user_id", "day", "value", "real")
 
 
