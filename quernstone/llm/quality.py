@@ -190,10 +190,13 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The documents, all their columns, without those that the rules reject. One scan: the whole row goes along with its statistics."""
+    """The documents, all their columns, without those that the rules reject. One scan: the whole row goes along with its statistics.
+
+    The row is laid out of an array of one or none: a filter would be pushed down below the statistics and repeat them.
+    """
     rules = learn(labelled_statistics(docs, labels, sample))
     rows = docs.select("text", F.struct(*docs.columns).alias("__row"))
-    return statistics(rows, "__row").where(~base_failed() & verdict(rules)).select("__row.*")
+    return statistics(rows, "__row").select(F.inline(F.when(~base_failed() & verdict(rules), F.array("__row"))))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
