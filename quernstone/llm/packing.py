@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, settled, texts_of
 
-BYTES_AT_ONCE = 16_000_000  # text that is encoded together
-REMEMBERED = 1_500_000  # words that a worker keeps; the table is emptied when it is full
+BYTES_AT_ONCE = 8_000_000  # text that is encoded together
+REMEMBERED = 300_000  # words after which a worker starts a new table; it keeps the one before
 
 
 class WordIds:
@@ -38,7 +38,7 @@ class WordIds:
 
     The library's normalizer and split never join anything over white space, so a text's ids are those
     of its words in turn. Nor do they join a letter or digit and the closing marks after it, or tell
-    capitals apart, so an ASCII word is asked for without either.
+    capitals apart, so both are put aside first: there are far fewer words then.
     """
 
     def __init__(self, path: str):
@@ -47,33 +47,29 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-
-    @staticmethod
-    def parts(word: str) -> tuple[str, str]:
-        """The part of a word to ask for, and closing marks after it."""
-        if not word.isascii() or "<|" in word:  # what may hold a special string stays as it is
-            return word, ""
-        stem = word.rstrip(".,;:!?")
-        return (stem.lower(), word[len(stem) :]) if stem and stem[-1].isalnum() else (word.lower(), "")
+        self.before: dict[str, bytes] = {}  # words of the time before; what comes again moves on to known
 
     def look_up(self, words: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
+        if len(self.known) > REMEMBERED:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
         found = list(map(known.get, words))
-        new = [i for i, ids in enumerate(found) if ids is None]
-        parts = [self.parts(words[i]) for i in new]
-        asked = [part for part in {part for pair in parts for part in pair} if part not in known]
-        fresh = {part: array("I", got.ids).tobytes() for part, got in zip(asked, self.tokenizer.encode_batch_fast(asked, add_special_tokens=False), strict=True)}
-        known.update((part, ids) for part, ids in fresh.items() if len(part) <= 64)  # long ones hardly come again
-        for i, (stem, rest) in zip(new, parts, strict=True):
-            found[i] = ids = (fresh[stem] if stem in fresh else known[stem]) + (fresh[rest] if rest in fresh else known[rest])
-            if len(words[i]) <= 64:
-                known[words[i]] = ids
+        new = []
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            if (ids := before.get(words[i])) is None:
+                new.append(i)
+            else:
+                found[i] = known[words[i]] = ids
+        for i, got in zip(new, self.tokenizer.encode_batch_fast([words[i] for i in new], add_special_tokens=False), strict=True):
+            found[i] = array("I", got.ids).tobytes()
+        known.update((words[i], found[i]) for i in new if len(words[i]) <= 64)  # long ones hardly come again
         return found
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text. Each different word of the batch is looked up once."""
+        texts = pc.replace_substring_regex(texts, CLOSING, r"\1 \2\3")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # in lower case, special strings would appear
+            texts = pc.ascii_lower(texts)
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         found = self.look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
@@ -88,6 +84,9 @@ class WordIds:
         return np.split(ids, np.append(0, ends)[words[:-1]])
 
 
+CLOSING = r"([\pL\pN])([.,;:!?]+)(\s|$)"
+
+
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
     return WordIds(path)
