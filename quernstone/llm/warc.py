@@ -7,7 +7,9 @@ from elsewhere come in through Spark's binaryFile source, which has the same col
 
 The reader checks each record: the member's checksum, the version line, the lengths, the block
 digest. Where a check fails it looks for the next gzip member or version line that starts a valid
-record, goes on there, and logs the bytes in between as a quarantined gap.
+record, goes on there, and logs the bytes in between as a quarantined gap. Inside a member it looks in the
+plain bytes, and a damaged member of several records gives those that inflate before its fault; `inner_start`
+and `inner_end` are places in a member's plain bytes.
 
 Cases: null html is an empty payload; a null url leaves the target out; pages of equal id and payload are
 records of one type; a null page id stays null and is never referred to; an empty table gives an
@@ -31,9 +33,11 @@ from pyspark.sql import functions as F
 from .common import pages, rows_of, settled
 
 ARCHIVE_BYTES = 8_000_000  # an archive is closed when it is longer
+STEPS = (1 << 16, 1 << 10, 1 << 5, 1)  # bytes that are inflated at once; fewer where a fault is near
+VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 MEMBER = b"\x1f\x8b\x08"
-NOTES = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target string, archive string, start long, end long, gap string"
+NOTES = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target string, archive string, start long, end long, inner_start long, inner_end long, gap string"
 
 
 def base32_sha1(data: bytes) -> str:
@@ -81,7 +85,7 @@ class Damaged(ValueError):
 
 def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     """The record that starts at a position of plain bytes, and where it ends."""
-    if not re.compile(rb"WARC/1\.[01]\r\n").match(data, at):
+    if not VERSION.match(data, at):
         raise Damaged("no version line")
     split = data.find(b"\r\n\r\n", at)
     if split < 0:
@@ -108,41 +112,103 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
         size = len(payload)
     else:
         digest, size = fields.get("warc-payload-digest", "").removeprefix("sha1:"), int(told[1]) if told else 0
-    found = {"page_id": int(fields["x-page-id"]) if "x-page-id" in fields else None, "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": page_of(fields.get("warc-refers-to")), "target": fields.get("warc-target-uri"), "payload": payload}
-    return found, end
+    try:
+        page_id, refers_to = int(fields["x-page-id"]) if "x-page-id" in fields else None, page_of(fields.get("warc-refers-to"))
+    except ValueError as cause:
+        raise Damaged("header") from cause
+    return {"page_id": page_id, "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": refers_to, "target": fields.get("warc-target-uri"), "payload": payload}, end
+
+
+def inflated(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """All that a gzip member gives up to its end or its first fault, where the reading stopped, and the fault."""
+    view, opened, out = memoryview(data), zlib.decompressobj(31), []
+    for step in STEPS:
+        try:
+            while at < len(view) and not opened.eof:
+                before = opened.copy()
+                out.append(opened.decompress(view[at : at + step]))
+                at = min(at + step, len(view))
+        except zlib.error:
+            opened = before
+            continue
+        return b"".join(out), at - len(opened.unused_data), "" if opened.eof else "member without end"
+    rest = data[at : at + 1]
+    try:
+        while True:  # what the byte at the fault still gives
+            out.append(opened.decompress(rest, 1))
+            rest = opened.unconsumed_tail
+            if not out[-1] and not rest:
+                break
+    except zlib.error:
+        pass
+    return b"".join(out), at, "gzip"
+
+
+def read_to(data: bytes, at: int, size: int) -> int:
+    """How far a member is read when `size` bytes of it are inflated."""
+    opened = zlib.decompressobj(31)
+    opened.decompress(memoryview(data)[at:], size - 1)  # the last byte would let the reading go on to the checksum
+    return len(data) - len(opened.unconsumed_tail)
+
+
+def read_plain(plain: bytes) -> list[dict]:
+    """Records and gaps of a member's plain bytes, in order."""
+    at, bad_from, reason, found = 0, None, "", []
+    while at < len(plain):
+        try:
+            record, end = parse_record(plain, at)
+        except Damaged as cause:
+            if bad_from is None:
+                bad_from, reason = at, str(cause)
+            following = VERSION.search(plain, at + 1)
+            at = following.start() if following else len(plain)
+            continue
+        if bad_from is not None:
+            found.append({"gap": reason, "inner_start": bad_from, "inner_end": at})
+            bad_from = None
+        found.append(record | {"gap": None, "inner_start": at, "inner_end": end})
+        at = end
+    if bad_from is not None:
+        found.append({"gap": reason, "inner_start": bad_from, "inner_end": len(plain)})
+    return found
 
 
 def read_archive(data: bytes) -> Iterator[dict]:
     """Records (`gap` None) and quarantined gaps (`gap` the reason) of one file, in order, with their byte ranges."""
     at, bad_from, reason = 0, None, ""
     while at < len(data):
+        fault, on = "", at + 1  # where the search goes on after a failure
         try:
             if data.startswith(MEMBER, at):
-                opened = zlib.decompressobj(31)
-                try:
-                    plain = opened.decompress(data[at:])
-                except zlib.error as cause:
-                    raise Damaged("gzip") from cause
-                if not opened.eof:
-                    raise Damaged("member without end")
-                end, inner, found = len(data) - len(opened.unused_data), 0, []
-                while inner < len(plain):
-                    record, inner = parse_record(plain, inner)
-                    found.append(record)
+                plain, end, fault = inflated(data, at)
+                found = read_plain(plain)
+                if fault and len(found) == 1 and found[0]["inner_end"] == len(plain):
+                    raise Damaged(fault)  # the member is one record, so its checksum is the record's own check
+                valid = [i for i, x in enumerate(found) if x["gap"] is None]
+                if not valid and (fault or found):
+                    on = on if fault else end
+                    raise Damaged(fault or found[0]["gap"])
+                if fault:  # what comes after the last valid record is searched as bytes of the file
+                    found = found[: valid[-1] + 1]
+                    end = read_to(data, at, found[-1]["inner_end"])
             else:
                 record, end = parse_record(data, at)
-                found = [record]
+                found = [record | {"gap": None}]
         except Damaged as cause:
             if bad_from is None:
                 bad_from, reason = at, str(cause)
-            following = START.search(data, at + 1)
+            following = START.search(data, on)
             at = following.start() if following else len(data)
             continue
         if bad_from is not None:
             yield {"gap": reason, "start": bad_from, "end": at}
             bad_from = None
-        yield from (record | {"gap": None, "start": at, "end": end} for record in found)
+        yield from (x | {"start": at, "end": end} for x in found)
         at = end
+        if fault:
+            bad_from, reason = end, fault
+            following = START.search(data, end)
+            at = following.start() if following else len(data)
     if bad_from is not None:
         yield {"gap": reason, "start": bad_from, "end": len(data)}
 
@@ -185,7 +251,7 @@ def write_archives(table: DataFrame) -> DataFrame:
 
 def read_archives(files: DataFrame) -> DataFrame:
     """Every record and every quarantined gap of archives (path, content), as spark.read.format("binaryFile") or write_archives give them."""
-    kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "target": pa.string(), "archive": pa.string(), "start": pa.int64(), "end": pa.int64(), "gap": pa.string()}
+    kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "target": pa.string(), "archive": pa.string(), "start": pa.int64(), "end": pa.int64(), "inner_start": pa.int64(), "inner_end": pa.int64(), "gap": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -176,6 +176,26 @@ def test_warc_salvage():
     assert list(warc.read_archive(b"")) == []
 
 
+def test_warc_salvage_inside_a_member():
+    records = [warc.make_record(i, "http://x/", random.Random(i).randbytes(3000), None) for i in range(5)]
+    bad = bytearray(b"".join(records))
+    bad[len(records[0]) + len(records[1]) + 1500] ^= 0xFF
+    one = warc.zipped(bytes(bad))
+    ids = lambda data: [x["page_id"] for x in warc.read_archive(data) if x["gap"] is None]
+    assert ids(one) == [0, 1, 3, 4]
+    start = len(records[0]) + len(records[1])
+    assert [(x["gap"], x["inner_start"], x["inner_end"]) for x in warc.read_archive(one) if x["gap"]] == [("block digest", start, start + len(records[2]))]
+    for level in (0, 3):  # stored bytes show their version lines to the search of the file, too
+        sound, last = warc.zipped(b"".join(records), level), warc.zipped(warc.make_record(9, None, b"last", None))
+        assert ids(sound[: len(sound) * 7 // 10]) == [0, 1, 2]
+        assert ids(sound[: len(sound) * 7 // 10] + last) == [0, 1, 2, 9]
+        wrong = bytearray(sound)
+        wrong[-6] ^= 1
+        assert ids(bytes(wrong) + last) == [0, 1, 2, 3, 4, 9]
+        gaps = [x for x in warc.read_archive(bytes(wrong) + last) if x["gap"]]
+        assert [x["gap"] for x in gaps] == ["gzip"] and gaps[0]["end"] == len(sound) > gaps[0]["start"] > len(sound) - 30
+
+
 def test_html(site):
     page = """<html><body><header><h1>Site</h1></header><nav><a href=x>m</a></nav><div id="c" class="post post-77 with-sidebar"><h2>Title &amp; more</h2><p class="ad">buy</p>
       <p>One <b>t</b>wo&nbsp;three<br/>four, five <a href="y">six</a></p><ul><li>a<li>b</ul><form>f</form><div class="comments"><p>reader</p></div><script>x<y</script><p>after 3 &lt; 4</p></div><aside>s</aside><footer>f</footer>"""
