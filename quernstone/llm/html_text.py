@@ -1,8 +1,8 @@
 """Main text of web pages by paths that the pages of a host agree on.
 
 First each page scores its containers by the running text that they hold, links counted against
-them, and votes for the path of the best one: tags and classes from the body down, with digits
-generalised. Spark adds the votes by host and path and takes each host's winner. Then every page is read
+them, climbs from the best one to the container of the whole article, and votes for its path: tags and
+classes from the body down, with digits generalised. Spark adds the votes by host and path and takes each host's winner. Then every page is read
 again and its text taken from the elements on the winning path; a page that has none uses its own
 best container. Votes and winners are small rows, so a host with a third of all pages is counted by
 partial sums, and the pages' bodies are dealt by page, not by host.
@@ -17,7 +17,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +49,7 @@ ASIDE_WORDS = re.compile(
 )
 
 
+FEW_LINKS = 4  # text added to an article has at most one character in so many inside links
 #: Classes that tell what a layout has beside the article.
 ABOUT_LAYOUT = re.compile(r"(?:.*[_-])?(?:has|with|without|no)[_-]", re.I)
 
@@ -65,6 +66,7 @@ class Element:
 class Container:
     path: str
     parent: int
+    tag: str = "body"
     score: float = 0.0
 
 
@@ -142,7 +144,7 @@ def read_page(source: str) -> Page:
             path = f"{over.path}>{tag}" + "".join(f".{c}" for c in shown) if tag in CONTAINERS else over.path
             container = over.container
             if tag in CONTAINERS:
-                page.containers.append(Container(path, container))
+                page.containers.append(Container(path, container, tag))
                 container = len(page.containers) - 1
             stack.append(Element(tag, path, aside, container))
     if at < len(source):
@@ -152,19 +154,47 @@ def read_page(source: str) -> Page:
 
 
 def score(page: Page) -> None:
-    """A container earns the running text of its own blocks, its parent half of that."""
+    """A container earns the running text of its own blocks, each one around it half of what the one inside earns."""
     for container, text, links in page.blocks:
         worth = max(0, len(text) - 2 * links) + 25.0 * text.count(",")
-        page.containers[container].score += worth
-        parent = page.containers[container].parent
-        if parent >= 0:
-            page.containers[parent].score += worth / 2
+        while container >= 0:
+            page.containers[container].score += worth
+            container, worth = page.containers[container].parent, worth / 2
+
+
+def climb(page: Page, at: int) -> int:
+    """The highest container around this one, the body aside, that adds text with few links only.
+
+    None above a main is tried, and without a main none above an article.
+    """
+    size, linked = [0] * len(page.containers), [0] * len(page.containers)
+    for container, text, links in page.blocks:
+        size[container] += len(text)
+        linked[container] += links
+    for i in range(len(page.containers) - 1, 0, -1):  # parents come first
+        size[page.containers[i].parent] += size[i]
+        linked[page.containers[i].parent] += linked[i]
+    around = [at]
+    while page.containers[around[-1]].parent > 0:
+        around.append(page.containers[around[-1]].parent)
+    for tag in ("main", "article"):
+        ends = [k for k, i in enumerate(around) if page.containers[i].tag == tag]
+        if ends:
+            around = around[: ends[-1] + 1]
+            break
+    for i in around[1:]:
+        if FEW_LINKS * (linked[i] - linked[at]) <= size[i] - size[at]:
+            at = i
+    return at
 
 
 def best(page: Page) -> Container | None:
+    """The container of the article; its score is that of the best one inside."""
     score(page)
-    top = max(page.containers, key=lambda c: c.score)
-    return top if top.score > 0 else None
+    top = max(range(len(page.containers)), key=lambda i: page.containers[i].score)
+    if page.containers[top].score <= 0:
+        return None
+    return replace(page.containers[climb(page, top)], score=page.containers[top].score)
 
 
 def extract(source: str, path: str | None) -> str:

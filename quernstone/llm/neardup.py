@@ -7,7 +7,8 @@ eight million times. A sketch of one bit from each of 192 coordinates goes with
 sketches differ more than sets of 0.8 ever do is not looked at; all other pairs are decided on the
 full sets.
 
-Documents with the same set are one node. A bucket never emits all its pairs: its members are held
+Documents with the same set are one node, which is named by 64 bits of the set's digest, so that texts
+under one id stay apart; the least id of a component is looked up at the end. A bucket never emits all its pairs: its members are held
 against one centre, then, while it still has several components, against other centres drawn at
 random, and what is still apart at last is compared pair by pair over component borders only, so no link
 between components is lost. Copies by the thousand make as many pairs, not their square.
@@ -91,32 +92,33 @@ def band_keys(sign: np.ndarray) -> np.ndarray:
 
 
 def survey(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, set size, digest of the set, sketch and band keys of every text."""
-    names = ["doc_id", "n", "digest", "s1", "s2", "s3", "bands"]
+    """doc_id, tag, set size, node (from the digest of the set), sketch and band keys of every text."""
+    names = ["doc_id", "tag", "n", "node", "s1", "s2", "s3", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             for rows in rows_of(batch):
-                sets = [shingle_set(text.encode(), size, hashes) for _, text in rows]
+                sets = [shingle_set(text.encode(), size, hashes) for _, _, text in rows]
                 signs = [signature(s) for s in sets]
                 sketches = [bits_of(s[:BITS]) for s in signs]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([doc_id for doc_id, _ in rows], pa.int64()),
+                        pa.array([doc_id for doc_id, _, _ in rows], pa.int64()),
+                        pa.array([tag for _, tag, _ in rows], pa.int64()),
                         pa.array(list(map(len, sets)), pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                        pa.array([int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True) for s in sets], pa.int64()),
                         *(pa.array([s[k] for s in sketches], pa.int64()) for k in range(3)),
                         pa.array([band_keys(s) if len(x) else None for s, x in zip(signs, sets, strict=True)], pa.list_(pa.int64())),
                     ],
                     names=names,
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, s1 long, s2 long, s3 long, bands array<long>")
+    return docs.select("doc_id", "tag", "text").mapInArrow(run, "doc_id long, tag long, n long, node long, s1 long, s2 long, s3 long, bands array<long>")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """node and shingles of the named documents."""
+    """node and shingles of the named nodes (node, doc_id, tag)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -125,7 +127,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
                 sets = [shingle_set(text.encode(), size, hashes).view(np.int64) for _, text in rows]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return docs.join(nodes.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "node long, shingles array<long>")
+    return docs.join(nodes.select("node", "doc_id", "tag").hint("merge"), ["doc_id", "tag"]).select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
 def fine_sketches(sets: DataFrame) -> DataFrame:
@@ -159,13 +161,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id reachable) and kept of every document."""
     with Scratch(docs.sparkSession) as scratch:
-        return settled(linked(tagged(docs), size, percent, scratch), "linked")
+        return settled(linked(tagged(docs), size, percent, scratch).drop("tag"), "linked")
 
 
 def linked(rows: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
     scanned = scratch.settled(survey(rows, size), "signatures")
     real = scanned.where("n > 0 and doc_id is not null")
-    one_each = scratch.settled(real.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "s1", "s2", "s3", "bands")).alias("x")).select("digest", F.col("x.doc_id").alias("node"), "x.n", "x.s1", "x.s2", "x.s3", "x.bands"), "nodes")
+    one_each = scratch.settled(real.groupBy("node").agg(F.min(F.struct("doc_id", "tag", "n", "s1", "s2", "s3", "bands")).alias("x")).select("node", "x.*"), "nodes")
     light = one_each.select("node", "n", "s1", "s2", "s3")
 
     keyed = one_each.select("node", F.explode("bands").alias("key"))
@@ -193,7 +195,7 @@ def linked(rows: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFr
     stars = held_to(-F.col("known"))(members.withColumn("component", F.col("node")), F.lit(True))
     tested = scratch.settled(twos.unionByName(stars).distinct(), "pairs")
     named = tested.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct()
-    sets = scratch.settled(full_sets(rows, named, size), "sets")
+    sets = scratch.settled(full_sets(rows, named.join(one_each.select("node", "doc_id", "tag"), "node"), size), "sets")
     found = components(scratch.settled(confirmed(tested, sets, percent), "links"), scratch.paths)
 
     apart = F.col("m.component") != F.col("c.component")
@@ -213,10 +215,13 @@ def linked(rows: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFr
         if not more.isEmpty():
             found = joined(found, more, scratch.paths)
 
-    by_set = one_each.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    whole = scanned.select("doc_id", "n", "digest").join(by_set, "digest", "left")
+    placed = scratch.settled(one_each.select("node", "doc_id").join(found, "node", "left").select("node", "doc_id", "component"), "placed")
+    least = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    by_set = placed.join(scratch.settled(least, "least"), "component", "left").select("node", F.coalesce("least", "doc_id").alias("component"))
+    whole = scanned.select("doc_id", "tag", "n", "node").join(by_set, "node", "left")
     return whole.select(
         "doc_id",
+        "tag",
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -241,8 +246,11 @@ def over_borders(placed: DataFrame, sets: DataFrame, one_each: DataFrame, percen
 
 def keep_one_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents, all their columns, without those that a document with a smaller id stands for."""
-    gone = near_duplicates(docs, size, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    with Scratch(docs.sparkSession) as scratch:
+        lost = linked(tagged(docs), size, percent, scratch).where("not kept").select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).distinct()
+        gone = settled(lost, "gone")
+    same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__tag"))
+    return docs.join(gone, same, "left_anti").select(*docs.columns)
 
 
 def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

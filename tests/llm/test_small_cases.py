@@ -213,6 +213,23 @@ def test_html_uses_the_path_that_the_host_agrees_on(spark):
     assert {r.page_id: r.text for r in html_text.extract_texts(table).collect()}[9] == "short"
 
 
+def test_html_keeps_the_whole_article():
+    def text(page, path=None):
+        return html_text.extract(f"<body><div class=wrap>{page}</div><div class=note>aside text of another box</div></body>", path)
+
+    many = lambda word, n: " ".join([word] * n)
+    lead, body = many("lead", 40), many("body", 1000)
+    assert text(f"<article><h1>Title</h1><div class=lead><p>{lead}</p></div><div class=body><p>{body}</p></div></article>") == f"Title {lead} {body}"
+    sections = [many(f"s{k}", 300 if k == 1 else 20) for k in range(4)]
+    assert text("<article>" + "".join(f"<section class=c{chr(97 + k)}>{s}</section>" for k, s in enumerate(sections)) + "</article>") == " ".join(sections)
+    parts = [many(f"p{k}", 30) for k in range(30)]
+    deep = "".join(f"<div class=x{chr(97 + k % 20)}><div><p>{p}</p></div></div>" for k, p in enumerate(parts))
+    assert text(f"<article>{deep}</article><div class=box>{many('box', 50)}</div>") == " ".join(parts)
+    assert text(f"<main><h1>Title</h1><article><div>{body}</div></article></main>") == f"Title {body}"
+    links = "".join(f"<a href=x>other page {k}</a> " for k in range(20))
+    assert text(f"<main><div class=links>{links}</div><article><p>{lead}</p><div>{body}</div></article></main>") == f"{lead} {body}"
+
+
 def test_url_filters(spark):
     entries = spark.createDataFrame(
         [("d:bad.example", "2024-01-10", True), ("d:bad.example", "2024-03-01", False), ("p:ok.example/ads", "2024-02-01", True), ("p:ok.example/ads", "2024-02-01", False), (None, "2024-01-01", True), ("d:x.example", None, True)],
@@ -339,6 +356,25 @@ def test_neardup(spark, docs):
     assert neardup.keep_one_each(frame).columns == frame.columns
 
 
+def test_neardup_judges_texts_of_one_id_apart(spark):
+    base = [f"v{i}" for i in range(60)]
+    texts = [(3, " ".join(base)), (5, "a text unlike the other two"), (5, " ".join([*base[:-1], "z"])), (7, "a text unlike the other two"), (9, None)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = Counter(tuple(r) for r in neardup.near_duplicates(frame, 4).collect())
+    assert rows == jaccard_brute_by_row(texts, 4)
+    assert Counter(tuple(r) for r in neardup.keep_one_each(frame).collect()) == Counter([texts[0], texts[1], texts[4]])
+
+
+def jaccard_brute_by_row(texts, size):
+    """jaccard_brute over numbered rows; a component has the least id of its rows."""
+    known = sorted(enumerate(texts), key=lambda x: x[1][0])
+    out = Counter()
+    for k, n, root, _ in jaccard_brute([(k, t) for k, (_, (_, t)) in enumerate(known)], size):
+        i, least = known[k][1][0], known[root][1][0]
+        out[i, n, least, i == least] += 1
+    return out
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 200)]
     found = {r.node: r.component for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}
