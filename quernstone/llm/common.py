@@ -1,58 +1,20 @@
-"""What several corpus operators share: shared scratch tables, row batches, word rules."""
+"""What several corpus operators share: row batches, word rules, and the shared scratch tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch, scratch_folder, settled  # noqa: F401
+
 #: Words are runs of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-quernstone-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def settled(df: DataFrame, name: str, used: list[str] | None = None) -> DataFrame:
-    """df written once to the shared folder and read again: later steps restart from here, not from the input."""
-    path = f"{scratch_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    if used is not None:
-        used.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-class Scratch:
-    """Tables that an operator writes for itself and deletes once its own result is written."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.paths: list[str] = []
-
-    def settled(self, df: DataFrame, name: str) -> DataFrame:
-        return settled(df, name, self.paths)
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *_: object) -> None:
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for path in self.paths:
-            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(conf).delete(folder, True)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

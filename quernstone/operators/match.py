@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..scratch import Scratch, settled
+
 MOST_CLASSES = 10_000
 
 
@@ -53,13 +55,21 @@ def vote(neighbours: DataFrame, label: str, majority: int) -> DataFrame:
     return top.where((F.col("x.votes") >= majority) & (-F.col("x.o") != F.col(f"q_{label}"))).select("q_key", F.col(f"q_{label}").alias("was"), (-F.col("x.o")).alias("becomes"), "x.votes")
 
 
-def path_to_root(nodes: DataFrame, node: str, parent: str, rounds: int) -> DataFrame:
-    """Each node with its root and depth, by pointer doubling: 2 to the power of `rounds` steps at most. A root has no parent."""
-    at = nodes.select(node, F.coalesce(parent, node).alias("up"), F.when(F.col(parent).isNull(), 0).otherwise(1).alias("depth"))
-    for _ in range(rounds):
-        up = at.select(F.col(node).alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
-        at = at.join(up, "up").select(node, F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
-    return at.select(node, F.col("up").alias("root"), "depth")
+def path_to_root(nodes: DataFrame, node: str, parent: str) -> DataFrame:
+    """Each node with its root and depth, by pointer doubling until no node moves; each round is written to the shared folder.
+
+    A root has no parent. Nodes on or under a cycle, or under a parent that is no node, have a null root and depth.
+    """
+    with Scratch(nodes.sparkSession) as scratch:
+        way = F.when(F.col(parent).isNull(), 0).otherwise(1)
+        at = scratch.settled(nodes.select(F.col(node).alias("node"), F.coalesce(parent, node).alias("up"), way.alias("depth"), F.col(parent).isNotNull().alias("open")), "ways")
+        most, steps = at.count(), 1
+        while steps < most and not at.where("open").isEmpty():  # a way of as many steps as there are nodes runs in a cycle
+            up = at.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"), F.col("open").alias("open2"))
+            moved = at.where("open").join(up, "up", "left").select("node", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.coalesce("open2", F.lit(False)).alias("open"))
+            at, steps = scratch.settled(at.where("not open").unionByName(moved), "ways"), 2 * steps
+        known = ~F.col("open")
+        return settled(at.select(F.col("node").alias(node), F.when(known, F.col("up")).alias("root"), F.when(known, F.col("depth")).alias("depth")), "roots")
 
 
 def first_children(nodes: DataFrame, node: str, parent: str, main: Column) -> DataFrame:

@@ -106,7 +106,7 @@ def path_to_root(spark, sf):
     known = rows.select(F.col("node").alias("parent")).distinct()
     linked = rows.join(known, "parent", "left_semi").unionByName(rows.where("parent is null"))
     rest = rows.join(known, "parent", "left_anti").where("parent is not null").withColumn("parent", F.lit(None).cast("long"))
-    return M.path_to_root(linked.unionByName(rest), "node", "parent", 5)
+    return M.path_to_root(linked.unionByName(rest), "node", "parent")
 
 
 def main_line(spark, sf):

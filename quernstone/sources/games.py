@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NESTING = 8  # brackets within brackets that are taken out; deeper ones are left, as a rule over depth needs no bound (operators.text.strip_brackets)
 MOVE = r"(?:O-O-O|O-O|[KQRBN]?[a-h]?[1-8]?x?[a-h][1-8](?:=?[QRBN])?)[+#]?"
 
 
@@ -23,12 +22,22 @@ def headers(raw: Column) -> Column:
     return F.map_from_entries(last)
 
 
+def strip_variations(text: Column) -> Column:
+    """The text with a space for what stands in matching round brackets, however deep; a bracket without its match stays."""
+    def add(levels: Column, more: Column) -> Column:
+        return F.concat(F.slice(levels, F.lit(1), F.size(levels) - 1), F.array(F.concat(F.element_at(levels, -1), more)))
+
+    def step(levels: Column, piece: Column) -> Column:
+        closes = (piece == ")") & (F.size(levels) > 1)
+        return F.when(piece == "(", F.concat(levels, F.array(F.lit("")))).when(closes, add(F.slice(levels, F.lit(1), F.size(levels) - 1), F.lit(" "))).otherwise(add(levels, piece))
+
+    return F.aggregate(F.split(text, r"(?<=[()])|(?=[()])"), F.array(F.lit("")), step, lambda levels: F.array_join(levels, "("))
+
+
 def movetext(raw: Column) -> Column:
     """What is left for moves: headers, line comments, variations and glyphs go, castling zeros become letters."""
     out = F.regexp_replace(F.regexp_replace(raw, r"(?m)^\[\w+ .*\]\s*$", " "), r";[^\n]*", " ")
-    for _ in range(NESTING):
-        out = F.regexp_replace(out, r"\([^()]*\)", " ")
-    out = F.regexp_replace(out, r"\$\d+|[!?]+", " ")
+    out = F.regexp_replace(strip_variations(out), r"\$\d+|[!?]+", " ")
     return F.replace(F.replace(out, F.lit("0-0-0"), F.lit("O-O-O")), F.lit("0-0"), F.lit("O-O"))
 
 

@@ -10,6 +10,7 @@ from quernstone.operators import match as M
 from quernstone.operators import merge as G
 from quernstone.operators import points as P
 from quernstone.operators import text as T
+from quernstone.sources import games as S
 
 
 def days(spark, rows, schema):
@@ -102,6 +103,25 @@ def test_nearest_rows_are_the_brute_force_ones(spark):
         assert [k for _, k in sorted(got[q])] == [k for _, k in best]
 
 
+def test_variations_of_any_depth(spark):
+    deep = "1. e4 " + "(1. d4 {[%eval 0.10]} " * 12 + ")" * 12 + " e5 {[%eval 0.35]} 2. Nf3 {:( here} Nc6"
+    row = S.read_games(spark.createDataFrame([(f'[Event "x"]\n\n{deep}',)], "value string")).first()
+    assert row.moves == ["e4", "e5", "Nf3", "Nc6"] and [(e["at"], e["cp"]) for e in row.evals] == [(2, 35)]
+    texts = ["a (b (c) d", "a) (b) c", "((a)(b)) c", "", None]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.x for r in frame.select(S.strip_variations(F.col("t")).alias("x")).collect()] == ["a (b   d", "a)   c", "  c", "", None]
+
+
+def test_path_to_root_of_any_depth(spark):
+    chain = [(i, i - 1 if i else None) for i in range(100)]
+    odd = [(200, 201), (201, 200), (202, 200), (210, 210), (220, 999), (221, 220), (300, None)]
+    frame = spark.createDataFrame(chain + odd, "k long, up long")
+    got = {r.k: (r.root, r.depth) for r in M.path_to_root(frame, "k", "up").collect()}
+    lost = dict.fromkeys((200, 201, 202, 210, 220, 221), (None, None))
+    assert got == {i: (0, i) for i in range(100)} | lost | {300: (300, 0)}
+    assert M.path_to_root(frame.where("k = 210"), "k", "up").collect() == [(210, None, None)] and M.path_to_root(frame.where("false"), "k", "up").count() == 0
+
+
 def test_empty_frames(spark):
     none = spark.createDataFrame([], "game int, i int, ev int, hero_white boolean, white_starts boolean, gain int")
     assert P.advantage_points(none).count() == 0 and P.game_summaries(P.move_losses(none)).count() == 0
