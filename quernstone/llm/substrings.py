@@ -3,12 +3,10 @@
 Suffixes are compared by their first 50 words (a window). To compare only what can be equal, every
 window is keyed by the least hash of its 8-word runs, which equal windows share; windows in a row with one
 key make a region. Keys that one document alone has are dropped, and the others' regions are gathered by
-key. That key stands for a prefix of variable length: the words from the start of the window to the
-end of its least run. Each group of regions is a subtree of the suffix tree, small enough for memory, whose
-nodes are named level by level for prefixes of 1, 2, 4 and more words; nodes of depth 50 with several
-leaves are the repeats, and their least document id decides. Groups that are too large for that are split
-by the longest prefix, the whole window: each is then one node, and Spark finds its least id by partial
-sums. Equal regions, as of exact copies, are put together before anything is gathered.
+key. The key is a minimizer and no prefix of the window: it takes the place of a prefix partition, and no suffix
+tree is built. In each group windows are named level by level for prefixes of 1, 2, 4 and more words; names of
+50 words with several windows are the repeats, and their least document id decides. Groups that are too large for
+that are split by a hash of the whole window, and Spark finds its least id by partial sums. Equal regions, as of exact copies, are put together before anything is gathered.
 
 Cases: a null text has no words; a null id takes no part and keeps all; windows of documents with the same id
 do not remove each other; rows with equal ids are judged each; an empty table gives an empty table;
