@@ -8,10 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables written by this process that nothing has deleted yet, by application.
+WRITTEN: dict[str, list[str]] = {}
+
+
 def scratch_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where none is set (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where none is set on a local master (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-quernstone-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -21,8 +27,7 @@ def settled(df: DataFrame, name: str, used: list[str] | None = None) -> DataFram
     """df written once to the shared folder and read again: later steps restart from here, not from the input."""
     path = f"{scratch_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if used is not None:
-        used.append(path)
+    (WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []) if used is None else used).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -40,7 +45,19 @@ class Scratch:
         return self
 
     def __exit__(self, *_: object) -> None:
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for path in self.paths:
-            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(conf).delete(folder, True)
+        delete(self.spark, self.paths)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        folder.getFileSystem(conf).delete(folder, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what operators wrote for the results they returned; to be called when those results are stored elsewhere.
+
+    A result that is a written table, or reads one, is gone then.
+    """
+    delete(spark, WRITTEN.pop(spark.sparkContext.applicationId, []))
