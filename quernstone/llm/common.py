@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +17,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """The table, dealt out anew if its files are too few to keep the cores busy: a file of one row group is one task.
+
+    The rows are the same either way; a table of many files is read where it lies.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(4 * cores) if len(table.inputFiles()) < cores else table
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def texts_of(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -28,10 +39,23 @@ def texts_of(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text))
 
 
-def rows_of(batch: pa.RecordBatch, most: int = 256) -> Iterator[list[tuple]]:
-    """The rows of an Arrow batch as Python tuples, a bounded number at a time."""
-    for at in range(0, batch.num_rows, most):
-        part = batch.slice(at, most)
+def by_bytes(batch: pa.RecordBatch, most_bytes: int, most: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Rows in a row, so many at most, whose texts and bytes have so many bytes together, or one row with more."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        fitting = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, "right"))
+        upto = min(at + most, max(at + 1, fitting))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
+def rows_of(batch: pa.RecordBatch, most: int = 256, most_bytes: int = 4_000_000) -> Iterator[list[tuple]]:
+    """The rows of an Arrow batch as Python tuples, a bounded number and size at a time."""
+    for part in by_bytes(batch, most_bytes, most):
         yield list(zip(*(column.to_pylist() for column in part.columns), strict=True))
 
 

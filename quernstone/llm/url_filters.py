@@ -3,9 +3,9 @@
 A list is a log of dated entries that put a pattern on it or take it off. Per pattern the log becomes
 validity intervals [from, to) by date, so a pattern has as many intervals at most as its log has days. A
 capture's URL gives the patterns that could hold it (its host and the domains above, its address cut
-at each path segment), and an as-of join on pattern and month finds the interval that covers the fetch
-date. The month splits a pattern that a third of all captures share, and Spark splits what is still
-large; only captures that an entry holds come out of the join.
+at each path segment), and an as-of join on pattern, month and a salt of the capture's id finds the interval
+that covers the fetch date. Month and salt split a pattern that a third of all captures share; the intervals,
+few for each pattern, are repeated for each salt. Only captures that an entry holds come out of the join.
 
 Cases: a null or unreadable url, or a null fetch date, matches nothing and is kept; entries with a null pattern or
 date are left out; of several entries of a pattern on one day, one that adds wins; an interval starts on
@@ -22,13 +22,15 @@ from pyspark.sql import Window as W
 from .common import pages
 
 LAST_DAY = "9999-12-31"
+SALTS = 8  # parts that the captures of one pattern and month are dealt to
 
 
 def address(url: Column) -> Column:
     """host/path of a URL: no scheme, user, port, query or fragment; the host in lower case; null if there is no host."""
     rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^?#]*)", 1)
     host = F.lower(F.regexp_extract(rest, r"^([^/:]*)", 1))
-    return F.when(host != "", F.concat(F.rtrim(host, F.lit(".")), F.regexp_replace(F.regexp_replace(rest, r"^[^/]*", ""), r"/+$", "")))
+    path = F.regexp_replace(F.regexp_replace(rest, r"^[^/]*", ""), r"/+$", "")
+    return F.when(host != "", F.concat(F.rtrim(host, F.lit(".")), path))
 
 
 def patterns(at: Column) -> Column:
@@ -42,7 +44,8 @@ def patterns(at: Column) -> Column:
 
 def intervals(entries: DataFrame) -> DataFrame:
     """pattern, valid_from, valid_to (exclusive) from a log of pattern, on_date, adds."""
-    daily = entries.where("pattern is not null and on_date is not null").groupBy("pattern", F.col("on_date").cast("date").alias("valid_from")).agg(F.max(F.coalesce("adds", F.lit(False))).alias("adds"))
+    dated = entries.where("pattern is not null and on_date is not null").groupBy("pattern", F.col("on_date").cast("date").alias("valid_from"))
+    daily = dated.agg(F.max(F.coalesce("adds", F.lit(False))).alias("adds"))
     by_pattern = W.partitionBy("pattern").orderBy("valid_from")
     return daily.withColumn("valid_to", F.coalesce(F.lead("valid_from").over(by_pattern), F.lit(LAST_DAY).cast("date"))).where("adds").drop("adds")
 
@@ -51,24 +54,34 @@ def month_of(day: Column) -> Column:
     return 12 * F.year(day) + F.month(day)
 
 
-def evaluate_captures(captures: DataFrame, entries: DataFrame, key: str = "page_id") -> DataFrame:
+def evaluate_captures(captures: DataFrame, entries: DataFrame, key: str = "page_id", salts: int = SALTS) -> DataFrame:
     """key, url, fetched_on of each capture with blocked, n_entries, and the most specific entry's pattern and date."""
     seen = captures.select(key, "url", F.col("fetched_on").cast("date").alias("fetched_on"))
-    held = seen.distinct().where("url is not null and fetched_on is not null").select(key, "url", "fetched_on", F.explode(patterns(address(F.col("url")))).alias("pattern"))
-    last = held.agg(F.max("fetched_on")).first()[0]
-    spans = intervals(entries)
+    whole = [key, "url", "fetched_on"]
+    held = seen.where("url is not null and fetched_on is not null").select(
+        *whole,
+        month_of(F.col("fetched_on")).alias("month"),
+        F.pmod(F.xxhash64(key, "fetched_on"), F.lit(salts)).alias("salt"),
+        F.explode(patterns(address(F.col("url")))).alias("pattern"),
+    )
+    last = seen.agg(F.max("fetched_on")).first()[0]
+    spans = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     if last is not None:  # an open interval is spread over the months up to the last capture
-        spans = spans.where(F.col("valid_from") <= F.lit(last)).withColumn("month", F.explode(F.sequence(month_of(F.col("valid_from")), month_of(F.least(F.date_sub("valid_to", 1), F.lit(last))))))
+        months = F.sequence(month_of(F.col("valid_from")), month_of(F.least(F.date_sub("valid_to", 1), F.lit(last))))
+        spans = spans.where(F.col("valid_from") <= F.lit(last)).withColumn("month", F.explode(months))
     else:
         spans = spans.withColumn("month", F.lit(0))
-    found = held.withColumn("month", month_of(F.col("fetched_on"))).alias("c").join(spans.alias("e"), (F.col("c.pattern") == F.col("e.pattern")) & (F.col("c.month") == F.col("e.month")) & (F.col("c.fetched_on") >= F.col("e.valid_from")) & (F.col("c.fetched_on") < F.col("e.valid_to")))
-    ruled = found.groupBy(F.col(f"c.{key}").alias(key), F.col("c.url").alias("url"), F.col("c.fetched_on").alias("fetched_on")).agg(
-        F.count("*").alias("n_entries"),
-        F.max(F.struct(F.length("e.pattern").alias("size"), F.col("e.pattern").alias("pattern"), F.col("e.valid_from").alias("since"))).alias("rule"),
+    same_key = [F.col(f"c.{c}") == F.col(f"e.{c}") for c in ("pattern", "month", "salt")]
+    active = (F.col("c.fetched_on") >= F.col("e.valid_from")) & (F.col("c.fetched_on") < F.col("e.valid_to"))
+    found = held.alias("c").join(spans.alias("e"), [*same_key, active])
+    rule = F.struct(F.length("e.pattern").alias("size"), F.col("e.pattern").alias("pattern"), F.col("e.valid_from").alias("since"))
+    # Repeated captures meet here, so a capture's entries are told apart by their patterns, of which a URL has a few.
+    ruled = found.groupBy(*(F.col(f"c.{c}").alias(c) for c in whole)).agg(
+        F.size(F.collect_set("e.pattern")).cast("long").alias("n_entries"), F.max(rule).alias("rule")
     )
-    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (key, "url", "fetched_on")]
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"r.{c}")) for c in whole]
     return seen.alias("s").join(ruled.alias("r"), same, "left").select(
-        *(F.col(f"s.{c}").alias(c) for c in (key, "url", "fetched_on")),
+        *(F.col(f"s.{c}").alias(c) for c in whole),
         F.col("r.rule").isNotNull().alias("blocked"),
         F.coalesce("r.n_entries", F.lit(0).cast("long")).alias("n_entries"),
         F.col("r.rule.pattern").alias("pattern"),
@@ -78,23 +91,34 @@ def evaluate_captures(captures: DataFrame, entries: DataFrame, key: str = "page_
 
 def dated_captures(table: DataFrame) -> DataFrame:
     """Pages with a fetch date that their id gives: a day of 2024."""
-    return table.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 37, F.lit(366)).cast("int")).alias("fetched_on"))
+    day = F.pmod(F.col("page_id") * 37, F.lit(366)).cast("int")
+    return table.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), day).alias("fetched_on"))
 
 
 def dated_entries(table: DataFrame) -> DataFrame:
-    """A log that grows with the hosts: each third host is listed, taken off and listed again; each fourth has its first folder listed; each ninth has its domain listed for a while."""
+    """A log that grows with the hosts.
+
+    Each third host is listed, taken off and listed again; each fourth has its first folder listed; each ninth has
+    its domain listed for a while.
+    """
     at = address(F.col("url"))
     hosts = table.where(at.isNotNull()).groupBy(F.split(at, "/")[0].alias("host")).agg(F.min("page_id").alias("n"), F.min(F.split(at, "/")[1]).alias("folder"))
     domain = F.regexp_extract("host", r"([^.]+\.[^.]+\.[^.]+)$", 1)
     day = F.pmod(F.col("n") * 11, F.lit(200)).cast("int")
 
     def rows(chosen: Column, pattern: Column, steps: tuple[tuple[int, bool], ...]) -> Column:
-        return F.when(chosen, F.array(*(F.struct(pattern.alias("pattern"), F.date_add(F.lit("2024-01-01").cast("date"), day + F.lit(after)).alias("on_date"), F.lit(adds).alias("adds")) for after, adds in steps)))
+        on = lambda after: F.date_add(F.lit("2024-01-01").cast("date"), day + F.lit(after))
+        log = (F.struct(pattern.alias("pattern"), on(after).alias("on_date"), F.lit(adds).alias("adds")) for after, adds in steps)
+        return F.when(chosen, F.array(*log))
 
     none = F.array().cast("array<struct<pattern:string,on_date:date,adds:boolean>>")
     logs = [
         rows(F.col("n") % 3 == 0, F.concat(F.lit("d:"), "host"), ((0, True), (60, False), (110, True))),
-        rows((F.col("n") % 4 == 1) & (F.coalesce("folder", F.lit("")) != ""), F.concat(F.lit("p:"), "host", F.lit("/"), "folder"), ((10, True), (10, False), (90, False))),
+        rows(
+            (F.col("n") % 4 == 1) & (F.coalesce("folder", F.lit("")) != ""),
+            F.concat(F.lit("p:"), "host", F.lit("/"), "folder"),
+            ((10, True), (10, False), (90, False)),
+        ),
         rows((F.col("n") % 9 == 2) & (domain != ""), F.concat(F.lit("d:"), domain), ((5, True), (25, False))),
     ]
     return hosts.select(F.explode(F.concat(*(F.coalesce(x, none) for x in logs))).alias("e")).select("e.*")
