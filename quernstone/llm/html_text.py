@@ -2,10 +2,14 @@
 
 First each page scores its containers by the running text that they hold, links counted against
 them, climbs from the best one to the container of the whole article, and votes for its path: tags and
-classes from the body down, with digits generalised. Spark adds the votes by host and path and takes each host's winner. Then every page is read
-again and its text taken from the elements on the winning path; a page that has none uses its own
-best container. Votes and winners are small rows, so a host with a third of all pages is counted by
-partial sums, and the pages' bodies are dealt by page, not by host.
+classes from the body down, with digits generalised. Spark adds the votes by host and path and takes each
+host's winner. Then every page is read again and its text taken from the elements on the winning path; a
+page where these are missing or hold no text uses its own best container.
+
+Votes and winners are small rows, so a host with a third of all pages is counted by partial sums. The
+winners are written before pages meet them, one row for each host: Spark knows their size, sends them to all
+tasks if it is below its broadcast limit, so that pages stay where they are, and otherwise joins by host and
+splits the hosts that are skewed.
 
 Cases: null html is empty; a page without text gives the empty text; a null url is a host of its own; rows
 with equal ids each get a row; an empty table gives an empty table; columns other than page_id,
@@ -23,19 +27,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pages, rows_of
+from .common import pages, rows_of, settled
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|textarea|select|svg|iframe|title)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
-    r"|<(/?)([a-z][a-z0-9:-]*+)((?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>"
+    r"|<(/?)([a-z][a-z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>"
     r"|<[!?][^>]*+>",
     re.S | re.I,
 )
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Elements by what they are for.
-BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset(
+    "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form"
+    " h1 h2 h3 h4 h5 h6 header hgroup html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+)
 BREAKS = frozenset("br hr".split())
 CONTAINERS = frozenset("article main section div td body center".split())
 ASIDE_TAGS = frozenset("nav footer aside form menu dialog button input label".split())
@@ -44,7 +51,10 @@ CELLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words in classes, ids and roles that mark what is not the article.
 ASIDE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adverts|banner|breadcrumbs?|comments?|commentlist|complementary|contentinfo|cookies?|consent|disqus|footer|gdpr|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notices?|popup|promo\w*|recommend\w*|related|replies|respond|search|share|sharing|sidebars?|signup|skip|social|sponsor\w*|subscribe|teaser|toolbar|topbar|widgets?)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adverts|banner|breadcrumbs?|comments?|commentlist|complementary|contentinfo|cookies?"
+    r"|consent|disqus|footer|gdpr|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notices?|popup|promo\w*"
+    r"|recommend\w*|related|replies|respond|search|share|sharing|sidebars?|signup|skip|social|sponsor\w*|subscribe|teaser"
+    r"|toolbar|topbar|widgets?)(?:$|[\s_-])",
     re.I,
 )
 
@@ -137,10 +147,12 @@ def read_page(source: str) -> Page:
                 flush()
             over = stack[-1]
             names = " ".join(next(filter(None, x), "") for x in NAMED.findall(m[4]))
-            aside = over.aside or tag in ASIDE_TAGS or any(ASIDE_WORDS.search(name) and not ABOUT_LAYOUT.match(name) for name in names.split())
+            named_aside = any(ASIDE_WORDS.search(name) and not ABOUT_LAYOUT.match(name) for name in names.split())
+            aside = over.aside or tag in ASIDE_TAGS or named_aside
             if tag == "header" and not any(e.tag in ("article", "main") for e in stack):
                 aside = True
-            shown = sorted(set(re.sub(r"\d+", "#", next(filter(None, next(iter(CLASS.findall(m[4])), ())), "")).split()))
+            classes = next(filter(None, next(iter(CLASS.findall(m[4])), ())), "")
+            shown = sorted(set(re.sub(r"\d+", "#", classes).split()))
             path = f"{over.path}>{tag}" + "".join(f".{c}" for c in shown) if tag in CONTAINERS else over.path
             container = over.container
             if tag in CONTAINERS:
@@ -197,18 +209,23 @@ def best(page: Page) -> Container | None:
     return replace(page.containers[climb(page, top)], score=page.containers[top].score)
 
 
-def extract(source: str, path: str | None) -> str:
-    """Blocks inside the elements on the path, in page order; of the page's own best container if it has no such element."""
-    page = read_page(source)
-    if path is None or not any(c.path == path for c in page.containers):
-        own = best(page)
-        path = own.path if own else None
+def text_on(page: Page, path: str) -> str:
+    """Blocks inside the elements on the path, in page order."""
     inside: list[bool] = []
     for c in page.containers:  # parents come first
         inside.append(c.path == path or c.parent >= 0 and inside[c.parent])
     return " ".join(text for container, text, _ in page.blocks if inside[container])
 
 
+def extract(source: str, path: str | None) -> str:
+    """The text on the path; on that of the page's own best container if there is none."""
+    page = read_page(source)
+    found = text_on(page, path) if path is not None else ""
+    if not found and (own := best(page)):
+        found = text_on(page, own.path)
+    return found
+
+
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
@@ -220,32 +237,37 @@ def page_votes(table: DataFrame) -> DataFrame:
         for batch in batches:
             for rows in rows_of(batch):
                 tops = [(host, best(read_page(source))) for host, source in rows]
-                found = [(host, top) for host, top in tops if top]
-                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array([t.path for _, t in found], pa.string()), pa.array([t.score for _, t in found], pa.float64())], names=["host", "path", "score"])
+                found = [(host, top.path, top.score) for host, top in tops if top]
+                columns = list(zip(*found, strict=True)) or [[], [], []]
+                kinds = (pa.string(), pa.string(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "path", "score"])
 
-    return table.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "host string, path string, score double")
+    read = table.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    return read.mapInArrow(run, "host string, path string, score double")
 
 
 def host_winners(votes: DataFrame) -> DataFrame:
     """host and the path with the most votes; ties go to the higher score, then to the smaller path."""
-    counted = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.round("score").cast("long")).alias("score"))
-    return counted.groupBy("host").agg(F.min(F.struct((-F.col("n")).alias("n"), (-F.col("score")).alias("score"), "path"))["path"].alias("winner"))
+    score = F.sum(F.round("score").cast("long"))
+    counted = votes.groupBy("host", "path").agg((-F.count("*")).alias("n"), (-score).alias("score"))
+    return counted.groupBy("host").agg(F.min(F.struct("n", "score", "path"))["path"].alias("winner"))
 
 
 def extract_texts(table: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and the path used of every page."""
-    winners = host_winners(page_votes(table))
-    named = table.select("page_id", "url", host_of(F.col("url")).alias("host")).distinct().join(winners, "host").select("page_id", "url", "winner")
-    rows = table.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    dealt = rows.alias("r").join(named.alias("w"), F.col("r.page_id").eqNullSafe(F.col("w.page_id")) & F.col("r.url").eqNullSafe(F.col("w.url")), "left").select("r.page_id", "r.url", "r.html", "w.winner")
+    winners = settled(host_winners(page_votes(table)), "winners")
+    rows = table.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
+    placed = rows.join(winners, "host", "left").select("page_id", "url", "html", "winner")
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("host_path", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in rows_of(batch):
                 texts = [extract(source, winner) for _, _, source, winner in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([r[3] for r in rows], pa.string())], names=["page_id", "url", "text", "n_chars", "host_path"])
+                found = [[r[0] for r in rows], [r[1] for r in rows], texts, list(map(len, texts)), [r[3] for r in rows]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(found, schema, strict=True)], schema=schema)
 
-    return dealt.mapInArrow(run, "page_id long, url string, text string, n_chars long, host_path string")
+    return placed.mapInArrow(run, "page_id long, url string, text string, n_chars long, host_path string")
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
