@@ -9,7 +9,12 @@ The reader checks each record: the member's checksum, the version line, the leng
 digest. Where a check fails it looks for the next gzip member or version line that starts a valid
 record, goes on there, and logs the bytes in between as a quarantined gap. Inside a member it looks in the
 plain bytes, and a damaged member of several records gives those that inflate before its fault; `inner_start`
-and `inner_end` are places in a member's plain bytes.
+and `inner_end` are places in a member's plain bytes. Every candidate start is looked at once, and no step copies
+what is left of the file, so the time is linear in its size.
+
+The query damages its archives on purpose: each begins with a spoiled copy of its first record, and further on
+come stray bytes and torn copies, one of them to each SPOILED records. So its rows come out of the salvage reader,
+whose gaps are logged in the table that is written with them.
 
 Cases: null html is an empty payload; a null url leaves the target out; pages of equal id and payload are
 records of one type; a null page id stays null and is never referred to; an empty table gives an
@@ -30,14 +35,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pages, rows_of, settled
+from .common import Scratch, pages, rows_of, settled
 
 ARCHIVE_BYTES = 8_000_000  # an archive is closed when it is longer
+SPOILED = 100  # records of an archive after which a damaged one comes, where damage is asked for
 STEPS = (1 << 16, 1 << 10, 1 << 5, 1)  # bytes that are inflated at once; fewer where a fault is near
+FIRST_STEP = 1 << 12  # most members are shorter
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+LATER = re.compile(rb"\r\nWARC/1\.[01]\r\n")
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 MEMBER = b"\x1f\x8b\x08"
-NOTES = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target string, archive string, start long, end long, inner_start long, inner_end long, gap string"
+#: What is known of a record, or of a gap in place of one.
+NOTES = {
+    "page_id": pa.int64(),
+    "payload_bytes": pa.int64(),
+    "payload_digest": pa.string(),
+    "record_type": pa.string(),
+    "refers_to": pa.int64(),
+    "target": pa.string(),
+    "archive": pa.string(),
+    "start": pa.int64(),
+    "end": pa.int64(),
+    "inner_start": pa.int64(),
+    "inner_end": pa.int64(),
+    "gap": pa.string(),
+}
 
 
 def base32_sha1(data: bytes) -> str:
@@ -62,14 +84,22 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, keeper: in
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     if keeper is None:
         block += payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if keeper is None else 'revisit'}", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{base32_sha1(block)}"]
-    head.append(f"WARC-Record-ID: {record_id(page_id) if page_id is not None else f'<{uuid.uuid5(uuid.NAMESPACE_URL, digest).urn}>'}")
+    named = record_id(page_id) if page_id is not None else f"<{uuid.uuid5(uuid.NAMESPACE_URL, digest).urn}>"
+    head = [
+        "WARC/1.1",
+        f"WARC-Type: {'response' if keeper is None else 'revisit'}",
+        f"WARC-Date: {date}",
+        f"WARC-Payload-Digest: sha1:{digest}",
+        f"WARC-Block-Digest: sha1:{base32_sha1(block)}",
+        f"WARC-Record-ID: {named}",
+    ]
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if url is not None:
         head.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~|^{}<>')}")
     if keeper is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(keeper)}"]
+        head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+        head.append(f"WARC-Refers-To: {record_id(keeper)}")
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -87,47 +117,51 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     """The record that starts at a position of plain bytes, and where it ends."""
     if not VERSION.match(data, at):
         raise Damaged("no version line")
-    split = data.find(b"\r\n\r\n", at)
-    if split < 0:
+    following = LATER.search(data, at + 1)
+    split = data.find(b"\r\n\r\n", at, following.start() + 2 if following else len(data))
+    if split < 0:  # before the next version line, so that a header is looked through once
         raise Damaged("header without end")
     try:
-        fields = {k.strip().lower(): v.strip() for k, v in (line.split(":", 1) for line in data[at:split].decode().split("\r\n")[1:])}
+        lines = data[at:split].decode().split("\r\n")[1:]
+        fields = {k.strip().lower(): v.strip() for k, v in (line.split(":", 1) for line in lines)}
         length = int(fields["content-length"])
+        page_id = int(fields["x-page-id"]) if "x-page-id" in fields else None
+        if page_id is not None and not -(2**63) <= page_id < 2**63:
+            raise ValueError("page id")
+        refers_to = page_of(fields.get("warc-refers-to"))
     except (ValueError, KeyError) as cause:
         raise Damaged("header") from cause
-    block = data[split + 4 : split + 4 + length]
     end = split + 4 + length + 4
-    if length < 0 or len(block) < length or data[end - 4 : end] != b"\r\n\r\n":
+    if length < 0 or end > len(data) or data[end - 4 : end] != b"\r\n\r\n":
         raise Damaged("length")
+    block = data[split + 4 : end - 4]
     wanted = fields.get("warc-block-digest")
     if wanted and wanted.removeprefix("sha1:") != base32_sha1(block):
         raise Damaged("block digest")
     http, _, payload = block.partition(b"\r\n\r\n")
     kind = fields.get("warc-type", "")
-    told = re.search(rb"(?im)^content-length:\s*(\d+)", http)
+    told = re.search(rb"(?im)^content-length:\s*(\d{1,18})\s*$", http)
+    digest, size = fields.get("warc-payload-digest", "").removeprefix("sha1:"), int(told[1]) if told else 0
     if kind == "response":
-        digest = base32_sha1(payload)
-        if told and int(told[1]) != len(payload) or fields.get("warc-payload-digest", f"sha1:{digest}") != f"sha1:{digest}":
+        own = base32_sha1(payload)
+        if told and size != len(payload) or digest not in ("", own):
             raise Damaged("payload digest")
-        size = len(payload)
-    else:
-        digest, size = fields.get("warc-payload-digest", "").removeprefix("sha1:"), int(told[1]) if told else 0
-    try:
-        page_id, refers_to = int(fields["x-page-id"]) if "x-page-id" in fields else None, page_of(fields.get("warc-refers-to"))
-    except ValueError as cause:
-        raise Damaged("header") from cause
-    return {"page_id": page_id, "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": refers_to, "target": fields.get("warc-target-uri"), "payload": payload}, end
+        digest, size = own, len(payload)
+    record = {"page_id": page_id, "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": refers_to}
+    return record | {"target": fields.get("warc-target-uri"), "payload": payload}, end
 
 
 def inflated(data: bytes, at: int) -> tuple[bytes, int, str]:
     """All that a gzip member gives up to its end or its first fault, where the reading stopped, and the fault."""
     view, opened, out = memoryview(data), zlib.decompressobj(31), []
+    before, size = opened.copy(), FIRST_STEP
     for step in STEPS:
+        size = min(size, step)
         try:
             while at < len(view) and not opened.eof:
                 before = opened.copy()
-                out.append(opened.decompress(view[at : at + step]))
-                at = min(at + step, len(view))
+                out.append(opened.decompress(view[at : at + size]))
+                at, size = min(at + size, len(view)), min(4 * size, step)
         except zlib.error:
             opened = before
             continue
@@ -146,9 +180,12 @@ def inflated(data: bytes, at: int) -> tuple[bytes, int, str]:
 
 def read_to(data: bytes, at: int, size: int) -> int:
     """How far a member is read when `size` bytes of it are inflated."""
-    opened = zlib.decompressobj(31)
-    opened.decompress(memoryview(data)[at:], size - 1)  # the last byte would let the reading go on to the checksum
-    return len(data) - len(opened.unconsumed_tail)
+    view, opened, left = memoryview(data), zlib.decompressobj(31), size - 1  # the last byte would let the reading go on to the checksum
+    while left > 0 and at < len(view):
+        step = min(STEPS[0], len(view) - at)
+        left -= len(opened.decompress(view[at : at + step], left))
+        at += step - len(opened.unconsumed_tail)
+    return at
 
 
 def read_plain(plain: bytes) -> list[dict]:
@@ -215,16 +252,24 @@ def read_archive(data: bytes) -> Iterator[dict]:
 
 def with_keepers(table: DataFrame) -> DataFrame:
     """page_id, url, html and the keeper: the largest page id of those with the same payload, null for that page itself."""
-    rows = table.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    keys = rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("digest"))
+    digest = F.sha1(F.col("html").cast("binary"))
+    rows = table.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", digest)
+    keys = rows.select("page_id", "digest")
     shared = keys.where("page_id is not null").groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1")
     others = keys.join(shared, "digest").where("page_id < keeper").groupBy("page_id", "digest").agg(F.max("keeper").alias("keeper"))
-    named = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    return named.join(others, ["page_id", "digest"], "left").select("page_id", "url", "html", "keeper")
+    return rows.join(others, ["page_id", "digest"], "left").select("page_id", "url", "html", "keeper")
+
 
+def spoiled(record: bytes, turn: int) -> bytes:
+    """What a reader has to get over: a record with a changed byte, stray bytes, or a torn record."""
+    if turn % 3 == 0:
+        middle = len(record) // 2
+        return record[:middle] + bytes([record[middle] ^ 0x55]) + record[middle + 1 :]
+    return b"stray bytes \x1f\x8b" if turn % 3 == 1 else record[: len(record) * 2 // 3]
 
-def write_archives(table: DataFrame) -> DataFrame:
-    """Archives as rows (path, content): a gzip member for each record."""
+
+def write_archives(table: DataFrame, damage: bool = False) -> DataFrame:
+    """Archives as rows (path, content): a gzip member for each record. With `damage`, damaged records in between."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
@@ -233,13 +278,17 @@ def write_archives(table: DataFrame) -> DataFrame:
         def close() -> pa.RecordBatch:
             content = b"".join(held)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([f"{hashlib.sha1(content).hexdigest()}.warc.gz"]), pa.array([content], pa.binary())], names=["path", "content"])
+            path = f"{hashlib.sha1(content).hexdigest()}.warc.gz"
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary())], names=["path", "content"])
 
         for batch in batches:
             for rows in rows_of(batch):
                 for page_id, url, html, keeper in rows:
-                    held.append(zipped(make_record(page_id, url, html.encode(), keeper)))
-                    size += len(held[-1])
+                    record = zipped(make_record(page_id, url, html.encode(), keeper))
+                    if damage and len(held) % SPOILED == 0:
+                        held.append(spoiled(record, len(held) // SPOILED))
+                    held.append(record)
+                    size += len(record)
                     if size >= ARCHIVE_BYTES:
                         yield close()
                         size = 0
@@ -251,21 +300,28 @@ def write_archives(table: DataFrame) -> DataFrame:
 
 def read_archives(files: DataFrame) -> DataFrame:
     """Every record and every quarantined gap of archives (path, content), as spark.read.format("binaryFile") or write_archives give them."""
-    kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "target": pa.string(), "archive": pa.string(), "start": pa.int64(), "end": pa.int64(), "inner_start": pa.int64(), "inner_end": pa.int64(), "gap": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in rows_of(batch, 1):
                 for path, content in rows:
                     found = [x | {"archive": path} for x in read_archive(content)]
-                    yield pa.RecordBatch.from_arrays([pa.array([x.get(name) for x in found], kind) for name, kind in kinds.items()], names=list(kinds))
+                    columns = [pa.array([x.get(name) for x in found], kind) for name, kind in NOTES.items()]
+                    yield pa.RecordBatch.from_arrays(columns, names=list(NOTES))
+
+    return files.select("path", "content").mapInArrow(run, ", ".join(f"{n} {'string' if k == pa.string() else 'long'}" for n, k in NOTES.items()))
+
 
-    return files.select("path", "content").mapInArrow(run, NOTES)
+def salvage(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The records of archives, and the log of their quarantined gaps (archive, start, end, inner_start, inner_end, gap): one written table."""
+    read = settled(read_archives(files), "salvaged")
+    return read.where("gap is null").drop("gap"), read.where("gap is not null").select("archive", "start", "end", "inner_start", "inner_end", "gap")
 
 
 def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = read_archives(settled(write_archives(pages(spark, sf_dir)), "archives"))
-    return read.where("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    with Scratch(spark) as scratch:
+        records, _ = salvage(scratch.settled(write_archives(pages(spark, sf_dir), damage=True), "archives"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: Base32 of a SHA-1 is 32 letters, each of five bits of the digest.
