@@ -4,8 +4,9 @@ Texts become ids with an end id; only documents longer than a sequence are cut,
 a rest. The pieces are dealt to packers by a hash of the document, as many packers as the tokens
 need, and each packs by bounded-space online best-fit: a fixed number of open sequences, found through
 a bitset that has a bit for every amount of free space with an open sequence. A piece goes where it
-leaves the least free; if none has room and all places are taken, the fullest closes first. A packer
-so holds a fixed amount of memory however much passes through it.
+leaves the least free; if none has room and all places are taken, the fullest closes first. Pieces come in
+blocks of 1000, the longest of a block first. A packer so holds a fixed amount of memory however much passes
+through it.
 
 Cases: null text is empty and is one piece of the end id alone; rows with equal ids are packed each;
 an empty table gives an empty table; columns other than the key and the text are ignored.
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, settled, texts_of
+from .common import by_bytes, documents, settled, texts_of
 
 BYTES_AT_ONCE = 8_000_000  # text that is encoded together
 REMEMBERED = 300_000  # words after which a worker starts a new table; it keeps the one before
@@ -37,8 +38,10 @@ class WordIds:
     """Ids by the tokenizers library, which is asked once for each word between ASCII white space.
 
     The library's normalizer and split never join anything over white space, so a text's ids are those
-    of its words in turn. Nor do they join a letter or digit and the closing marks after it, or tell
-    capitals apart, so both are put aside first: there are far fewer words then.
+    of its words in turn. Nor do they join an ASCII letter or digit and the closing marks after it, or tell
+    ASCII capitals apart, so both are put aside first: there are far fewer words then. A text keeps its
+    capitals if it may hold a special string, or a capital with a combining mark, with which it may compose
+    before it is put in lower case.
     """
 
     def __init__(self, path: str):
@@ -60,7 +63,8 @@ class WordIds:
                 new.append(i)
             else:
                 found[i] = known[words[i]] = ids
-        for i, got in zip(new, self.tokenizer.encode_batch_fast([words[i] for i in new], add_special_tokens=False), strict=True):
+        encoded = self.tokenizer.encode_batch_fast([words[i] for i in new], add_special_tokens=False)
+        for i, got in zip(new, encoded, strict=True):
             found[i] = array("I", got.ids).tobytes()
         known.update((words[i], found[i]) for i in new if len(words[i]) <= 64)  # long ones hardly come again
         return found
@@ -68,8 +72,7 @@ class WordIds:
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text. Each different word of the batch is looked up once."""
         texts = pc.replace_substring_regex(texts, CLOSING, r"\1 \2\3")
-        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # in lower case, special strings would appear
-            texts = pc.ascii_lower(texts)
+        texts = pc.if_else(pc.match_substring_regex(texts, CAPITALS_COUNT), texts, pc.ascii_lower(texts))
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         found = self.look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
@@ -84,7 +87,8 @@ class WordIds:
         return np.split(ids, np.append(0, ends)[words[:-1]])
 
 
-CLOSING = r"([\pL\pN])([.,;:!?]+)(\s|$)"
+CLOSING = r"([A-Za-z0-9])([.,;:!?]+)(\s|$)"
+CAPITALS_COUNT = r"<\||[A-Z]\pM"
 
 
 @lru_cache(maxsize=2)
@@ -92,16 +96,6 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def by_bytes(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
-    """Rows in a row whose texts, the last column, have so many bytes together, or one row with more."""
-    ends = np.cumsum(pc.binary_length(batch.columns[-1]).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < batch.num_rows:
-        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
-        yield batch.slice(at, upto - at)
-        at = upto
-
-
 def cut_into_pieces(docs: DataFrame, path: str, length: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32, and the ids if asked for."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
@@ -118,11 +112,13 @@ def cut_into_pieces(docs: DataFrame, path: str, length: int = 2048, end_id: int
                     ids = np.concatenate([ids, end])
                     for piece, start in enumerate(range(0, len(ids), length)):
                         part = ids[start : start + length]
-                        for column, value in zip(out, (doc_id, piece, start, len(part), zlib.crc32(part.tobytes()), part.astype(np.int32)), strict=False):
+                        row = (doc_id, piece, start, len(part), zlib.crc32(part.tobytes()), part.astype(np.int32))
+                        for column, value in zip(out, row, strict=False):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(out, kinds, strict=True)], names=names)
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    return texts_of(docs).mapInArrow(run, schema)
 
 
 class OpenSequences:
@@ -157,8 +153,11 @@ class OpenSequences:
         return sequence, self.length - free
 
 
-def pack(pieces: DataFrame, length: int = 2048, places: int = 256, tokens_per_packer: int = 16_000_000) -> DataFrame:
-    """Adds sequence_id and offset to pieces, which must be a written table as it is read twice."""
+def pack(pieces: DataFrame, length: int = 2048, places: int = 256, tokens_per_packer: int = 16_000_000, block: int = 1000) -> DataFrame:
+    """Adds sequence_id and offset to pieces, which must be a written table as it is read twice.
+
+    Pieces come in blocks, and the longest of a block first: short ones then fill what the long ones leave.
+    """
     total = pieces.agg(F.sum("length")).first()[0] or 0
     packers = max(1, -(-total // tokens_per_packer))
     rest = [c for c in pieces.columns if c not in ("doc_id", "piece", "length")]
@@ -167,14 +166,17 @@ def pack(pieces: DataFrame, length: int = 2048, places: int = 256, tokens_per_pa
         bins = OpenSequences(length, places)
         first = TaskContext.get().partitionId() << 40
         for batch in batches:
-            placed = [bins.place(size) for size in batch.column("length").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([first + s for s, _ in placed], pa.int64()), pa.array([at for _, at in placed], pa.int64())],
-                names=[*batch.schema.names, "sequence_id", "offset"],
-            )
+            sizes = batch.column("length").to_numpy()
+            sequence, offset = np.empty((2, len(sizes)), np.int64)
+            for at in range(0, len(sizes), block):
+                for i in at + np.argsort(-sizes[at : at + block], kind="stable"):
+                    sequence[i], offset[i] = bins.place(int(sizes[i]))
+            found = [*batch.columns, pa.array(first + sequence), pa.array(offset)]
+            yield pa.RecordBatch.from_arrays(found, names=[*batch.schema.names, "sequence_id", "offset"])
 
     schema = ", ".join(f"{c} {kind}" for c, kind in pieces.dtypes)
-    mixed = pieces.repartition(packers, F.xxhash64("doc_id", "piece")).sortWithinPartitions(F.xxhash64("doc_id", "piece"), "doc_id", "piece", *rest[:1])
+    place = F.xxhash64("doc_id", "piece")
+    mixed = pieces.repartition(packers, place).sortWithinPartitions(place, "doc_id", "piece", *rest[:1])
     return mixed.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 
