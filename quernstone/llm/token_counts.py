@@ -3,9 +3,10 @@
 Within one piece of the split pattern the last token of a prefix settles the rest: the encoding of
 piece[:i] is that of piece[:i - len(t)] and then t, for the one token t ending there that the merges
 leave beside the token before it. One pass over a piece thus stores the count of each of its
-prefixes. Over pieces the counts add up to one array with the count at every prefix of the text, so
-budget questions (the longest prefix of at most n tokens) and truncations are looked up in it and
-nothing is encoded again.
+prefixes. Over pieces the counts add up to one array with the count at every prefix of the text. It is stored
+beside the document as the steps from one prefix to the next, a byte each or four where a step is large; whole
+counts, budget questions (the longest prefix of at most n tokens) and the counts of truncated texts are looked
+up in what is stored, and nothing is encoded again.
 
 A prefix can end inside a piece, where the pattern may split its end otherwise than the text: white
 space before a word, a contraction cut short, a special string cut short. Those ends are counted as
@@ -28,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, rows_of, texts_of
+from .common import by_bytes, documents, rows_of, settled, texts_of
 from .splitting import pieces, tokenizers_joins
 
 REMEMBERED = 800_000  # pieces, and pairs of tokens, that a worker keeps; a table is emptied when it is full
@@ -53,7 +54,8 @@ class PrefixCounter:
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.rank = {tuple(bytes(letters[c] for c in side) for side in m): rank for rank, m in enumerate(merges)}
         self.sides = {a + b: (a, b) for a, b in reversed(self.rank)}
-        self.stop = regex.compile("(" + "|".join(regex.escape(x["content"]) for x in spec["added_tokens"]) + ")") if spec["added_tokens"] else None
+        special = "|".join(regex.escape(x["content"]) for x in spec["added_tokens"])
+        self.stop = regex.compile(f"({special})") if special else None
         self.beside: dict[tuple[bytes, bytes], bool] = {}
         self.known: dict[str, tuple[bytes, int]] = {}
         stands = {bytes([b]): True for b in range(256)}
@@ -127,7 +129,8 @@ class PrefixCounter:
         found = list(map(self.piece, parts))
         totals = np.fromiter((x[1] for x in found), np.int64, len(found))
         before = np.cumsum(totals) - totals
-        counts = np.frombuffer(b"".join([x[0] for x in found]), np.uint32) + np.repeat(before, np.fromiter(map(len, parts), np.int64, len(parts)))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        counts = np.frombuffer(b"".join([x[0] for x in found]), np.uint32) + np.repeat(before, sizes)
         for m in SPACES.finditer(text):  # a prefix that ends with white space has all of it in one piece
             counts[m.end() - 1] = (counts[m.start() - 1] if m.start() else 0) + self.piece(m.group())[1]
         return counts, int(totals.sum())
@@ -137,19 +140,16 @@ class PrefixCounter:
         if self.stop is None or not self.stop.search(text):
             counts, total = self.plain(text)
             return np.concatenate([[0], counts]), total
-        out, total, since = [np.zeros(1, np.int64)], 0, ""
-        for i, part in enumerate(self.stop.split(text)):
-            if i % 2:  # a special string: its beginnings are plain text still
-                cut = [self.plain(since + part[:j])[1] for j in range(1, len(part))]
-                base = total - (self.plain(since)[1] if since else 0)
+        out, total = [np.zeros(1, np.int64)], 0
+        parts = self.stop.split(text)  # plain text and special strings in turn
+        for part, special in zip(parts[::2], [*parts[1::2], ""], strict=True):
+            # The beginnings of a special string are plain text still, which follows what is before it.
+            counts, own = self.plain(part + special[:-1]) if part or len(special) > 1 else (np.zeros(0, np.int64), 0)
+            out.append(counts + total)
+            total += own if not special else int(counts[len(part) - 1]) if part else 0
+            if special:
                 total += 1
-                out.append(np.array([*(base + c for c in cut), total]))
-            else:
-                since = part
-                if part:
-                    counts, own = self.plain(part)
-                    out.append(counts + total)
-                    total += own
+                out.append(np.array([total]))
         return np.concatenate(out), total
 
 
@@ -163,22 +163,66 @@ def longest_within(prefixes: np.ndarray, budget: int) -> int:
     return int(np.flatnonzero(prefixes <= budget)[-1])
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
-    """Bytes, tokens, whether they are over the limit, and the characters that fit it, of every text."""
+def as_steps(prefixes: np.ndarray) -> tuple[int, bytes]:
+    """The changes of the count from prefix to prefix: bytes for each, and all of them."""
+    steps = np.diff(prefixes)
+    width = 1 if not len(steps) or np.abs(steps).max() < 128 else 4
+    return width, steps.astype(f"<i{width}").tobytes()
+
+
+def from_steps(width: int, steps: bytes) -> np.ndarray:
+    return np.append(0, np.cumsum(np.frombuffer(steps, f"<i{width}"), dtype=np.int64))
+
+
+def store_prefix_counts(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_bytes, and the count at every prefix as `width` and `steps`, of every text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("width", pa.int32()), ("steps", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
         for batch in batches:
             for rows in rows_of(batch):
-                out: list[list] = [[], [], [], [], []]
-                for doc_id, text in rows:
-                    prefixes, total = own.prefixes(text)
-                    for column, value in zip(out, (doc_id, len(text.encode()), total, total > limit, longest_within(prefixes, limit)), strict=True):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()), strict=True)], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "n_chars_within"])
+                found = [(doc_id, len(text.encode()), *as_steps(own.prefixes(text)[0])) for doc_id, text in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+
+    return texts_of(docs).mapInArrow(run, "doc_id long, n_bytes long, width int, steps binary")
+
+
+def answer_budget(stored: DataFrame, limit: int = 1024) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit, and the characters that fit the limit, from stored prefix counts."""
+    kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_tokens": pa.int64(), "over_limit": pa.bool_(), "n_chars_within": pa.int64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in rows_of(batch):
+                found = []
+                for doc_id, n_bytes, width, steps in rows:
+                    prefixes = from_steps(width, steps)
+                    total = int(prefixes[-1])
+                    found.append((doc_id, n_bytes, total, total > limit, longest_within(prefixes, limit)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+    schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_chars_within long"
+    return stored.select("doc_id", "n_bytes", "width", "steps").mapInArrow(run, schema)
+
+
+def tokens_of_beginnings(stored: DataFrame, n_chars: str) -> DataFrame:
+    """The rows with `n_tokens_cut`: the count of the text cut after so many characters, a column of `stored`; the whole text's if it is shorter."""
+    names = stored.columns
+    width, steps, size = names.index("width"), names.index("steps"), names.index(n_chars)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in by_bytes(batch, 4_000_000, 256):
+                columns = [part.column(i).to_pylist() for i in (width, steps, size)]
+                found = []
+                for one, many, cut in zip(*columns, strict=True):
+                    prefixes = from_steps(one, many)
+                    found.append(None if cut is None else int(prefixes[min(max(cut, 0), len(prefixes) - 1)]))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.int64())], names=[*names, "n_tokens_cut"])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_chars_within long")
+    return stored.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in stored.dtypes) + ", n_tokens_cut long")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return answer_budget(settled(store_prefix_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")), "prefix_counts"))
