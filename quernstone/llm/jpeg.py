@@ -5,10 +5,12 @@ extra bits are b, so every byte value has one and none is zero. The file is an o
 progressive JPEG: a first scan of the DC values without their lowest bit, first scans of two spectral
 bands for each component, and a refinement scan for each of them with the lowest bits. As the code
 lengths are chosen so that a code and its extra bits always fill the same number of bits, numpy packs
-and unpacks whole scans; files with other tables take the bit-by-bit reader.
+and unpacks whole scans; scans of other files are read code by code, through a table of 16-bit beginnings, to
+the same coefficients.
 
 Reading accumulates all scans into coefficient arrays. The payload is taken from them; the picture is
-their inverse transform, with chroma upsampled to full resolution and turned into RGB.
+their inverse transform, with chroma upsampled to full resolution and turned into RGB. The query's rows carry it
+as a tensor column (height, width and samples), and the picture's feature is taken from that column.
 
 Cases: null text is empty and is a payload of padding only; rows with equal ids each get a row; an empty
 table gives an empty table; columns other than the key and the text are ignored.
@@ -20,10 +22,12 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import documents, rows_of, settled, texts_of
 
@@ -133,33 +137,55 @@ def store_payload(payload: bytes) -> bytes:
 
 
 class Bits:
-    """Reads entropy-coded data bit by bit."""
+    """Reads entropy-coded data; after its end come ones."""
 
     def __init__(self, data: bytes):
-        self.data, self.at = data, 0
+        self.data, self.at = data + b"\xff" * 8, 0
 
-    def bit(self) -> int:
-        byte, shift = divmod(self.at, 8)
-        self.at += 1
-        return self.data[byte] >> (7 - shift) & 1 if byte < len(self.data) else 1
+    def ahead(self) -> int:
+        """The next 16 bits, which are not passed."""
+        byte = self.at >> 3
+        return int.from_bytes(self.data[byte : byte + 3].ljust(3, b"\xff"), "big") >> (8 - (self.at & 7)) & 0xFFFF
 
     def number(self, n: int) -> int:
-        value = 0
-        for _ in range(n):
-            value = value << 1 | self.bit()
+        value = self.ahead() >> (16 - n)
+        self.at += n
         return value
 
+    def bit(self) -> int:
+        return self.number(1)
+
     def signed(self, n: int) -> int:
         value = self.number(n)
         return value if not n or value >> (n - 1) else value - (1 << n) + 1
 
-    def symbol(self, table: dict[tuple[int, int], int]) -> int:
-        code = 0
-        for length in range(1, 17):
-            code = code << 1 | self.bit()
-            if (symbol := table.get((code, length))) is not None:
-                return symbol
-        raise ValueError("no such code")
+    def symbol(self, table: HuffmanTable) -> int:
+        symbol, length = table.ahead[self.ahead()]
+        if not length:
+            raise ValueError("no such code")
+        self.at += length
+        return symbol
+
+
+class HuffmanTable:
+    """Symbols by their codes; `ahead` has the symbol and code length of each 16 bits, of length 0 where no code fits."""
+
+    def __init__(self, lengths: dict[int, int]):
+        self.lengths, self.ahead = lengths, [(0, 0)] * (1 << 16)
+        code = before = 0
+        for symbol, length in lengths.items():
+            code <<= length - before
+            before = length
+            span = 1 << (16 - length)
+            self.ahead[code * span : (code + 1) * span] = [(symbol, length)] * span
+            code += 1
+
+
+@lru_cache(maxsize=16)
+def huffman_table(symbols: bytes, counts: bytes) -> HuffmanTable:
+    """The table of symbols in order of their codes, and how many codes there are of each length."""
+    sizes = [n for n, count in enumerate(counts, 1) for _ in range(count)]
+    return HuffmanTable(dict(zip(symbols, sizes, strict=True)))
 
 
 class Component:
@@ -172,7 +198,7 @@ class ProgressiveImage:
 
     def __init__(self, data: bytes):
         self.quant: dict[int, np.ndarray] = {}
-        self.tables: dict[int, dict[tuple[int, int], int]] = {}
+        self.tables: dict[int, HuffmanTable] = {}
         self.comment, self.interval = b"", 0
         at = 2
         if data[:2] != b"\xff\xd8":
@@ -196,18 +222,8 @@ class ProgressiveImage:
                 body = body[65 + 64 * wide :]
         elif marker == 0xC4:
             while body:
-                counts, lengths, at = body[1:17], {}, 17
-                for n, count in enumerate(counts, 1):
-                    lengths |= {s: n for s in body[at : at + count]}
-                    at += count
-                order = list(lengths)
-                code, before, codes = 0, 0, {}
-                for symbol in order:
-                    code <<= lengths[symbol] - before
-                    before = lengths[symbol]
-                    codes[code, before] = symbol
-                    code += 1
-                self.tables[body[0]] = codes
+                at = 17 + sum(body[1:17])
+                self.tables[body[0]] = huffman_table(body[17:at], body[1:17])
                 body = body[at:]
         elif marker == 0xDD:
             self.interval = int.from_bytes(body, "big")
@@ -260,7 +276,7 @@ class ProgressiveImage:
                             cells[0] = before[c] << low
 
     @staticmethod
-    def _ac_first(bits: Bits, cells: np.ndarray, table: dict, first: int, last: int, low: int, left: int) -> int:
+    def _ac_first(bits: Bits, cells: np.ndarray, table: HuffmanTable, first: int, last: int, low: int, left: int) -> int:
         if left:
             return left - 1
         k = first
@@ -277,7 +293,7 @@ class ProgressiveImage:
         return 0
 
     @staticmethod
-    def _ac_again(bits: Bits, cells: np.ndarray, table: dict, first: int, last: int, low: int, left: int) -> int:
+    def _ac_again(bits: Bits, cells: np.ndarray, table: HuffmanTable, first: int, last: int, low: int, left: int) -> int:
         def correct(k: int) -> None:
             if bits.bit():
                 cells[k] += (1 if cells[k] > 0 else -1) << low
@@ -316,7 +332,7 @@ class ProgressiveImage:
             flat, n = self.coefficients[c].reshape(-1, 64), last - first + 1
             table = self.tables[0x10 | slots[c] & 15]
             if not high:
-                if table.get((0, 1)) != 7 or len(coded) != len(blocks) * n:
+                if table.ahead[0] != (7, 1) or len(coded) != len(blocks) * n:
                     return False
                 got = np.frombuffer(coded, np.uint8)
                 if got.max(initial=0) > 127:
@@ -343,7 +359,7 @@ class ProgressiveImage:
             return True
         total = sum(x.size for _, x in order)
         width = 1 if high else 9
-        if not high and any({s: n for (_, n), s in self.tables[slots[c] >> 4].items()} != DC_LENGTHS for c, _ in order):
+        if not high and any(self.tables[slots[c] >> 4].lengths != DC_LENGTHS for c, _ in order):
             return False
         found = np.unpackbits(np.frombuffer(coded.replace(b"\xff\x00", b"\xff"), np.uint8), count=total * width)
         if high:
@@ -408,7 +424,9 @@ def store_texts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for rows in rows_of(batch):
                 made = [(doc_id, *padded(text)) for doc_id, text in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], pa.int64()), pa.array([x[2] for x in made], pa.int64()), pa.array([store_payload(x[1]) for x in made], pa.binary())], names=["doc_id", "n_bytes", "media"])
+                ids, sizes = pa.array([x[0] for x in made], pa.int64()), pa.array([x[2] for x in made], pa.int64())
+                media = pa.array([store_payload(x[1]) for x in made], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, sizes, media], names=["doc_id", "n_bytes", "media"])
 
     return texts_of(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
@@ -420,30 +438,49 @@ def decode_images(media: DataFrame, key: str = "doc_id", column: str = "media")
         for batch in batches:
             for rows in rows_of(batch, 16):
                 tensors = [ProgressiveImage(data).rgb() for _, data in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], batch.schema.types[0]), pa.array([t.shape[0] for t in tensors], pa.int32()), pa.array([t.shape[1] for t in tensors], pa.int32()), pa.array([t.tobytes() for t in tensors], pa.binary())], names=[key, "height", "width", "rgb"])
+                sizes = [pa.array([t.shape[i] for t in tensors], pa.int32()) for i in (0, 1)]
+                samples = pa.array([t.tobytes() for t in tensors], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], batch.schema.types[0]), *sizes, samples], names=[key, "height", "width", "rgb"])
 
     return media.select(key, column).mapInArrow(run, f"{key} {dict(media.dtypes)[key]}, height int, width int, rgb binary")
 
 
-DIGESTS = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+READ = {
+    "doc_id": pa.int64(),
+    "n_bytes": pa.int64(),
+    "payload_bytes": pa.int64(),
+    "payload_sha256": pa.string(),
+    "tail_crc32": pa.int64(),
+    "media_bytes": pa.int64(),
+    "media_sha256": pa.string(),
+    "height": pa.int32(),
+    "width": pa.int32(),
+    "rgb": pa.binary(),
+}
+SQL_NAMES = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.binary(): "binary"}
 
 
-def read_digests(media: DataFrame) -> DataFrame:
-    """Reads the stored files back: digests of payload and file, and features of the picture's RGB tensor."""
+def read_media(media: DataFrame) -> DataFrame:
+    """Reads the stored files back: digests of payload and file, and the picture's full-resolution RGB tensor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in rows_of(batch, 64):
+            for rows in rows_of(batch, 64, 2_000_000):
                 out: list[tuple] = []
                 for doc_id, n_bytes, data in rows:
                     image = ProgressiveImage(data)
                     payload, rgb = image.payload(), image.rgb()
-                    red, green, blue = rgb.reshape(-1, 3).sum(0, dtype=np.int64).tolist()
-                    feature = f"{rgb.shape[0]}x{rgb.shape[1]} r{red} g{green} b{blue}"
-                    out.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-                yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*out, strict=True), DIGESTS.values(), strict=True)], names=list(DIGESTS))
+                    digests = len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest()
+                    out.append((doc_id, n_bytes, *digests, *rgb.shape[:2], rgb.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), READ.values(), strict=True)], names=list(READ))
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, ", ".join(f"{n} {SQL_NAMES[k]}" for n, k in READ.items()))
+
+
+def read_digests(media: DataFrame) -> DataFrame:
+    """read_media with the tensor's feature, its shape and checksum, in place of its samples."""
+    feature = F.concat(F.col("height").cast("string"), F.lit("x"), F.col("width").cast("string"), F.lit("x3 "), F.hex(F.crc32("rgb")))
+    return read_media(media).withColumn("feature", feature).drop("height", "width", "rgb")
 
 
 def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
