@@ -6,8 +6,10 @@ out, and the rule is taken if it is precise enough there; the rows it covers are
 rule is learned from the rest. The list becomes one ordered conditional expression, so judging a
 corpus is a scan without shuffles or Python.
 
-Labels: at most `sample` labelled documents are used, those with the least hash of their id; that bound is
-the one thing here that does not grow with the corpus. Statistics and verdicts cover all documents.
+Labels: at most `sample` labelled documents (20,000) are used, those with the least hash of their id; that bound
+is the one thing here that does not grow with the corpus. A list has at most 12 rules of at most 4 conditions, whose
+thresholds are at most 64 quantiles of a statistic over the bad rows that are left; a third of the rows is held
+out, and a rule needs a precision of 0.9 there. Statistics and verdicts cover all documents.
 
 Cases: a null text has no words and fails the base rule; without labels, or with labels of one class,
 the list is empty and keeps what passes the base rule; labels that are null are ignored, of several for
@@ -18,6 +20,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import BLANK, documents
 
 SAMPLE = 20_000
+MOST_THRESHOLDS, MOST_CONDITIONS, MOST_RULES, PRECISION = 64, 4, 12, 0.9
 WINDOW = 5
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: What the rules may ask about: whole numbers, shares in thousandths.
@@ -66,13 +70,17 @@ def statistics(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
         F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), window)).otherwise(F.array().cast("array<bigint>")).alias("windows"),
     )
     # Only texts in which some window comes twice go on to find out where.
-    suspected = counted.withColumn("windows", F.when(F.size(F.array_distinct("windows")) < F.size("windows"), F.col("windows")).otherwise(F.array().cast("array<bigint>")))
-    placed = suspected.withColumn("placed", F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).drop("windows")
+    some_twice = F.size(F.array_distinct("windows")) < F.size("windows")
+    suspected = counted.withColumn("windows", F.when(some_twice, F.col("windows")).otherwise(F.array().cast("array<bigint>")))
+    in_order = F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    placed = suspected.withColumn("placed", in_order).drop("windows")
     same = lambda p, i: (p["h"] == F.get("placed", i - 1)["h"]) | (p["h"] == F.get("placed", i + 1)["h"])
-    starts = placed.withColumn("starts", F.array_sort(F.filter(F.transform("placed", lambda p, i: F.when(F.coalesce(same(p, i), F.lit(False)), p["i"])), lambda x: x.isNotNull())))
+    repeated = F.transform("placed", lambda p, i: F.when(F.coalesce(same(p, i), F.lit(False)), p["i"]))
+    starts = placed.withColumn("starts", F.array_sort(F.filter(repeated, lambda x: x.isNotNull())))
     nothing = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("last"))
-    covered = F.aggregate("starts", nothing, lambda acc, s: F.struct((acc["n"] + F.least(F.lit(WINDOW), s - acc["last"])).alias("n"), s.alias("last")), lambda acc: acc["n"])
-    return starts.select(*keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), "n_lines", "n_capitals", "n_marks")
+    add = lambda acc, s: F.struct((acc["n"] + F.least(F.lit(WINDOW), s - acc["last"])).alias("n"), s.alias("last"))
+    in_windows = F.aggregate("starts", nothing, add, lambda acc: acc["n"]).alias("n_repeat_words")
+    return starts.select(*keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", in_windows, "n_lines", "n_capitals", "n_marks")
 
 
 def base_failed() -> Column:
@@ -103,13 +111,13 @@ class Rule:
         return " and ".join(c.sql() for c in self.conditions)
 
 
-def thresholds(values: list[int], most: int = 64) -> list[int]:
+def thresholds(values: list[int], most: int = MOST_THRESHOLDS) -> list[int]:
     """Cuts between the values' quantiles."""
     distinct = sorted(set(values))
     return distinct if len(distinct) <= most else sorted({distinct[i * (len(distinct) - 1) // (most - 1)] for i in range(most)})
 
 
-def grow(bad: list[dict[str, int]], good: list[dict[str, int]], most: int = 4) -> Rule:
+def grow(bad: list[dict[str, int]], good: list[dict[str, int]], most: int = MOST_CONDITIONS) -> Rule:
     """Adds the condition of the highest information gain until no good row is covered or nothing is gained."""
     chosen: tuple[Condition, ...] = ()
     while good and len(chosen) < most:
@@ -117,10 +125,10 @@ def grow(bad: list[dict[str, int]], good: list[dict[str, int]], most: int = 4) -
         best, gained = None, 1e-9
         for feature in FEATURES:
             of_bad, of_good = sorted(r[feature] for r in bad), sorted(r[feature] for r in good)
+            cuts = thresholds(of_bad)
             for above in (True, False):
-                for t in thresholds(of_bad):
-                    p = sum(v >= t for v in of_bad) if above else sum(v <= t for v in of_bad)
-                    n = sum(v >= t for v in of_good) if above else sum(v <= t for v in of_good)
+                for t in cuts:
+                    p, n = (covered(values, above, t) for values in (of_bad, of_good))
                     gain = p * (math.log2(p / (p + n)) - before) if p else 0
                     if gain > gained:
                         best, gained = Condition(feature, above, t), gain
@@ -131,6 +139,11 @@ def grow(bad: list[dict[str, int]], good: list[dict[str, int]], most: int = 4) -
     return Rule(chosen)
 
 
+def covered(values: list[int], above: bool, threshold: int) -> int:
+    """How many of the sorted values a condition holds for."""
+    return len(values) - bisect_left(values, threshold) if above else bisect_right(values, threshold)
+
+
 def prune(rule: Rule, bad: list[dict[str, int]], good: list[dict[str, int]]) -> tuple[Rule, float]:
     """The beginning of the rule that does best on held-out rows, and its precision there."""
     best, value, precision = rule, -2.0, 0.0
@@ -143,7 +156,7 @@ def prune(rule: Rule, bad: list[dict[str, int]], good: list[dict[str, int]]) ->
     return best, precision
 
 
-def learn(rows: list[dict[str, int]], precision: float = 0.9, most: int = 12) -> list[Rule]:
+def learn(rows: list[dict[str, int]], precision: float = PRECISION, most: int = MOST_RULES) -> list[Rule]:
     """Ordered rules for rejecting, from statistics with `quality` (0: bad) and `fold` (0 is held out for pruning)."""
     bad, good = [r for r in rows if r["quality"] == 0], [r for r in rows if r["quality"] != 0]
     rules: list[Rule] = []
@@ -178,7 +191,8 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE
     )
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
     measured = statistics(texts, "doc_id").dropDuplicates(["doc_id"]).where(~base_failed()).join(F.broadcast(chosen), "doc_id")
-    asked = measured.select("quality", (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)) != 0).cast("int").alias("fold"), *(F.expr(e).cast("long").alias(name) for name, e in FEATURES.items()))
+    fold = (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)) != 0).cast("int").alias("fold")
+    asked = measured.select("quality", fold, *(F.expr(e).cast("long").alias(name) for name, e in FEATURES.items()))
     return [row.asDict() for row in asked.orderBy(*asked.columns).limit(sample).collect()]
 
 
