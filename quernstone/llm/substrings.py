@@ -1,22 +1,28 @@
 """Substring dedup: words in long passages that a document with a smaller id has too are removed.
 
-Suffixes are compared by their first 50 words (a window). To compare only what can be equal, every
-window is keyed by the least hash of its 8-word runs, which equal windows share; windows in a row with one
-key make a region. Keys that one document alone has are dropped, and the others' regions are gathered by
-key. The key is a minimizer and no prefix of the window: it takes the place of a prefix partition, and no suffix
-tree is built. In each group windows are named level by level for prefixes of 1, 2, 4 and more words; names of
-50 words with several windows are the repeats, and their least document id decides. Groups that are too large for
-that are split by a hash of the whole window, and Spark finds its least id by partial sums. Equal regions, as of exact copies, are put together before anything is gathered.
+A suffix starts at each word that begins a window of 50 words. Suffixes are split by their prefixes, which have
+8 words and are lengthened to 16, 32 and 50 words where more suffixes share one than a group may have. So a group
+is what the suffix tree has below one of its nodes, and its subtree fits in memory. Its suffixes are put in order;
+the runs of neighbours that share a prefix are the subtree's internal nodes, and those of depth 50 are the
+repeats, whose least document id decides: a maximal repeat of m words is m - 49 of them, one for each of its
+windows. Where even 50 words are too common the prefix is such a node itself, and its least id is found by
+partial minima.
+
+Only suffixes that can repeat are put into groups. Each window has a least hash of its 8-word runs, its key, which
+equal windows share; windows in a row with one key make a region. Keys that one document alone has are dropped,
+and equal regions, as of exact copies, are put together before their suffixes are made.
 
 Cases: a null text has no words; a null id takes no part and keeps all; windows of documents with the same id
 do not remove each other; rows with equal ids are judged each; an empty table gives an empty table;
-columns other than the key and the text are ignored.
+columns other than the key and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +34,10 @@ from .common import Scratch, documents, rows_of, settled
 
 WINDOW = 50
 RUN = 8
+LENGTHS = (8, 16, 32, WINDOW)  # words of the prefixes by which suffixes are split
 REGION = 63  # windows in a region at most: one bit each
-GROUP = 20_000  # different regions that a subtree takes; larger groups are split further
-BATCH_WORDS = 300_000  # words for which subtrees are built at once
-FAR = np.iinfo(np.int64).max
+GROUP = 50_000  # suffixes that a subtree takes; the prefix of a larger group is lengthened
+WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 class WordHashes(dict):
@@ -88,16 +94,18 @@ def survey(docs: DataFrame) -> DataFrame:
                 out: list[list] = [[], [], [], []]
                 for doc_id, text, tag in rows:
                     words = text.encode().split()
-                    for column, value in zip(out, (doc_id, tag, len(words), hashlib.sha256(b" ".join(words)).hexdigest()), strict=True):
+                    row = (doc_id, tag, len(words), hashlib.sha256(b" ".join(words)).hexdigest())
+                    for column, value in zip(out, row, strict=True):
                         column.append(value)
                     if doc_id is not None:
                         found = np.unique(regions(words, hashes)[0])
                         keyed.append(found)
                         ids.append(np.full(len(found), doc_id, np.int64))
                 n = sum(map(len, keyed))
-                empty = [pa.nulls(n, kind) for kind in kinds[1:4]]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(out, kinds, strict=False)), pa.nulls(len(rows), pa.int64())], names=names)
+                known = [pa.array(c, k) for c, k in zip(out, kinds, strict=False)]
+                yield pa.RecordBatch.from_arrays([*known, pa.nulls(len(rows), pa.int64())], names=names)
                 if n:
+                    empty = [pa.nulls(n, kind) for kind in kinds[1:4]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), *empty, pa.array(np.concatenate(keyed))], names=names)
 
     return docs.mapInArrow(run, "doc_id long, tag long, n_words long, sha string, key long")
@@ -118,7 +126,7 @@ def cut_regions(docs: DataFrame, shared: DataFrame) -> DataFrame:
                     keys, starts, sizes = regions(words, hashes)
                     chosen = np.isin(keys, np.array(wanted, np.int64))
                     if chosen.any():
-                        out.append((doc_id, tag, None, None, None, None, b" ".join(words)))
+                        out.append((doc_id, tag, None, None, None, None, text.encode()))
                     for key, first, n in zip(keys[chosen].tolist(), starts[chosen].tolist(), sizes[chosen].tolist(), strict=True):
                         content = b" ".join(words[first : first + n + WINDOW - 1])
                         region = hashlib.blake2b(content, digest_size=16).digest()
@@ -129,76 +137,136 @@ def cut_regions(docs: DataFrame, shared: DataFrame) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return docs.join(shared, "doc_id").select("doc_id", "text", "tag", "wanted").mapInArrow(run, "doc_id long, tag long, key long, region binary, first int, n int, content binary")
+    wanted = docs.join(shared, "doc_id").select("doc_id", "text", "tag", "wanted")
+    return wanted.mapInArrow(run, "doc_id long, tag long, key long, region binary, first int, n int, content binary")
 
 
-def deep_nodes(contents: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """The tree node of depth WINDOW that each window of the regions is under, and each region's number of windows.
+def name_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in this order."""
+    x = (a ^ (a >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
-    Nodes are named for prefixes of doubling length: the name of 2k words is the name of its two
-    halves' names. An end mark of its own after each region keeps prefixes inside it.
+
+def prefix_names(contents: list[list[bytes]], hashes: WordHashes) -> tuple[list[np.ndarray], np.ndarray]:
+    """The names of the prefixes of LENGTHS words of all suffixes of the regions, and each region's number of suffixes.
+
+    The name of 2k words is that of its halves' names, the last one that of two halves that overlap.
     """
-    number: dict[bytes, int] = {}
-    flat = [number.setdefault(w, len(number)) for words in contents for w in (*words, b"")]
-    names, lengths = np.array(flat, np.int64), np.fromiter(map(len, contents), np.int64, len(contents))
-    ends = np.cumsum(lengths + 1) - 1
-    names[ends] = len(number) + np.arange(len(ends))
-    span = 1
-    while 2 * span <= WINDOW:
-        names = np.unique(names[:-span] * (names.max() + 1) + names[span:], return_inverse=True)[1]
-        span *= 2
+    lengths = np.fromiter(map(len, contents), np.int64, len(contents))
+    names = np.fromiter((hashes[w] for words in contents for w in words), np.uint64, int(lengths.sum()))
     windows = lengths - WINDOW + 1
+    ends = np.cumsum(lengths)
     firsts = np.repeat(ends - lengths - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
-    return np.unique(names[firsts] * (names.max() + 1) + names[firsts + WINDOW - span], return_inverse=True)[1], windows
-
+    found, span = [], 1
+    while 2 * span <= WINDOW:
+        names, span = name_of(names[:-span], names[span:]), 2 * span
+        if span in LENGTHS:
+            found.append(names[firsts].view(np.int64))
+    found.append(name_of(names[firsts], names[firsts + WINDOW - span]).view(np.int64))
+    return found, windows
 
-def subtrees(groups: DataFrame) -> DataFrame:
-    """region, and for each of its windows the least document id below the window's node. Rows: key, region, doc_id, content."""
 
-    def build(held: list[tuple]) -> pa.RecordBatch:
-        nodes, windows = deep_nodes([content.split() for _, _, _, content in held])
-        least = np.full(nodes.max() + 1, FAR)
-        np.minimum.at(least, nodes, np.repeat(np.array([d for _, _, d, _ in held], np.int64), windows))
-        offsets = np.append(0, np.cumsum(windows)).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array([r for _, r, _, _ in held], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(least[nodes]))], names=["region", "least"])
+def first_prefixes(regions: DataFrame) -> DataFrame:
+    """prefix (the shortest) and how many suffixes have it, in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        words = 0
+        hashes = WordHashes()
         for batch in batches:
-            for rows in rows_of(batch):
-                for row in rows:
-                    if words >= BATCH_WORDS and row[0] != held[-1][0]:  # only whole groups
-                        yield build(held)
-                        held, words = [], 0
-                    held.append(row)
-                    words += WINDOW + REGION
-        if held:
-            yield build(held)
+            for rows in rows_of(batch, 4096):
+                prefix, n = np.unique(prefix_names([content.split() for (content,) in rows], hashes)[0][0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(prefix), pa.array(n)], names=["prefix", "n"])
 
-    return groups.select("key", "region", "doc_id", "content").mapInArrow(run, "region binary, least array<long>")
+    return regions.select("content").mapInArrow(run, "prefix long, n long")
 
 
-def single_nodes(groups: DataFrame) -> DataFrame:
-    """The same for groups that are too large: each window is a prefix of its own, its least id found by grouping."""
+def suffixes(regions: DataFrame) -> DataFrame:
+    """prefix (the shortest), names of the longer ones, doc_id, region and place of every suffix of the regions."""
+    longer = [f"p{n}" for n in LENGTHS[1:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
             for rows in rows_of(batch):
-                out: list[tuple] = []
-                for region, doc_id, content in rows:
-                    words = content.split()
-                    out += [(region, i, hashlib.blake2b(b" ".join(words[i : i + WINDOW]), digest_size=16).digest(), doc_id) for i in range(len(words) - WINDOW + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.binary(), pa.int32(), pa.binary(), pa.int64()), strict=True)], names=["region", "i", "prefix", "doc_id"])
-
-    windows = groups.select("region", "doc_id", "content").mapInArrow(run, "region binary, i int, prefix binary, doc_id long")
-    least = windows.groupBy("prefix").agg(F.min("doc_id").alias("least"))
-    placed = windows.select("region", "i", "prefix").join(least, "prefix")
-    return placed.groupBy("region").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "least"))), lambda x: x["least"]).alias("least"))
+                named, windows = prefix_names([content.split() for _, _, content in rows], hashes)
+                of = np.repeat(np.arange(len(rows)), windows)
+                place = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+                region = pa.array([r for r, _, _ in rows], pa.binary()).take(pa.array(of))
+                doc_id = np.array([d for _, d, _ in rows], np.int64)[of]
+                columns = [*map(pa.array, named), pa.array(doc_id), region, pa.array(place.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["prefix", *longer, "doc_id", "region", "i"])
+
+    schema = ", ".join(f"{name} long" for name in ("prefix", *longer, "doc_id"))
+    return regions.select("region", "doc_id", "content").mapInArrow(run, f"{schema}, region binary, i int")
+
+
+def split_by_prefixes(regions: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """The suffixes in groups by `prefix`, and those, if any, whose prefix has become the whole window."""
+    rows, groups = suffixes(regions), []
+    sizes = first_prefixes(regions).groupBy("prefix").agg(F.sum("n").alias("n"))
+    for longer in LENGTHS[1:]:
+        large = scratch.settled(sizes.where(F.col("n") > GROUP).select("prefix"), "large")
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, [*groups, rows]), None
+        groups.append(rows.join(large, "prefix", "left_anti"))
+        rows = rows.join(large, "prefix", "left_semi")
+        if longer == LENGTHS[1]:
+            rows = scratch.settled(rows, "long")
+        rows = rows.withColumn("prefix", F.col(f"p{longer}"))
+        sizes = rows.groupBy("prefix").agg(F.count("*").alias("n"))
+    return reduce(DataFrame.unionByName, groups), rows
+
+
+def shared_depths(names: list[np.ndarray]) -> np.ndarray:
+    """How many words, of LENGTHS, each suffix in order shares with the one before it."""
+    same = np.ones(len(names[0]), bool)
+    same[:1] = False
+    depths = np.zeros(len(same), np.int64)
+    for name, length in zip(names, LENGTHS, strict=True):
+        same[1:] &= name[1:] == name[:-1]
+        depths[same] = length
+    return depths
+
+
+def subtrees(groups: DataFrame, parts: int) -> DataFrame:
+    """region, i and least: the least document id below the suffix's node of depth WINDOW, where that is another's."""
+    names = ["prefix", *(f"p{n}" for n in LENGTHS[1:])]
 
-
-def strike(texts: DataFrame, struck: DataFrame) -> DataFrame:
-    """Removes the words of the struck windows from each text: doc_id, tag, n_removed, kept."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before: tuple | None = None  # the last node's names, and its least id
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            levels = [batch.column(n).to_numpy() for n in names]
+            doc_id = batch.column("doc_id").to_numpy()
+            goes_on = before is not None and all(level[0] == b for level, b in zip(levels, before[0], strict=True))
+            starts = np.maximum.accumulate(np.where(shared_depths(levels) < WINDOW, np.arange(len(doc_id)), 0))
+            least = doc_id[starts]  # a node's suffixes come in order of their documents
+            if goes_on:
+                least[starts == 0] = before[1]
+            before = [level[-1] for level in levels], least[-1]
+            lower = np.flatnonzero(least < doc_id)
+            chosen = [batch.column(n).take(pa.array(lower)) for n in ("region", "i")]
+            yield pa.RecordBatch.from_arrays([*chosen, pa.array(least[lower])], names=["region", "i", "least"])
+
+    dealt = groups.select(*names, "doc_id", "region", "i").repartition(parts, "prefix").sortWithinPartitions(*names, "doc_id")
+    return dealt.mapInArrow(run, "region binary, i int, least long")
+
+
+def whole_windows(rows: DataFrame) -> DataFrame:
+    """The same for suffixes whose prefix is the whole window: each prefix is a node, its least id found by partial minima."""
+    names = [f"p{n}" for n in LENGTHS[1:]]
+    least = rows.groupBy(*names).agg(F.min("doc_id").alias("least"))
+    return rows.join(least, names).where("least < doc_id").select("region", "i", "least")
+
+
+def strike(texts: DataFrame, struck: DataFrame, with_text: bool) -> DataFrame:
+    """Removes the words of the struck windows from each text: doc_id, tag, n_removed, kept_sha, and the text that is left.
+
+    A removed passage goes with the white space after it; all that stands between kept words stays.
+    """
+    names = ["doc_id", "tag", "n_removed", "kept_sha"] + ["kept"] * with_text
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.string()] * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,10 +280,25 @@ def strike(texts: DataFrame, struck: DataFrame) -> DataFrame:
                         np.add.at(change, starts, 1)
                         np.add.at(change, starts + WINDOW, -1)
                     keep = np.cumsum(change[:-1]) == 0
-                    out.append((doc_id, tag, int((~keep).sum()), b" ".join([words[i] for i in np.flatnonzero(keep)]).decode()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "tag", "n_removed", "kept"])
+                    sha = hashlib.sha256(b" ".join([words[i] for i in np.flatnonzero(keep)])).hexdigest()
+                    row = (doc_id, tag, int((~keep).sum()), sha)
+                    out.append((*row, without(content, keep).decode()) if with_text else row)
+                columns = zip(zip(*out, strict=True), kinds, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=names)
+
+    schema = "doc_id long, tag long, n_removed long, kept_sha string" + ", kept string" * with_text
+    return texts.join(struck, ["doc_id", "tag"]).mapInArrow(run, schema)
+
 
-    return texts.join(struck, ["doc_id", "tag"]).mapInArrow(run, "doc_id long, tag long, n_removed long, kept string")
+def without(content: bytes, keep: np.ndarray) -> bytes:
+    """The text without the words that are not kept and the white space after each removed passage."""
+    begins = np.fromiter((m.start() for m in WORDS.finditer(content)), np.int64, len(keep))
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], keep, [True]]).astype(np.int8)))
+    begins, out, at = np.append(begins, len(content)), [], 0
+    for first, after in zip(edges[::2], edges[1::2], strict=True):
+        out.append(content[at : begins[first]])
+        at = begins[after]
+    return b"".join([*out, content[at:]])
 
 
 def tagged(docs: DataFrame) -> DataFrame:
@@ -224,8 +307,8 @@ def tagged(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tag"))
 
 
-def find_removals(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """What the scan knows of every document (doc_id, tag, n_words, sha), and the documents that lose words (doc_id, tag, n_removed, kept)."""
+def find_removals(docs: DataFrame, scratch: Scratch, with_text: bool = False) -> tuple[DataFrame, DataFrame]:
+    """What the scan knows of every document (doc_id, tag, n_words, sha), and the documents that lose words (see strike)."""
     rows = tagged(docs)
     scanned = scratch.settled(survey(rows), "survey")
     keys = scanned.where("key is not null").select("key", "doc_id")
@@ -234,34 +317,43 @@ def find_removals(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFra
     cut = scratch.settled(cut_regions(rows, shared), "regions")
     found = cut.where("region is not null")
     # One row for each different region, with its least document; content is in at least one of its rows.
-    different = scratch.settled(found.groupBy("key", "region").agg(F.min("doc_id").alias("doc_id"), F.max("content").alias("content")), "different")
-    large = different.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > GROUP).select("key")
-    small = different.join(large, "key", "left_anti")
-    parts = max(8, rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    least = subtrees(small.repartition(parts, "key").sortWithinPartitions("key", "region")).unionByName(single_nodes(different.join(large, "key", "left_semi")))
-    bit = lambda m, i: F.when(m < F.col("doc_id"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
-    hits = found.select("region", "doc_id", "tag", "first").join(least, "region").select("doc_id", "tag", "first", F.aggregate(F.transform("least", bit), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)).alias("windows"))
+    different = scratch.settled(found.groupBy("region").agg(F.min("doc_id").alias("doc_id"), F.max("content").alias("content")), "different")
+    spark = rows.sparkSession
+    parts = max(8, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    groups, whole = split_by_prefixes(different, scratch)
+    lower = subtrees(groups, parts)
+    lower = lower if whole is None else lower.unionByName(whole_windows(whole))
+    by_region = lower.groupBy("region").agg(F.collect_list(F.struct("i", "least")).alias("lower"))
+    known = different.select("region", F.col("doc_id").alias("own")).join(by_region, "region", "left")
+    one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    bit = lambda x: F.when(x["least"] < F.col("doc_id"), one(x["i"])).otherwise(F.lit(0).cast("long"))
+    some = F.aggregate(F.transform("lower", bit), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    every = F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), F.col("n")))
+    windows = F.when(F.col("own") < F.col("doc_id"), every).otherwise(F.coalesce(some, F.lit(0).cast("long")))
+    hits = found.select("region", "doc_id", "tag", "first", "n").join(known, "region").select("doc_id", "tag", "first", windows.alias("windows"))
     struck = hits.where("windows <> 0").groupBy("doc_id", "tag").agg(F.collect_set(F.struct("first", "windows")).alias("struck"))
     texts = cut.where("region is null").select("doc_id", "tag", "content").dropDuplicates(["doc_id", "tag"])
-    return scanned.where("key is null").select("doc_id", "tag", "n_words", "sha"), strike(texts, struck)
+    return scanned.where("key is null").select("doc_id", "tag", "n_words", "sha"), strike(texts, struck, with_text)
 
 
 def removal_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, and the SHA-256 of the kept words, of every document."""
     with Scratch(docs.sparkSession) as scratch:
         every, changed = find_removals(docs, scratch)
-        lost = changed.select("doc_id", "tag", "n_removed", F.sha2("kept", 256).alias("kept_sha"))
-        joined = every.join(lost, ["doc_id", "tag"], "left")
-        return settled(joined.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha", "sha").alias("kept_sha256")), "removals")
+        joined = every.join(changed.select("doc_id", "tag", "n_removed", "kept_sha"), ["doc_id", "tag"], "left")
+        removed = F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed")
+        return settled(joined.select("doc_id", "n_words", removed, F.coalesce("kept_sha", "sha").alias("kept_sha256")), "removals")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """The documents, all their columns, with texts that lost words replaced by the kept words joined by spaces."""
+    """The documents, all their columns, with the removed words, and the white space after each passage of them, gone from the texts."""
     with Scratch(docs.sparkSession) as scratch:
-        _, changed = find_removals(docs, scratch)
-        kept = settled(changed.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("kept").alias("__kept")), "changed")
-    same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__tag"))
-    return docs.join(kept, same, "left").withColumn("text", F.coalesce("__kept", "text")).select(*docs.columns)
+        _, changed = find_removals(docs, scratch, with_text=True)
+        kept = settled(changed.select("doc_id", "tag", "kept"), "changed")
+    tag = F.xxhash64(F.coalesce("d.text", F.lit("")))
+    same = (F.col("d.doc_id") == F.col("k.doc_id")) & (tag == F.col("k.tag"))
+    text = F.coalesce("k.kept", "d.text").alias("text")
+    return docs.alias("d").join(kept.alias("k"), same, "left").select(*(text if c == "text" else F.col(f"d.`{c}`") for c in docs.columns))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
