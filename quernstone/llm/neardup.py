@@ -2,16 +2,16 @@
 
 Two fixed permutations of the 32-bit numbers make all signature coordinates: the first scatters the
 shingles, the second, shifted round by k, gives coordinate k, the least value over the set. Five coordinates
-make a band, forty bands a signature: sets of similarity 0.8 miss each other in all of them once in
-eight million times. A sketch of one bit from each of 192 coordinates goes with a set, and a pair whose
-sketches differ more than sets of 0.8 ever do is not looked at; all other pairs are decided on the
-full sets.
+make a band, forty bands a signature. A sketch of one bit from each of 192 coordinates goes with a set, and a pair
+whose sketches differ more than sets of 0.8 do is not looked at; all other pairs are decided on the full sets.
+Bands and sketches together find pairs at the limit with a share that tests/llm measures on planted pairs (README).
 
 Documents with the same set are one node, which is named by 64 bits of the set's digest, so that texts
-under one id stay apart; the least id of a component is looked up at the end. A bucket never emits all its pairs: its members are held
-against one centre, then, while it still has several components, against other centres drawn at
-random, and what is still apart at last is compared pair by pair over component borders only, so no link
-between components is lost. Copies by the thousand make as many pairs, not their square.
+under one id stay apart; the least id of a component is looked up at the end. A bucket never emits all its
+pairs: its members are held against one centre, then, while it still has several components, against other centres drawn at
+random, and what is still apart at last is compared over component borders only, so no link between components is
+lost. Large buckets are compared in blocks of rows by columns, each a task's share. Copies by the thousand make as
+many pairs, not their square.
 
 Cases: null and empty texts have empty sets and are linked with nothing; a null id is linked with nothing
 and has a null component; rows with equal ids are judged each by its own text; an empty table gives an
@@ -39,6 +39,7 @@ FINE = 2048
 FINE_APART = 280  # of these bits; sets of similarity 0.8 differ in 205, give or take 14
 RANDOM_ROUNDS = 1
 CHUNK = 4096  # shingles that are permuted at once
+BLOCK = 1000  # members of a bucket that are compared with as many others at once
 
 
 def shingle_set(text: bytes, size: int, hashes: WordHashes) -> np.ndarray:
@@ -91,6 +92,11 @@ def band_keys(sign: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def node_of(shingles: np.ndarray) -> int:
+    """64 bits of the set's digest."""
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "big", signed=True)
+
+
 def survey(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, tag, set size, node (from the digest of the set), sketch and band keys of every text."""
     names = ["doc_id", "tag", "n", "node", "s1", "s2", "s3", "bands"]
@@ -107,14 +113,15 @@ def survey(docs: DataFrame, size: int) -> DataFrame:
                         pa.array([doc_id for doc_id, _, _ in rows], pa.int64()),
                         pa.array([tag for _, tag, _ in rows], pa.int64()),
                         pa.array(list(map(len, sets)), pa.int64()),
-                        pa.array([int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True) for s in sets], pa.int64()),
+                        pa.array(map(node_of, sets), pa.int64()),
                         *(pa.array([s[k] for s in sketches], pa.int64()) for k in range(3)),
                         pa.array([band_keys(s) if len(x) else None for s, x in zip(signs, sets, strict=True)], pa.list_(pa.int64())),
                     ],
                     names=names,
                 )
 
-    return docs.select("doc_id", "tag", "text").mapInArrow(run, "doc_id long, tag long, n long, node long, s1 long, s2 long, s3 long, bands array<long>")
+    schema = "doc_id long, tag long, n long, node long, s1 long, s2 long, s3 long, bands array<long>"
+    return docs.select("doc_id", "tag", "text").mapInArrow(run, schema)
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -125,9 +132,11 @@ def full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for rows in rows_of(batch):
                 sets = [shingle_set(text.encode(), size, hashes).view(np.int64) for _, text in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+                columns = [pa.array([k for k, _ in rows], pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles"])
 
-    return docs.join(nodes.select("node", "doc_id", "tag").hint("merge"), ["doc_id", "tag"]).select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+    named = docs.join(nodes.select("node", "doc_id", "tag").hint("merge"), ["doc_id", "tag"])
+    return named.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
 def fine_sketches(sets: DataFrame) -> DataFrame:
@@ -154,8 +163,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     both = one.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    shared = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
-    return shared.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b").distinct()
+    sizes = F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both")
+    enough = 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))
+    return both.select("a", "b", *sizes).where(enough).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -167,14 +177,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 def linked(rows: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
     scanned = scratch.settled(survey(rows, size), "signatures")
     real = scanned.where("n > 0 and doc_id is not null")
-    one_each = scratch.settled(real.groupBy("node").agg(F.min(F.struct("doc_id", "tag", "n", "s1", "s2", "s3", "bands")).alias("x")).select("node", "x.*"), "nodes")
+    of_node = F.struct("doc_id", "tag", "n", "s1", "s2", "s3", "bands")
+    one_each = scratch.settled(real.groupBy("node").agg(F.min(of_node).alias("x")).select("node", "x.*"), "nodes")
     light = one_each.select("node", "n", "s1", "s2", "s3")
 
     keyed = one_each.select("node", F.explode("bands").alias("key"))
-    buckets = scratch.settled(keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("size")).where("a < b"), "buckets")
+    in_bucket = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("size"))
+    buckets = scratch.settled(in_bucket.where("a < b"), "buckets")
     a, b = light.alias("a"), light.alias("b")
     twos = buckets.where("size = 2").select(F.col("a").alias("i"), F.col("b").alias("j")).distinct()
-    twos = twos.join(a, F.col("i") == F.col("a.node")).join(b, F.col("j") == F.col("b.node")).where(may_link("a", "b", percent)).select(F.col("i").alias("a"), F.col("j").alias("b"))
+    twos = twos.join(a, F.col("i") == F.col("a.node")).join(b, F.col("j") == F.col("b.node"))
+    twos = twos.where(may_link("a", "b", percent)).select(F.col("i").alias("a"), F.col("j").alias("b"))
     big = scratch.settled(keyed.join(buckets.where("size > 2").select("key", "size"), "key"), "big")
     # A node that shares large buckets with many others is the likeliest to link with what is in its own.
     known = big.groupBy("node").agg(F.sum("size").alias("known"))
@@ -188,7 +201,8 @@ def linked(rows: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFr
             # Written first, so that nothing but the join needs a bucket's rows together and Spark can split large ones.
             centres = scratch.settled(of.groupBy("key").agg(F.min(one).alias("x")).select("key", "x.*"), "centres")
             found = of.alias("m").join(centres.alias("c"), F.col("m.key") == F.col("c.key"))
-            return found.where((F.col("m.node") != F.col("c.node")) & apart & may_link("m", "c", percent)).select(*ordered(F.col("m.node"), F.col("c.node"))).distinct()
+            wanted = (F.col("m.node") != F.col("c.node")) & apart & may_link("m", "c", percent)
+            return found.where(wanted).select(*ordered(F.col("m.node"), F.col("c.node"))).distinct()
 
         return pairs
 
@@ -201,7 +215,9 @@ def linked(rows: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFr
     apart = F.col("m.component") != F.col("c.component")
     for turn in range(RANDOM_ROUNDS + 1):
         placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+        # Written first, so that nothing but the join needs a bucket's rows together and Spark can split large ones.
+        apart_in = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"))
+        split = scratch.settled(apart_in.where("x < y").select("key", "size"), "split")
         placed = scratch.settled(placed.join(split, "key"), "placed")
         if placed.isEmpty():
             break
@@ -230,27 +246,33 @@ def linked(rows: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFr
 def over_borders(placed: DataFrame, sets: DataFrame, one_each: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """All pairs of a bucket whose components differ and that may link by sketches long enough to tell.
 
-    A pair that shares several buckets comes out of the one of its first band only.
+    A pair that shares several buckets comes out of the one of its first band only. A bucket of `size` members is dealt
+    into blocks, and each block of rows meets each block of columns under a key of its own.
     """
     nodes = scratch.settled(placed.select("node").distinct(), "left")
     fine = fine_sketches(sets.join(nodes, "node", "left_semi")).dropDuplicates(["node"])
     bands = one_each.join(nodes, "node", "left_semi").select("node", "bands").dropDuplicates(["node"])
     fine = scratch.settled(fine.join(bands, "node"), "fine")
-    full = placed.select("node", "key", "component", "n", "s1", "s2", "s3").join(fine, "node")
-    m, c = full.alias("m"), full.alias("c")
+    full = placed.select("node", "key", "component", "n", "s1", "s2", "s3", "size").join(fine, "node")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own, all_blocks = F.pmod(F.xxhash64("node"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+    m = full.withColumn("row", own).withColumn("column", all_blocks).alias("m")
+    c = full.withColumn("column", own).withColumn("row", all_blocks).alias("c")
     differ = sum((F.bit_count(F.col(f"m.f{k}").bitwiseXOR(F.col(f"c.f{k}"))) for k in range(FINE // 64)), F.lit(0))
     first_band = F.get(F.array_intersect("m.bands", "c.bands"), F.lit(0))  # in the order of the first array
-    wanted = (F.col("m.node") < F.col("c.node")) & (F.col("m.component") != F.col("c.component")) & may_link("m", "c", percent) & (differ <= FINE_APART) & (first_band == F.col("m.key"))
-    return m.join(c, (F.col("m.key") == F.col("c.key")) & wanted).select(F.col("m.node").alias("a"), F.col("c.node").alias("b"))
+    one_key = [F.col(f"m.{k}") == F.col(f"c.{k}") for k in ("key", "row", "column")]
+    apart = (F.col("m.node") < F.col("c.node")) & (F.col("m.component") != F.col("c.component"))
+    wanted = apart & may_link("m", "c", percent) & (differ <= FINE_APART) & (first_band == F.col("m.key"))
+    return m.join(c, [*one_key, wanted]).select(F.col("m.node").alias("a"), F.col("c.node").alias("b"))
 
 
 def keep_one_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents, all their columns, without those that a document with a smaller id stands for."""
     with Scratch(docs.sparkSession) as scratch:
-        lost = linked(tagged(docs), size, percent, scratch).where("not kept").select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).distinct()
-        gone = settled(lost, "gone")
-    same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__tag"))
-    return docs.join(gone, same, "left_anti").select(*docs.columns)
+        gone = settled(linked(tagged(docs), size, percent, scratch).where("not kept").select("doc_id", "tag").distinct(), "gone")
+    tag = F.xxhash64(F.coalesce("d.text", F.lit("")))
+    same = (F.col("d.doc_id") == F.col("g.doc_id")) & (tag == F.col("g.tag"))
+    return docs.alias("d").join(gone.alias("g"), same, "left_anti")
 
 
 def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

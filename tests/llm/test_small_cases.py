@@ -450,7 +450,7 @@ def strike_brute(texts):
     return out
 
 
-@pytest.mark.parametrize("group", [0, 3, 20_000])
+@pytest.mark.parametrize("group", [0, 3, 25, 50_000])
 def test_substrings(spark, docs, group, monkeypatch):
     rng = random.Random(5)
     word = lambda: f"w{rng.randint(0, 400)}"
@@ -466,6 +466,28 @@ def test_substrings(spark, docs, group, monkeypatch):
     assert substrings.removal_digests(frame.where("false")).count() == 0
     kept = substrings.remove_repeats(frame)
     assert kept.columns == frame.columns and kept.count() == len(texts)
+    own = Counter((r.doc_id, hashlib.sha256(b" ".join(whole(r.text).encode().split())).hexdigest()) for r in kept.collect())
+    assert own == Counter({(i, sha): n for (i, _, _, sha), n in strike_brute(texts).items()})
+
+
+def test_removal_keeps_what_stands_between_kept_words(spark):
+    shared = " ".join(f"s{i}" for i in range(60))
+    texts = [(1, f"a\n{shared}"), (2, f"\t one\n\ntwo  {shared}\nthree\n four "), (3, shared), (4, f"{shared} \n end")]
+    frame = spark.createDataFrame([(*t, "x", "y") for t in texts], "doc_id long, text string, tag string, `__id` string")
+    got = {r.doc_id: r.text for r in substrings.remove_repeats(frame).collect()}
+    assert got == {1: texts[0][1], 2: "\t one\n\ntwo  three\n four ", 3: "", 4: "end"}
+
+
+def test_subtree_nodes_are_the_prefixes_that_suffixes_share():
+    rng = random.Random(10)
+    words = [[b"abc"[k : k + 1] for k in rng.choices(range(3), k=60)] for _ in range(5)] + [[b"a"] * 70] * 2
+    names, windows = substrings.prefix_names(words, substrings.WordHashes())
+    suffixes = [tuple(w[i : i + 50]) for w, n in zip(words, windows, strict=True) for i in range(n)]
+    order = sorted(range(len(suffixes)), key=lambda k: tuple(int(level[k]) for level in names))
+    depths = substrings.shared_depths([level[order] for level in names])
+    for at, depth in enumerate(depths[1:], 1):
+        a, b = suffixes[order[at - 1]], suffixes[order[at]]
+        assert depth == max([n for n in substrings.LENGTHS if a[:n] == b[:n]], default=0)
 
 
 def jaccard_brute(texts, size, percent=80):
@@ -524,6 +546,37 @@ def jaccard_brute_by_row(texts, size):
     return out
 
 
+def test_bands_and_sketches_find_pairs_at_the_limit():
+    """100,000 pairs of sets of similarity 0.8, of which no band or a sketch may miss ten."""
+    import numpy as np
+
+    rng, missed, pairs = np.random.default_rng(12), 0, 100_000
+    distance = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True))
+    words = lambda sign: np.packbits((sign & 1).astype(np.uint8)).view(np.uint64).tolist()
+    for k in range(pairs):
+        size = (9, 45, 90)[k % 3]
+        every = rng.integers(0, 2**63, size * 10 // 9, dtype=np.uint64)  # 80 in common of 100, 90 in each
+        side = len(every) // 10
+        a, b = (neardup.signature(x) for x in (every[: len(every) - side], every[side:]))
+        near = distance(words(a[: neardup.BITS]), words(b[: neardup.BITS])) <= neardup.APART
+        missed += not (near and (neardup.band_keys(a) == neardup.band_keys(b)).any())
+    assert missed < 10
+
+
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_borders_are_compared_in_blocks_without_losing_a_link(spark, block, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = random.Random(13)
+    base, texts = [f"v{rng.randint(0, 900)}" for _ in range(150)], []
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.randint(0, 18)):
+            words[rng.randrange(len(words))] = f"z{rng.randint(0, 10**6)}"
+        texts.append((i, " ".join(words)))
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    assert Counter(tuple(r) for r in neardup.near_duplicates(frame, 4).collect()) == jaccard_brute(texts, 4)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 200)]
     found = {r.node: r.component for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}
