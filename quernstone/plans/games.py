@@ -1,71 +1,129 @@
-"""Queries over game records, transcripts and payloads written out here, and over clusters."""
+"""Queries over game records, transcripts and payloads, whose texts are made from the tables' rows; and over clusters.
+
+The texts are written here by rules of the row alone, so SQL gives what has to be read back without reading anything.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..operators import ml
 from ..sources import games as G
 from ..sources import pages as P
-from ..sources.tables import table
-
-FILE = """[Event "Club"]
-[White "Ann"]
-[White "Anna"]
-[Result "1-0"]
-
-1. e4 {[%eval 0.35]} e5 $1 2. Nf3 (2. f4 exf4 (2... d5 3. exd5) 3. Bc4) Nc6 {a note} 3. Bb5 a6!? ; to the end
-4. 0-0 {[%eval #3]} 1-0
-
-[Event "Other"]
-[Result "0-1"]
-
-1. d4 d5 2. c4 {[%eval -1.20]} e6 {[%eval #-2]} 0-1
-"""
-PAGE = "[[CHAPTER 1]]\nFirst line\nsecond line\n\n[[DIAG w 45]]\nAfter it\n[[H]] Heading\n\n**1.e4** e5"
-MARKDOWN = "text\n| No | Board | Side |\n|----|:-----:|------|\n| 1 | 8/8/8 | w |\n|2|4k3/8|b|\nend"
-ARCHIVE = '{"games":[{"white":{"username":"Me","rating":1500},"black":{"username":"X","rating":1400},"end_time":1704110400,"time_class":"blitz"},{"white":{"username":"Y","rating":1450},"black":{"username":"me","rating":1510},"end_time":1704114000,"time_class":"blitz"},{"white":{"username":"me","rating":1700},"black":{"username":"Z","rating":1},"end_time":1704200400,"time_class":"daily"}]}'
-ACTIVITY = '[{"interval":{"start":1704067200000},"games":{"blitz":{"win":2,"loss":1,"draw":0,"rp":{"after":1600}},"rapid":{"win":1,"loss":0,"draw":1,"rp":{"after":1700}}},"puzzles":{"score":{"win":5,"loss":2}}},{"interval":{"start":1704153600000},"puzzles":{"score":{"win":1,"loss":0,"draw":0}}}]'
-
-
-def one(spark, text):
-    return spark.createDataFrame([(text,)], "value string")
+from ..sources.tables import events, table
+
+SANS = ("e4", "Nf3", "O-O", "Bxc6+", "exd5", "R1d2", "Qh5#", "a8=Q")
+
+
+def games(spark, sf):
+    """A game for each user and day: its text, with comments, variations 0 to 40 deep, line comments and indented headers."""
+    n = F.col("event_id")
+    by = W.partitionBy("user_id", "day").orderBy("ts", "event_id")
+    i = F.row_number().over(by) - 1
+    move = F.concat(F.floor(i / 2).cast("string"), F.when(i % 2 == 0, F.lit(". ")).otherwise(F.lit("... ")), F.element_at(F.array(*map(F.lit, SANS)), (n % 8 + 1).cast("int")))
+    mark = F.when(n % 5 == 0, F.lit("!?")).when(n % 6 == 0, F.lit(" $5")).otherwise(F.lit(""))
+    cp = F.when(n % 11 == 0, F.concat(F.lit("#-"), (n % 9 + 1).cast("string"))).otherwise(F.format_string("%.2f", (n % 700 - 350) / 100))
+    note = F.when(n % 3 == 0, F.concat(F.lit(" {[%eval "), cp, F.lit("] [%clk 0:01]}"))).otherwise(F.lit(""))
+    depth = (n % 41).cast("int")
+    aside = F.when(n % 4 == 1, F.concat(F.lit(" "), F.repeat(F.lit("(1... d5 {[%eval 9.99]} "), depth), F.repeat(F.lit(")"), depth))).otherwise(F.lit(""))
+    line = F.when(n % 7 == 2, F.lit(" ; then e5 and Nc6\n")).when(n % 7 == 3, F.lit(" (2. d4 ; c5)\n")).otherwise(F.lit(" "))
+    rows = events(spark, sf).withColumn("o", F.struct("ts", "event_id")).withColumn("piece", F.concat(move, mark, note, aside, line))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "piece"))), lambda x: x["piece"]), "")
+    made = rows.groupBy("user_id", "day").agg(body.alias("body"))
+    indent = F.when(F.col("user_id") % 2 == 0, F.lit("   ")).otherwise(F.lit(""))
+    user = F.col("user_id").cast("string")
+    head = F.concat(indent, F.lit('[Event "'), F.col("day").cast("string"), F.lit('"]\n[White "Ann"]\n[White "u'), user, F.lit('"]\r\n\n'))
+    return made.select("user_id", "day", F.concat(head, F.col("body"), F.lit("1-0\n")).alias("game"))
 
 
 def game_file(spark, sf):
-    found = G.read_games(one(spark, FILE))
+    """One file for each user."""
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("day", "game"))), lambda x: x["game"])
+    found = G.read_games(games(spark, sf).groupBy("user_id").agg(F.array_join(in_order, "\n").alias("value")))
     notes = F.transform("evals", lambda e: F.concat_ws(":", e["at"].cast("string"), e["cp"].cast("string")))
-    return found.select(F.col("headers")["Event"].alias("event"), F.col("headers")["White"].alias("white"), F.array_join("moves", " ").alias("moves"), F.array_join(notes, " ").alias("evals"))
+    head = F.col("headers")
+    return found.select(head["White"].alias("white"), head["Event"].alias("event"), F.array_join("moves", " ").alias("moves"), F.array_join(notes, " ").alias("evals"))
 
 
 def transcript_blocks(spark, sf):
-    rows = P.blocks(spark.createDataFrame([("p001", PAGE)], "doc string, text string"), "doc", "text")
-    return rows.select("doc", "kind", "payload")
+    """One page for each conversation: a turn is a heading, a diagram or a paragraph of two lines."""
+    turns = table(spark, sf, "conversations").where("conv_id is not null").select("conv_id", "turn", "role", F.md5(F.coalesce("text", F.lit(""))).alias("h")).distinct()
+    text = F.when(F.col("role") == "user", F.concat(F.lit("[[H]] "), "h")).when(F.col("role") == "system", F.concat(F.lit("[[DIAG w "), "h", F.lit("]]")))
+    text = F.coalesce(text, F.concat(F.substring("h", 1, 8), F.lit("\n"), F.substring("h", 9, 24), F.lit("\n")))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: x["text"])
+    pages = turns.withColumn("text", text).groupBy(F.col("conv_id").alias("doc")).agg(F.array_join(in_order, "\n").alias("text"))
+    return P.blocks(pages, "doc", "text").select("doc", "kind", "payload")
 
 
 def markdown_table(spark, sf):
-    rows = one(spark, MARKDOWN).select(F.posexplode(P.table_rows(F.col("value"))).alias("n", "cells"))
-    return rows.where("n > 0").select("n", F.array_join("cells", ";").alias("cells"))
+    """A table of parts for each brand."""
+    row = F.concat(F.lit("| "), F.col("p_partkey").cast("string"), F.lit("|"), "p_name", F.lit(" |"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("row")))), lambda x: x["row"])
+    text = F.concat(F.lit("text\n| No | Name |\n|----|:-----:|\n"), F.array_join(in_order, "\n"), F.lit("\nend"))
+    tables = table(spark, sf, "part").groupBy("p_brand").agg(text.alias("text"))
+    rows = tables.select("p_brand", F.posexplode(P.table_rows(F.col("text"))).alias("n", "cells"))
+    return rows.where("n > 0").select("p_brand", "n", F.array_join("cells", ";").alias("cells"))
 
 
 def embedded_data(spark, sf):
-    script = 'window.SEED = {"a": {"n": 7}, "b": 2};'
-    found = one(spark, script).select(P.embedded_json(F.col("value")).alias("j"))
-    both = found.select(F.get_json_object("j", "$.a.n").cast("int").alias("n"), F.explode(P.fields(F.col("j"), r'"(\w)": (\d)', ["name", "digit"])).alias("f"))
-    return both.select("n", "f.name", "f.digit")
+    """A script for each region, with its nations."""
+    entry = F.struct(F.col("n_nationkey").alias("n"), F.col("n_name").alias("name"))
+    script = F.concat(F.lit("window.SEED = "), F.to_json(F.struct(F.array_sort(F.collect_list(entry)).alias("nations"))), F.lit(";"))
+    scripts = table(spark, sf, "nation").groupBy("n_regionkey").agg(script.alias("script"))
+    found = scripts.select("n_regionkey", P.embedded_json(F.col("script")).alias("j"))
+    first = F.get_json_object("j", "$.nations[0].n").cast("int").alias("first")
+    return found.select("n_regionkey", first, F.explode(P.fields(F.col("j"), r'"n":(\d+),"name":"([^"]*)"', ["n", "name"])).alias("f")).select("n_regionkey", "first", "f.n", "f.name")
 
 
 def archive_days(spark, sf):
-    return G.games_by_day(one(spark, ARCHIVE), "value", "me")
+    """An archive of all events as games of user 7 against others."""
+    n = F.col("event_id")
+    me, other = F.struct(F.lit("Me").alias("username"), (1000 + n % 900).cast("int").alias("rating")), F.struct(F.lit("X").alias("username"), F.lit(1).alias("rating"))
+    kind = F.element_at(F.array(*map(F.lit, ("blitz", "bullet", "rapid", "daily"))), (n % 4 + 1).cast("int"))
+    game = F.struct(
+        F.when(n % 2 == 0, me).otherwise(other).alias("white"),
+        F.when(n % 2 == 0, other).otherwise(me).alias("black"),
+        F.unix_seconds(F.col("ts").cast("timestamp")).alias("end_time"),
+        kind.alias("time_class"),
+    )
+    months = events(spark, sf).groupBy("user_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(game)).alias("games"))).alias("value"))
+    return G.games_by_day(months, "value", "me").select("day", "control", "games")
 
 
 def activity_days(spark, sf):
-    return G.activity_by_day(one(spark, ACTIVITY), "value")
+    """An activity feed of each user's days, read back and summed by day."""
+    n = F.col("event_id")
+    days = events(spark, sf).groupBy("user_id", "day").agg(
+        F.count_if(n % 3 == 0).cast("int").alias("w"), F.count_if(n % 3 == 1).cast("int").alias("l"), F.count_if(n % 3 == 2).cast("int").alias("d"), F.max(n % 1000).cast("int").alias("r")
+    )
+    score = F.struct(F.col("w").alias("win"), F.col("l").alias("loss"), F.col("d").alias("draw"))
+    game = F.struct(F.col("w").alias("win"), F.col("l").alias("loss"), F.col("d").alias("draw"), F.struct(F.col("r").alias("after")).alias("rp"))
+    interval = F.struct(F.unix_millis(F.col("day").cast("timestamp")).alias("start"))
+    entry = F.struct(interval.alias("interval"), F.create_map(F.lit("blitz"), game, F.lit("rapid"), game).alias("games"), F.struct(score.alias("score")).alias("puzzles"))
+    feeds = days.select(F.to_json(F.array(entry)).alias("value"))
+    return G.activity_by_day(feeds, "value").select("day", "games", "puzzles", "blitz")
 
 
 def address_kinds(spark, sf):
-    rows = spark.createDataFrame([(i, a) for i, a in enumerate(("https://site.example/study/abcdefgh/ijklmnop", "https://site.example/study/abcdefgh", "https://site.example/abcdefgh", "https://site.example/abcdefghijkl?x", "https://site.example/about", "text"))], "id int, address string")
-    return rows.select("id", G.source_of(F.col("address")).alias("kind"))
+    rows = table(spark, sf, "pages").where("page_id is not null").select("page_id", F.md5(F.col("page_id").cast("string")).alias("h"))
+    at = lambda *parts: F.concat(F.lit("https://site.example/"), *parts)
+    one, two = F.substring("h", 1, 8), F.substring("h", 9, 8)
+    shapes = F.array(at(F.lit("study/"), one, F.lit("/"), two), at(F.lit("study/"), one), at(one), at(F.substring("h", 1, 12), F.lit("?x")), at(F.lit("about")), F.col("h"))
+    return rows.select("page_id", G.source_of(F.element_at(shapes, (F.col("page_id") % 6 + 1).cast("int"))).alias("kind"))
+
+
+def newest_games(spark, sf):
+    """The hundred newest wanted orders, month by month: a budget, not a sample."""
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
+    wanted = (F.col("o_orderstatus") != "P") & ~F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    return G.newest_games(rows, "o_orderdate", "o_orderkey", 100, wanted).select("o_orderkey", "o_orderstatus")
+
+
+def compact_json(spark, sf):
+    """Rows as JSON without what is null."""
+    small = F.when(F.col("n_nationkey") % 3 != 0, F.col("n_regionkey"))
+    return table(spark, sf, "nation").select(F.to_json(F.struct(F.col("n_nationkey").alias("n"), small.alias("r"), F.col("n_name").alias("t"))).alias("json"))
 
 
 def cell_prints(spark, sf):
@@ -89,19 +147,28 @@ def kmeans_assign(spark, sf):
 
 def pca_project(spark, sf):
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return ml.project(rows, "embedding", 8, 7, "vec_id").select("vec_id", F.size("projected").alias("dims"))
+    return ml.project(rows, "embedding", 8, 7, "vec_id").select("vec_id", F.transform("projected", lambda x: F.round(x, 6)).alias("projected"))
 
 
-QUERIES = {f.__name__: f for f in (game_file, transcript_blocks, markdown_table, embedded_data, archive_days, activity_days, address_kinds, cell_prints, prefix_read, visible_rows, kmeans_assign, pca_project)}
+QUERIES = {f.__name__: f for f in (game_file, transcript_blocks, markdown_table, embedded_data, archive_days, activity_days, address_kinds, newest_games, compact_json, cell_prints, prefix_read, visible_rows, kmeans_assign, pca_project)}
 
 SQL = {
-    "game_file": "select * from (values ('Club', 'Anna', 'e4 e5 Nf3 Nc6 Bb5 a6 O-O', '1:35 7:9997'), ('Other', null, 'd4 d5 c4 e6', '3:-120 4:-9998')) t(event, white, moves, evals)",
-    "transcript_blocks": "select * from (values ('p001', 'chapter', '1'), ('p001', 'p', 'First line second line'), ('p001', 'diag', 'w 45'), ('p001', 'p', 'After it'), ('p001', 'h', 'Heading'), ('p001', 'p', '**1.e4** e5')) t(doc, kind, payload)",
-    "markdown_table": "select * from (values (1, '1;8/8/8;w'), (2, '2;4k3/8;b')) t(n, cells)",
-    "embedded_data": "select * from (values (7, 'n', '7'), (7, 'b', '2')) t(n, name, digit)",
-    "archive_days": "select * from (values (date '2024-01-01', 'blitz', 2, 1510), (date '2024-01-02', 'daily', 1, null)) t(day, control, games, rating)",
-    "activity_days": "select * from (values (date '2024-01-01', 5, 7, 1600), (date '2024-01-02', 0, 1, null)) t(day, games, puzzles, blitz)",
-    "address_kinds": "select * from (values (0, 'chapter'), (1, 'study'), (2, 'game'), (3, 'game'), (4, 'unknown'), (5, 'unknown')) t(id, kind)",
+    "game_file": """with e as (select *, cast(ts as date) as day, row_number() over (partition by user_id, cast(ts as date) order by ts, event_id) as i from events)
+        select 'u' || user_id as white, cast(day as varchar) as event, string_agg(['e4', 'Nf3', 'O-O', 'Bxc6+', 'exd5', 'R1d2', 'Qh5#', 'a8=Q'][event_id % 8 + 1], ' ' order by i) as moves,
+          coalesce(string_agg(i || ':' || case when event_id % 11 = 0 then -10000 + event_id % 9 + 1 else event_id % 700 - 350 end, ' ' order by i) filter (event_id % 3 = 0), '') as evals
+        from e group by user_id, day""",
+    "transcript_blocks": """with t as (select distinct conv_id, turn, role, md5(coalesce(text, '')) as h from conversations where conv_id is not null)
+        select conv_id as doc, case role when 'user' then 'h' when 'system' then 'diag' else 'p' end as kind,
+          case role when 'user' then h when 'system' then 'w ' || h else substr(h, 1, 8) || ' ' || substr(h, 9, 24) end as payload from t""",
+    "markdown_table": "select p_brand, cast(row_number() over (partition by p_brand order by p_partkey) as int) as n, p_partkey || ';' || trim(p_name) as cells from part",
+    "embedded_data": "select n_regionkey, min(n_nationkey) over (partition by n_regionkey) as first, cast(n_nationkey as varchar) as n, n_name as name from nation",
+    "archive_days": "select cast(ts as date) as day, ['blitz', 'bullet', 'rapid', 'daily'][event_id % 4 + 1] as control, count(*) as games from events group by all",
+    "activity_days": """with d as (select user_id, cast(ts as date) as day, count(*) as n, max(event_id % 1000) as r from events group by all)
+        select day, cast(2 * sum(n) as bigint) as games, max(n) as puzzles, max(r) as blitz from d group by day""",
+    "address_kinds": "select page_id, ['chapter', 'study', 'game', 'game', 'unknown', 'unknown'][page_id % 6 + 1] as kind from pages where page_id is not null",
+    "newest_games": """select o_orderkey, o_orderstatus from orders where o_orderstatus <> 'P' and o_orderpriority not in ('1-URGENT', '2-HIGH')
+        order by o_orderdate desc, o_orderkey desc limit 100""",
+    "compact_json": """select '{"n":' || n_nationkey || case when n_nationkey % 3 <> 0 then ',"r":' || n_regionkey else '' end || ',"t":"' || n_name || '"}' as json from nation""",
     "cell_prints": """select n_regionkey, '[' || string_agg('{"size":' || length(n_name) || ',"n":' || n_nationkey || '}', ',' order by length(n_name), n_nationkey) || ']' as print from nation group by 1""",
     "prefix_read": "select p_partkey, p_brand || ':' || p_partkey as key from part where starts_with(p_brand, 'Brand#1') and not starts_with(p_brand, 'Brand#12') order by key limit 40",
     "visible_rows": "select o_orderstatus, count(*) as n from orders where o_custkey = 1 or starts_with(o_orderpriority, '1') group by 1",

@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MOVE = r"(?:O-O-O|O-O|[KQRBN]?[a-h]?[1-8]?x?[a-h][1-8](?:=?[QRBN])?)[+#]?"
+#: A move of a game, and a header's line.
+MOVE = r"^(?:O-O-O|O-O|0-0-0|0-0|[KQRBN]?[a-h]?[1-8]?x?[a-h][1-8](?:=[QRBN])?)[+#]?[!?]{0,2}$"
+HEADER = r'(?m)^\s*\[\s*([A-Za-z0-9_]+)\s+"([^"]*)"\s*\]\s*$'
+MATE = 10_000
 
 
 def split_games(raw: Column) -> Column:
-    """The games of a file: cut before each event header, kept if they have a move number or a header."""
-    return F.filter(F.split(raw, r"\n(?=\[Event )"), lambda x: x.rlike(r"\d\.|\["))
+    """The games of a file: cut before each event header, indented ones too, kept if they have a move number or a header."""
+    parts = F.transform(F.split(F.replace(raw, F.lit("\r"), F.lit("")), r"\n(?=\s*\[Event\s)"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.filter(parts, lambda x: x.rlike(r"\d\.|\["))
 
 
 def headers(raw: Column) -> Column:
     """Header names to values; of repeated names the last."""
-    names = F.regexp_extract_all(raw, F.lit(r'\[(\w+)\s+"([^"]*)"\]'), F.lit(1))
-    values = F.regexp_extract_all(raw, F.lit(r'\[(\w+)\s+"([^"]*)"\]'), F.lit(2))
-    pairs = F.arrays_zip(names.alias("k"), values.alias("v"))
-    last = F.filter(pairs, lambda x, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), x["k"]))
-    return F.map_from_entries(last)
+    names, values = (F.regexp_extract_all(raw, F.lit(HEADER), F.lit(i)) for i in (1, 2))
+    one_each = F.array_distinct(names)
+    last = F.transform(one_each, lambda k: F.get(values, F.size(names) - F.array_position(F.reverse(names), k).cast("int")))
+    return F.map_from_arrays(one_each, last)
 
 
 def strip_variations(text: Column) -> Column:
@@ -35,38 +38,62 @@ def strip_variations(text: Column) -> Column:
 
 
 def movetext(raw: Column) -> Column:
-    """What is left for moves: headers, line comments, variations and glyphs go, castling zeros become letters."""
-    out = F.regexp_replace(F.regexp_replace(raw, r"(?m)^\[\w+ .*\]\s*$", " "), r";[^\n]*", " ")
-    out = F.regexp_replace(strip_variations(out), r"\$\d+|[!?]+", " ")
-    return F.replace(F.replace(out, F.lit("0-0-0"), F.lit("O-O-O")), F.lit("0-0"), F.lit("O-O"))
+    """What is left for moves: headers, then variations, glyphs and line comments go, in this order."""
+    out = strip_variations(F.regexp_replace(raw, r"(?m)^\s*\[[^\]]*\]\s*$", " "))
+    return F.regexp_replace(out, r"\$\d+|;[^\n]*", " ")
+
+
+def tokens(raw: Column) -> Column:
+    """Comments in braces and words, move numbers taken off."""
+    found = F.regexp_extract_all(movetext(raw), F.lit(r"(\{[^}]*\}|[^\s{}]+)"), F.lit(1))
+    return F.transform(found, lambda t: F.regexp_replace(t, r"^\d+\.+", ""))
 
 
 def moves(raw: Column) -> Column:
-    """The moves in order."""
-    return F.regexp_extract_all(F.regexp_replace(movetext(raw), r"\{[^}]*\}", " "), F.lit(rf"(?<![\w-])({MOVE})(?![\w-])"), F.lit(1))
+    """The moves in order, without marks."""
+    return F.transform(F.filter(tokens(raw), lambda t: t.rlike(MOVE)), lambda t: F.regexp_replace(t, r"[!?]+$", ""))
 
 
 def evaluations(raw: Column) -> Column:
-    """Moves made so far to the evaluation noted there, in hundredths; a mate in n is 10000 - n."""
-    parts = F.split(movetext(raw), r"(?=\{)")
-    after = lambda part: F.regexp_extract(part, r"\[%eval\s+(#?-?[\d.]+)\]", 1)
-    count = lambda part: F.size(F.regexp_extract_all(F.regexp_replace(part, r"\{[^}]*\}", " "), F.lit(rf"(?<![\w-])({MOVE})(?![\w-])"), F.lit(1)))
+    """Moves made so far to the evaluation noted there, in hundredths; a mate in n is 10000 - n. Notes before the first move don't count."""
+    note = lambda t: F.regexp_extract(t, r"^\{.*?\[%eval\s+(#?-?[\d.]+)", 1)
     mate = lambda e: F.replace(e, F.lit("#"), F.lit("")).try_cast("int")
-    value = lambda e: F.when(F.startswith(e, F.lit("#")), F.when(mate(e) < 0, -10000 - mate(e)).otherwise(10000 - mate(e))).otherwise(F.round(e.try_cast("double") * 100).cast("int"))
-    step = lambda acc, part: F.struct((acc["n"] + count(part)).alias("n"), F.when(after(part) != "", F.concat(acc["found"], F.array(F.struct(acc["n"].alias("at"), value(after(part)).alias("cp"))))).otherwise(acc["found"]).alias("found"))
+    of_mate = lambda e: F.when(mate(e) > 0, MATE - mate(e)).otherwise(-MATE - mate(e))
+    value = lambda e: F.when(F.startswith(e, F.lit("#")), of_mate(e)).otherwise(F.floor(F.round(e.try_cast("double") * 100, 6) + 0.5).cast("int"))
+
+    def step(acc: Column, t: Column) -> Column:
+        added = F.concat(acc["found"], F.array(F.struct(acc["n"].alias("at"), value(note(t)).alias("cp"))))
+        found = F.when((note(t) != "") & (acc["n"] > 0), added).otherwise(acc["found"])
+        return F.struct((acc["n"] + t.rlike(MOVE).cast("int")).alias("n"), found.alias("found"))
+
     empty = F.array().cast("array<struct<at:int,cp:int>>")
-    return F.aggregate(parts, F.struct(F.lit(0).alias("n"), empty.alias("found")), step, lambda acc: acc["found"])
+    return F.aggregate(tokens(raw), F.struct(F.lit(0).alias("n"), empty.alias("found")), step, lambda acc: acc["found"])
+
+
+def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Files as rows (path, value), bytes that are no UTF-8 replaced."""
+    files = spark.read.format("binaryFile").load(paths)
+    return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("value"))
 
 
 def read_games(files: DataFrame, text: str = "value") -> DataFrame:
     """One row for each game of files read as whole texts: headers, moves, evaluations."""
-    games = files.select(F.explode(split_games(F.regexp_replace(text, "\r", ""))).alias("raw"))
-    return games.select("raw", headers(F.col("raw")).alias("headers"), moves(F.col("raw")).alias("moves"), evaluations(F.col("raw")).alias("evals"))
+    games = files.select(F.explode(split_games(F.col(text))).alias("raw"))
+    raw = F.col("raw")
+    return games.select("raw", headers(raw).alias("headers"), moves(raw).alias("moves"), evaluations(raw).alias("evals"))
+
+
+def source_of(address: Column, strict: bool = False) -> Column:
+    """What an address of a play site names: study, chapter or game. Another one is unknown, or stops the job if `strict`."""
+    known = F.when(address.rlike(r"/study/\w{8}/\w{8}"), "chapter").when(address.rlike(r"/study/\w{8}"), "study")
+    known = known.when(address.rlike(r"^https?://[^/]+/\w{8}(\w{4})?([/?#]|$)"), "game")
+    return known.otherwise(F.raise_error(F.concat(F.lit("no game or study: "), address)) if strict else F.lit("unknown"))
 
 
-def source_of(address: Column) -> Column:
-    """What an address of a play site names: study, chapter, game or unknown."""
-    return F.when(address.rlike(r"/study/\w{8}/\w{8}"), "chapter").when(address.rlike(r"/study/\w{8}"), "study").when(address.rlike(r"^https?://[^/]+/\w{8}(\w{4})?([/?#]|$)"), "game").otherwise("unknown")
+def newest_games(games: DataFrame, at: str, order: str, budget: int, wanted: Column) -> DataFrame:
+    """The newest wanted games, month by month, as many as the budget allows."""
+    month = F.date_trunc("month", at)
+    return games.where(wanted).orderBy(F.desc(month), F.desc(at), F.desc(order)).limit(budget)
 
 
 GAMES = "struct<games:array<struct<white:struct<username:string,rating:int>,black:struct<username:string,rating:int>,end_time:bigint,time_class:string>>>"
