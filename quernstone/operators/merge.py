@@ -6,6 +6,8 @@ A merge never needs both sides in one place: both are put under each other with
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -115,3 +117,58 @@ def missing_keys(expected: DataFrame, found: DataFrame, keys: list[str]) -> Data
     """Expected keys that are absent and found keys that nothing expects."""
     there = expected.select(*keys).distinct().withColumn("__e", F.lit(1)).join(found.select(*keys).distinct().withColumn("__f", F.lit(1)), keys, "full")
     return there.where("__e is null or __f is null").select(*keys, F.when(F.col("__f").isNull(), "absent").otherwise("unexpected").alias("problem"))
+
+
+def merge_entities(local: dict[str, DataFrame], cloud: dict[str, DataFrame], rules: dict[str, Callable[[DataFrame, DataFrame], DataFrame]]) -> dict[str, DataFrame]:
+    """Every entity of two snapshots merged by its own rule. An entity that one side lacks is merged with an empty one; without rows it is left out."""
+    out = {}
+    for name, rule in rules.items():
+        sides = [side.get(name) for side in (local, cloud)]
+        known = next((x for x in sides if x is not None), None)
+        if known is None:
+            continue
+        merged = rule(*(known.limit(0) if x is None else x for x in sides))
+        if not merged.isEmpty():
+            out[name] = merged
+    return out
+
+
+def merge_readings(local: DataFrame, cloud: DataFrame, key: str, maps: list[str], last: str, at: str) -> DataFrame:
+    """Per key the union of each map, in which local values win, and the place read last; of equal times the local one.
+
+    Rows: key, the maps, the place `last` and its time `at`, null where nothing was read.
+    """
+    rows = both(local, cloud)
+    newest = F.max_by(F.struct(last, at), F.when(F.col(at).isNotNull(), F.struct(at, -F.col("src"))))
+    entries = [F.collect_list(F.when(F.col(m).isNotNull(), F.struct("src", F.map_entries(m).alias("e")))).alias(m) for m in maps]
+    met = rows.groupBy(key).agg(*entries, newest.alias("x"))  # two rows for a key at most
+    pick = lambda m, s: F.map_from_entries(F.flatten(F.transform(F.filter(m, lambda x: x["src"] == s), lambda x: x["e"])))
+
+    def union(m: str) -> Column:
+        own, other = pick(F.col(m), 0), pick(F.col(m), 1)
+        return F.map_concat(F.map_filter(other, lambda k, _: ~F.map_contains_key(own, k)), own).alias(m)
+
+    return met.select(key, *(union(m) for m in maps), f"x.{last}", f"x.{at}")
+
+
+def dedup_by_place(incoming: DataFrame, stored: DataFrame, place: str, number: str, side: str) -> DataFrame:
+    """Each incoming row with what it repeats: a stored row of the same placement, whatever its side; else an earlier incoming one; or nothing.
+
+    `other` is the number repeated, `clash` tells that the sides to move differ; of several rows that repeat, the least number counts.
+    """
+    there = stored.groupBy(place).agg(F.min(F.struct(F.col(number).alias("n"), F.col(side).alias("s"))).alias("there"))
+    first = incoming.groupBy(place).agg(F.min(number).alias("first"))
+    met = incoming.join(there, place, "left").join(first, place)
+    kind = F.when(F.col("there").isNotNull(), "stored").when(F.col("first") < F.col(number), "incoming").otherwise("new")
+    other = F.when(F.col("there").isNotNull(), F.col("there.n")).when(F.col("first") < F.col(number), F.col("first"))
+    clash = F.coalesce(F.col("there.s") != F.col(side), F.lit(False))
+    return met.select(number, kind.alias("repeats"), other.alias("other"), clash.alias("clash"))
+
+
+def suppressed(sources: list[DataFrame], key: str) -> DataFrame:
+    """All rows of the sources, of which the earlier ones win: later rows with a key that came before are left out."""
+    rows = sources[0].withColumn("src", F.lit(0))
+    for i, more in enumerate(sources[1:], 1):
+        rows = rows.unionByName(more.withColumn("src", F.lit(i)))
+    own = [c for c in rows.columns if c not in (key, "src")]
+    return rows.groupBy(key).agg(F.min_by(F.struct("src", *own), "src").alias("v")).select(key, "v.*")

@@ -22,17 +22,12 @@ def attempts(spark, sf):
     )
 
 
-def few_attempts(spark, sf):
-    """Attempts on every third part only, so that new items are left."""
-    return attempts(spark, sf).where("p_partkey % 3 <> 0 and pmod(t, 5) = 0")
-
-
 def items(spark, sf):
     return table(spark, sf, "part").withColumn("tags", F.split("p_type", " "))
 
 
 def library(spark, sf):
-    return L.statuses(items(spark, sf), few_attempts(spark, sf), "p_partkey")
+    return L.statuses(items(spark, sf), attempts(spark, sf), "p_partkey")
 
 
 def library_status(spark, sf):
@@ -98,7 +93,7 @@ QUERIES = {f.__name__: f for f in (library_status, library_scope, next_item, pag
 
 ATT = """with a as (select l_partkey as p_partkey, l_linestatus = 'F' as rev, l_returnflag <> 'N' as win, l_discount < 0.05 as fair, cast(l_quantity % 4 as int) as mistakes,
     cast(l_shipdate as date) - date '1970-01-01' as t, cast(l_quantity as bigint) as loss, l_linenumber = 7 as stopped from lineitem)"""
-LIB = f"""{ATT}, f as (select * from a where p_partkey % 3 <> 0 and t % 5 = 0), g as (select p_partkey, bool_or(not rev) as tried, bool_or(not rev and win) as won, bool_or(not rev and win and fair and mistakes <= 1) as clean, max(t) as last_try from f group by 1),
+LIB = f"""{ATT}, g as (select p_partkey, bool_or(not rev) as tried, bool_or(not rev and win) as won, bool_or(not rev and win and fair and mistakes <= 1) as clean, max(t) as last_try from a group by 1),
   lib as (select part.*, case when clean then 'clean' when won then 'won' when tried then 'fail' else 'new' end as status, last_try from part left join g using (p_partkey))"""
 CARDS = """with r as (select user_id || '-' || event_type as card, ts, event_id, cast(ts as date) as day, value < 60 as good from events),
   m as (select *, coalesce(sum(case when good then 0 else 1 end) over (partition by card order by ts, event_id rows between 1 following and unbounded following), 0) as fails_after from r),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import merge as M
@@ -58,8 +61,9 @@ def ordered_union(spark, sf):
 
 
 def halves(spark, sf):
+    """Odd keys and every fourth one are stored, even ones come in: together they are all orders, and some are in both."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
-    return o.where("o_orderkey % 3 <> 0"), o.where("o_orderkey % 2 = 0").withColumn("o_orderstatus", F.lit("U"))
+    return o.where("o_orderkey % 2 = 1 or o_orderkey % 4 = 0"), o.where("o_orderkey % 2 = 0").withColumn("o_orderstatus", F.lit("U"))
 
 
 def upsert_latest(spark, sf):
@@ -96,7 +100,9 @@ def tiered_lookup(spark, sf):
 
 
 def dedup_exact(spark, sf):
-    return M.keep_first(table(spark, sf, "documents"), ["text"], "doc_id").select("doc_id", "copies")
+    """Texts are told apart by digest and length, so that no text is shuffled."""
+    rows = table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text"), 256).alias("digest"), F.length("text").alias("size"))
+    return M.keep_first(rows, ["digest", "size"], "doc_id").select("doc_id", "copies")
 
 
 def except_fallback(spark, sf):
@@ -126,15 +132,76 @@ def completeness(spark, sf):
     return M.missing_keys(expected, customers.where("c_acctbal > 8000"), ["n_name", "c_mktsegment"])
 
 
-QUERIES = {f.__name__: f for f in (stats_merge, progress_merge, override_merge, latest_merge, nested_merge, progress_diff, ordered_union, upsert_latest, insert_if_absent, cap_history, drop_sources, publish_renumber, anti_join_resume, tiered_lookup, dedup_exact, except_fallback, zip_prefix, override_cells, completeness)}
+def reading_merge(spark, sf):
+    """What users read on two devices: the last value of each type as a map, and the place read last."""
+    sides = []
+    for k in (0, 1):
+        rows = M.keep_latest(events(spark, sf).where(F.col("event_id") % 2 == k), ["user_id", "event_type"], [F.desc("event_id")], 1)
+        done = F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", (F.col("event_id") % 100).cast("int").alias("v")))))
+        newest = F.max_by(F.struct(F.col("event_type").alias("place"), F.dayofmonth("day").alias("t")), F.struct(F.dayofmonth("day"), "event_id"))
+        sides.append(rows.groupBy("user_id").agg(done.alias("done"), newest.alias("x")).select("user_id", "done", "x.place", "x.t"))
+    merged = M.merge_readings(*sides, "user_id", ["done"], "place", "t")
+    flat = F.array_join(F.transform(F.array_sort(F.map_entries("done")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return merged.select("user_id", flat.alias("done"), "place", "t")
+
+
+def snapshot_merge(spark, sf):
+    """Entities of two snapshots by their own rules: days by maxima, settings of the device, names by union; one has no rows, one is on one side only."""
+    local_days, cloud_days = snapshots(spark, sf)
+    names = lambda t, c, o: table(spark, sf, t).select(F.col(c).alias("name"), F.col(o).alias("ord"))
+    settings = table(spark, sf, "nation").select(F.col("n_regionkey").alias("k"), F.col("n_name").alias("v"), "n_nationkey")
+    own, other = (M.keep_latest(settings.where(f"n_nationkey % 2 = {i}"), ["k"], [F.desc("n_nationkey")], 1).select("k", "v") for i in (0, 1))
+    local = {"days": local_days, "names": names("customer", "c_mktsegment", "c_custkey"), "settings": own, "notes": own.limit(0)}
+    cloud = {"days": cloud_days, "settings": other, "notes": other.limit(0)}
+    rules = {
+        "days": lambda a, b: M.merge_greatest(a, b, ["user_id", "day"], ["click", "view", "purchase"]),
+        "names": lambda a, b: M.ordered_union(a, b, "name", "ord"),
+        "settings": lambda a, b: M.merge_override(a, b, ["k"], ["v"]),
+        "notes": lambda a, b: M.merge_override(a, b, ["k"], ["v"]),
+        "reps": lambda a, b: M.merge_override(a, b, ["k"], ["v"]),
+    }
+    merged = M.merge_entities(local, cloud, rules)
+    keys = {"days": F.concat_ws("/", F.col("user_id").cast("string"), F.col("day").cast("string")), "names": F.col("name"), "settings": F.col("v")}
+    parts = [frame.select(F.lit(name).alias("entity"), keys[name].alias("item")) for name, frame in merged.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def placement_dedup(spark, sf):
+    """Suppliers come in, parts are stored; sizes and numbers stand for placements (a stored one is even), parity for the side to move."""
+    incoming = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("n"), (F.col("s_suppkey") % 70).cast("int").alias("pl"), (F.col("s_suppkey") % 3 % 2).alias("side"))
+    stored = table(spark, sf, "part").select(F.col("p_partkey").alias("n"), (F.col("p_size") * 2).alias("pl"), (F.col("p_partkey") % 2).alias("side"))
+    return M.dedup_by_place(incoming, stored, "pl", "n", "side")
+
+
+def seed_union(spark, sf):
+    """Suppliers as the seed set, customers as what was added: of equal numbers the seed's stays."""
+    seed = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    added = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return M.suppressed([seed, added], "id")
+
+
+QUERIES = {f.__name__: f for f in (reading_merge, snapshot_merge, placement_dedup, seed_union, stats_merge, progress_merge, override_merge, latest_merge, nested_merge, progress_diff, ordered_union, upsert_latest, insert_if_absent, cap_history, drop_sources, publish_renumber, anti_join_resume, tiered_lookup, dedup_exact, except_fallback, zip_prefix, override_cells, completeness)}
 
 E = "with e as (select *, cast(ts as date) as day from events)"
 SNAP = f"""{E}, s as (select event_id % 2 as src, user_id, day, count(*) filter (event_type = 'click') as click, count(*) filter (event_type = 'view') as view,
     count(*) filter (event_type = 'purchase') as purchase from e group by all)"""
 TOUCH = f"""{E}, k as (select event_id % 2 as src, user_id, event_type, day_of_month as last, value, row_number() over (partition by event_id % 2, user_id, event_type order by day_of_month desc, event_id desc) as n
     from (select *, dayofmonth(day) as day_of_month from e)), t as (select src, user_id, event_type, cast(last as int) as last, round(value, 2) as value from k where n = 1)"""
-HALVES = "with a as (select o_orderkey, o_custkey, o_orderstatus, o_totalprice from orders where o_orderkey % 3 <> 0), b as (select o_orderkey, o_custkey, 'U' as o_orderstatus, o_totalprice from orders where o_orderkey % 2 = 0)"
+HALVES = "with a as (select o_orderkey, o_custkey, o_orderstatus, o_totalprice from orders where o_orderkey % 2 = 1 or o_orderkey % 4 = 0), b as (select o_orderkey, o_custkey, 'U' as o_orderstatus, o_totalprice from orders where o_orderkey % 2 = 0)"
 SQL = {
+    "reading_merge": f"""{E}, k as (select *, event_id % 2 as src, row_number() over (partition by event_id % 2, user_id, event_type order by event_id desc) as n from e), l as (select * from k where n = 1),
+        m as (select user_id, event_type, arg_min(event_id % 100, src) as v from l group by all), j as (select user_id, string_agg(event_type || '=' || v, ',' order by event_type) as done from m group by 1),
+        p as (select user_id, event_type as place, cast(dayofmonth(day) as int) as t, row_number() over (partition by user_id order by dayofmonth(day) desc, src, event_id desc) as r from l)
+        select user_id, done, place, t from j join p using (user_id) where r = 1""",
+    "snapshot_merge": f"""{SNAP}, s2 as (select user_id, day from s group by all having greatest(max(click), max(view), max(purchase)) > 0),
+        n as (select n_regionkey, n_nationkey % 2 as src, arg_max(n_name, n_nationkey) as v from nation group by all)
+        select 'days' as entity, user_id || '/' || day as item from s2 union all select distinct 'names', trim(c_mktsegment) from customer where trim(c_mktsegment) <> ''
+        union all select 'settings', arg_min(v, src) from n group by n_regionkey""",
+    "placement_dedup": """with i as (select s_suppkey as n, s_suppkey % 70 as pl, s_suppkey % 3 % 2 as side from supplier), s as (select p_size * 2 as pl, min(p_partkey) as n, arg_min(p_partkey % 2, p_partkey) as side from part group by 1),
+        f as (select pl, min(n) as first from i group by 1)
+        select i.n, case when s.n is not null then 'stored' when first < i.n then 'incoming' else 'new' end as repeats, case when s.n is not null then s.n when first < i.n then first end as other, coalesce(s.side <> i.side, false) as clash
+        from i left join s using (pl) join f using (pl)""",
+    "seed_union": "select s_suppkey as id, 0 as src, s_name as name from supplier union all select c_custkey, 1, c_name from customer where c_custkey not in (select s_suppkey from supplier)",
     "stats_merge": f"{SNAP} select user_id, day, max(click) as click, max(view) as view, max(purchase) as purchase from s group by all having greatest(max(click), max(view), max(purchase)) > 0",
     "progress_merge": """with s as (select l_orderkey % 2 as src, p_brand as book, p_partkey as n, max(case when l_returnflag = 'R' then 1 else 0 end) as solved, max(cast(l_quantity % 4 as int)) as stars,
         count(*) filter (l_discount > 0.08) as errs from lineitem join part on l_partkey = p_partkey group by all)
