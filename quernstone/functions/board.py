@@ -95,3 +95,15 @@ def passed_pawn(cells: Column) -> Column:
     at = lambda i: F.substring(cells, i + 1, F.lit(1))
     black = F.filter(squares, lambda j: at(j) == "p")
     return F.exists(F.filter(squares, lambda i: at(i) == "P"), lambda i: ~F.exists(black, lambda j: (F.floor(j / 8) < F.floor(i / 8)) & (F.abs(j % 8 - i % 8) <= 1)))
+
+
+def breach_cost(cells: Column) -> Column:
+    """A weighted count of what breaks the rules: kings, pawns, pawns on the outer ranks, men, queens beyond lost pawns."""
+    outer = F.concat(F.substring(cells, 1, 8), F.substring(cells, 57, 8))
+    cost = 4 * F.regexp_count(outer, F.lit("[pP]"))
+    over = lambda n: F.greatest(F.lit(0), n)
+    for king, queen, pawn, any_man in (("K", "Q", "P", "[KQRBNP]"), ("k", "q", "p", "[kqrbnp]")):
+        lost = over(8 - men(cells, pawn))
+        cost = cost + 10 * F.abs(men(cells, king) - 1) + 3 * over(men(cells, pawn) - 8)
+        cost = cost + 2 * over(F.regexp_count(cells, F.lit(any_man)) - 16) + 2 * over(men(cells, queen) - 1 - lost)
+    return cost

@@ -1,18 +1,25 @@
-"""Vectors held against class means, templates and a stated set of queries; trees walked by joins.
+"""Vectors held against class means, templates and a stated set of queries; exact quantiles; trees walked by joins.
 
-Templates are one mean for each class and colour, and a query set is stated by the caller: those sides are the
-small ones. Class means join by class key; the number of classes is checked before it is broadcast.
+Means and templates are few (one for each class and colour): up to MOST_CLASSES of them travel as one array with
+each row, in which the nearest is found in place. More of them, and nearest rows of a query set of any size, are
+compared block by block, each block of queries with each block of rows in a task of its own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..scratch import Scratch, settled
 
-MOST_CLASSES = 10_000
+MOST_CLASSES = 2_000
+BLOCK = 4096  # vectors of a block
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -22,37 +29,156 @@ def distance(a: Column, b: Column) -> Column:
 
 def class_means(rows: DataFrame, group: str, vector: str) -> DataFrame:
     """The mean vector of each class, summed by component: parts meet before the shuffle."""
-    parts = rows.select(group, F.posexplode(vector).alias("at", "x")).groupBy(group, "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return parts.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("mean"), F.count("*").alias("size"))
-
-
-def small(frame: DataFrame, most: int = MOST_CLASSES) -> DataFrame:
-    """frame marked for broadcast if it has no more rows than `most`, unmarked otherwise."""
-    return F.broadcast(frame) if frame.limit(most + 1).count() <= most else frame
+    places = rows.select(group, F.posexplode(vector).alias("at", "x"))
+    parts = places.groupBy(group, "at").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count("*").alias("n"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"])
+    return parts.groupBy(group).agg(in_order.alias("mean"), F.max("n").alias("size"))
 
 
 def nearest_class(rows: DataFrame, means: DataFrame, key: str, vector: str, group: str) -> DataFrame:
     """The nearest class, and by how much nearer than the second: (d2 - d1) / d2."""
-    held = rows.select(key, vector).crossJoin(small(means.select(F.col(group).alias("__class"), "mean")))
-    best = held.select(key, "__class", distance(F.col(vector), F.col("mean")).alias("d")).groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "__class"))), 1, 2).alias("two"))
+    few = means.select(group, "mean").limit(MOST_CLASSES + 1).count() <= MOST_CLASSES
+    if few:
+        every = means.agg(F.collect_list(F.struct(F.col(group).alias("c"), "mean")).alias("__means"))
+        held = rows.select(key, vector).crossJoin(F.broadcast(every))
+        far = F.transform("__means", lambda m: F.struct(distance(F.col(vector), m["mean"]).alias("d"), m["c"].alias("c")))
+        best = held.select(key, F.slice(F.array_sort(far), 1, 2).alias("two"))
+    else:
+        near = nearest_rows(rows.select(key, vector), means.select(F.col(group).alias("__c"), F.col("mean").alias(vector)), key, vector, 2, row_key="__c")
+        best = near.groupBy(F.col("q_key").alias(key)).agg(F.array_sort(F.collect_list(F.struct("d", F.col("__c").alias("c")))).alias("two"))
+    first, second = F.get("two", F.lit(0)), F.get("two", F.lit(1))
+    margin = (second["d"] - first["d"]) / F.greatest(second["d"], F.lit(1e-9))
+    return best.select(key, first["c"].alias("nearest"), F.round(margin, 6).alias("margin"))
+
+
+def templates(rows: DataFrame, group: str, shade: str, vector: str, share: float = 0.9) -> DataFrame:
+    """The mean vector of each class and colour, of the members whose distance from the class mean is within the share's rank.
+
+    The rank is the nearest one (a member's own distance, not a point between two), found by Spark's mergeable sketch.
+    """
+    means = class_means(rows, group, vector).select(group, "mean")
+    far = rows.join(means, group).withColumn("__d", distance(F.col(vector), F.col("mean"))).drop("mean")
+    most = far.groupBy(group).agg(F.percentile_approx("__d", share, 100_000).alias("__most"))
+    kept = far.join(most, group).where(F.col("__d") <= F.col("__most"))
+    both = F.struct(F.col(group).alias("c"), F.col(shade).alias("s"))
+    return class_means(kept.withColumn("__both", both), "__both", vector).select(F.col("__both.c").alias(group), F.col("__both.s").alias(shade), "mean", "size")
+
+
+def shifted(vector: Column, by: int) -> Column:
+    """The vector moved on by so many places; what comes in at an end repeats the end."""
+    n = F.size(vector)
+    return F.transform(vector, lambda x, i: F.get(vector, F.greatest(F.lit(0), F.least(n - 1, i - by))))
+
+
+def match_templates(rows: DataFrame, found: DataFrame, key: str, vector: str, group: str, shade: str, most_shift: int = 4) -> DataFrame:
+    """The nearest template of the row's colour, each held to the row in all its shifts, with its distance and the margin to the next.
+
+    One row for each colour has all its templates, so a row meets them by a join on colour and needs no shuffle after it.
+    """
+    moves = range(-most_shift, most_shift + 1)
+    in_all = found.select(shade, F.struct(F.col(group).alias("c"), F.array(*(shifted(F.col("mean"), m) for m in moves)).alias("shifts")).alias("t"))
+    banks = in_all.groupBy(shade).agg(F.collect_list("t").alias("bank"))
+    near = lambda t: F.array_min(F.transform(t["shifts"], lambda m: distance(F.col(vector), m)))
+    far = F.transform("bank", lambda t: F.struct(near(t).alias("d"), t["c"].alias("c")))
+    two = F.slice(F.array_sort(far), 1, 2)
+    best = rows.select(key, shade, vector).join(F.broadcast(banks) if found.count() <= MOST_CLASSES else banks, shade).select(key, two.alias("two"))
     first, second = F.get("two", F.lit(0)), F.get("two", F.lit(1))
-    return best.select(key, first["__class"].alias("nearest"), F.round((second["d"] - first["d"]) / F.greatest(second["d"], F.lit(1e-9)), 6).alias("margin"))
+    margin = (second["d"] - first["d"]) / F.greatest(second["d"], F.lit(1e-9))
+    return best.select(key, first["c"].alias("nearest"), first["d"].alias("d"), margin.alias("margin"))
+
+
+def nearest_rows(
+    queries: DataFrame, rows: DataFrame, key: str, vector: str, most: int, apart: tuple[str, ...] = (), alike: tuple[str, ...] = (), carry: tuple[str, ...] = (), row_key: str = ""
+) -> DataFrame:
+    """The `most` nearest rows of each query, exactly, with n (1: nearest) and d.
+
+    Columns of `apart` must differ between query and row, those of `alike` must be equal. Queries and rows are dealt
+    into blocks, each pair of which meets in one task and keeps its best; only those are compared further.
+    """
+    row_key = row_key or key
+    more = list(dict.fromkeys([*apart, *alike, *carry]))
+    more = [c for c in more if c not in (key, row_key)]
+    whole = {n: int(f.count()) for n, f in (("q", queries), ("r", rows))}
+    parts = {n: max(1, -(-count // BLOCK)) for n, count in whole.items()}
+    kinds = dict(rows.dtypes)
+
+    def dealt(frame: DataFrame, own: str, other: str, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64(name), F.lit(parts[own])).cast("int").alias(own)
+        copies = F.explode(F.sequence(F.lit(0), F.lit(parts[other] - 1))).alias(other)
+        return frame.select(F.lit(own).alias("side"), F.col(name).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), *more, block, copies)
+
+    met = dealt(queries, "q", "r", key).unionByName(dealt(rows, "r", "q", row_key))
+    fields = [f"q_{c}" for c in more] + more
+    schema = f"q_key {dict(queries.dtypes)[key]}, {row_key} {kinds[row_key]}, " + "".join(f"{f} {kinds[f.removeprefix('q_')]}, " for f in fields) + "d double"
+
+    def compare(table: pa.Table) -> pa.Table:
+        sides = [table.filter(pa.compute.equal(table["side"], s)) for s in ("q", "r")]
+        (q_ids, r_ids), (q, r) = ([t["id"].to_numpy() for t in sides], [np.array(t["v"].to_pylist(), np.float64) for t in sides])
+        values = [{c: t[c].to_numpy() for c in more} | {key: t["id"].to_numpy(), row_key: t["id"].to_numpy()} for t in sides]
+        took: list[np.ndarray] = []
+        of: list[np.ndarray] = []
+        far: list[np.ndarray] = []
+        for i in range(len(q_ids)):
+            ok = np.ones(len(r_ids), bool)
+            for c in apart:
+                ok &= values[1][c] != values[0][c][i]
+            for c in alike:
+                ok &= values[1][c] == values[0][c][i]
+            at = np.flatnonzero(ok)
+            d = ((r[at] - q[i]) ** 2).sum(1) if len(at) else np.empty(0)
+            best = np.lexsort((r_ids[at], d))[:most]
+            took.append(at[best])
+            of.append(np.full(len(best), i))
+            far.append(d[best])
+        took_all, of_all, far_all = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (took, of, far))
+        take = lambda t, name, at: t[name].take(pa.array(at, pa.int64()))
+        columns = [take(sides[0], "id", of_all), take(sides[1], "id", took_all)]
+        columns += [take(sides[0], c, of_all) for c in more] + [take(sides[1], c, took_all) for c in more]
+        return pa.table([*columns, pa.array(far_all, pa.float64())], names=["q_key", row_key, *fields, "d"])
+
+    by_block = met.groupBy("q", "r").applyInArrow(compare, schema)
+    ranked = by_block.withColumn("n", F.row_number().over(W.partitionBy("q_key").orderBy("d", row_key)))  # `most` rows for each block of rows
+    return ranked.where(F.col("n") <= most)
 
 
-def nearest_rows(queries: DataFrame, rows: DataFrame, key: str, vector: str, keep: Column, carry: list[str], most: int, blocks: int = 16) -> DataFrame:
-    """The `most` nearest rows of each query, exactly: the rows are scanned in blocks, each of which keeps its best for a query first."""
-    q = queries.select(F.col(key).alias("q_key"), F.col(vector).alias("q_vector"), *(F.col(c).alias(f"q_{c}") for c in carry))
-    pairs = rows.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(blocks))).crossJoin(small(q)).where(keep)
-    found = pairs.select("__block", "q_key", *(f"q_{c}" for c in carry), key, *carry, distance(F.col("q_vector"), F.col(vector)).alias("d"))
-    by_block = found.withColumn("n", F.row_number().over(W.partitionBy("q_key", "__block").orderBy("d", key))).where(F.col("n") <= most).drop("n", "__block")
-    return by_block.withColumn("n", F.row_number().over(W.partitionBy("q_key").orderBy("d", key))).where(F.col("n") <= most)
+def exact_quantiles(rows: DataFrame, value: str, shares: dict[str, float], groups: tuple[str, ...] = ()) -> DataFrame:
+    """Quantiles of a column, in each group, between two neighbours where the place is no whole number. Nulls don't count.
+
+    The values are written in order in many parts; counts of the parts tell in which one, and where there, a rank is.
+    So no task holds more than a part, however large a group is.
+    """
+    spark = rows.sparkSession
+    keys = list(groups)
+    with Scratch(spark) as scratch:
+        parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        given = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+        dealt = scratch.settled(given.repartitionByRange(parts, *keys, "__v").withColumn("__part", F.spark_partition_id()), "ordered")
+        sizes = dealt.groupBy(*keys, "__part").agg(F.count("*").alias("size"))
+        by = W.partitionBy(*keys).orderBy("__part")  # a row for each part
+        sizes = sizes.withColumn("before", F.sum("size").over(by) - F.col("size"))
+        sizes = scratch.settled(sizes.withColumn("n", F.sum("size").over(W.partitionBy(*keys))), "sizes")
+        place = lambda p: p * (F.col("n") - 1)
+        held = [f(place(p)) for p in shares.values() for f in (F.floor, F.ceil)]
+        inside = lambda rank: (rank >= F.col("before")) & (rank < F.col("before") + F.col("size"))
+        wanted = sizes.where(sum((inside(r).cast("int") for r in held), F.lit(0)) > 0)
+        same = F.lit(True)
+        for k in [*keys, "__part"]:
+            same = same & F.col(f"d.{k}").eqNullSafe(F.col(f"w.{k}"))
+        found = dealt.alias("d").join(wanted.alias("w"), same).select(*(F.col(f"d.{k}").alias(k) for k in [*keys, "__part"]), "__v", "before", "n")
+        ranked = found.withColumn("rank", F.col("before") + F.row_number().over(W.partitionBy(*keys, "__part").orderBy("__v")) - 1)
+        out = []
+        for name, p in shares.items():
+            low, high = (F.max(F.when(F.col("rank") == f(place(p)), F.col("__v"))) for f in (F.floor, F.ceil))
+            out.append((low + (high - low) * F.max(place(p) - F.floor(place(p)))).alias(name))
+        return settled(ranked.groupBy(*keys).agg(*out, F.max("n").alias("n")), "quantiles")
 
 
 def vote(neighbours: DataFrame, label: str, majority: int) -> DataFrame:
     """Queries whose neighbours agree on another label than their own."""
     counts = neighbours.groupBy("q_key", f"q_{label}", label).agg(F.count("*").alias("votes"))
     top = counts.groupBy("q_key", f"q_{label}").agg(F.max(F.struct("votes", (-F.col(label)).alias("o"))).alias("x"))
-    return top.where((F.col("x.votes") >= majority) & (-F.col("x.o") != F.col(f"q_{label}"))).select("q_key", F.col(f"q_{label}").alias("was"), (-F.col("x.o")).alias("becomes"), "x.votes")
+    other = (F.col("x.votes") >= majority) & (-F.col("x.o") != F.col(f"q_{label}"))
+    return top.where(other).select("q_key", F.col(f"q_{label}").alias("was"), (-F.col("x.o")).alias("becomes"), "x.votes")
 
 
 def path_to_root(nodes: DataFrame, node: str, parent: str) -> DataFrame:
@@ -75,3 +201,78 @@ def path_to_root(nodes: DataFrame, node: str, parent: str) -> DataFrame:
 def first_children(nodes: DataFrame, node: str, parent: str, main: Column) -> DataFrame:
     """The child that goes on with the main line, for each node that has one: the least marked child."""
     return nodes.where(main & F.col(parent).isNotNull()).groupBy(parent).agg(F.min(node).alias("next"))
+
+
+def total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x)
+
+
+def with_all(numbers: Column, one: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """f of each number and one value, which is worked out once for the row."""
+    return F.zip_with(numbers, F.array_repeat(one, F.size(numbers)), f)
+
+
+def z_scores(vector: Column, least: float = 1e-6) -> Column:
+    """The vector with mean 0 and deviation 1."""
+    numbers, n = F.transform(vector, lambda x: x.cast("double")), F.size(vector)
+    apart = with_all(numbers, total(numbers) / n, lambda x, mean: x - mean)
+    return with_all(apart, F.sqrt(total(F.transform(apart, lambda x: x * x)) / n), lambda x, spread: x / (spread + least))
+
+
+def stretched(cells: Column, background: Column, share: float = 0.02, least: float = 30.0) -> Column:
+    """Cells between their dark end (a low quantile) and the background, as numbers from 0 to 1."""
+    numbers = F.transform(cells, lambda x: x.cast("double"))
+    at = share * (F.size(cells) - 1)
+    low, high = (F.get(F.array_sort(numbers), f(at).cast("int")) for f in (F.floor, F.ceil))
+    dark = low + (high - low) * (at - F.floor(at))
+    above = with_all(numbers, dark, lambda x, d: (x - d) / F.greatest(background - d, F.lit(least)))
+    return F.transform(above, lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+
+
+def centre_of_mass(ink: Column, width: int) -> tuple[Column, Column]:
+    """Row and column of the centre of mass of a picture, row after row."""
+    weigh = lambda place: total(F.transform(ink, lambda x, i: x * place(i))) / total(ink)
+    return weigh(lambda i: F.floor(i / width)), weigh(lambda i: i % width)
+
+
+def board_quality(matched: DataFrame, board: str) -> DataFrame:
+    """The worst and the summed distance of each board's cells from their templates, and its least margin."""
+    worst, summed = F.round(F.max("d"), 5).alias("worst"), F.round(F.sum("d"), 4).alias("total")
+    return matched.groupBy(board).agg(worst, summed, F.round(F.min("margin"), 3).alias("least_margin"))
+
+
+def telling_places(means: DataFrame, group: str, one: object, other: object, most: int) -> DataFrame:
+    """The places at which one mean exceeds the other most, of equals the first."""
+    both = means.agg(*(F.max(F.when(F.col(group) == g, F.col("mean"))).alias(n) for g, n in ((one, "a"), (other, "b"))))
+    far = F.transform(F.zip_with("a", "b", lambda x, y: x - y), lambda d, i: F.struct((-d).alias("o"), i.alias("at")))
+    return both.select(F.transform(F.slice(F.array_sort(far), 1, most), lambda x: x["at"]).alias("places"))
+
+
+def dense_there(rows: DataFrame, places: DataFrame, vector: str, threshold: float) -> DataFrame:
+    """Rows with `density`, their mean at the places, and whether it is over the threshold."""
+    there = F.transform("places", lambda i: F.get(vector, i).cast("double"))
+    held = rows.crossJoin(F.broadcast(places)).withColumn("density", total(there) / F.size("places"))
+    return held.withColumn("dense", F.col("density") > threshold).drop("places")
+
+
+def frames_of_ten(shapes: DataFrame, page: str, order: list[str]) -> DataFrame:
+    """Boards drawn as ten shapes in a row: thin, eight tall ones, thin, all between the same edges and downwards. Rows: page, x0, x1, y0, y1.
+
+    A thin shape that ends one board doesn't begin another.
+    """
+    by = W.partitionBy(page).orderBy(*order)
+    ahead = by.rowsBetween(0, 9)
+    inner = by.rowsBetween(1, 8)
+    height = F.col("y1") - F.col("y0")
+    rows = shapes.withColumn("at", F.row_number().over(by)).withColumn("h", height).withColumn("down", F.coalesce(F.col("y0") > F.lag("y0").over(by), F.lit(False)))
+    near = lambda x: (F.max(x).over(ahead) - F.col(x) < 1.5) & (F.col(x) - F.min(x).over(ahead) < 1.5)
+    tall = (F.min("h").over(inner) > 8) & (F.max("h").over(inner) < 25) & (F.count("*").over(ahead) == 10)
+    thin = (F.col("h") < 2) & (F.lead("h", 9).over(by) < 2)
+    falls = F.min(F.col("down").cast("int")).over(by.rowsBetween(1, 9)) == 1
+    rows = rows.withColumn("starts", tall & thin & near("x0") & near("x1") & falls).withColumn("bottom", F.lead("y1", 9).over(by))
+    starts = rows.where("starts")
+    chained = F.coalesce(F.col("at") - F.lag("at").over(W.partitionBy(page).orderBy("at")) == 9, F.lit(False))
+    chain = W.partitionBy(page).orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    numbered = starts.withColumn("chained", chained).withColumn("chain", F.sum((~F.col("chained")).cast("int")).over(chain))
+    turn = F.row_number().over(W.partitionBy(page, "chain").orderBy("at"))
+    return numbered.withColumn("turn", turn).where("turn % 2 = 1").select(page, "x0", F.col("y0").alias("top"), "x1", "bottom")

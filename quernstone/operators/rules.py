@@ -97,3 +97,90 @@ def mixed_fen(text: Column) -> Column:
     fields = F.filter(F.split(F.trim(rest), " "), lambda x: x != "")
     filled = lambda i, default: F.coalesce(F.get(fields, F.lit(i)), F.lit(default))
     return F.when(placement != "", F.concat_ws(" ", placement, filled(0, "w"), filled(1, "-"), filled(2, "-"), filled(3, "0"), filled(4, "1")))
+
+
+def own_reason(me: str, white: str, black: str, variant: str, base: Column, plies: Column, least: int) -> Column:
+    """Why a game is not looked at when one's own games are wanted, whatever their result: the first rule that holds, null if none."""
+    same = lambda c: F.coalesce(F.lower(c) == me.lower(), F.lit(False))
+    odd = F.coalesce((F.col(variant) != "") & ~F.contains(F.lower(variant), F.lit("standard")), F.lit(False))
+    found = F.when(~same(white) & ~same(black), "not one's own").when(odd, "other rules")
+    return found.when(F.coalesce(base < 600, F.lit(False)), "fast").when(plies < 2 * least, "short")
+
+
+def missed(mine: Column, result: Column, hero_white: Column, tags: Column) -> tuple[Column, Column]:
+    """Whether the hero of an own game did not win it, and the tags with one that says so."""
+    won = F.when(hero_white, result == "1-0").otherwise(result == "0-1")
+    lost_it = mine & ~F.coalesce(won, F.lit(False))
+    return lost_it, F.when(lost_it, F.concat(tags, F.array(F.lit("missed")))).otherwise(tags)
+
+
+def sections_of(moves: Column, mates: Column, black: Column) -> Column:
+    """All sections that an exercise belongs to, by what it is like; they overlap."""
+    own = F.floor((moves + 1) / 2)
+    rules = (("mate", mates), ("one", own == 1), ("two", own == 2), ("three", own == 3), ("long", own >= 4), ("black", black))
+    return F.array_compact(F.array(*(F.when(rule, name) for name, rule in rules)))
+
+
+def little_advantage(mate: Column, cp: Column, limit: int = 150) -> Column:
+    """No mate, and an evaluation that is known and small."""
+    return mate.isNull() & F.coalesce(cp < limit, F.lit(False))
+
+
+def parted(rows: DataFrame, accepted: Column) -> tuple[DataFrame, DataFrame]:
+    """The accepted rows and the others; a rule that gives null accepts nothing."""
+    rule = F.coalesce(accepted, F.lit(False))
+    return rows.where(rule), rows.where(~rule)
+
+
+def last_symbols(plies: Column, mate: Column, cp: Column, limit: int = 300) -> Column:
+    """A symbol for each ply: what the evaluation says at the last one, nothing before."""
+    symbol = F.when(mate.isNotNull(), "#").when(cp >= limit, "+−").when(cp <= -limit, "−+").otherwise("")
+    return F.transform(F.sequence(F.lit(1), plies), lambda i: F.when(i == plies, symbol).otherwise(""))
+
+
+def place_counts(left: DataFrame, right: DataFrame, group: str) -> DataFrame:
+    """How many the left and the right have in each group, and whether the counts differ."""
+    a, b = (x.groupBy(group).agg(F.count("*").alias(n)) for x, n in ((left, "left_n"), (right, "right_n")))
+    met = a.join(b, group, "full").select(group, *(F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("left_n", "right_n")))
+    return met.withColumn("mismatch", F.col("left_n") != F.col("right_n"))
+
+
+def match_by_label_or_place(boards: DataFrame, tags: DataFrame, group: str, board: str, tag: str, label: str) -> DataFrame:
+    """Tags with boards: by the order of their labels in groups where all tags have one and counts agree, else by place.
+
+    A label is a column of numbers, null where it could not be read.
+    """
+    by = W.partitionBy(group)
+    a = boards.withColumn("place", F.row_number().over(by.orderBy(board)))
+    sizes = boards.groupBy(group).agg(F.count("*").alias("boards"))
+    b = tags.withColumn("all_read", F.bool_and(F.col(label).isNotNull()).over(by)).withColumn("tags", F.count("*").over(by)).join(sizes, group, "left")
+    by_label, by_place = (F.row_number().over(by.orderBy(*o)) for o in ((label, tag), (tag,)))
+    named = F.col("all_read") & F.coalesce(F.col("tags") == F.col("boards"), F.lit(False))
+    return b.withColumn("place", F.when(named, by_label).otherwise(by_place)).join(a, [group, "place"], "left").select(group, tag, board, named.alias("by_label"))
+
+
+def game_ends(plies: DataFrame, game: str, order: str) -> DataFrame:
+    """The first ply at which a game ends, and why. Rows: position, clock (half moves), moves_left, in_check, too_little.
+
+    The rules stand in order: mate, stalemate, third repetition, fifty moves, too little material.
+    """
+    seen = F.count("*").over(W.partitionBy(game, "position").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    rows = plies.withColumn("__seen", seen)
+    stuck = F.col("moves_left") == 0
+    why = F.when(stuck & F.col("in_check"), "mate").when(stuck, "stalemate").when(F.col("__seen") >= 3, "repetition")
+    why = why.when(F.col("clock") >= 100, "fifty moves").when(F.col("too_little"), "material")
+    return rows.withColumn("why", why).where("why is not null").groupBy(game).agg(F.min(F.struct(F.col(order).alias("at"), "why")).alias("x")).select(game, "x.*")
+
+
+def export_rows(positions: DataFrame, kept: DataFrame, margins: DataFrame, key: str) -> DataFrame:
+    """Positions for export: whether they repeat something kept elsewhere, and the least margin of their cells."""
+    least = margins.groupBy(key).agg(F.round(F.min("margin"), 3).alias("minmargin"))
+    new = kept.select(key).distinct().withColumn("__new", F.lit(True))
+    return positions.join(new, key, "left").join(least, key, "left").withColumn("dup", F.col("__new").isNull()).drop("__new")
+
+
+def filled(rows: DataFrame, defaults: dict[str, object]) -> DataFrame:
+    """Missing fields get their defaults, columns that are not there at all too."""
+    for name, value in defaults.items():
+        rows = rows.withColumn(name, F.coalesce(name, F.lit(value)) if name in rows.columns else F.lit(value))
+    return rows

@@ -16,8 +16,10 @@ def glue(rows: DataFrame, key: str, order: str, starts: Column, text: str) -> Da
     """Paragraphs from pieces: a piece that starts none goes on the one before; a hyphen at a piece's end is dropped with the gap."""
     by = W.partitionBy(key).orderBy(order)
     numbered = rows.withColumn("first", starts | (F.row_number().over(by) == 1)).withColumn("part", F.sum(F.col("first").cast("int")).over(by.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    joined = numbered.groupBy(key, "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\n").alias("joined"), F.count("*").alias("pieces"))
-    return joined.select(key, F.col("part").cast("long").alias("part"), F.translate(F.replace("joined", F.lit("-\n"), F.lit("")), "\n", " ").alias("text"), "pieces")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text])
+    joined = numbered.groupBy(key, "part").agg(F.array_join(in_order, "\n").alias("joined"), F.count("*").alias("pieces"))
+    whole = F.translate(F.replace("joined", F.lit("-\n"), F.lit("")), "\n", " ").alias("text")
+    return joined.select(key, F.col("part").cast("long").alias("part"), whole, "pieces")
 
 
 def spans(segments: DataFrame, key: str, order: str, text: str) -> DataFrame:
@@ -27,13 +29,19 @@ def spans(segments: DataFrame, key: str, order: str, text: str) -> DataFrame:
 
 
 def strip_brackets(text: Column) -> Column:
-    """The text outside round and square brackets, however deep; a closing bracket without an opening one is dropped."""
-    def step(acc: Column, c: Column) -> Column:
-        opens, closes = c.isin("(", "["), c.isin(")", "]")
-        depth = F.when(opens, acc["depth"] + 1).when(closes, F.greatest(F.lit(0), acc["depth"] - 1)).otherwise(acc["depth"])
-        return F.struct(depth.alias("depth"), F.when(~opens & ~closes & (acc["depth"] == 0), F.concat(acc["out"], c)).otherwise(acc["out"]).alias("out"))
+    """The text outside round and square brackets, however deep; a closing bracket without an opening one is dropped.
 
-    return F.aggregate(F.split(text, ""), F.struct(F.lit(0).alias("depth"), F.lit("").alias("out")), step, lambda acc: acc["out"])
+    The text is cut at brackets; each piece is kept or not by the depth that the brackets before it leave.
+    """
+    pieces = F.split(text, r"(?<=[()\[\]])|(?=[()\[\]])")
+    opens, closes = (lambda p: p.isin("(", "[")), (lambda p: p.isin(")", "]"))
+
+    def step(acc: Column, p: Column) -> Column:
+        depth = F.when(opens(p), acc["depth"] + 1).when(closes(p), F.greatest(F.lit(0), acc["depth"] - 1)).otherwise(acc["depth"])
+        kept = F.when(opens(p) | closes(p) | (acc["depth"] > 0), acc["out"]).otherwise(F.concat(acc["out"], F.array(p)))
+        return F.struct(depth.alias("depth"), kept.alias("out"))
+
+    return F.aggregate(pieces, F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out")), step, lambda acc: F.array_join(acc["out"], ""))
 
 
 def label_key(label: Column) -> Column:
