@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import activity as A
+from ..scratch import scratch_folder
 from ..sources.tables import events, js_round, last_day, table
+from ..streaming import activity as S
 
 DAYS = 30
 
@@ -84,7 +89,35 @@ def today_override(spark, sf):
     return per_user.join(profile, "user_id", "left").select("user_id", F.coalesce("own", "profile", "stored").alias("rating"), js_round(F.coalesce("own", "profile", "stored")).alias("shown"))
 
 
-QUERIES = {f.__name__: f for f in (daily_counts, daily_window, daily_locf, streak, heatmap, peak_day, best_delta, drill_box, totals, sections, axis_ticks, today_override)}
+def snapshots(spark, sf):
+    """Each user's running counts at the end of each day."""
+    daily = events(spark, sf).groupBy("user_id", "day").agg(*(F.count_if(F.col("event_type") == t).alias(n) for n, t in (("solved", "click"), ("stars", "view"), ("errs", "purchase"))))
+    so_far = W.partitionBy("user_id").orderBy("day").rowsBetween(W.unboundedPreceding, W.currentRow)
+    fall = F.when(F.dayofmonth("day") == 15, 2).otherwise(0)  # a count that falls is no activity
+    return daily.select("user_id", F.unix_date("day").alias("at"), *((F.sum(f).over(so_far) - fall).alias(f) for f in ("solved", "stars", "errs")))
+
+
+def progress_growth(spark, sf):
+    return S.growth(snapshots(spark, sf))
+
+
+def write_bursts(spark, sf):
+    """The last event of each burst: bursts end after six quiet hours."""
+    rows = events(spark, sf).select("user_id", F.col("ts").cast("timestamp").alias("at"), "event_id")
+    return S.settled_writes(rows, "user_id", "at", "event_id", "6 hours").select("user_id", "event_id", "writes")
+
+
+def resumed_job(spark, sf):
+    """Three batches, of which the second repeats keys and the third is the second again."""
+    done = f"{scratch_folder(spark)}/job-{uuid.uuid4().hex}"
+    step = S.resumable(done, "n_nationkey", lambda rows: rows.select("n_nationkey", (F.col("n_nationkey") * 2).alias("value")))
+    nations = table(spark, sf, "nation").select("n_nationkey")
+    for batch, rows in ((0, "n_nationkey <= 15"), (1, "n_nationkey >= 10"), (1, "n_nationkey >= 10")):
+        step(nations.where(rows), batch)
+    return spark.read.parquet(done).select("n_nationkey", "value", F.col("batch").cast("int").alias("batch"))
+
+
+QUERIES = {f.__name__: f for f in (daily_counts, daily_window, daily_locf, streak, heatmap, peak_day, best_delta, drill_box, totals, sections, axis_ticks, today_override, progress_growth, write_bursts, resumed_job)}
 
 E = "with e as (select *, cast(ts as date) as day from events)"
 SQL = {
@@ -124,4 +157,12 @@ SQL = {
         p as (select user_id, max(case when day = today then v end) as own, max(case when today - day = 1 then v end) as stored from l, t group by 1),
         q as (select user_id, max(value) as profile from e where event_type = 'login' group by 1)
         select p.user_id, coalesce(own, profile, stored) as rating, cast(floor(coalesce(own, profile, stored) + 0.5) as bigint) as shown from p left join q using (user_id)""",
+    "progress_growth": f"""{E}, d as (select user_id, day, count(*) filter (event_type = 'click') as c, count(*) filter (event_type = 'view') as v, count(*) filter (event_type = 'purchase') as p from e group by all),
+        s as (select user_id, day, case when dayofmonth(day) = 15 then 2 else 0 end as f, sum(c) over w as c, sum(v) over w as v, sum(p) over w as p from d window w as (partition by user_id order by day rows unbounded preceding)),
+        g as (select user_id, day - date '1970-01-01' as "at", cast(greatest(0, c - f - lag(c - f) over o) as bigint) as solved, cast(greatest(0, v - f - lag(v - f) over o) as bigint) as stars,
+          cast(greatest(0, p - f - lag(p - f) over o) as bigint) as errs, row_number() over o as k from s window o as (partition by user_id order by day))
+        select user_id, "at", solved, stars, errs from g where k > 1 and greatest(solved, stars, errs) > 0""",
+    "write_bursts": """with r as (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 6 hours then 0 else 1 end as new from events),
+        g as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as part from r) select user_id, arg_max(event_id, (ts, event_id)) as event_id, count(*) as writes from g group by user_id, part""",
+    "resumed_job": "select n_nationkey, n_nationkey * 2 as value, case when n_nationkey <= 15 then 0 else 1 end as batch from nation",
 }

@@ -64,11 +64,20 @@ def freshness(spark, sf):
 
 
 def position_text(spark, sf):
-    rows = spark.createDataFrame([(0, "https://x.example/4k3/8/8/8/8/8/8/4K2R_w_K_-_0_1"), (1, "8/8/2k5/8/8/5B2/8/4K3"), (2, "see 4k3/8/8/8/8/8/8/4K3 b"), (3, "nothing here")], "id int, t string")
-    return rows.select("id", R.mixed_fen(F.col("t")).alias("fen"))
+    """A rook ending for each supplier as an address, as a placement, with the side to move, or not at all."""
+    k = F.col("s_suppkey")
+    white = F.concat(F.lit("4k3/8/8/8/8/8/8/4K"), F.when(k % 3 == 0, "R1").when(k % 3 == 1, "1R").otherwise("2"))
+    shapes = F.array(F.concat(F.lit("https://x.example/"), white, F.lit("_w_K_-_0_"), (k % 50).cast("string")), white, F.concat(F.lit("see "), white, F.lit(" b")), F.concat(F.lit("no board "), k.cast("string")))
+    return table(spark, sf, "supplier").select("s_suppkey", R.mixed_fen(F.element_at(shapes, (k % 4 + 1).cast("int"))).alias("fen"))
 
 
-QUERIES = {f.__name__: f for f in (weighted_pick, even_sample, match_by_place, terminal_values, answers, trade_penalties, line_trim, clock_left, orientations, freshness, position_text)}
+def coach_points(spark, sf):
+    """Customers as points of a game: those where the opponent is to move go on by a ply."""
+    k = F.col("c_custkey")
+    return table(spark, sf, "customer").select("c_custkey", R.aligned(k % 60, k % 2 == F.floor(k / 7) % 2).alias("k"))
+
+
+QUERIES = {f.__name__: f for f in (weighted_pick, even_sample, match_by_place, terminal_values, answers, trade_penalties, line_trim, clock_left, orientations, freshness, position_text, coach_points)}
 
 L = "with l as (select c_custkey, cast(floor(c_acctbal) as int) as cp, c_custkey % 3 as k from customer)"
 SQL = {
@@ -91,5 +100,7 @@ SQL = {
         select user_id, event_id, spent, cast(600 + 5 * n - sum(spent) over (partition by user_id, mover order by ts, event_id rows unbounded preceding) as bigint) as "left" from t""",
     "orientations": "select p_partkey, case p_size when 3 then 'w' when 8 then 'b' else case when p_size % 2 = 0 then 'w' else 'b' end end as side from part",
     "freshness": "with m as (select user_id, max(epoch_ms(ts)) as last from events group by 1) select user_id, (1706745600000 - last) // 86400000 as days, 1706745600000 - last >= 86400000 as stale from m",
-    "position_text": "select * from (values (0, '4k3/8/8/8/8/8/8/4K2R w K - 0 1'), (1, '8/8/2k5/8/8/5B2/8/4K3 w - - 0 1'), (2, '4k3/8/8/8/8/8/8/4K3 b - - 0 1'), (3, null)) t(id, fen)",
+    "position_text": """with p as (select s_suppkey, '4k3/8/8/8/8/8/8/4K' || ['R1', '1R', '2'][s_suppkey % 3 + 1] as w from supplier)
+        select s_suppkey, case s_suppkey % 4 when 0 then w || ' w K - 0 ' || (s_suppkey % 50) when 1 then w || ' w - - 0 1' when 2 then w || ' b - - 0 1' end as fen from p""",
+    "coach_points": "select c_custkey, c_custkey % 60 + case when c_custkey % 2 = c_custkey // 7 % 2 then 0 else 1 end as k from customer",
 }

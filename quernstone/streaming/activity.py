@@ -8,7 +8,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -38,7 +39,7 @@ def grown(snapshots: DataFrame, key: str = "user_id", fields: tuple[str, ...] =
 def settled_writes(writes: DataFrame, key: str, at: str, value: str, quiet: str = "1500 milliseconds", late: str = "10 seconds") -> DataFrame:
     """The last write of each burst: a burst ends when the key is quiet for so long."""
     rows = writes.withWatermark(at, late) if writes.isStreaming else writes
-    bursts = rows.groupBy(key, F.session_window(at, quiet).alias("w")).agg(F.max_by(value, at).alias(value), F.count("*").alias("writes"))
+    bursts = rows.groupBy(key, F.session_window(at, quiet).alias("w")).agg(F.max_by(value, F.struct(at, value)).alias(value), F.count("*").alias("writes"))
     return bursts.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), value, "writes")
 
 
@@ -48,17 +49,37 @@ def per_day(rows: DataFrame, at: str, keys: list[str], late: str = "1 day") -> D
     return rows.groupBy(F.window(at, "1 day").alias("w"), *keys).agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("day"), *keys, "n")
 
 
+def growth(snapshots: DataFrame, key: str = "user_id", fields: tuple[str, ...] = ("solved", "stars", "errs")) -> DataFrame:
+    """What `grown` gives, for a table of snapshots: the same rows by a window instead of kept state."""
+    by = W.partitionBy(key).orderBy("at")
+    change = [F.greatest(F.lit(0), F.col(f) - F.lag(f).over(by)).cast("long").alias(f) for f in fields]
+    first = F.row_number().over(by) == 1
+    rows = snapshots.select(key, "at", *change, first.alias("__first"))
+    return rows.where(~F.col("__first") & (F.greatest(*fields, F.lit(0)) > 0)).drop("__first")
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
 def resumable(done: str, key: str, work: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: works on what the results in `done` lack and appends it, so a batch that comes again adds nothing."""
+    """For foreachBatch: works on what earlier batches lack and writes it as the batch's own part of `done`.
+
+    A log of keys lies beside the results, by batch too, so no batch reads results; a batch that comes again writes
+    its part anew and adds nothing.
+    """
+    log = f"{done.rstrip('/')}-keys"
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         todo = batch.dropDuplicates([key])
-        try:
-            todo = todo.join(spark.read.parquet(done).select(key), key, "left_anti")
-        except Exception as missing:  # nothing written yet
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-        work(todo).write.mode("append").parquet(done)
+        if written(spark, log):
+            kind = todo.schema[key].dataType.simpleString()
+            earlier = spark.read.schema(f"`{key}` {kind}, batch long").parquet(log).where(F.col("batch") < batch_id)
+            todo = todo.join(earlier.select(key), key, "left_anti")
+        todo.select(key).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+        mine = spark.read.parquet(f"{log}/batch={batch_id}")
+        work(batch.dropDuplicates([key]).join(mine, key, "left_semi")).write.mode("overwrite").parquet(f"{done}/batch={batch_id}")
 
     return run

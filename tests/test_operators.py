@@ -2,12 +2,15 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quernstone.functions import board as B
 from quernstone.operators import activity as A
+from quernstone.operators import library as L
 from quernstone.operators import match as M
 from quernstone.operators import merge as G
+from quernstone.operators import notation as N
 from quernstone.operators import points as P
 from quernstone.operators import text as T
 from quernstone.sources import games as S
@@ -90,11 +93,13 @@ def test_brackets_of_any_depth(spark):
     assert [r.x for r in frame.select(T.strip_brackets(F.col("t")).alias("x")).collect()] == ["a  e  f", "", None]
 
 
-def test_nearest_rows_are_the_brute_force_ones(spark):
+@pytest.mark.parametrize("block", [3, 4096])
+def test_nearest_rows_are_the_brute_force_ones(spark, block, monkeypatch):
     rng = random.Random(10)
     vectors = [(i, [float(rng.randint(0, 9)) for _ in range(4)]) for i in range(80)]
     frame = spark.createDataFrame(vectors, "k int, v array<double>")
-    near = M.nearest_rows(frame.where("k % 20 = 0"), frame, "k", "v", F.col("q_key") != F.col("k"), [], 3, blocks=5)
+    monkeypatch.setattr(M, "BLOCK", block)
+    near = M.nearest_rows(frame.where("k % 20 = 0"), frame, "k", "v", 3, apart=("k",))
     got = {}
     for r in near.collect():
         got.setdefault(r.q_key, []).append((r.n, r.k))
@@ -103,6 +108,58 @@ def test_nearest_rows_are_the_brute_force_ones(spark):
         assert [k for _, k in sorted(got[q])] == [k for _, k in best]
 
 
+def test_exact_quantiles_are_numpys(spark):
+    import numpy as np
+
+    rng = random.Random(11)
+    rows = [(rng.choice("abc"), rng.choice([None, *range(30)])) for _ in range(400)] + [("d", 7), ("e", None)]
+    frame = spark.createDataFrame(rows, "g string, v int")
+    got = {r.g: (r.low, r.mid, r.n) for r in M.exact_quantiles(frame, "v", {"low": 0.13, "mid": 0.5}, ("g",)).collect()}
+    for g in "abcd":
+        values = [v for k, v in rows if k == g and v is not None]
+        assert np.allclose(got[g], (np.quantile(values, 0.13), np.quantile(values, 0.5), len(values)))
+    assert "e" not in got
+    assert np.isclose(M.exact_quantiles(frame, "v", {"m": 0.9}).first().m, np.quantile([v for _, v in rows if v is not None], 0.9))
+
+
+def test_many_classes_are_compared_in_blocks(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = spark.createDataFrame([(i, [rng.random() for _ in range(3)]) for i in range(50)], "k int, v array<double>")
+    means = spark.createDataFrame([(c, [rng.random() for _ in range(3)]) for c in range(9)], "c int, mean array<double>")
+    few = {r.k: (r.nearest, r.margin) for r in M.nearest_class(rows, means, "k", "v", "c").collect()}
+    monkeypatch.setattr(M, "MOST_CLASSES", 4)
+    monkeypatch.setattr(M, "BLOCK", 20)
+    assert {r.k: (r.nearest, r.margin) for r in M.nearest_class(rows, means, "k", "v", "c").collect()} == few
+
+
+def test_frames_that_share_a_thin_shape(spark):
+    shapes = [(1, 0.0, 100.0, 12.0 * k, 12.0 * k + (1 if k % 9 == 0 else 10)) for k in range(28)]
+    found = M.frames_of_ten(spark.createDataFrame(shapes, "page int, x0 double, x1 double, y0 double, y1 double"), "page", ["y0"])
+    assert sorted(r.top for r in found.collect()) == [0.0, 216.0]
+
+
+def test_notation(spark):
+    one = lambda f, text: spark.createDataFrame([(text,)], "t string").select(f(F.col("t")).alias("x")).first().x
+    assert one(N.plain_notation, "12 . ... Nf3 13. e4 d5 : e4") == "12...Nf3 13.e4 d5xe4"
+    assert [tuple(a) for a in one(N.answers_by_number, "1.\n1.e4 e5\n 2.Nf3\n2. 4.d4\n")] == [(1, "1.e4 e5 2.Nf3"), (2, "4.d4")]
+    assert one(N.lead_bold, "12.Nf3 Nc6 is best") == "**12.Nf3 Nc6** is best" and one(N.lead_bold, "No move") == "No move"
+    assert one(N.answers_by_number, None) is None and one(N.plain_notation, "") == ""
+
+
+def test_files_with_bad_bytes(spark, tmp_path):
+    (tmp_path / "a.pgn").write_bytes(b'[Event "\xff"]\n\n1. e4 e5 1-0\n')
+    (tmp_path / "b.pgn").write_bytes(b'1. d4 *\n\n  [Event "x"]\n1. c4 (1. f4 ; c5) c5 ; Nf3\n0-0 *')
+    rows = S.read_games(S.read_files(spark, str(tmp_path))).collect()
+    assert sorted((r.headers.get("Event"), tuple(r.moves)) for r in rows if r.headers) == [("x", ("c4", "c5", "0-0")), ("\ufffd", ("e4", "e5"))]
+    assert [r.moves for r in rows if not r.headers] == [["d4"]]
+
+
+def test_new_items_are_those_without_attempts(spark):
+    items = spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    tries = spark.createDataFrame([(1, False, True, True, 0, 5), (2, True, True, True, 0, 9)], "k int, rev boolean, win boolean, fair boolean, mistakes int, t int")
+    assert {r.k: (r.status, r.last_try) for r in L.statuses(items, tries, "k").collect()} == {1: ("clean", 5), 2: ("new", 9), 3: ("new", None)}
+
+
 def test_variations_of_any_depth(spark):
     deep = "1. e4 " + "(1. d4 {[%eval 0.10]} " * 12 + ")" * 12 + " e5 {[%eval 0.35]} 2. Nf3 {:( here} Nc6"
     row = S.read_games(spark.createDataFrame([(f'[Event "x"]\n\n{deep}',)], "value string")).first()

@@ -56,4 +56,25 @@ def test_estimators(spark, name):
         sizes = [sum(r.cluster == k for r in rows) for k in range(12)]
         assert sizes == sorted(sizes, reverse=True) and sum(sizes) == len(rows)
     else:
-        assert {r.dims for r in rows} == {8}
+        assert {len(r.projected) for r in rows} == {8}
+
+
+def test_projection_keeps_the_variance_that_eight_components_can(spark):
+    import numpy as np
+
+    from quernstone.operators import ml
+
+    table = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding")
+    rows = ml.project(table, "embedding", 8, 1, "vec_id").collect()
+    x = np.array([r.embedding for r in rows], np.float64)
+    p = np.array([r.projected for r in rows])
+    centred = x - x.mean(0)
+    values, vectors = np.linalg.eigh(centred.T @ centred)
+    best = x @ vectors[:, ::-1][:, :8]
+    assert np.allclose(np.abs(p), np.abs(best), atol=1e-6)
+    assert np.isclose(((p - p.mean(0)) ** 2).sum(), values[-8:].sum())
+
+
+def test_growth_of_a_table_is_that_of_the_stream(spark):
+    rows = spark.createDataFrame([(1, 1, 5, 2, 0), (1, 2, 7, 1, 0), (1, 3, 7, 1, 0), (2, 1, 0, 0, 0), (2, 5, 1, 1, 1)], "user_id long, at long, solved long, stars long, errs long")
+    assert sorted(map(tuple, S.growth(rows).collect())) == [(1, 2, 2, 0, 0), (2, 5, 1, 1, 1)]
