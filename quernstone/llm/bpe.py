@@ -122,7 +122,13 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
         own = codec(path)
         for batch in batches:
             for rows in rows_of(batch):
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], batch.schema.types[0]), pa.array([own.encode(t).astype(np.int32) for _, t in rows], pa.list_(pa.int32()))], names=[key, "ids"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([k for k, _ in rows], batch.schema.types[0]),
+                        pa.array([own.encode(t).astype(np.int32) for _, t in rows], pa.list_(pa.int32()))
+                    ],
+                    names=[key, "ids"],
+                )
 
     kind = dict(docs.dtypes)[key]
     return texts_of(docs, key, text).mapInArrow(run, f"{key} {kind}, ids array<int>")
@@ -135,7 +141,10 @@ def decode_documents(encoded: DataFrame, path: str, key: str = "doc_id", ids: st
         own = codec(path)
         for batch in batches:
             for rows in rows_of(batch):
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], batch.schema.types[0]), pa.array([own.decode(x or ()) for _, x in rows], pa.binary())], names=[key, "decoded"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k for k, _ in rows], batch.schema.types[0]), pa.array([own.decode(x or ()) for _, x in rows], pa.binary())],
+                    names=[key, "decoded"],
+                )
 
     kind = dict(encoded.dtypes)[key]
     return encoded.select(key, ids).mapInArrow(run, f"{key} {kind}, decoded binary")
@@ -153,9 +162,16 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
                 for doc_id, text in rows:
                     ids = own.encode(text).tolist()
                     written = ",".join(map(decimal.__getitem__, ids))
-                    for column, value in zip(out, (doc_id, len(ids), hashlib.sha256(written.encode()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()), strict=True):
+                    for column, value in zip(
+                        out,
+                        (doc_id, len(ids), hashlib.sha256(written.encode()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()),
+                        strict=True,
+                    ):
                         column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(column, kind) for column, kind in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     return texts_of(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

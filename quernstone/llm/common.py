@@ -23,7 +23,9 @@ def spread(table: DataFrame) -> DataFrame:
     The rows are the same either way; a table of many files is read where it lies.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(4 * cores) if len(table.inputFiles()) < cores else table
+    if table.rdd.getNumPartitions() > 4 * cores or len(table.inputFiles()) >= cores:
+        return table
+    return table.repartition(4 * cores)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

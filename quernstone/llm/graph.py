@@ -31,15 +31,22 @@ def contracted(edges: DataFrame, scratch: Scratch) -> DataFrame:
         turn = F.lit(len(steps))
         order = lambda c: F.struct((F.xxhash64(c, turn) if len(steps) >= BY_NUMBER else F.lit(0).cast("long")).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
         ends = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = scratch.settled(ends.groupBy("a").agg(F.min(order("b")).alias("m")).select("a", F.least("m", order("a"))["v"].alias("to")), "step")
-        moved = left.join(step.withColumnRenamed("to", "x"), "a").select("b", "x").join(step.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
+        step = scratch.settled(
+            ends.groupBy("a").agg(F.min(order("b")).alias("m")).select("a", F.least("m", order("a"))["v"].alias("to")),
+            "step",
+        )
+        moved = left.join(step.withColumnRenamed("to", "x"), "a").select("b", "x").join(
+            step.select(F.col("a").alias("b"), F.col("to").alias("y")), "b"
+        )
         left = scratch.settled(moved.where("x <> y").select(*ordered(F.col("x"), F.col("y"))).distinct(), "edges")
         steps.append(step)
     if not steps:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
     at = steps[0].select(F.col("a").alias("node"), "to")
     for step in steps[1:]:
-        at = at.join(step.select(F.col("a").alias("to"), F.col("to").alias("then")), "to", "left").select("node", F.coalesce("then", "to").alias("to"))
+        at = at.join(
+            step.select(F.col("a").alias("to"), F.col("to").alias("then")), "to", "left"
+        ).select("node", F.coalesce("then", "to").alias("to"))
     least = at.groupBy("to").agg(F.min("node").alias("component"))
     return at.join(least, "to").select("node", "component")
 
@@ -55,5 +62,7 @@ def joined(found: DataFrame, edges: DataFrame, used: list[str] | None = None) ->
     to = found.select(F.col("node").alias("b"), F.col("component").alias("y"))
     moved = edges.join(at, "a", "left").join(to, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
     merged = components(moved, used)
-    old = found.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    old = found.join(
+        merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left"
+    ).select("node", F.coalesce("to", "component").alias("component"))
     return settled(old.unionByName(merged.join(found, "node", "left_anti").select("node", "component")), "components", used)

@@ -240,7 +240,9 @@ def page_votes(table: DataFrame) -> DataFrame:
                 found = [(host, top.path, top.score) for host, top in tops if top]
                 columns = list(zip(*found, strict=True)) or [[], [], []]
                 kinds = (pa.string(), pa.string(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "path", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "path", "score"]
+                )
 
     read = table.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     return read.mapInArrow(run, "host string, path string, score double")
@@ -258,7 +260,9 @@ def extract_texts(table: DataFrame) -> DataFrame:
     winners = settled(host_winners(page_votes(table)), "winners")
     rows = table.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
     placed = rows.join(winners, "host", "left").select("page_id", "url", "html", "winner")
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("host_path", pa.string())])
+    schema = pa.schema(
+        [("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("host_path", pa.string())]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -122,7 +122,12 @@ def store_payload(payload: bytes) -> bytes:
     mixed = np.concatenate([words[0].reshape(mcus, 4), words[1][:, None], words[2][:, None]], axis=1).reshape(-1)
     lowest = np.concatenate([dc[0].reshape(mcus, 4), dc[1][:, None], dc[2][:, None]], axis=1).reshape(-1) & 1
     out = [HEAD, segment(0xFE, len(payload).to_bytes(8, "big"))]
-    out.append(segment(0xC2, b"\x08" + (16 * down).to_bytes(2, "big") + (16 * across).to_bytes(2, "big") + b"\x03" + b"\x01\x22\x00\x02\x11\x00\x03\x11\x00"))
+    out.append(
+        segment(
+            0xC2,
+            b"\x08" + (16 * down).to_bytes(2, "big") + (16 * across).to_bytes(2, "big") + b"\x03" + b"\x01\x22\x00\x02\x11\x00\x03\x11\x00",
+        )
+    )
     out += [TABLES, scan_segment(b"\x01\x02\x03", 0, 0, 0, 1), to_bytes((mixed[:, None] >> NINE & 1).astype(np.uint8).reshape(-1))]
     for c, part in enumerate(parts, 1):
         for first, last in BANDS:
@@ -249,7 +254,9 @@ class ProgressiveImage:
                 real = grid[: -(-self.height * p.down // (8 * self.high)), : -(-self.width * p.across // (8 * self.wide))]
                 out.append((c, real.reshape(-1, 1)))
             else:
-                out.append((c, grid.reshape(self.mcus[1], p.down, self.mcus[0], p.across).transpose(0, 2, 1, 3).reshape(-1, p.down * p.across)))
+                out.append(
+                    (c, grid.reshape(self.mcus[1], p.down, self.mcus[0], p.across).transpose(0, 2, 1, 3).reshape(-1, p.down * p.across))
+                )
         return out
 
     def _scan(self, body: bytes, coded: bytes) -> None:
@@ -268,7 +275,9 @@ class ProgressiveImage:
                         cells = self.coefficients[c].reshape(-1, 64)[block]
                         if first:
                             table = self.tables[0x10 | slots[c] & 15]
-                            left = self._ac_first(bits, cells, table, first, last, low, left) if not high else self._ac_again(bits, cells, table, first, last, low, left)
+                            left = self._ac_first(
+                                bits, cells, table, first, last, low, left
+                            ) if not high else self._ac_again(bits, cells, table, first, last, low, left)
                         elif high:
                             cells[0] |= bits.bit() << low
                         else:
@@ -440,7 +449,10 @@ def decode_images(media: DataFrame, key: str = "doc_id", column: str = "media")
                 tensors = [ProgressiveImage(data).rgb() for _, data in rows]
                 sizes = [pa.array([t.shape[i] for t in tensors], pa.int32()) for i in (0, 1)]
                 samples = pa.array([t.tobytes() for t in tensors], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], batch.schema.types[0]), *sizes, samples], names=[key, "height", "width", "rgb"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k for k, _ in rows], batch.schema.types[0]), *sizes, samples],
+                    names=[key, "height", "width", "rgb"],
+                )
 
     return media.select(key, column).mapInArrow(run, f"{key} {dict(media.dtypes)[key]}, height int, width int, rgb binary")
 
@@ -472,7 +484,10 @@ def read_media(media: DataFrame) -> DataFrame:
                     payload, rgb = image.payload(), image.rgb()
                     digests = len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest()
                     out.append((doc_id, n_bytes, *digests, *rgb.shape[:2], rgb.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), READ.values(), strict=True)], names=list(READ))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(zip(*out, strict=True), READ.values(), strict=True)],
+                    names=list(READ),
+                )
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, ", ".join(f"{n} {SQL_NAMES[k]}" for n, k in READ.items()))
 

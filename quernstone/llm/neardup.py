@@ -233,7 +233,9 @@ def linked(rows: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFr
 
     placed = scratch.settled(one_each.select("node", "doc_id").join(found, "node", "left").select("node", "doc_id", "component"), "placed")
     least = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
-    by_set = placed.join(scratch.settled(least, "least"), "component", "left").select("node", F.coalesce("least", "doc_id").alias("component"))
+    by_set = placed.join(scratch.settled(least, "least"), "component", "left").select(
+        "node", F.coalesce("least", "doc_id").alias("component")
+    )
     whole = scanned.select("doc_id", "tag", "n", "node").join(by_set, "node", "left")
     return whole.select(
         "doc_id",
@@ -281,7 +283,8 @@ def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 with recursive w as (
-  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
 s as (select doc_id, unnest(case when len(words) = 0 then [] when len(words) < 4 then [array_to_string(words, ' ')]
   else list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) end) as g from w),
 sized as (select doc_id, count(*) as n from s group by doc_id),

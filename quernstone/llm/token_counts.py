@@ -183,7 +183,10 @@ def store_prefix_counts(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for rows in rows_of(batch):
                 found = [(doc_id, len(text.encode()), *as_steps(own.prefixes(text)[0])) for doc_id, text in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)],
+                    schema=schema,
+                )
 
     return texts_of(docs).mapInArrow(run, "doc_id long, n_bytes long, width int, steps binary")
 
@@ -200,7 +203,10 @@ def answer_budget(stored: DataFrame, limit: int = 1024) -> DataFrame:
                     prefixes = from_steps(width, steps)
                     total = int(prefixes[-1])
                     found.append((doc_id, n_bytes, total, total > limit, longest_within(prefixes, limit)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds.values(), strict=True)], names=list(kinds))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds.values(), strict=True)],
+                    names=list(kinds),
+                )
 
     schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_chars_within long"
     return stored.select("doc_id", "n_bytes", "width", "steps").mapInArrow(run, schema)
@@ -225,4 +231,6 @@ def tokens_of_beginnings(stored: DataFrame, n_chars: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answer_budget(settled(store_prefix_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")), "prefix_counts"))
+    return answer_budget(
+        settled(store_prefix_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")), "prefix_counts")
+    )

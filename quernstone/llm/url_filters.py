@@ -37,17 +37,24 @@ def patterns(at: Column) -> Column:
     """The patterns that can hold an address: 'd:' and each domain of its host, 'p:' and each beginning at a path segment."""
     parts = F.split(at, "/")
     labels = F.split(parts[0], r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("d:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    domains = F.transform(
+        F.sequence(F.lit(1), F.size(labels)),
+        lambda i: F.concat(F.lit("d:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")),
+    )
     paths = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit("p:"), F.array_join(F.slice(parts, 1, i), "/")))
     return F.concat(domains, paths)
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """pattern, valid_from, valid_to (exclusive) from a log of pattern, on_date, adds."""
-    dated = entries.where("pattern is not null and on_date is not null").groupBy("pattern", F.col("on_date").cast("date").alias("valid_from"))
+    dated = entries.where("pattern is not null and on_date is not null").groupBy(
+        "pattern", F.col("on_date").cast("date").alias("valid_from")
+    )
     daily = dated.agg(F.max(F.coalesce("adds", F.lit(False))).alias("adds"))
     by_pattern = W.partitionBy("pattern").orderBy("valid_from")
-    return daily.withColumn("valid_to", F.coalesce(F.lead("valid_from").over(by_pattern), F.lit(LAST_DAY).cast("date"))).where("adds").drop("adds")
+    return daily.withColumn(
+        "valid_to", F.coalesce(F.lead("valid_from").over(by_pattern), F.lit(LAST_DAY).cast("date"))
+    ).where("adds").drop("adds")
 
 
 def month_of(day: Column) -> Column:
@@ -102,7 +109,9 @@ def dated_entries(table: DataFrame) -> DataFrame:
     its domain listed for a while.
     """
     at = address(F.col("url"))
-    hosts = table.where(at.isNotNull()).groupBy(F.split(at, "/")[0].alias("host")).agg(F.min("page_id").alias("n"), F.min(F.split(at, "/")[1]).alias("folder"))
+    hosts = table.where(at.isNotNull()).groupBy(F.split(at, "/")[0].alias("host")).agg(
+        F.min("page_id").alias("n"), F.min(F.split(at, "/")[1]).alias("folder")
+    )
     domain = F.regexp_extract("host", r"([^.]+\.[^.]+\.[^.]+)$", 1)
     day = F.pmod(F.col("n") * 11, F.lit(200)).cast("int")
 
@@ -134,26 +143,35 @@ with addressed as (
   select page_id, url, cast('2024-01-01' as date) + cast(((page_id * 37) % 366) as int) as fetched_on,
     regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^?#]*)', 1) as rest from pages),
 parts as (
-  select *, rtrim(lower(regexp_extract(rest, '^([^/:]*)', 1)), '.') as host, regexp_replace(regexp_replace(rest, '^[^/]*', ''), '/+$', '') as path from addressed),
+  select *, rtrim(lower(regexp_extract(rest, '^([^/:]*)', 1)), '.') as host, regexp_replace(regexp_replace(rest, '^[^/]*', ''), '/+$',
+    '') as path from addressed),
 hosts as (
-  select host, min(page_id) as n, min(string_split(host || path, '/')[2]) as folder, regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) as domain
+  select host, min(page_id) as n, min(string_split(host || path, '/')[2]) as folder, regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$',
+    1) as domain
   from parts where host <> '' group by host),
 logs as (
-  select 'd:' || host as pattern, unnest([struct_pack(a := 0, adds := true), struct_pack(a := 60, adds := false), struct_pack(a := 110, adds := true)]) as s, n from hosts where n % 3 = 0
-  union all select 'p:' || host || '/' || folder, unnest([struct_pack(a := 10, adds := true), struct_pack(a := 10, adds := false), struct_pack(a := 90, adds := false)]), n from hosts where n % 4 = 1 and folder <> ''
-  union all select 'd:' || domain, unnest([struct_pack(a := 5, adds := true), struct_pack(a := 25, adds := false)]), n from hosts where n % 9 = 2 and domain <> ''),
+  select 'd:' || host as pattern, unnest([struct_pack(a := 0, adds := true), struct_pack(a := 60, adds := false), struct_pack(a := 110,
+    adds := true)]) as s, n from hosts where n % 3 = 0
+  union all select 'p:' || host || '/' || folder, unnest([struct_pack(a := 10, adds := true), struct_pack(a := 10, adds := false),
+    struct_pack(a := 90, adds := false)]), n from hosts where n % 4 = 1 and folder <> ''
+  union all select 'd:' || domain, unnest([struct_pack(a := 5, adds := true), struct_pack(a := 25, adds := false)]),
+    n from hosts where n % 9 = 2 and domain <> ''),
 daily as (
-  select pattern, cast('2024-01-01' as date) + cast((n * 11) % 200 + s.a as int) as valid_from, bool_or(s.adds) as adds from logs group by 1, 2),
+  select pattern, cast('2024-01-01' as date) + cast((n * 11) % 200 + s.a as int) as valid_from,
+    bool_or(s.adds) as adds from logs group by 1, 2),
 spans as (
   select *, coalesce(lead(valid_from) over (partition by pattern order by valid_from), date '9999-12-31') as valid_to from daily),
 held as (
-  select page_id, url, fetched_on, 'd:' || list_aggregate(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), 'string_agg', '.') as pattern
+  select page_id, url, fetched_on, 'd:' || list_aggregate(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))),
+    'string_agg', '.') as pattern
   from (select *, unnest(range(1, len(string_split(host, '.')) + 1)) as i from parts where host <> '')
   union all select page_id, url, fetched_on, 'p:' || list_aggregate(list_slice(string_split(host || path, '/'), 1, i), 'string_agg', '/')
   from (select *, unnest(range(1, len(string_split(host || path, '/')) + 1)) as i from parts where host <> '')),
 found as (
   select h.page_id, count(*) as n_entries, max(struct_pack(size := length(s.pattern), pattern := s.pattern, since := s.valid_from)) as rule
-  from held h join spans s on h.pattern = s.pattern and s.adds and h.fetched_on >= s.valid_from and h.fetched_on < s.valid_to group by h.page_id)
-select p.page_id, p.url, p.fetched_on, f.page_id is not null as blocked, coalesce(f.n_entries, 0) as n_entries, f.rule.pattern as pattern, f.rule.since as since
+  from held h join spans s on h.pattern = s.pattern and s.adds and h.fetched_on >= s.valid_from and h.fetched_on < s.valid_to group by
+    h.page_id)
+select p.page_id, p.url, p.fetched_on, f.page_id is not null as blocked, coalesce(f.n_entries, 0) as n_entries,
+    f.rule.pattern as pattern, f.rule.since as since
 from parts p left join found f using (page_id)
 """

@@ -255,7 +255,9 @@ def with_keepers(table: DataFrame) -> DataFrame:
     digest = F.sha1(F.col("html").cast("binary"))
     rows = table.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", digest)
     keys = rows.select("page_id", "digest")
-    shared = keys.where("page_id is not null").groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1")
+    shared = keys.where("page_id is not null").groupBy("digest").agg(
+        F.max("page_id").alias("keeper"), F.count("*").alias("n")
+    ).where("n > 1")
     others = keys.join(shared, "digest").where("page_id < keeper").groupBy("page_id", "digest").agg(F.max("keeper").alias("keeper"))
     return rows.join(others, ["page_id", "digest"], "left").select("page_id", "url", "html", "keeper")
 
@@ -309,13 +311,17 @@ def read_archives(files: DataFrame) -> DataFrame:
                     columns = [pa.array([x.get(name) for x in found], kind) for name, kind in NOTES.items()]
                     yield pa.RecordBatch.from_arrays(columns, names=list(NOTES))
 
-    return files.select("path", "content").mapInArrow(run, ", ".join(f"{n} {'string' if k == pa.string() else 'long'}" for n, k in NOTES.items()))
+    return files.select("path", "content").mapInArrow(
+        run, ", ".join(f"{n} {'string' if k == pa.string() else 'long'}" for n, k in NOTES.items())
+    )
 
 
 def salvage(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The records of archives, and the log of their quarantined gaps (archive, start, end, inner_start, inner_end, gap): one written table."""
     read = settled(read_archives(files), "salvaged")
-    return read.where("gap is null").drop("gap"), read.where("gap is not null").select("archive", "start", "end", "inner_start", "inner_end", "gap")
+    return read.where("gap is null").drop("gap"), read.where("gap is not null").select(
+        "archive", "start", "end", "inner_start", "inner_end", "gap"
+    )
 
 
 def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,8 +333,11 @@ def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Base32 of a SHA-1 is 32 letters, each of five bits of the digest.
 OP5_SQL = """
 with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as hex from pages),
-bits as (select distinct hex, list_aggregate(list_transform(range(1, 41), lambda i: format('{:04b}', instr('0123456789abcdef', hex[i]) - 1)), 'string_agg', '') as b from p),
-named as (select hex, list_aggregate(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * b[5 * i + 1]::int + 8 * b[5 * i + 2]::int + 4 * b[5 * i + 3]::int + 2 * b[5 * i + 4]::int + b[5 * i + 5]::int]), 'string_agg', '') as payload_digest from bits),
+bits as (select distinct hex, list_aggregate(list_transform(range(1, 41), lambda i: format('{:04b}', instr('0123456789abcdef',
+    hex[i]) - 1)), 'string_agg', '') as b from p),
+named as (select hex, list_aggregate(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * b[5 * i +
+    1]::int + 8 * b[5 * i + 2]::int + 4 * b[5 * i + 3]::int + 2 * b[5 * i + 4]::int + b[5 * i + 5]::int]), 'string_agg',
+    '') as payload_digest from bits),
 kept as (select hex, max(page_id) as keeper from p group by hex)
 select p.page_id, p.payload_bytes, named.payload_digest,
   case when p.page_id = keeper then 'response' else 'revisit' end as record_type,

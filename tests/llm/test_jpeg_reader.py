@@ -38,7 +38,15 @@ def blocks_of(cells, c, width, height):
 
 
 def write(cells, width, height, bands, low):
-    out = [jpeg.HEAD, jpeg.segment(0xC2, b"\x08" + height.to_bytes(2, "big") + width.to_bytes(2, "big") + b"\x03" + b"".join(bytes([c, h << 4 | v, 0]) for c, (h, v) in PARTS.items()))]
+    out = [
+        jpeg.HEAD,
+        jpeg.segment(
+            0xC2,
+            b"\x08" + height.to_bytes(2, "big") + width.to_bytes(2, "big") + b"\x03" + b"".join(
+                bytes([c, h << 4 | v, 0]) for c, (h, v) in PARTS.items()
+            )
+        )
+    ]
     out.append(jpeg.table_segment(0, 0, LENGTHS) + jpeg.table_segment(1, 0, LENGTHS))
     order = []
     for y in range(cells[2].shape[0]):
@@ -104,7 +112,10 @@ def write(cells, width, height, bands, low):
     return b"".join(out) + b"\xff\xd9"
 
 
-@pytest.mark.parametrize(("width", "height", "bands", "low"), [(16, 16, ((1, 63),), 0), (35, 21, ((1, 5), (6, 63)), 2), (50, 17, ((1, 63),), 3)])
+@pytest.mark.parametrize(
+    ("width", "height", "bands", "low"),
+    [(16, 16, ((1, 63),), 0), (35, 21, ((1, 5), (6, 63)), 2), (50, 17, ((1, 63),), 3)],
+)
 def test_any_progressive_file(width, height, bands, low):
     rng = np.random.default_rng(width)
     across, down = -(-width // 16), -(-height // 16)

@@ -1,6 +1,7 @@
 """The pipeline's stages, one after the other, against what each is to do; and the queries that SQL can express."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quernstone.llm import queries as corpus
@@ -30,6 +31,18 @@ def test_stages(spark):
     assert last.select("doc_id").distinct().count() == docs.count()
 
 
+def test_stages_on_null_texts_and_empty_tables(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    some = docs.limit(3).withColumn("text", F.lit(None).cast("string")).unionByName(docs.where("doc_id < 20"))
+    for frame in (some, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, frame, FOLDER)
+            assert name == "packing" or out.schema == docs.schema
+            assert frame is some or out.count() == 0
+    assert corpus_pipeline.packing(spark, some, FOLDER).count() >= some.count()
+    assert corpus_pipeline.near_dedup(spark, some, FOLDER).where("text is null").count() == some.where("text is null").count()
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
 

@@ -17,12 +17,26 @@ BPE = P.path("byte_bpe_multi_50k.tiktoken")
 COUNTS = P.path("byte_bpe_50k.json")
 WORDS = P.path("word_bpe_49k.json")
 LONG = " ".join(f"word{i % 977}x{i}" for i in range(30_000))
-TEXTS = [(1, "The cat sat. It's 3 o'clock\n\n  now"), (2, None), (3, ""), (4, LONG), (5, "émigré 漢字 😀 <|endoftext|> end"), (5, "same id"), (6, " \n\t "), (7, "aaaaaaaaaaaaaaaaaaaaaaaaa" * 40), (None, "no id"), (1, "The cat sat. It's 3 o'clock\n\n  now")]
+TEXTS = [
+    (1, "The cat sat. It's 3 o'clock\n\n  now"),
+    (2, None),
+    (3, ""),
+    (4, LONG),
+    (5, "émigré 漢字 😀 <|endoftext|> end"),
+    (5, "same id"),
+    (6, " \n\t "),
+    (7, "aaaaaaaaaaaaaaaaaaaaaaaaa" * 40),
+    (None, "no id"),
+    (1, "The cat sat. It's 3 o'clock\n\n  now"),
+]
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame([(i, t, 0, "x", "y", i) for i, t in TEXTS], "doc_id long, text string, n_tokens int, key string, kept string, sequence_id long")
+    return spark.createDataFrame(
+        [(i, t, 0, "x", "y", i) for i, t in TEXTS],
+        "doc_id long, text string, n_tokens int, key string, kept string, sequence_id long",
+    )
 
 
 @pytest.fixture(scope="module")
@@ -41,10 +55,17 @@ def test_bpe(docs, none):
     expected = Counter()
     for i, t in TEXTS:
         ids = own.encode_ordinary(whole(t))
-        expected[i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(whole(t).encode()).hexdigest()] += 1
+        expected[
+            i,
+            len(ids),
+            hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
+            hashlib.sha256(whole(t).encode()).hexdigest(),
+        ] += 1
     assert Counter(tuple(r) for r in bpe.round_trip_digests(docs, BPE).collect()) == expected
     encoded = bpe.encode_documents(docs, BPE)
-    assert Counter((r.doc_id, bytes(r.decoded).decode()) for r in bpe.decode_documents(encoded, BPE).collect()) == Counter((i, whole(t)) for i, t in TEXTS)
+    assert Counter(
+        (r.doc_id, bytes(r.decoded).decode()) for r in bpe.decode_documents(encoded, BPE).collect()
+    ) == Counter((i, whole(t)) for i, t in TEXTS)
     assert bpe.round_trip_digests(none, BPE).count() == 0
 
 
@@ -64,7 +85,11 @@ def test_token_counts(docs, none):
 
     own = Tokenizer.from_file(COUNTS)
     size = lambda t: len(own.encode(t, add_special_tokens=False).ids)
-    got = Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.answer_budget(token_counts.store_prefix_counts(docs, COUNTS)).collect())
+    got = Counter(
+        (r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.answer_budget(
+            token_counts.store_prefix_counts(docs, COUNTS)
+        ).collect()
+    )
     assert got == Counter((i, len(whole(t).encode()), size(whole(t)), size(whole(t)) > 1024) for i, t in TEXTS)
     counter, rng = token_counts.PrefixCounter(COUNTS), random.Random(2)
     for _ in range(150):
@@ -73,7 +98,9 @@ def test_token_counts(docs, none):
         assert total == size(text) and prefixes.tolist() == [size(text[:i]) for i in range(len(text) + 1)]
         for budget in (0, 3, 8):
             assert size(text[: token_counts.longest_within(prefixes, budget)]) <= budget
-    assert token_counts.store_prefix_counts(none, COUNTS).count() == 0 and token_counts.answer_budget(token_counts.store_prefix_counts(none, COUNTS)).count() == 0
+    assert token_counts.store_prefix_counts(none, COUNTS).count() == 0 and token_counts.answer_budget(
+        token_counts.store_prefix_counts(none, COUNTS)
+    ).count() == 0
 
 
 def test_stored_prefix_counts_answer_without_encoding(docs, monkeypatch):
@@ -143,7 +170,9 @@ def test_jpeg_query_rows(docs, none):
     from quernstone.llm.common import settled
 
     rows = jpeg.read_digests(settled(jpeg.store_texts(docs), "media")).collect()
-    assert Counter((r.doc_id, r.n_bytes, r.payload_sha256) for r in rows) == Counter((i, len(whole(t).encode()), hashlib.sha256(jpeg.padded(whole(t))[0]).hexdigest()) for i, t in TEXTS)
+    assert Counter((r.doc_id, r.n_bytes, r.payload_sha256) for r in rows) == Counter(
+        (i, len(whole(t).encode()), hashlib.sha256(jpeg.padded(whole(t))[0]).hexdigest()) for i, t in TEXTS
+    )
     assert jpeg.store_texts(none).count() == 0
     shapes = jpeg.decode_images(jpeg.store_texts(docs.where("doc_id = 1"))).collect()
     assert all(len(r.rgb) == r.height * r.width * 3 for r in shapes)
@@ -169,7 +198,11 @@ def test_jpeg_inverse_transform_is_the_cosine_sum():
     grid, out = raster.reshape(8, 8), np.zeros((8, 8))
     for y in range(8):
         for x in range(8):
-            out[y, x] = sum((0.5**0.5 if u == 0 else 1) * (0.5**0.5 if v == 0 else 1) / 4 * grid[v, u] * np.cos((2 * x + 1) * u * np.pi / 16) * np.cos((2 * y + 1) * v * np.pi / 16) for u in range(8) for v in range(8))
+            out[y, x] = sum(
+                (0.5**0.5 if u == 0 else 1) * (0.5**0.5 if v == 0 else 1) / 4 * grid[v, u] * np.cos(
+                    (2 * x + 1) * u * np.pi / 16
+                ) * np.cos((2 * y + 1) * v * np.pi / 16) for u in range(8) for v in range(8)
+            )
     assert np.allclose(block @ jpeg.INVERSE, out.reshape(64), atol=1e-2)
 
 
@@ -188,7 +221,15 @@ def test_media_rows_carry_the_tensor(docs):
     assert len({r.feature for r in digests}) == len({r.payload_sha256 for r in digests})
 
 
-PAGES = [(1, "http://a.example/x", "<p>one</p>"), (2, "http://a.example/y", None), (3, None, "<p>one</p>"), (4, "http://b.example/é\r\n", ""), (4, "http://b.example/é\r\n", ""), (5, "http://b.example/", "<p>two</p>"), (None, "u", "<p>two</p>")]
+PAGES = [
+    (1, "http://a.example/x", "<p>one</p>"),
+    (2, "http://a.example/y", None),
+    (3, None, "<p>one</p>"),
+    (4, "http://b.example/é\r\n", ""),
+    (4, "http://b.example/é\r\n", ""),
+    (5, "http://b.example/", "<p>two</p>"),
+    (None, "u", "<p>two</p>"),
+]
 
 
 @pytest.fixture(scope="module")
@@ -199,7 +240,16 @@ def site(spark):
 def test_warc(site):
     rows = warc.read_archives(warc.write_archives(site)).where("gap is null").collect()
     got = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in rows)
-    assert got == Counter({(1, 10, "revisit", 3): 1, (3, 10, "response", None): 1, (2, 0, "revisit", 4): 1, (4, 0, "response", None): 2, (5, 10, "response", None): 1, (None, 10, "response", None): 1})
+    assert got == Counter(
+        {
+            (1, 10, "revisit", 3): 1,
+            (3, 10, "response", None): 1,
+            (2, 0, "revisit", 4): 1,
+            (4, 0, "response", None): 2,
+            (5, 10, "response", None): 1,
+            (None, 10, "response", None): 1,
+        }
+    )
     assert warc.write_archives(site.where("false")).count() == 0
 
 
@@ -224,7 +274,9 @@ def test_warc_salvage_inside_a_member():
     ids = lambda data: [x["page_id"] for x in warc.read_archive(data) if x["gap"] is None]
     assert ids(one) == [0, 1, 3, 4]
     start = len(records[0]) + len(records[1])
-    assert [(x["gap"], x["inner_start"], x["inner_end"]) for x in warc.read_archive(one) if x["gap"]] == [("block digest", start, start + len(records[2]))]
+    assert [
+        (x["gap"], x["inner_start"], x["inner_end"]) for x in warc.read_archive(one) if x["gap"]
+    ] == [("block digest", start, start + len(records[2]))]
     for level in (0, 3):  # stored bytes show their version lines to the search of the file, too
         sound, last = warc.zipped(b"".join(records), level), warc.zipped(warc.make_record(9, None, b"last", None))
         assert ids(sound[: len(sound) * 7 // 10]) == [0, 1, 2]
@@ -250,7 +302,9 @@ def test_warc_reader_takes_time_in_proportion():
     import time
 
     def seconds(records):
-        data = b"".join(warc.zipped(warc.make_record(i, None, random.Random(i).randbytes(2000), None)) + b"junk" * (i % 50 == 0) for i in range(records))
+        data = b"".join(
+            warc.zipped(warc.make_record(i, None, random.Random(i).randbytes(2000), None)) + b"junk" * (i % 50 == 0) for i in range(records)
+        )
         best = 1e9
         for _ in range(3):
             began = time.process_time()
@@ -262,7 +316,9 @@ def test_warc_reader_takes_time_in_proportion():
 
 
 def test_warc_query_salvages_what_was_damaged(spark, site):
-    table = spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i}</p>" * (i % 30)) for i in range(700)], "page_id long, url string, html string").coalesce(1)
+    table = spark.createDataFrame(
+        [(i, f"http://x/{i}", f"<p>{i}</p>" * (i % 30)) for i in range(700)], "page_id long, url string, html string"
+    ).coalesce(1)
     records, gaps = warc.salvage(warc.write_archives(table, damage=True))
     assert sorted(r.page_id for r in records.collect()) == list(range(700))
     assert gaps.count() >= 7 and {r.gap for r in gaps.collect()}
@@ -271,18 +327,24 @@ def test_warc_query_salvages_what_was_damaged(spark, site):
 
 def test_html(site):
     page = """<html><body><header><h1>Site</h1></header><nav><a href=x>m</a></nav><div id="c" class="post post-77 with-sidebar"><h2>Title &amp; more</h2><p class="ad">buy</p>
-      <p>One <b>t</b>wo&nbsp;three<br/>four, five <a href="y">six</a></p><ul><li>a<li>b</ul><form>f</form><div class="comments"><p>reader</p></div><script>x<y</script><p>after 3 &lt; 4</p></div><aside>s</aside><footer>f</footer>"""
+      <p>One <b>t</b>wo&nbsp;three<br/>four, five <a href="y">six</a></p><ul><li>a<li>b</ul><form>f</form><div
+        class="comments"><p>reader</p></div><script>x<y</script><p>after 3 &lt; 4</p></div><aside>s</aside><footer>f</footer>"""
     assert html_text.extract(page, None) == "Title & more One two three four, five six a b after 3 < 4"
     assert html_text.extract("", None) == "" and html_text.extract("bare < text", None) == "bare < text"
     rows = html_text.extract_texts(site).collect()
-    assert Counter((r.page_id, r.text, r.n_chars) for r in rows) == Counter((i, {"<p>one</p>": "one", "<p>two</p>": "two"}.get(h, ""), 3 if h else 0) for i, _, h in PAGES)
+    assert Counter((r.page_id, r.text, r.n_chars) for r in rows) == Counter(
+        (i, {"<p>one</p>": "one", "<p>two</p>": "two"}.get(h, ""), 3 if h else 0) for i, _, h in PAGES
+    )
     assert html_text.extract_texts(site.where("false")).count() == 0
 
 
 def test_html_uses_the_path_that_the_host_agrees_on(spark):
     good = "<body><div class='main-{0}'><p>text, text, text {0}</p></div><div class='box'><p>side</p></div></body>"
     odd = "<body><div class='main-9'><p>short</p></div><div class='box'><p>much longer, than, all, the, others</p></div></body>"
-    table = spark.createDataFrame([(i, "http://h.example/", good.format(i)) for i in range(5)] + [(9, "http://h.example/", odd)], "page_id long, url string, html string")
+    table = spark.createDataFrame(
+        [(i, "http://h.example/", good.format(i)) for i in range(5)] + [(9, "http://h.example/", odd)],
+        "page_id long, url string, html string",
+    )
     assert {r.page_id: r.text for r in html_text.extract_texts(table).collect()}[9] == "short"
 
 
@@ -296,13 +358,22 @@ def test_html_finds_generated_articles(spark):
     rng = random.Random(8)
     vocabulary = [f"{a}{b}" for a in "ka lo mi nu per sta ven".split() for b in "ta ri do sel mon".split()]
     words = lambda n: " ".join(rng.choices(vocabulary, k=n))
-    around = [("<main>", "</main>"), ("<article class='post-{n}'>", "</article>"), ("<div id=content class='entry e{n}'>", "</div>"), ("<section class=story>", "</section>")]
+    around = [
+        ("<main>", "</main>"),
+        ("<article class='post-{n}'>", "</article>"),
+        ("<div id=content class='entry e{n}'>", "</div>"),
+        ("<section class=story>", "</section>"),
+    ]
     rows, truth = [], {}
     for n in range(200):
         host = n % 10
         begin, end = around[host % 4]
         blocks = [words(rng.randint(8, 80)) for _ in range(rng.randint(2, 12))]
-        linked = [b if rng.random() < 0.7 else b.replace(" ", f" <a href='/{n}'>", 1).replace(" ", "</a> ", 2).replace("</a> ", " ", 1) for b in blocks]
+        linked = [
+            b if rng.random() < 0.7 else b.replace(
+                " ", f" <a href='/{n}'>", 1
+            ).replace(" ", "</a> ", 2).replace("</a> ", " ", 1) for b in blocks
+        ]
         inner = f"<h1>{words(5)}</h1>"
         title = inner[4:-5]
         body = "".join(f"<p>{b}</p>" for b in linked)
@@ -326,9 +397,13 @@ def test_html_keeps_the_whole_article():
 
     many = lambda word, n: " ".join([word] * n)
     lead, body = many("lead", 40), many("body", 1000)
-    assert text(f"<article><h1>Title</h1><div class=lead><p>{lead}</p></div><div class=body><p>{body}</p></div></article>") == f"Title {lead} {body}"
+    assert text(
+        f"<article><h1>Title</h1><div class=lead><p>{lead}</p></div><div class=body><p>{body}</p></div></article>"
+    ) == f"Title {lead} {body}"
     sections = [many(f"s{k}", 300 if k == 1 else 20) for k in range(4)]
-    assert text("<article>" + "".join(f"<section class=c{chr(97 + k)}>{s}</section>" for k, s in enumerate(sections)) + "</article>") == " ".join(sections)
+    assert text(
+        "<article>" + "".join(f"<section class=c{chr(97 + k)}>{s}</section>" for k, s in enumerate(sections)) + "</article>"
+    ) == " ".join(sections)
     parts = [many(f"p{k}", 30) for k in range(30)]
     deep = "".join(f"<div class=x{chr(97 + k % 20)}><div><p>{p}</p></div></div>" for k, p in enumerate(parts))
     assert text(f"<article>{deep}</article><div class=box>{many('box', 50)}</div>") == " ".join(parts)
@@ -339,15 +414,34 @@ def test_html_keeps_the_whole_article():
 
 def test_url_filters(spark):
     entries = spark.createDataFrame(
-        [("d:bad.example", "2024-01-10", True), ("d:bad.example", "2024-03-01", False), ("p:ok.example/ads", "2024-02-01", True), ("p:ok.example/ads", "2024-02-01", False), (None, "2024-01-01", True), ("d:x.example", None, True)],
+        [
+            ("d:bad.example", "2024-01-10", True),
+            ("d:bad.example", "2024-03-01", False),
+            ("p:ok.example/ads", "2024-02-01", True),
+            ("p:ok.example/ads", "2024-02-01", False),
+            (None, "2024-01-01", True),
+            ("d:x.example", None, True),
+        ],
         "pattern string, on_date string, adds boolean",
     )
     captures = spark.createDataFrame(
-        [(1, "http://www.BAD.example:80/p", "2024-01-09", 0), (2, "http://www.bad.example/p", "2024-01-10", 0), (3, "https://bad.example", "2024-02-29", 0), (4, "http://bad.example/", "2024-03-01", 0), (5, "http://ok.example/ads/1?x", "2024-06-01", 0), (6, "http://ok.example/adsx", "2024-06-01", 0), (7, None, "2024-06-01", 0), (8, "not a url", None, 0), (2, "http://www.bad.example/p", "2024-01-10", 0)],
+        [
+            (1, "http://www.BAD.example:80/p", "2024-01-09", 0),
+            (2, "http://www.bad.example/p", "2024-01-10", 0),
+            (3, "https://bad.example", "2024-02-29", 0),
+            (4, "http://bad.example/", "2024-03-01", 0),
+            (5, "http://ok.example/ads/1?x", "2024-06-01", 0),
+            (6, "http://ok.example/adsx", "2024-06-01", 0),
+            (7, None, "2024-06-01", 0),
+            (8, "not a url", None, 0),
+            (2, "http://www.bad.example/p", "2024-01-10", 0),
+        ],
         "page_id long, url string, fetched_on string, blocked int",
     )
     got = Counter((r.page_id, r.blocked) for r in url_filters.evaluate_captures(captures, entries).collect())
-    assert got == Counter({(1, False): 1, (2, True): 2, (3, True): 1, (4, False): 1, (5, True): 1, (6, False): 1, (7, False): 1, (8, False): 1})
+    assert got == Counter(
+        {(1, False): 1, (2, True): 2, (3, True): 1, (4, False): 1, (5, True): 1, (6, False): 1, (7, False): 1, (8, False): 1}
+    )
     assert url_filters.evaluate_captures(captures.where("false"), entries).count() == 0
     assert not any(r.blocked for r in url_filters.evaluate_captures(captures, entries.where("false")).collect())
 
@@ -369,7 +463,11 @@ def test_quality(spark, docs, none):
     more = [(20, "a b c d e f g a b c d e f g x"), (21, "same line\nother # line\nsame line\n \n"), (22, "x y z w v " * 9)]
     texts = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     labels = spark.createDataFrame([(1, 1), (4, 1), (21, 0), (None, 0), (99, 0)], "doc_id long, quality int")
-    got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.judge(texts, labels).collect())
+    got = Counter(
+        (
+            r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed
+        ) for r in quality.judge(texts, labels).collect()
+    )
     expected = Counter()
     for i, t in [*TEXTS, *more]:
         b = base_of(whole(t))
@@ -425,7 +523,12 @@ def test_decision_list_learns_a_conjunction():
     rng = random.Random(4)
     rows = []
     for i in range(900):
-        row = dict.fromkeys(quality.FEATURES, 0) | {"symbols": rng.randint(0, 99), "capitals": rng.randint(0, 99), "n_words": rng.randint(10, 99), "fold": i % 3}
+        row = dict.fromkeys(quality.FEATURES, 0) | {
+            "symbols": rng.randint(0, 99),
+            "capitals": rng.randint(0, 99),
+            "n_words": rng.randint(10, 99),
+            "fold": i % 3,
+        }
         rows.append(row | {"quality": int(not (row["symbols"] > 60 and row["capitals"] > 50))})
     rules = quality.learn(rows)
     wrong = sum(any(rule.holds(r) for rule in rules) != (r["quality"] == 0) for r in rows)
@@ -457,12 +560,19 @@ def test_substrings(spark, docs, group, monkeypatch):
     shared = [[word() for _ in range(n)] for n in (49, 50, 51, 130)]
     texts = list(TEXTS)
     for i in range(30, 60):
-        parts = [[word() for _ in range(rng.randint(0, 60))], rng.choice(shared), [word() for _ in range(rng.randint(0, 60))], rng.choice(shared)]
+        parts = [
+            [word() for _ in range(rng.randint(0, 60))],
+            rng.choice(shared),
+            [word() for _ in range(rng.randint(0, 60))],
+            rng.choice(shared),
+        ]
         texts.append((i, rng.choice([" ", "\n", "\t "]).join(w for p in parts for w in p)))
     texts += [(70, "loop " * 300), (71, "loop " * 120 + "end"), (59, texts[-1][1]), (72, LONG)]
     monkeypatch.setattr(substrings, "GROUP", group)
     frame = spark.createDataFrame([(*t, 1) for t in texts], "doc_id long, text string, key int")
-    assert Counter(tuple(r) for r in substrings.removal_digests(frame).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()) == strike_brute(texts)
+    assert Counter(
+        tuple(r) for r in substrings.removal_digests(frame).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    ) == strike_brute(texts)
     assert substrings.removal_digests(frame.where("false")).count() == 0
     kept = substrings.remove_repeats(frame)
     assert kept.columns == frame.columns and kept.count() == len(texts)
@@ -529,7 +639,13 @@ def test_neardup(spark, docs):
 
 def test_neardup_judges_texts_of_one_id_apart(spark):
     base = [f"v{i}" for i in range(60)]
-    texts = [(3, " ".join(base)), (5, "a text unlike the other two"), (5, " ".join([*base[:-1], "z"])), (7, "a text unlike the other two"), (9, None)]
+    texts = [
+        (3, " ".join(base)),
+        (5, "a text unlike the other two"),
+        (5, " ".join([*base[:-1], "z"])),
+        (7, "a text unlike the other two"),
+        (9, None),
+    ]
     frame = spark.createDataFrame(texts, "doc_id long, text string")
     rows = Counter(tuple(r) for r in neardup.near_duplicates(frame, 4).collect())
     assert rows == jaccard_brute_by_row(texts, 4)
@@ -582,7 +698,10 @@ def test_components(spark):
     found = {r.node: r.component for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 140)}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
-    more = graph.joined(spark.createDataFrame([(1, 0), (0, 0), (5, 4), (4, 4)], "node long, component long"), spark.createDataFrame([(5, 1), (8, 9)], "a long, b long"))
+    more = graph.joined(
+        spark.createDataFrame([(1, 0), (0, 0), (5, 4), (4, 4)], "node long, component long"),
+        spark.createDataFrame([(5, 1), (8, 9)], "a long, b long"),
+    )
     assert {r.node: r.component for r in more.collect()} == {0: 0, 1: 0, 4: 0, 5: 0, 8: 8, 9: 8}
 
 
