@@ -25,7 +25,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long passages that a document with a smaller id has go from the texts; n_chars follows the text."""
     out = remove_repeats(docs)
-    return out if "n_chars" not in out.columns else out.selectExpr(*(f"cast(length(text) as {dict(out.dtypes)[c]}) as n_chars" if c == "n_chars" else f"`{c}`" for c in out.columns))
+    return out if "n_chars" not in out.columns else out.selectExpr(
+        *(f"cast(length(text) as {dict(out.dtypes)[c]}) as n_chars" if c == "n_chars" else f"`{c}`" for c in out.columns)
+    )
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

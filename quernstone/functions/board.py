@@ -49,7 +49,11 @@ def violations(cells: Column) -> Column:
     sides = [("white", "K", "P", "[A-Z]"), ("black", "k", "p", "[a-z]")]
     found = [F.when(F.length(cells) != 64, "size"), F.when(outer.rlike("[pP]"), "pawn rank")]
     for name, king, pawn, any_man in sides:
-        found += [F.when(men(cells, king) != 1, f"{name} king"), F.when(men(cells, pawn) > 8, f"{name} pawns"), F.when(F.regexp_count(cells, F.lit(any_man)) > 16, f"{name} men")]
+        found += [
+            F.when(men(cells, king) != 1, f"{name} king"),
+            F.when(men(cells, pawn) > 8, f"{name} pawns"),
+            F.when(F.regexp_count(cells, F.lit(any_man)) > 16, f"{name} men"),
+        ]
     return F.array_compact(F.array(*found))
 
 
@@ -94,7 +98,10 @@ def passed_pawn(cells: Column) -> Column:
     squares = F.sequence(F.lit(0), F.lit(63))
     at = lambda i: F.substring(cells, i + 1, F.lit(1))
     black = F.filter(squares, lambda j: at(j) == "p")
-    return F.exists(F.filter(squares, lambda i: at(i) == "P"), lambda i: ~F.exists(black, lambda j: (F.floor(j / 8) < F.floor(i / 8)) & (F.abs(j % 8 - i % 8) <= 1)))
+    return F.exists(
+        F.filter(squares, lambda i: at(i) == "P"),
+        lambda i: ~F.exists(black, lambda j: (F.floor(j / 8) < F.floor(i / 8)) & (F.abs(j % 8 - i % 8) <= 1)),
+    )
 
 
 def breach_cost(cells: Column) -> Column:

@@ -40,7 +40,9 @@ def at_rating(rating: Column, values: tuple, logarithmic: bool = False) -> Colum
 def evaluation_text(mate: Column, cp: Column) -> Column:
     """A signed number of pawns with two digits, or the mate."""
     sign = F.when(cp < 0, "−").otherwise("+")
-    return F.when(mate.isNotNull(), F.concat(F.when(mate < 0, "−#").otherwise("#"), F.abs(mate).cast("string"))).otherwise(F.concat(sign, F.format_string("%d.%02d", F.floor(F.abs(cp) / 100), F.abs(cp) % 100)))
+    return F.when(
+        mate.isNotNull(), F.concat(F.when(mate < 0, "−#").otherwise("#"), F.abs(mate).cast("string"))
+    ).otherwise(F.concat(sign, F.format_string("%d.%02d", F.floor(F.abs(cp) / 100), F.abs(cp) % 100)))
 
 
 def plural(n: Column, one: str, few: str, many: str) -> Column:

@@ -17,7 +17,9 @@ def day_spine(rows: DataFrame, days: int) -> DataFrame:
 def week_spine(today: DataFrame, weeks: int = 18) -> DataFrame:
     """Whole weeks, Monday first, up to the Sunday of this week; days after today are marked."""
     sunday = F.date_add(F.date_trunc("week", "today").cast("date"), 6)
-    return today.select("today", F.explode(F.sequence(F.date_sub(sunday, 7 * weeks - 1), sunday)).alias("day")).withColumn("future", F.col("day") > F.col("today"))
+    return today.select(
+        "today", F.explode(F.sequence(F.date_sub(sunday, 7 * weeks - 1), sunday)).alias("day")
+    ).withColumn("future", F.col("day") > F.col("today"))
 
 
 def last_values(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
@@ -33,9 +35,14 @@ def carry_forward(filled: DataFrame, key: str, day: str, value: str) -> DataFram
 
 def live_streaks(active: DataFrame, key: str = "user_id", day: str = "day") -> DataFrame:
     """Length of the run of active days that ends today or yesterday; zero for keys whose run is over. Rows: distinct key and day."""
-    numbered = with_today(active.select(key, day).distinct(), day).withColumn("island", F.date_sub(day, F.row_number().over(W.partitionBy(key).orderBy(day))))
+    numbered = with_today(active.select(key, day).distinct(), day).withColumn(
+        "island", F.date_sub(day, F.row_number().over(W.partitionBy(key).orderBy(day)))
+    )
     runs = numbered.groupBy(key, "island").agg(F.count("*").alias("n"), F.max(day).alias("last"), F.first("today").alias("today"))
-    return runs.groupBy(key).agg(F.max(F.when(F.datediff("today", "last") <= 1, F.col("n")).otherwise(0)).alias("streak"), F.max("n").alias("longest"))
+    return runs.groupBy(key).agg(
+        F.max(F.when(F.datediff("today", "last") <= 1, F.col("n")).otherwise(0)).alias("streak"),
+        F.max("n").alias("longest"),
+    )
 
 
 def intensity(total: Column, top: Column) -> Column:
@@ -58,16 +65,25 @@ def peak_day(totals: DataFrame) -> DataFrame:
 
 def best_delta(daily: DataFrame, key: str, series: str, value: str, order: Column) -> DataFrame:
     """Per key, the change from the day before of the largest size; of equals the earlier series. Rows: key, series, day, value."""
-    change = daily.withColumn("before", F.lag(value).over(W.partitionBy(key, series).orderBy("day"))).withColumn("day_before", F.lag("day").over(W.partitionBy(key, series).orderBy("day")))
+    change = daily.withColumn("before", F.lag(value).over(W.partitionBy(key, series).orderBy("day"))).withColumn(
+        "day_before", F.lag("day").over(W.partitionBy(key, series).orderBy("day"))
+    )
     latest = with_today(change).where((F.col("day") == F.col("today")) & (F.datediff("day", "day_before") == 1))
     delta = F.col(value) - F.col("before")
-    return latest.groupBy(key).agg(F.max_by(F.struct(F.col(series).alias("series"), delta.alias("delta")), F.struct(F.abs(delta), -order)).alias("x")).select(key, "x.series", "x.delta")
+    return latest.groupBy(key).agg(
+        F.max_by(F.struct(F.col(series).alias("series"), delta.alias("delta")), F.struct(F.abs(delta), -order)).alias("x")
+    ).select(key, "x.series", "x.delta")
 
 
 def drill_box(daily: DataFrame, key: str) -> DataFrame:
     """Drills, fixed, days with drills and the share fixed, rounded half up. Rows: key, drills, fixed per day."""
-    sums = daily.groupBy(key).agg(F.sum("drills").alias("drills"), F.sum("fixed").alias("fixed"), F.count_if(F.col("drills") > 0).alias("days"))
-    return sums.withColumn("pct", F.when(F.col("drills") > 0, js_round(100 * F.col("fixed") / F.col("drills"))).otherwise(F.lit(0).cast("long")))
+    sums = daily.groupBy(key).agg(
+        F.sum("drills").alias("drills"), F.sum("fixed").alias("fixed"), F.count_if(F.col("drills") > 0).alias("days")
+    )
+    return sums.withColumn(
+        "pct",
+        F.when(F.col("drills") > 0, js_round(100 * F.col("fixed") / F.col("drills"))).otherwise(F.lit(0).cast("long")),
+    )
 
 
 def section_progress(items: DataFrame, done: DataFrame, key: str, section: str, top: int = 10) -> DataFrame:
@@ -81,7 +97,12 @@ def totals(items: DataFrame, progress: DataFrame, key: str) -> DataFrame:
     """Solved, all, stars and the most stars there could be. Rows: items (key), progress (key, stars)."""
     seen = progress.groupBy(key).agg(F.max("stars").alias("stars"))
     joined = items.select(key).distinct().join(seen, key, "left")
-    return joined.agg(F.count("stars").alias("solved"), F.count("*").alias("n_all"), F.coalesce(F.sum("stars"), F.lit(0)).cast("long").alias("stars"), (3 * F.count("*")).alias("max_stars"))
+    return joined.agg(
+        F.count("stars").alias("solved"),
+        F.count("*").alias("n_all"),
+        F.coalesce(F.sum("stars"), F.lit(0)).cast("long").alias("stars"),
+        (3 * F.count("*")).alias("max_stars"),
+    )
 
 
 def axis_step(span: Column, marks: int = 4) -> Column:
@@ -89,4 +110,7 @@ def axis_step(span: Column, marks: int = 4) -> Column:
     raw = F.greatest(span, F.lit(1.0)) / marks
     ten = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
     part = raw / ten
-    return F.greatest(F.lit(1.0), ten * F.when(part <= 1, 1.0).when(part <= 2, 2.0).when(part <= 2.5, 2.5).when(part <= 5, 5.0).otherwise(10.0))
+    return F.greatest(
+        F.lit(1.0),
+        ten * F.when(part <= 1, 1.0).when(part <= 2, 2.0).when(part <= 2.5, 2.5).when(part <= 5, 5.0).otherwise(10.0),
+    )

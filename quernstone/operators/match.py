@@ -44,8 +44,17 @@ def nearest_class(rows: DataFrame, means: DataFrame, key: str, vector: str, grou
         far = F.transform("__means", lambda m: F.struct(distance(F.col(vector), m["mean"]).alias("d"), m["c"].alias("c")))
         best = held.select(key, F.slice(F.array_sort(far), 1, 2).alias("two"))
     else:
-        near = nearest_rows(rows.select(key, vector), means.select(F.col(group).alias("__c"), F.col("mean").alias(vector)), key, vector, 2, row_key="__c")
-        best = near.groupBy(F.col("q_key").alias(key)).agg(F.array_sort(F.collect_list(F.struct("d", F.col("__c").alias("c")))).alias("two"))
+        near = nearest_rows(
+            rows.select(key, vector),
+            means.select(F.col(group).alias("__c"), F.col("mean").alias(vector)),
+            key,
+            vector,
+            2,
+            row_key="__c",
+        )
+        best = near.groupBy(F.col("q_key").alias(key)).agg(
+            F.array_sort(F.collect_list(F.struct("d", F.col("__c").alias("c")))).alias("two")
+        )
     first, second = F.get("two", F.lit(0)), F.get("two", F.lit(1))
     margin = (second["d"] - first["d"]) / F.greatest(second["d"], F.lit(1e-9))
     return best.select(key, first["c"].alias("nearest"), F.round(margin, 6).alias("margin"))
@@ -61,7 +70,9 @@ def templates(rows: DataFrame, group: str, shade: str, vector: str, share: float
     most = far.groupBy(group).agg(F.percentile_approx("__d", share, 100_000).alias("__most"))
     kept = far.join(most, group).where(F.col("__d") <= F.col("__most"))
     both = F.struct(F.col(group).alias("c"), F.col(shade).alias("s"))
-    return class_means(kept.withColumn("__both", both), "__both", vector).select(F.col("__both.c").alias(group), F.col("__both.s").alias(shade), "mean", "size")
+    return class_means(kept.withColumn("__both", both), "__both", vector).select(
+        F.col("__both.c").alias(group), F.col("__both.s").alias(shade), "mean", "size"
+    )
 
 
 def shifted(vector: Column, by: int) -> Column:
@@ -76,12 +87,17 @@ def match_templates(rows: DataFrame, found: DataFrame, key: str, vector: str, gr
     One row for each colour has all its templates, so a row meets them by a join on colour and needs no shuffle after it.
     """
     moves = range(-most_shift, most_shift + 1)
-    in_all = found.select(shade, F.struct(F.col(group).alias("c"), F.array(*(shifted(F.col("mean"), m) for m in moves)).alias("shifts")).alias("t"))
+    in_all = found.select(
+        shade,
+        F.struct(F.col(group).alias("c"), F.array(*(shifted(F.col("mean"), m) for m in moves)).alias("shifts")).alias("t")
+    )
     banks = in_all.groupBy(shade).agg(F.collect_list("t").alias("bank"))
     near = lambda t: F.array_min(F.transform(t["shifts"], lambda m: distance(F.col(vector), m)))
     far = F.transform("bank", lambda t: F.struct(near(t).alias("d"), t["c"].alias("c")))
     two = F.slice(F.array_sort(far), 1, 2)
-    best = rows.select(key, shade, vector).join(F.broadcast(banks) if found.count() <= MOST_CLASSES else banks, shade).select(key, two.alias("two"))
+    best = rows.select(key, shade, vector).join(
+        F.broadcast(banks) if found.count() <= MOST_CLASSES else banks, shade
+    ).select(key, two.alias("two"))
     first, second = F.get("two", F.lit(0)), F.get("two", F.lit(1))
     margin = (second["d"] - first["d"]) / F.greatest(second["d"], F.lit(1e-9))
     return best.select(key, first["c"].alias("nearest"), first["d"].alias("d"), margin.alias("margin"))
@@ -105,11 +121,20 @@ def nearest_rows(
     def dealt(frame: DataFrame, own: str, other: str, name: str) -> DataFrame:
         block = F.pmod(F.xxhash64(name), F.lit(parts[own])).cast("int").alias(own)
         copies = F.explode(F.sequence(F.lit(0), F.lit(parts[other] - 1))).alias(other)
-        return frame.select(F.lit(own).alias("side"), F.col(name).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), *more, block, copies)
+        return frame.select(
+            F.lit(own).alias("side"),
+            F.col(name).alias("id"),
+            F.transform(vector, lambda x: x.cast("double")).alias("v"),
+            *more,
+            block,
+            copies,
+        )
 
     met = dealt(queries, "q", "r", key).unionByName(dealt(rows, "r", "q", row_key))
     fields = [f"q_{c}" for c in more] + more
-    schema = f"q_key {dict(queries.dtypes)[key]}, {row_key} {kinds[row_key]}, " + "".join(f"{f} {kinds[f.removeprefix('q_')]}, " for f in fields) + "d double"
+    schema = f"q_key {dict(queries.dtypes)[key]}, {row_key} {kinds[row_key]}, " + "".join(
+        f"{f} {kinds[f.removeprefix('q_')]}, " for f in fields
+    ) + "d double"
 
     def compare(table: pa.Table) -> pa.Table:
         sides = [table.filter(pa.compute.equal(table["side"], s)) for s in ("q", "r")]
@@ -164,7 +189,9 @@ def exact_quantiles(rows: DataFrame, value: str, shares: dict[str, float], group
         same = F.lit(True)
         for k in [*keys, "__part"]:
             same = same & F.col(f"d.{k}").eqNullSafe(F.col(f"w.{k}"))
-        found = dealt.alias("d").join(wanted.alias("w"), same).select(*(F.col(f"d.{k}").alias(k) for k in [*keys, "__part"]), "__v", "before", "n")
+        found = dealt.alias("d").join(wanted.alias("w"), same).select(
+            *(F.col(f"d.{k}").alias(k) for k in [*keys, "__part"]), "__v", "before", "n"
+        )
         ranked = found.withColumn("rank", F.col("before") + F.row_number().over(W.partitionBy(*keys, "__part").orderBy("__v")) - 1)
         out = []
         for name, p in shares.items():
@@ -188,14 +215,30 @@ def path_to_root(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     """
     with Scratch(nodes.sparkSession) as scratch:
         way = F.when(F.col(parent).isNull(), 0).otherwise(1)
-        at = scratch.settled(nodes.select(F.col(node).alias("node"), F.coalesce(parent, node).alias("up"), way.alias("depth"), F.col(parent).isNotNull().alias("open")), "ways")
+        at = scratch.settled(
+            nodes.select(
+                F.col(node).alias("node"),
+                F.coalesce(parent, node).alias("up"),
+                way.alias("depth"),
+                F.col(parent).isNotNull().alias("open"),
+            ),
+            "ways",
+        )
         most, steps = at.count(), 1
         while steps < most and not at.where("open").isEmpty():  # a way of as many steps as there are nodes runs in a cycle
             up = at.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"), F.col("open").alias("open2"))
-            moved = at.where("open").join(up, "up", "left").select("node", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.coalesce("open2", F.lit(False)).alias("open"))
+            moved = at.where("open").join(up, "up", "left").select(
+                "node",
+                F.col("up2").alias("up"),
+                (F.col("depth") + F.col("more")).alias("depth"),
+                F.coalesce("open2", F.lit(False)).alias("open"),
+            )
             at, steps = scratch.settled(at.where("not open").unionByName(moved), "ways"), 2 * steps
         known = ~F.col("open")
-        return settled(at.select(F.col("node").alias(node), F.when(known, F.col("up")).alias("root"), F.when(known, F.col("depth")).alias("depth")), "roots")
+        return settled(
+            at.select(F.col("node").alias(node), F.when(known, F.col("up")).alias("root"), F.when(known, F.col("depth")).alias("depth")),
+            "roots",
+        )
 
 
 def first_children(nodes: DataFrame, node: str, parent: str, main: Column) -> DataFrame:
@@ -264,7 +307,9 @@ def frames_of_ten(shapes: DataFrame, page: str, order: list[str]) -> DataFrame:
     ahead = by.rowsBetween(0, 9)
     inner = by.rowsBetween(1, 8)
     height = F.col("y1") - F.col("y0")
-    rows = shapes.withColumn("at", F.row_number().over(by)).withColumn("h", height).withColumn("down", F.coalesce(F.col("y0") > F.lag("y0").over(by), F.lit(False)))
+    rows = shapes.withColumn("at", F.row_number().over(by)).withColumn("h", height).withColumn(
+        "down", F.coalesce(F.col("y0") > F.lag("y0").over(by), F.lit(False))
+    )
     near = lambda x: (F.max(x).over(ahead) - F.col(x) < 1.5) & (F.col(x) - F.min(x).over(ahead) < 1.5)
     tall = (F.min("h").over(inner) > 8) & (F.max("h").over(inner) < 25) & (F.count("*").over(ahead) == 10)
     thin = (F.col("h") < 2) & (F.lead("h", 9).over(by) < 2)

@@ -30,14 +30,20 @@ def merge_override(local: DataFrame, cloud: DataFrame, keys: list[str], fields:
 
 def merge_latest(local: DataFrame, cloud: DataFrame, keys: list[str], touched: Column, fields: list[str]) -> DataFrame:
     """Per key the record touched last; of equals the local one."""
-    return both(local, cloud).groupBy(*keys).agg(F.max_by(F.struct("src", *fields), F.struct(touched, -F.col("src"))).alias("v")).select(*keys, "v.*")
+    return both(local, cloud).groupBy(*keys).agg(
+        F.max_by(F.struct("src", *fields), F.struct(touched, -F.col("src"))).alias("v")
+    ).select(*keys, "v.*")
 
 
 def merge_nested(local: DataFrame, cloud: DataFrame, parent: str, child: str, touched: str, fields: list[str]) -> DataFrame:
     """Children by the latest touch, ties local; each with the fields of the parent that was touched last on either side."""
     rows = both(local, cloud)
-    parents = rows.groupBy(parent, "src").agg(F.max(touched).alias("t")).groupBy(parent).agg(F.max_by("src", F.struct("t", -F.col("src"))).alias("base"))
-    children = rows.groupBy(parent, child).agg(F.max_by(F.struct("src", touched, *fields), F.struct(touched, -F.col("src"))).alias("v")).select(parent, child, "v.*")
+    parents = rows.groupBy(parent, "src").agg(F.max(touched).alias("t")).groupBy(parent).agg(
+        F.max_by("src", F.struct("t", -F.col("src"))).alias("base")
+    )
+    children = rows.groupBy(parent, child).agg(
+        F.max_by(F.struct("src", touched, *fields), F.struct(touched, -F.col("src"))).alias("v")
+    ).select(parent, child, "v.*")
     return children.join(parents, parent)
 
 
@@ -45,7 +51,10 @@ def positive_changes(before: DataFrame, after: DataFrame, keys: list[str], field
     """What grew from one snapshot to the next, over the keys of the later one; falls count as nothing."""
     old = before.select(*keys, *(F.col(f).alias(f"old_{f}") for f in fields))
     joined = after.join(old, keys, "left")
-    return joined.select(*keys, *(F.greatest(F.lit(0), F.coalesce(f, F.lit(0)) - F.coalesce(f"old_{f}", F.lit(0))).alias(f) for f in fields))
+    return joined.select(
+        *keys,
+        *(F.greatest(F.lit(0), F.coalesce(f, F.lit(0)) - F.coalesce(f"old_{f}", F.lit(0))).alias(f) for f in fields)
+    )
 
 
 def ordered_union(local: DataFrame, cloud: DataFrame, name: str, order: str) -> DataFrame:
@@ -110,16 +119,26 @@ def zip_prefix(one: DataFrame, other: DataFrame, key: str, at: str, value: str)
 def override_cells(cells: DataFrame, fixes: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Corrections replace the values of their cells."""
     fixed = fixes.select(*keys, F.col(value).alias("__fix"))
-    return cells.join(fixed, keys, "left").withColumn("fixed", F.col("__fix").isNotNull()).withColumn(value, F.coalesce("__fix", value)).drop("__fix")
+    return cells.join(fixed, keys, "left").withColumn(
+        "fixed", F.col("__fix").isNotNull()
+    ).withColumn(value, F.coalesce("__fix", value)).drop("__fix")
 
 
 def missing_keys(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """Expected keys that are absent and found keys that nothing expects."""
-    there = expected.select(*keys).distinct().withColumn("__e", F.lit(1)).join(found.select(*keys).distinct().withColumn("__f", F.lit(1)), keys, "full")
-    return there.where("__e is null or __f is null").select(*keys, F.when(F.col("__f").isNull(), "absent").otherwise("unexpected").alias("problem"))
-
-
-def merge_entities(local: dict[str, DataFrame], cloud: dict[str, DataFrame], rules: dict[str, Callable[[DataFrame, DataFrame], DataFrame]]) -> dict[str, DataFrame]:
+    there = expected.select(*keys).distinct().withColumn("__e", F.lit(1)).join(
+        found.select(*keys).distinct().withColumn("__f", F.lit(1)), keys, "full"
+    )
+    return there.where("__e is null or __f is null").select(
+        *keys, F.when(F.col("__f").isNull(), "absent").otherwise("unexpected").alias("problem")
+    )
+
+
+def merge_entities(
+    local: dict[str, DataFrame],
+    cloud: dict[str, DataFrame],
+    rules: dict[str, Callable[[DataFrame, DataFrame], DataFrame]],
+) -> dict[str, DataFrame]:
     """Every entity of two snapshots merged by its own rule. An entity that one side lacks is merged with an empty one; without rows it is left out."""
     out = {}
     for name, rule in rules.items():

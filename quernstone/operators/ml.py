@@ -20,6 +20,8 @@ def clusters(rows: DataFrame, vector: str, size: int, seed: int = 1) -> DataFram
     """Adds `cluster`: more clusters than classes, to be named afterwards; numbered by size, the largest first."""
     ready = rows.withColumn("__v", array_to_vector(vector))
     found = KMeans(k=size, seed=seed, featuresCol="__v", predictionCol="__c", maxIter=10).fit(ready).transform(ready)
-    order = found.groupBy("__c").agg(F.count("*").alias("n")).select("__c", F.array_sort(F.array(F.struct((-F.col("n")).alias("n"), "__c")))[0].alias("o"))
+    order = found.groupBy("__c").agg(F.count("*").alias("n")).select(
+        "__c", F.array_sort(F.array(F.struct((-F.col("n")).alias("n"), "__c")))[0].alias("o")
+    )
     ranked = order.agg(F.array_sort(F.collect_list("o")).alias("os")).select(F.posexplode("os").alias("cluster", "o")).select("cluster", F.col("o.__c").alias("__c"))  # k rows
     return found.join(F.broadcast(ranked), "__c").drop("__v", "__c")

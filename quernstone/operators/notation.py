@@ -126,7 +126,9 @@ def label_gaps(rows: DataFrame, group: str, order: str, chapter: str, number: st
     before, after = by.rowsBetween(W.unboundedPreceding, -1), by.rowsBetween(1, W.unboundedFollowing)
     known = F.when(F.col(number).isNotNull(), F.struct(F.col(chapter).alias("c"), F.col(number).alias("n"), F.col("__at").alias("at")))
     placed = rows.withColumn("__at", F.row_number().over(by))
-    placed = placed.withColumn("__p", F.last(known, ignorenulls=True).over(before)).withColumn("__n", F.first(known, ignorenulls=True).over(after))
+    placed = placed.withColumn(
+        "__p", F.last(known, ignorenulls=True).over(before)
+    ).withColumn("__n", F.first(known, ignorenulls=True).over(after))
     fits = (F.col("__p.c") == F.col("__n.c")) & (F.col("__n.n") - F.col("__p.n") == F.col("__n.at") - F.col("__p.at"))
     filled = F.when(F.coalesce(fits, F.lit(False)), F.col("__p.n") + F.col("__at") - F.col("__p.at"))
     return placed.withColumn("filled", F.coalesce(number, filled)).drop("__at", "__p", "__n")
@@ -146,8 +148,12 @@ def after_references(items: DataFrame, page: str, order: str, kind: str, label:
     ends = marked.where(is_ref).select(page, F.col(order).alias("ref_at"), "next_other")
     moved = items.join(refs, [page, label], "left").join(ends, [page, "ref_at"], "left")
     games = items.where(F.col(kind) == "game").select(F.col(page).alias("g_page"), F.col(order).alias("g_at"))
-    behind = (F.col("g_page") == F.col(page)) & (F.col("g_at") > F.col("ref_at")) & (F.col("g_at") < F.coalesce("next_other", F.lit(1 << 40)))
-    passed = moved.where(is_diagram & F.col("ref_at").isNotNull()).join(games, behind, "left").groupBy(page, order).agg(F.max("g_at").alias("past"))
+    behind = (F.col("g_page") == F.col(page)) & (F.col("g_at") > F.col("ref_at")) & (
+        F.col("g_at") < F.coalesce("next_other", F.lit(1 << 40))
+    )
+    passed = moved.where(
+        is_diagram & F.col("ref_at").isNotNull()
+    ).join(games, behind, "left").groupBy(page, order).agg(F.max("g_at").alias("past"))
     keyed = moved.join(passed, [page, order], "left")
     at = F.when(is_diagram & F.col("ref_at").isNotNull(), F.coalesce("past", "ref_at") + 0.5).otherwise(F.col(order).cast("double"))
     return keyed.withColumn("place", F.row_number().over(W.partitionBy(page).orderBy(at, order))).select(*items.columns, "place")

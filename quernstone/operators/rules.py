@@ -70,13 +70,18 @@ def clocks(rows: DataFrame, game: str, order: str, at: str, start: int, incremen
     own = W.partitionBy(game, "mover").orderBy(order)
     spent = F.when(F.row_number().over(own) == 1, 0).otherwise(F.col(at) - F.coalesce(F.lag(at).over(by), F.col(at)))
     used = rows.withColumn("spent", spent)
-    return used.withColumn("left", start + increment * F.row_number().over(own) - F.sum("spent").over(own.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return used.withColumn(
+        "left",
+        start + increment * F.row_number().over(own) - F.sum("spent").over(own.rowsBetween(W.unboundedPreceding, W.currentRow)),
+    )
 
 
 def oriented(cluster: Column, exceptions: dict[int, str], known: int) -> Column:
     """White or Black below by cluster number, with named exceptions; an unknown cluster stops the job."""
     named = F.create_map(*(x for k, v in exceptions.items() for x in (F.lit(k), F.lit(v))))
-    return F.when(cluster >= known, F.raise_error(F.lit("unknown cluster"))).otherwise(F.coalesce(F.try_element_at(named, cluster), F.when(cluster % 2 == 0, "w").otherwise("b")))
+    return F.when(cluster >= known, F.raise_error(F.lit("unknown cluster"))).otherwise(
+        F.coalesce(F.try_element_at(named, cluster), F.when(cluster % 2 == 0, "w").otherwise("b"))
+    )
 
 
 def ago(now: Column, then: Column) -> Column:
@@ -96,7 +101,10 @@ def mixed_fen(text: Column) -> Column:
     rest = F.regexp_extract(plain, r"(?:[1-8pnbrqkPNBRQK]{1,8}/){7}[1-8pnbrqkPNBRQK]{1,8}((?: [^ /]+)*)", 1)
     fields = F.filter(F.split(F.trim(rest), " "), lambda x: x != "")
     filled = lambda i, default: F.coalesce(F.get(fields, F.lit(i)), F.lit(default))
-    return F.when(placement != "", F.concat_ws(" ", placement, filled(0, "w"), filled(1, "-"), filled(2, "-"), filled(3, "0"), filled(4, "1")))
+    return F.when(
+        placement != "",
+        F.concat_ws(" ", placement, filled(0, "w"), filled(1, "-"), filled(2, "-"), filled(3, "0"), filled(4, "1")),
+    )
 
 
 def own_reason(me: str, white: str, black: str, variant: str, base: Column, plies: Column, least: int) -> Column:
@@ -153,10 +161,14 @@ def match_by_label_or_place(boards: DataFrame, tags: DataFrame, group: str, boar
     by = W.partitionBy(group)
     a = boards.withColumn("place", F.row_number().over(by.orderBy(board)))
     sizes = boards.groupBy(group).agg(F.count("*").alias("boards"))
-    b = tags.withColumn("all_read", F.bool_and(F.col(label).isNotNull()).over(by)).withColumn("tags", F.count("*").over(by)).join(sizes, group, "left")
+    b = tags.withColumn(
+        "all_read", F.bool_and(F.col(label).isNotNull()).over(by)
+    ).withColumn("tags", F.count("*").over(by)).join(sizes, group, "left")
     by_label, by_place = (F.row_number().over(by.orderBy(*o)) for o in ((label, tag), (tag,)))
     named = F.col("all_read") & F.coalesce(F.col("tags") == F.col("boards"), F.lit(False))
-    return b.withColumn("place", F.when(named, by_label).otherwise(by_place)).join(a, [group, "place"], "left").select(group, tag, board, named.alias("by_label"))
+    return b.withColumn(
+        "place", F.when(named, by_label).otherwise(by_place)
+    ).join(a, [group, "place"], "left").select(group, tag, board, named.alias("by_label"))
 
 
 def game_ends(plies: DataFrame, game: str, order: str) -> DataFrame:
@@ -169,7 +181,9 @@ def game_ends(plies: DataFrame, game: str, order: str) -> DataFrame:
     stuck = F.col("moves_left") == 0
     why = F.when(stuck & F.col("in_check"), "mate").when(stuck, "stalemate").when(F.col("__seen") >= 3, "repetition")
     why = why.when(F.col("clock") >= 100, "fifty moves").when(F.col("too_little"), "material")
-    return rows.withColumn("why", why).where("why is not null").groupBy(game).agg(F.min(F.struct(F.col(order).alias("at"), "why")).alias("x")).select(game, "x.*")
+    return rows.withColumn("why", why).where("why is not null").groupBy(game).agg(
+        F.min(F.struct(F.col(order).alias("at"), "why")).alias("x")
+    ).select(game, "x.*")
 
 
 def export_rows(positions: DataFrame, kept: DataFrame, margins: DataFrame, key: str) -> DataFrame:

@@ -9,13 +9,18 @@ from pyspark.sql import Window as W
 
 def fill_forward(rows: DataFrame, key: str, order: list[str], value: Column, name: str) -> DataFrame:
     """Each row with the last value that is not null, its own included."""
-    return rows.withColumn(name, F.last(value, ignorenulls=True).over(W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return rows.withColumn(
+        name,
+        F.last(value, ignorenulls=True).over(W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)),
+    )
 
 
 def glue(rows: DataFrame, key: str, order: str, starts: Column, text: str) -> DataFrame:
     """Paragraphs from pieces: a piece that starts none goes on the one before; a hyphen at a piece's end is dropped with the gap."""
     by = W.partitionBy(key).orderBy(order)
-    numbered = rows.withColumn("first", starts | (F.row_number().over(by) == 1)).withColumn("part", F.sum(F.col("first").cast("int")).over(by.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    numbered = rows.withColumn("first", starts | (F.row_number().over(by) == 1)).withColumn(
+        "part", F.sum(F.col("first").cast("int")).over(by.rowsBetween(W.unboundedPreceding, W.currentRow))
+    )
     in_order = F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text])
     joined = numbered.groupBy(key, "part").agg(F.array_join(in_order, "\n").alias("joined"), F.count("*").alias("pieces"))
     whole = F.translate(F.replace("joined", F.lit("-\n"), F.lit("")), "\n", " ").alias("text")
@@ -41,7 +46,12 @@ def strip_brackets(text: Column) -> Column:
         kept = F.when(opens(p) | closes(p) | (acc["depth"] > 0), acc["out"]).otherwise(F.concat(acc["out"], F.array(p)))
         return F.struct(depth.alias("depth"), kept.alias("out"))
 
-    return F.aggregate(pieces, F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out")), step, lambda acc: F.array_join(acc["out"], ""))
+    return F.aggregate(
+        pieces,
+        F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out")),
+        step,
+        lambda acc: F.array_join(acc["out"], ""),
+    )
 
 
 def label_key(label: Column) -> Column:
@@ -73,6 +83,36 @@ def content_id(start: Column, moves: Column) -> Column:
     return F.substring(F.sha1(F.concat(F.coalesce(start, F.lit("")), F.lit("|"), moves).cast("binary")), 1, 16)
 
 
+def fallback_id(text: Column) -> Column:
+    """An id where no digest is at hand: 33 times the number so far and the next letter, in 32 bits, from 5381 on. For ASCII texts."""
+    letters = F.filter(F.split(text, ""), lambda c: c != "")
+    step = lambda h, c: F.pmod(h * 33 + F.ascii(c), F.lit(1 << 32))
+    return F.concat(F.lit("h"), F.lower(F.hex(F.aggregate(letters, F.lit(5381).cast("long"), step))))
+
+
+#: Signs of an evaluation, and marks that belong to the move before.
+SIGNS = r"\+−|−\+|\+-|-\+|[±∓⩲⩱=÷©ƒ‚„∞]"
+MARKS = r"[\s!?+#.,;:]*"
+
+
+def comment_spans(text: Column, moves: Column) -> Column:
+    """For each move (start, end: offsets from 0) where its comment begins and ends, and the evaluation sign before it.
+
+    Marks after a move don't belong to its comment, nor does a sign within the next ten letters.
+    """
+
+    def span(move: Column, i: Column) -> Column:
+        ends = F.coalesce(F.get(moves, i + 1)["start"], F.length(text))
+        head = F.substring(text, move["end"] + 1, F.lit(10))
+        signed = F.regexp_extract(head, f"^{MARKS}(?:{SIGNS})", 0)
+        skipped = F.when(signed != "", signed).otherwise(F.regexp_extract(head, f"^{MARKS}", 0))
+        sign = F.translate(F.regexp_extract(head, f"^{MARKS}({SIGNS})", 1), "-", "−")
+        begins = F.least(move["end"] + F.length(skipped), ends)
+        return F.struct(begins.cast("int").alias("begins"), ends.cast("int").alias("ends"), sign.alias("sign"))
+
+    return F.transform(moves, span)
+
+
 def clean_title(title: Column) -> Column:
     """Without a number in brackets and a year at the end, spaces put in order."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(title, r"\(\d+\)", ""), r"[ ,]*\b\d{4}$", ""), r" +", " "))

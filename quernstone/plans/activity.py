@@ -16,12 +16,16 @@ DAYS = 30
 
 
 def daily_counts(spark, sf):
-    out = events(spark, sf).groupBy("user_id", "day", "event_type").agg(F.count("*").alias("n"), F.max_by("value", F.struct("ts", "event_id")).alias("last_value"))
+    out = events(spark, sf).groupBy("user_id", "day", "event_type").agg(
+        F.count("*").alias("n"), F.max_by("value", F.struct("ts", "event_id")).alias("last_value")
+    )
     return out
 
 
 def daily_window(spark, sf):
-    rows = events(spark, sf).groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+    rows = events(spark, sf).groupBy(
+        F.window(F.col("ts").cast("timestamp"), "1 day").alias("w"), "event_type"
+    ).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
     return rows.select(F.to_date("w.start").alias("day"), "event_type", "n", "users")
 
 
@@ -58,13 +62,19 @@ def best_delta(spark, sf):
 
 
 def drill_box(spark, sf):
-    daily = events(spark, sf).groupBy("user_id", "day").agg(F.count_if(F.col("event_type") == "click").alias("drills"), F.count_if(F.col("event_type") == "purchase").alias("fixed"))
+    daily = events(spark, sf).groupBy("user_id", "day").agg(
+        F.count_if(F.col("event_type") == "click").alias("drills"),
+        F.count_if(F.col("event_type") == "purchase").alias("fixed"),
+    )
     return A.drill_box(daily, "user_id")
 
 
 def totals(spark, sf):
     lines = table(spark, sf, "lineitem").where("l_returnflag = 'R'")
-    stars = lines.select(F.col("l_partkey").alias("p_partkey"), F.least(F.lit(3), F.floor(F.col("l_quantity") / 15)).cast("int").alias("stars"))
+    stars = lines.select(
+        F.col("l_partkey").alias("p_partkey"),
+        F.least(F.lit(3), F.floor(F.col("l_quantity") / 15)).cast("int").alias("stars"),
+    )
     return A.totals(table(spark, sf, "part"), stars, "p_partkey")
 
 
@@ -74,8 +84,14 @@ def sections(spark, sf):
 
 
 def axis_ticks(spark, sf):
-    spans = events(spark, sf).groupBy("event_type").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).withColumn("step", A.axis_step(F.col("hi") - F.col("lo")))
-    ticks = spans.select("event_type", "step", F.explode(F.sequence(F.floor(F.col("lo") / F.col("step")), F.ceil(F.col("hi") / F.col("step")))).alias("k"))
+    spans = events(spark, sf).groupBy("event_type").agg(
+        F.min("value").alias("lo"), F.max("value").alias("hi")
+    ).withColumn("step", A.axis_step(F.col("hi") - F.col("lo")))
+    ticks = spans.select(
+        "event_type",
+        "step",
+        F.explode(F.sequence(F.floor(F.col("lo") / F.col("step")), F.ceil(F.col("hi") / F.col("step")))).alias("k"),
+    )
     return ticks.select("event_type", (F.col("k") * F.col("step")).alias("tick"))
 
 
@@ -84,17 +100,30 @@ def today_override(spark, sf):
     rows = events(spark, sf)
     today = F.broadcast(last_day(rows))
     last = A.last_values(rows, ["user_id", "day"], ["ts", "event_id"], "value").crossJoin(today)
-    per_user = last.groupBy("user_id").agg(F.max(F.when(F.col("day") == F.col("today"), F.col("value"))).alias("own"), F.max(F.when(F.datediff("today", "day") == 1, F.col("value"))).alias("stored"))
+    per_user = last.groupBy("user_id").agg(
+        F.max(F.when(F.col("day") == F.col("today"), F.col("value"))).alias("own"),
+        F.max(F.when(F.datediff("today", "day") == 1, F.col("value"))).alias("stored"),
+    )
     profile = rows.where("event_type = 'login'").groupBy("user_id").agg(F.max("value").alias("profile"))
-    return per_user.join(profile, "user_id", "left").select("user_id", F.coalesce("own", "profile", "stored").alias("rating"), js_round(F.coalesce("own", "profile", "stored")).alias("shown"))
+    return per_user.join(profile, "user_id", "left").select(
+        "user_id",
+        F.coalesce("own", "profile", "stored").alias("rating"),
+        js_round(F.coalesce("own", "profile", "stored")).alias("shown"),
+    )
 
 
 def snapshots(spark, sf):
     """Each user's running counts at the end of each day."""
-    daily = events(spark, sf).groupBy("user_id", "day").agg(*(F.count_if(F.col("event_type") == t).alias(n) for n, t in (("solved", "click"), ("stars", "view"), ("errs", "purchase"))))
+    daily = events(spark, sf).groupBy("user_id", "day").agg(
+        *(F.count_if(F.col("event_type") == t).alias(n) for n, t in (("solved", "click"), ("stars", "view"), ("errs", "purchase")))
+    )
     so_far = W.partitionBy("user_id").orderBy("day").rowsBetween(W.unboundedPreceding, W.currentRow)
     fall = F.when(F.dayofmonth("day") == 15, 2).otherwise(0)  # a count that falls is no activity
-    return daily.select("user_id", F.unix_date("day").alias("at"), *((F.sum(f).over(so_far) - fall).alias(f) for f in ("solved", "stars", "errs")))
+    return daily.select(
+        "user_id",
+        F.unix_date("day").alias("at"),
+        *((F.sum(f).over(so_far) - fall).alias(f) for f in ("solved", "stars", "errs"))
+    )
 
 
 def progress_growth(spark, sf):
@@ -117,7 +146,25 @@ def resumed_job(spark, sf):
     return spark.read.parquet(done).select("n_nationkey", "value", F.col("batch").cast("int").alias("batch"))
 
 
-QUERIES = {f.__name__: f for f in (daily_counts, daily_window, daily_locf, streak, heatmap, peak_day, best_delta, drill_box, totals, sections, axis_ticks, today_override, progress_growth, write_bursts, resumed_job)}
+QUERIES = {
+    f.__name__: f for f in (
+        daily_counts,
+        daily_window,
+        daily_locf,
+        streak,
+        heatmap,
+        peak_day,
+        best_delta,
+        drill_box,
+        totals,
+        sections,
+        axis_ticks,
+        today_override,
+        progress_growth,
+        write_bursts,
+        resumed_job,
+    )
+}
 
 E = "with e as (select *, cast(ts as date) as day from events)"
 SQL = {
@@ -126,43 +173,69 @@ SQL = {
     "daily_locf": f"""{E}, t as (select max(day) as today from e),
         spine as (select cast(today - cast(i as int) as date) as day from t, range(0, 30) r(i)),
         l as (select user_id, day, arg_max(value, (ts, event_id)) as v from e group by all),
-        g as (select u.user_id, spine.day, l.v from (select distinct user_id from e) u cross join spine left join l on l.user_id = u.user_id and l.day = spine.day)
-        select user_id, day, last_value(v ignore nulls) over (partition by user_id order by day rows between unbounded preceding and current row) as value, v is not null as real from g""",
+        g as (select u.user_id, spine.day, l.v from (select distinct user_id from e) u cross join spine left join l on l.user_id =
+        u.user_id and l.day = spine.day)
+        select user_id, day, last_value(v ignore nulls) over (partition by user_id order by day rows between unbounded preceding and
+        current row) as value, v is not null as real from g""",
     "streak": f"""{E}, d as (select distinct user_id, day, (select max(day) from e) as today from e),
         n as (select *, day - cast(row_number() over (partition by user_id order by day) as int) as island from d),
         r as (select user_id, island, count(*) as n, max(day) as last, max(today) as today from n group by all)
         select user_id, max(case when today - last <= 1 then n else 0 end) as streak, max(n) as longest from r group by user_id""",
-    "heatmap": f"""{E}, t as (select max(day) as today from e), s as (select today, cast(date_trunc('week', today) as date) + 6 as sunday from t),
+    "heatmap": f"""{E}, t as (select max(day) as today from e), s as (select today, cast(date_trunc('week',
+        today) as date) + 6 as sunday from t),
         spine as (select today, cast(sunday - cast(i as int) as date) as day from s, range(0, 126) r(i)),
-        d as (select spine.day, spine.day > today as future, coalesce(c.total, 0) as total from spine left join (select day, count(*) as total from e group by day) c on c.day = spine.day),
+        d as (select spine.day, spine.day > today as future, coalesce(c.total, 0) as total from spine left join (select day,
+        count(*) as total from e group by day) c on c.day = spine.day),
         p as (select greatest(4, max(total)) as top from d)
-        select day, total, future, case when total / top > .66 then 4 when total / top > .38 then 3 when total / top > .15 then 2 when total > 0 then 1 else 0 end as level from d, p""",
+        select day, total, future, case when total / top > .66 then 4 when total / top > .38 then 3 when total / top > .15 then 2 when
+        total > 0 then 1 else 0 end as level from d, p""",
     "peak_day": f"{E}, d as (select day, count(*) as total from e group by day) select day, total from d order by total desc, day limit 1",
     "best_delta": f"""{E}, l as (select user_id, event_type, day, arg_max(value, (ts, event_id)) as v from e group by all),
-        c as (select a.user_id, a.event_type, a.v - b.v as delta, coalesce(list_position(['click', 'view', 'purchase', 'login', 'logout', 'signup'], a.event_type), 0) as o
-          from l a join l b on a.user_id = b.user_id and a.event_type = b.event_type and b.day = a.day - 1 where a.day = (select max(day) from e)),
+        c as (select a.user_id, a.event_type, a.v - b.v as delta, coalesce(list_position(['click', 'view', 'purchase', 'login',
+        'logout', 'signup'], a.event_type), 0) as o
+          from l a join l b on a.user_id = b.user_id and a.event_type = b.event_type and b.day = a.day - 1 where a.day = (select
+        max(day) from e)),
         r as (select *, row_number() over (partition by user_id order by abs(delta) desc, o) as k from c)
         select user_id, event_type as series, round(delta, 4) as delta from r where k = 1""",
-    "drill_box": f"""{E}, d as (select user_id, day, count(*) filter (event_type = 'click') as drills, count(*) filter (event_type = 'purchase') as fixed from e group by all)
+    "drill_box": f"""{E}, d as (select user_id, day, count(*) filter (event_type = 'click') as drills,
+        count(*) filter (event_type = 'purchase') as fixed from e group by all)
         select user_id, cast(sum(drills) as bigint) as drills, cast(sum(fixed) as bigint) as fixed, count(*) filter (drills > 0) as days,
-          cast(case when sum(drills) > 0 then floor(100.0 * sum(fixed) / sum(drills) + 0.5) else 0 end as bigint) as pct from d group by user_id""",
-    "totals": """with s as (select l_partkey, max(least(3, floor(l_quantity / 15))) as stars from lineitem where l_returnflag = 'R' group by 1)
-        select count(stars) as solved, count(*) as n_all, cast(coalesce(sum(stars), 0) as bigint) as stars, 3 * count(*) as max_stars from (select distinct p_partkey from part) p left join s on l_partkey = p_partkey""",
-    "sections": """with d as (select distinct l_partkey from lineitem where l_quantity >= 49), c as (select p_brand, count(*) as n, count(l_partkey) as done from part left join d on l_partkey = p_partkey group by 1)
-        select p_brand, n, done, cast(floor(100.0 * done / n + 0.5) as bigint) as pct from c where done > 0 order by pct desc, p_brand limit 10""",
-    "axis_ticks": """with s as (select event_type, min(value) as lo, max(value) as hi from events group by 1), r as (select *, greatest(hi - lo, 1.0) / 4 as raw from s),
-        t as (select *, pow(10.0, floor(log10(raw))) as ten from r), u as (select *, greatest(1.0, ten * case when raw / ten <= 1 then 1.0 when raw / ten <= 2 then 2.0 when raw / ten <= 2.5 then 2.5 when raw / ten <= 5 then 5.0 else 10.0 end) as step from t)
-        select event_type, k * step as tick from (select event_type, step, unnest(range(cast(floor(lo / step) as bigint), cast(ceil(hi / step) as bigint) + 1)) as k from u)""",
-    "today_override": f"""{E}, t as (select max(day) as today from e), l as (select user_id, day, arg_max(value, (ts, event_id)) as v from e group by all),
-        p as (select user_id, max(case when day = today then v end) as own, max(case when today - day = 1 then v end) as stored from l, t group by 1),
+          cast(case when sum(drills) > 0 then floor(100.0 * sum(fixed) / sum(drills) + 0.5) else 0 end as bigint) as pct from d group by
+        user_id""",
+    "totals": """with s as (select l_partkey, max(least(3, floor(l_quantity / 15))) as stars from lineitem where l_returnflag = 'R'
+        group by 1)
+        select count(stars) as solved, count(*) as n_all, cast(coalesce(sum(stars), 0) as bigint) as stars,
+        3 * count(*) as max_stars from (select distinct p_partkey from part) p left join s on l_partkey = p_partkey""",
+    "sections": """with d as (select distinct l_partkey from lineitem where l_quantity >= 49), c as (select p_brand, count(*) as n,
+        count(l_partkey) as done from part left join d on l_partkey = p_partkey group by 1)
+        select p_brand, n, done, cast(floor(100.0 * done / n + 0.5) as bigint) as pct from c where done > 0 order by pct desc,
+        p_brand limit 10""",
+    "axis_ticks": """with s as (select event_type, min(value) as lo, max(value) as hi from events group by 1), r as (select *,
+        greatest(hi - lo, 1.0) / 4 as raw from s),
+        t as (select *, pow(10.0, floor(log10(raw))) as ten from r), u as (select *, greatest(1.0,
+        ten * case when raw / ten <= 1 then 1.0 when raw / ten <= 2 then 2.0 when raw / ten <= 2.5 then 2.5 when raw / ten <= 5 then 5.0
+        else 10.0 end) as step from t)
+        select event_type, k * step as tick from (select event_type, step, unnest(range(cast(floor(lo / step) as bigint),
+        cast(ceil(hi / step) as bigint) + 1)) as k from u)""",
+    "today_override": f"""{E}, t as (select max(day) as today from e), l as (select user_id, day, arg_max(value, (ts,
+        event_id)) as v from e group by all),
+        p as (select user_id, max(case when day = today then v end) as own, max(case when today - day = 1 then v end) as stored from l,
+        t group by 1),
         q as (select user_id, max(value) as profile from e where event_type = 'login' group by 1)
-        select p.user_id, coalesce(own, profile, stored) as rating, cast(floor(coalesce(own, profile, stored) + 0.5) as bigint) as shown from p left join q using (user_id)""",
-    "progress_growth": f"""{E}, d as (select user_id, day, count(*) filter (event_type = 'click') as c, count(*) filter (event_type = 'view') as v, count(*) filter (event_type = 'purchase') as p from e group by all),
-        s as (select user_id, day, case when dayofmonth(day) = 15 then 2 else 0 end as f, sum(c) over w as c, sum(v) over w as v, sum(p) over w as p from d window w as (partition by user_id order by day rows unbounded preceding)),
-        g as (select user_id, day - date '1970-01-01' as "at", cast(greatest(0, c - f - lag(c - f) over o) as bigint) as solved, cast(greatest(0, v - f - lag(v - f) over o) as bigint) as stars,
-          cast(greatest(0, p - f - lag(p - f) over o) as bigint) as errs, row_number() over o as k from s window o as (partition by user_id order by day))
+        select p.user_id, coalesce(own, profile, stored) as rating, cast(floor(coalesce(own, profile,
+        stored) + 0.5) as bigint) as shown from p left join q using (user_id)""",
+    "progress_growth": f"""{E}, d as (select user_id, day, count(*) filter (event_type = 'click') as c,
+        count(*) filter (event_type = 'view') as v, count(*) filter (event_type = 'purchase') as p from e group by all),
+        s as (select user_id, day, case when dayofmonth(day) = 15 then 2 else 0 end as f, sum(c) over w as c, sum(v) over w as v,
+        sum(p) over w as p from d window w as (partition by user_id order by day rows unbounded preceding)),
+        g as (select user_id, day - date '1970-01-01' as "at", cast(greatest(0, c - f - lag(c - f) over o) as bigint) as solved,
+        cast(greatest(0, v - f - lag(v - f) over o) as bigint) as stars,
+          cast(greatest(0, p - f - lag(p - f) over o) as bigint) as errs, row_number() over o as k from s window o as (partition by
+        user_id order by day))
         select user_id, "at", solved, stars, errs from g where k > 1 and greatest(solved, stars, errs) > 0""",
-    "write_bursts": """with r as (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 6 hours then 0 else 1 end as new from events),
-        g as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as part from r) select user_id, arg_max(event_id, (ts, event_id)) as event_id, count(*) as writes from g group by user_id, part""",
+    "write_bursts": """with r as (select *, case when ts - lag(ts) over (partition by user_id order by ts,
+        event_id) < interval 6 hours then 0 else 1 end as new from events),
+        g as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as part from r) select
+        user_id, arg_max(event_id, (ts, event_id)) as event_id, count(*) as writes from g group by user_id, part""",
     "resumed_job": "select n_nationkey, n_nationkey * 2 as value, case when n_nationkey <= 15 then 0 else 1 end as batch from nation",
 }

@@ -21,12 +21,19 @@ def games(spark, sf):
     n = F.col("event_id")
     by = W.partitionBy("user_id", "day").orderBy("ts", "event_id")
     i = F.row_number().over(by) - 1
-    move = F.concat(F.floor(i / 2).cast("string"), F.when(i % 2 == 0, F.lit(". ")).otherwise(F.lit("... ")), F.element_at(F.array(*map(F.lit, SANS)), (n % 8 + 1).cast("int")))
+    move = F.concat(
+        F.floor(i / 2).cast("string"),
+        F.when(i % 2 == 0, F.lit(". ")).otherwise(F.lit("... ")),
+        F.element_at(F.array(*map(F.lit, SANS)), (n % 8 + 1).cast("int")),
+    )
     mark = F.when(n % 5 == 0, F.lit("!?")).when(n % 6 == 0, F.lit(" $5")).otherwise(F.lit(""))
     cp = F.when(n % 11 == 0, F.concat(F.lit("#-"), (n % 9 + 1).cast("string"))).otherwise(F.format_string("%.2f", (n % 700 - 350) / 100))
     note = F.when(n % 3 == 0, F.concat(F.lit(" {[%eval "), cp, F.lit("] [%clk 0:01]}"))).otherwise(F.lit(""))
     depth = (n % 41).cast("int")
-    aside = F.when(n % 4 == 1, F.concat(F.lit(" "), F.repeat(F.lit("(1... d5 {[%eval 9.99]} "), depth), F.repeat(F.lit(")"), depth))).otherwise(F.lit(""))
+    aside = F.when(
+        n % 4 == 1,
+        F.concat(F.lit(" "), F.repeat(F.lit("(1... d5 {[%eval 9.99]} "), depth), F.repeat(F.lit(")"), depth)),
+    ).otherwise(F.lit(""))
     line = F.when(n % 7 == 2, F.lit(" ; then e5 and Nc6\n")).when(n % 7 == 3, F.lit(" (2. d4 ; c5)\n")).otherwise(F.lit(" "))
     rows = events(spark, sf).withColumn("o", F.struct("ts", "event_id")).withColumn("piece", F.concat(move, mark, note, aside, line))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "piece"))), lambda x: x["piece"]), "")
@@ -43,13 +50,22 @@ def game_file(spark, sf):
     found = G.read_games(games(spark, sf).groupBy("user_id").agg(F.array_join(in_order, "\n").alias("value")))
     notes = F.transform("evals", lambda e: F.concat_ws(":", e["at"].cast("string"), e["cp"].cast("string")))
     head = F.col("headers")
-    return found.select(head["White"].alias("white"), head["Event"].alias("event"), F.array_join("moves", " ").alias("moves"), F.array_join(notes, " ").alias("evals"))
+    return found.select(
+        head["White"].alias("white"),
+        head["Event"].alias("event"),
+        F.array_join("moves", " ").alias("moves"),
+        F.array_join(notes, " ").alias("evals"),
+    )
 
 
 def transcript_blocks(spark, sf):
     """One page for each conversation: a turn is a heading, a diagram or a paragraph of two lines."""
-    turns = table(spark, sf, "conversations").where("conv_id is not null").select("conv_id", "turn", "role", F.md5(F.coalesce("text", F.lit(""))).alias("h")).distinct()
-    text = F.when(F.col("role") == "user", F.concat(F.lit("[[H]] "), "h")).when(F.col("role") == "system", F.concat(F.lit("[[DIAG w "), "h", F.lit("]]")))
+    turns = table(spark, sf, "conversations").where("conv_id is not null").select(
+        "conv_id", "turn", "role", F.md5(F.coalesce("text", F.lit(""))).alias("h")
+    ).distinct()
+    text = F.when(F.col("role") == "user", F.concat(F.lit("[[H]] "), "h")).when(
+        F.col("role") == "system", F.concat(F.lit("[[DIAG w "), "h", F.lit("]]"))
+    )
     text = F.coalesce(text, F.concat(F.substring("h", 1, 8), F.lit("\n"), F.substring("h", 9, 24), F.lit("\n")))
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: x["text"])
     pages = turns.withColumn("text", text).groupBy(F.col("conv_id").alias("doc")).agg(F.array_join(in_order, "\n").alias("text"))
@@ -73,13 +89,17 @@ def embedded_data(spark, sf):
     scripts = table(spark, sf, "nation").groupBy("n_regionkey").agg(script.alias("script"))
     found = scripts.select("n_regionkey", P.embedded_json(F.col("script")).alias("j"))
     first = F.get_json_object("j", "$.nations[0].n").cast("int").alias("first")
-    return found.select("n_regionkey", first, F.explode(P.fields(F.col("j"), r'"n":(\d+),"name":"([^"]*)"', ["n", "name"])).alias("f")).select("n_regionkey", "first", "f.n", "f.name")
+    return found.select(
+        "n_regionkey", first, F.explode(P.fields(F.col("j"), r'"n":(\d+),"name":"([^"]*)"', ["n", "name"])).alias("f")
+    ).select("n_regionkey", "first", "f.n", "f.name")
 
 
 def archive_days(spark, sf):
     """An archive of all events as games of user 7 against others."""
     n = F.col("event_id")
-    me, other = F.struct(F.lit("Me").alias("username"), (1000 + n % 900).cast("int").alias("rating")), F.struct(F.lit("X").alias("username"), F.lit(1).alias("rating"))
+    me, other = F.struct(
+        F.lit("Me").alias("username"), (1000 + n % 900).cast("int").alias("rating")
+    ), F.struct(F.lit("X").alias("username"), F.lit(1).alias("rating"))
     kind = F.element_at(F.array(*map(F.lit, ("blitz", "bullet", "rapid", "daily"))), (n % 4 + 1).cast("int"))
     game = F.struct(
         F.when(n % 2 == 0, me).otherwise(other).alias("white"),
@@ -98,9 +118,18 @@ def activity_days(spark, sf):
         F.count_if(n % 3 == 0).cast("int").alias("w"), F.count_if(n % 3 == 1).cast("int").alias("l"), F.count_if(n % 3 == 2).cast("int").alias("d"), F.max(n % 1000).cast("int").alias("r")
     )
     score = F.struct(F.col("w").alias("win"), F.col("l").alias("loss"), F.col("d").alias("draw"))
-    game = F.struct(F.col("w").alias("win"), F.col("l").alias("loss"), F.col("d").alias("draw"), F.struct(F.col("r").alias("after")).alias("rp"))
+    game = F.struct(
+        F.col("w").alias("win"),
+        F.col("l").alias("loss"),
+        F.col("d").alias("draw"),
+        F.struct(F.col("r").alias("after")).alias("rp"),
+    )
     interval = F.struct(F.unix_millis(F.col("day").cast("timestamp")).alias("start"))
-    entry = F.struct(interval.alias("interval"), F.create_map(F.lit("blitz"), game, F.lit("rapid"), game).alias("games"), F.struct(score.alias("score")).alias("puzzles"))
+    entry = F.struct(
+        interval.alias("interval"),
+        F.create_map(F.lit("blitz"), game, F.lit("rapid"), game).alias("games"),
+        F.struct(score.alias("score")).alias("puzzles"),
+    )
     feeds = days.select(F.to_json(F.array(entry)).alias("value"))
     return G.activity_by_day(feeds, "value").select("day", "games", "puzzles", "blitz")
 
@@ -109,7 +138,14 @@ def address_kinds(spark, sf):
     rows = table(spark, sf, "pages").where("page_id is not null").select("page_id", F.md5(F.col("page_id").cast("string")).alias("h"))
     at = lambda *parts: F.concat(F.lit("https://site.example/"), *parts)
     one, two = F.substring("h", 1, 8), F.substring("h", 9, 8)
-    shapes = F.array(at(F.lit("study/"), one, F.lit("/"), two), at(F.lit("study/"), one), at(one), at(F.substring("h", 1, 12), F.lit("?x")), at(F.lit("about")), F.col("h"))
+    shapes = F.array(
+        at(F.lit("study/"), one, F.lit("/"), two),
+        at(F.lit("study/"), one),
+        at(one),
+        at(F.substring("h", 1, 12), F.lit("?x")),
+        at(F.lit("about")),
+        F.col("h"),
+    )
     return rows.select("page_id", G.source_of(F.element_at(shapes, (F.col("page_id") % 6 + 1).cast("int"))).alias("kind"))
 
 
@@ -123,7 +159,9 @@ def newest_games(spark, sf):
 def compact_json(spark, sf):
     """Rows as JSON without what is null."""
     small = F.when(F.col("n_nationkey") % 3 != 0, F.col("n_regionkey"))
-    return table(spark, sf, "nation").select(F.to_json(F.struct(F.col("n_nationkey").alias("n"), small.alias("r"), F.col("n_name").alias("t"))).alias("json"))
+    return table(spark, sf, "nation").select(
+        F.to_json(F.struct(F.col("n_nationkey").alias("n"), small.alias("r"), F.col("n_name").alias("t"))).alias("json")
+    )
 
 
 def cell_prints(spark, sf):
@@ -137,7 +175,9 @@ def prefix_read(spark, sf):
 
 
 def visible_rows(spark, sf):
-    return P.visible_to(table(spark, sf, "orders"), "1", "o_custkey", F.startswith("o_orderpriority", F.lit("1"))).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    return P.visible_to(
+        table(spark, sf, "orders"), "1", "o_custkey", F.startswith("o_orderpriority", F.lit("1"))
+    ).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
 def kmeans_assign(spark, sf):
@@ -147,29 +187,62 @@ def kmeans_assign(spark, sf):
 
 def pca_project(spark, sf):
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return ml.project(rows, "embedding", 8, 7, "vec_id").select("vec_id", F.transform("projected", lambda x: F.round(x, 6)).alias("projected"))
+    return ml.project(rows, "embedding", 8, 7, "vec_id").select(
+        "vec_id", F.transform("projected", lambda x: F.round(x, 6)).alias("projected")
+    )
 
 
-QUERIES = {f.__name__: f for f in (game_file, transcript_blocks, markdown_table, embedded_data, archive_days, activity_days, address_kinds, newest_games, compact_json, cell_prints, prefix_read, visible_rows, kmeans_assign, pca_project)}
+QUERIES = {
+    f.__name__: f for f in (
+        game_file,
+        transcript_blocks,
+        markdown_table,
+        embedded_data,
+        archive_days,
+        activity_days,
+        address_kinds,
+        newest_games,
+        compact_json,
+        cell_prints,
+        prefix_read,
+        visible_rows,
+        kmeans_assign,
+        pca_project,
+    )
+}
 
 SQL = {
-    "game_file": """with e as (select *, cast(ts as date) as day, row_number() over (partition by user_id, cast(ts as date) order by ts, event_id) as i from events)
-        select 'u' || user_id as white, cast(day as varchar) as event, string_agg(['e4', 'Nf3', 'O-O', 'Bxc6+', 'exd5', 'R1d2', 'Qh5#', 'a8=Q'][event_id % 8 + 1], ' ' order by i) as moves,
-          coalesce(string_agg(i || ':' || case when event_id % 11 = 0 then -10000 + event_id % 9 + 1 else event_id % 700 - 350 end, ' ' order by i) filter (event_id % 3 = 0), '') as evals
+    "game_file": """with e as (select *, cast(ts as date) as day, row_number() over (partition by user_id, cast(ts as date) order by ts,
+        event_id) as i from events)
+        select 'u' || user_id as white, cast(day as varchar) as event, string_agg(['e4', 'Nf3', 'O-O', 'Bxc6+', 'exd5', 'R1d2', 'Qh5#',
+        'a8=Q'][event_id % 8 + 1], ' ' order by i) as moves,
+          coalesce(string_agg(i || ':' || case when event_id % 11 = 0 then -10000 + event_id % 9 + 1 else event_id % 700 - 350 end,
+        ' ' order by i) filter (event_id % 3 = 0), '') as evals
         from e group by user_id, day""",
-    "transcript_blocks": """with t as (select distinct conv_id, turn, role, md5(coalesce(text, '')) as h from conversations where conv_id is not null)
+    "transcript_blocks": """with t as (select distinct conv_id, turn, role, md5(coalesce(text,
+        '')) as h from conversations where conv_id is not null)
         select conv_id as doc, case role when 'user' then 'h' when 'system' then 'diag' else 'p' end as kind,
-          case role when 'user' then h when 'system' then 'w ' || h else substr(h, 1, 8) || ' ' || substr(h, 9, 24) end as payload from t""",
-    "markdown_table": "select p_brand, cast(row_number() over (partition by p_brand order by p_partkey) as int) as n, p_partkey || ';' || trim(p_name) as cells from part",
-    "embedded_data": "select n_regionkey, min(n_nationkey) over (partition by n_regionkey) as first, cast(n_nationkey as varchar) as n, n_name as name from nation",
-    "archive_days": "select cast(ts as date) as day, ['blitz', 'bullet', 'rapid', 'daily'][event_id % 4 + 1] as control, count(*) as games from events group by all",
-    "activity_days": """with d as (select user_id, cast(ts as date) as day, count(*) as n, max(event_id % 1000) as r from events group by all)
+          case role when 'user' then h when 'system' then 'w ' || h else substr(h, 1, 8) || ' ' || substr(h, 9,
+        24) end as payload from t""",
+    "markdown_table": """select p_brand, cast(row_number() over (partition by p_brand order by p_partkey) as int) as n,
+        p_partkey || ';' || trim(p_name) as cells from part""",
+    "embedded_data": """select n_regionkey, min(n_nationkey) over (partition by n_regionkey) as first,
+        cast(n_nationkey as varchar) as n, n_name as name from nation""",
+    "archive_days": """select cast(ts as date) as day, ['blitz', 'bullet', 'rapid', 'daily'][event_id % 4 + 1] as control,
+        count(*) as games from events group by all""",
+    "activity_days": """with d as (select user_id, cast(ts as date) as day, count(*) as n,
+        max(event_id % 1000) as r from events group by all)
         select day, cast(2 * sum(n) as bigint) as games, max(n) as puzzles, max(r) as blitz from d group by day""",
-    "address_kinds": "select page_id, ['chapter', 'study', 'game', 'game', 'unknown', 'unknown'][page_id % 6 + 1] as kind from pages where page_id is not null",
-    "newest_games": """select o_orderkey, o_orderstatus from orders where o_orderstatus <> 'P' and o_orderpriority not in ('1-URGENT', '2-HIGH')
+    "address_kinds": """select page_id, ['chapter', 'study', 'game', 'game', 'unknown',
+        'unknown'][page_id % 6 + 1] as kind from pages where page_id is not null""",
+    "newest_games": """select o_orderkey, o_orderstatus from orders where o_orderstatus <> 'P' and o_orderpriority not in ('1-URGENT',
+        '2-HIGH')
         order by o_orderdate desc, o_orderkey desc limit 100""",
-    "compact_json": """select '{"n":' || n_nationkey || case when n_nationkey % 3 <> 0 then ',"r":' || n_regionkey else '' end || ',"t":"' || n_name || '"}' as json from nation""",
-    "cell_prints": """select n_regionkey, '[' || string_agg('{"size":' || length(n_name) || ',"n":' || n_nationkey || '}', ',' order by length(n_name), n_nationkey) || ']' as print from nation group by 1""",
-    "prefix_read": "select p_partkey, p_brand || ':' || p_partkey as key from part where starts_with(p_brand, 'Brand#1') and not starts_with(p_brand, 'Brand#12') order by key limit 40",
+    "compact_json": """select '{"n":' || n_nationkey || case when n_nationkey % 3 <> 0 then ',"r":' || n_regionkey else '' end ||
+        ',"t":"' || n_name || '"}' as json from nation""",
+    "cell_prints": """select n_regionkey, '[' || string_agg('{"size":' || length(n_name) || ',"n":' || n_nationkey || '}',
+        ',' order by length(n_name), n_nationkey) || ']' as print from nation group by 1""",
+    "prefix_read": """select p_partkey, p_brand || ':' || p_partkey as key from part where starts_with(p_brand,
+        'Brand#1') and not starts_with(p_brand, 'Brand#12') order by key limit 40""",
     "visible_rows": "select o_orderstatus, count(*) as n from orders where o_custkey = 1 or starts_with(o_orderpriority, '1') group by 1",
 }

@@ -13,7 +13,10 @@ MATE = 10_000
 
 def split_games(raw: Column) -> Column:
     """The games of a file: cut before each event header, indented ones too, kept if they have a move number or a header."""
-    parts = F.transform(F.split(F.replace(raw, F.lit("\r"), F.lit("")), r"\n(?=\s*\[Event\s)"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    parts = F.transform(
+        F.split(F.replace(raw, F.lit("\r"), F.lit("")), r"\n(?=\s*\[Event\s)"),
+        lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""),
+    )
     return F.filter(parts, lambda x: x.rlike(r"\d\.|\["))
 
 
@@ -32,7 +35,9 @@ def strip_variations(text: Column) -> Column:
 
     def step(levels: Column, piece: Column) -> Column:
         closes = (piece == ")") & (F.size(levels) > 1)
-        return F.when(piece == "(", F.concat(levels, F.array(F.lit("")))).when(closes, add(F.slice(levels, F.lit(1), F.size(levels) - 1), F.lit(" "))).otherwise(add(levels, piece))
+        return F.when(piece == "(", F.concat(levels, F.array(F.lit("")))).when(
+            closes, add(F.slice(levels, F.lit(1), F.size(levels) - 1), F.lit(" "))
+        ).otherwise(add(levels, piece))
 
     return F.aggregate(F.split(text, r"(?<=[()])|(?=[()])"), F.array(F.lit("")), step, lambda levels: F.array_join(levels, "("))
 
@@ -104,14 +109,26 @@ def games_by_day(payload: DataFrame, column: str, user: str) -> DataFrame:
     """Games and last rating of each day and class from archives of games: all are counted, three classes are rated."""
     rows = payload.select(F.posexplode(F.from_json(column, GAMES)["games"]).alias("at", "g"))
     own = F.when(F.lower("g.white.username") == user.lower(), F.col("g.white.rating")).otherwise(F.col("g.black.rating"))
-    rows = rows.select(F.to_date(F.timestamp_seconds("g.end_time")).alias("day"), F.col("g.time_class").alias("control"), own.alias("rating"), "at", F.col("g.end_time").alias("t"))
+    rows = rows.select(
+        F.to_date(F.timestamp_seconds("g.end_time")).alias("day"),
+        F.col("g.time_class").alias("control"),
+        own.alias("rating"),
+        "at",
+        F.col("g.end_time").alias("t"),
+    )
     rated = F.when(F.col("control").isin("rapid", "blitz", "bullet"), F.col("rating"))
     return rows.groupBy("day", "control").agg(F.count("*").alias("games"), F.max_by(rated, F.struct("t", "at")).alias("rating"))
 
 
 def activity_by_day(payload: DataFrame, column: str) -> DataFrame:
     """Games of all kinds, puzzles and ratings of each day from activity intervals."""
-    rows = payload.select(F.explode(F.from_json(column, ACTIVITY)).alias("a")).select(F.to_date(F.timestamp_millis("a.interval.start")).alias("day"), "a.games", "a.puzzles.score")
+    rows = payload.select(F.explode(F.from_json(column, ACTIVITY)).alias("a")).select(
+        F.to_date(F.timestamp_millis("a.interval.start")).alias("day"), "a.games", "a.puzzles.score"
+    )
     total = lambda s: F.coalesce(s["win"], F.lit(0)) + F.coalesce(s["loss"], F.lit(0)) + F.coalesce(s["draw"], F.lit(0))
     kinds = rows.select("day", total(F.col("score")).alias("puzzles"), F.explode_outer("games").alias("control", "g"))
-    return kinds.groupBy("day").agg(F.sum(F.coalesce(total(F.col("g")), F.lit(0))).alias("games"), F.max("puzzles").alias("puzzles"), F.max(F.when(F.col("control") == "blitz", F.col("g.rp.after"))).alias("blitz"))
+    return kinds.groupBy("day").agg(
+        F.sum(F.coalesce(total(F.col("g")), F.lit(0))).alias("games"),
+        F.max("puzzles").alias("puzzles"),
+        F.max(F.when(F.col("control") == "blitz", F.col("g.rp.after"))).alias("blitz"),
+    )

@@ -8,9 +8,22 @@ from pyspark.sql import functions as F
 
 def blocks(files: DataFrame, name: str, text: str) -> DataFrame:
     """Blocks of transcript pages in order: doc, seq, kind and payload. Blank lines part paragraphs; markers stand alone."""
-    parts = files.select(name, F.posexplode(F.split(F.regexp_replace(F.regexp_replace(text, "\r", ""), r"(?m)^(\[\[[A-Z]+[^\]]*\]\].*)$", "\n\n$1\n\n"), r"\n\s*\n")).alias("seq", "raw")).withColumn("raw", F.trim(F.translate("raw", "\n", " "))).where("raw <> ''")
+    parts = files.select(
+        name,
+        F.posexplode(
+            F.split(F.regexp_replace(F.regexp_replace(text, "\r", ""), r"(?m)^(\[\[[A-Z]+[^\]]*\]\].*)$", "\n\n$1\n\n"), r"\n\s*\n")
+        ).alias("seq", "raw"),
+    ).withColumn("raw", F.trim(F.translate("raw", "\n", " "))).where("raw <> ''")
     marker = F.lower(F.regexp_extract("raw", r"^\[\[([A-Z]+)", 1))
-    payload = F.when(marker == "", F.col("raw")).otherwise(F.trim(F.concat_ws(" ", F.regexp_extract("raw", r"^\[\[[A-Z]+\s*([^\]]*)\]\]", 1), F.regexp_extract("raw", r"^\[\[[^\]]*\]\]\s*(.*)$", 1))))
+    payload = F.when(marker == "", F.col("raw")).otherwise(
+        F.trim(
+            F.concat_ws(
+                " ",
+                F.regexp_extract("raw", r"^\[\[[A-Z]+\s*([^\]]*)\]\]", 1),
+                F.regexp_extract("raw", r"^\[\[[^\]]*\]\]\s*(.*)$", 1),
+            )
+        )
+    )
     return parts.select(name, "seq", F.when(marker == "", "p").otherwise(marker).alias("kind"), payload.alias("payload"))
 
 

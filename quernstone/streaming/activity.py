@@ -33,20 +33,28 @@ def grown(snapshots: DataFrame, key: str = "user_id", fields: tuple[str, ...] =
         yield pd.DataFrame(out, columns=names)
 
     schema = ", ".join(f"{n} long" for n in names)
-    return snapshots.groupBy(key).applyInPandasWithState(step, schema, ", ".join(f"{f} long" for f in fields), "append", GroupStateTimeout.NoTimeout)
+    return snapshots.groupBy(key).applyInPandasWithState(
+        step, schema, ", ".join(f"{f} long" for f in fields), "append", GroupStateTimeout.NoTimeout
+    )
 
 
-def settled_writes(writes: DataFrame, key: str, at: str, value: str, quiet: str = "1500 milliseconds", late: str = "10 seconds") -> DataFrame:
+def settled_writes(
+    writes: DataFrame, key: str, at: str, value: str, quiet: str = "1500 milliseconds", late: str = "10 seconds"
+) -> DataFrame:
     """The last write of each burst: a burst ends when the key is quiet for so long."""
     rows = writes.withWatermark(at, late) if writes.isStreaming else writes
-    bursts = rows.groupBy(key, F.session_window(at, quiet).alias("w")).agg(F.max_by(value, F.struct(at, value)).alias(value), F.count("*").alias("writes"))
+    bursts = rows.groupBy(key, F.session_window(at, quiet).alias("w")).agg(
+        F.max_by(value, F.struct(at, value)).alias(value), F.count("*").alias("writes")
+    )
     return bursts.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), value, "writes")
 
 
 def per_day(rows: DataFrame, at: str, keys: list[str], late: str = "1 day") -> DataFrame:
     """Counts by day and keys."""
     rows = rows.withWatermark(at, late) if rows.isStreaming else rows
-    return rows.groupBy(F.window(at, "1 day").alias("w"), *keys).agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("day"), *keys, "n")
+    return rows.groupBy(F.window(at, "1 day").alias("w"), *keys).agg(F.count("*").alias("n")).select(
+        F.to_date("w.start").alias("day"), *keys, "n"
+    )
 
 
 def growth(snapshots: DataFrame, key: str = "user_id", fields: tuple[str, ...] = ("solved", "stars", "errs")) -> DataFrame:

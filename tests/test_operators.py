@@ -21,24 +21,36 @@ def days(spark, rows, schema):
 
 
 def test_carry_forward_keeps_leading_gaps(spark):
-    rows = days(spark, [(1, "2024-01-01", None), (1, "2024-01-02", 5.0), (1, "2024-01-03", None), (2, "2024-01-01", None)], "u int, day string, v double")
+    rows = days(
+        spark,
+        [(1, "2024-01-01", None), (1, "2024-01-02", 5.0), (1, "2024-01-03", None), (2, "2024-01-01", None)],
+        "u int, day string, v double",
+    )
     got = {(r.u, r.day.day): (r.v, r.real) for r in A.carry_forward(rows, "u", "day", "v").collect()}
     assert got == {(1, 1): (None, False), (1, 2): (5.0, True), (1, 3): (5.0, False), (2, 1): (None, False)}
 
 
 def test_streak_ends_today_or_yesterday(spark):
-    rows = days(spark, [("a", "2024-03-01"), ("a", "2024-02-29"), ("a", "2024-02-28"), ("b", "2024-02-29"), ("c", "2024-02-20"), ("c", "2024-02-20")], "user_id string, day string")
+    rows = days(
+        spark,
+        [("a", "2024-03-01"), ("a", "2024-02-29"), ("a", "2024-02-28"), ("b", "2024-02-29"), ("c", "2024-02-20"), ("c", "2024-02-20")],
+        "user_id string, day string",
+    )
     assert {r.user_id: (r.streak, r.longest) for r in A.live_streaks(rows).collect()} == {"a": (3, 3), "b": (1, 1), "c": (0, 1)}
     assert A.live_streaks(rows.where("false")).count() == 0
 
 
 def test_latest_merge_prefers_local_on_ties(spark):
-    local, cloud = spark.createDataFrame([(1, 5, "l"), (2, 1, "l")], "k int, t int, v string"), spark.createDataFrame([(1, 5, "c"), (2, 9, "c"), (3, 0, "c")], "k int, t int, v string")
+    local, cloud = spark.createDataFrame([(1, 5, "l"), (2, 1, "l")], "k int, t int, v string"), spark.createDataFrame(
+        [(1, 5, "c"), (2, 9, "c"), (3, 0, "c")], "k int, t int, v string"
+    )
     assert {r.k: r.v for r in G.merge_latest(local, cloud, ["k"], F.col("t"), ["t", "v"]).collect()} == {1: "l", 2: "c", 3: "c"}
 
 
 def test_override_takes_whole_values(spark):
-    local, cloud = spark.createDataFrame([(1, None, 2)], "k int, a int, b int"), spark.createDataFrame([(1, 7, 8), (2, 7, 8)], "k int, a int, b int")
+    local, cloud = spark.createDataFrame([(1, None, 2)], "k int, a int, b int"), spark.createDataFrame(
+        [(1, 7, 8), (2, 7, 8)], "k int, a int, b int"
+    )
     assert {r.k: (r.a, r.b) for r in G.merge_override(local, cloud, ["k"], ["a", "b"]).collect()} == {1: (None, 2), 2: (7, 8)}
 
 
@@ -58,7 +70,14 @@ def loop_point(ev, gain, hero_white, white_starts):
         return None, "none", False
     if pov[first] >= 700:
         return first, "jump", False
-    k = next((i for i in range(first, min(first + 12, len(ev))) if mine(i) and pov[i] is not None and 150 <= pov[i] < 700 and not (gain[i] is not None and gain[i] >= 2)), None)
+    k = next(
+        (
+            i for i in range(first, min(first + 12, len(ev))) if mine(i) and pov[i] is not None and 150 <= pov[i] < 700 and not (
+                gain[i] is not None and gain[i] >= 2
+            )
+        ),
+        None,
+    )
     if k is None:
         return first, "tactic", False
     if len(ev) - 1 - k < 20:
@@ -150,14 +169,21 @@ def test_files_with_bad_bytes(spark, tmp_path):
     (tmp_path / "a.pgn").write_bytes(b'[Event "\xff"]\n\n1. e4 e5 1-0\n')
     (tmp_path / "b.pgn").write_bytes(b'1. d4 *\n\n  [Event "x"]\n1. c4 (1. f4 ; c5) c5 ; Nf3\n0-0 *')
     rows = S.read_games(S.read_files(spark, str(tmp_path))).collect()
-    assert sorted((r.headers.get("Event"), tuple(r.moves)) for r in rows if r.headers) == [("x", ("c4", "c5", "0-0")), ("\ufffd", ("e4", "e5"))]
+    assert sorted(
+        (r.headers.get("Event"), tuple(r.moves)) for r in rows if r.headers
+    ) == [("x", ("c4", "c5", "0-0")), ("\ufffd", ("e4", "e5"))]
     assert [r.moves for r in rows if not r.headers] == [["d4"]]
 
 
 def test_new_items_are_those_without_attempts(spark):
     items = spark.createDataFrame([(1,), (2,), (3,)], "k int")
-    tries = spark.createDataFrame([(1, False, True, True, 0, 5), (2, True, True, True, 0, 9)], "k int, rev boolean, win boolean, fair boolean, mistakes int, t int")
-    assert {r.k: (r.status, r.last_try) for r in L.statuses(items, tries, "k").collect()} == {1: ("clean", 5), 2: ("new", 9), 3: ("new", None)}
+    tries = spark.createDataFrame(
+        [(1, False, True, True, 0, 5), (2, True, True, True, 0, 9)],
+        "k int, rev boolean, win boolean, fair boolean, mistakes int, t int",
+    )
+    assert {
+        r.k: (r.status, r.last_try) for r in L.statuses(items, tries, "k").collect()
+    } == {1: ("clean", 5), 2: ("new", 9), 3: ("new", None)}
 
 
 def test_variations_of_any_depth(spark):
@@ -176,7 +202,9 @@ def test_path_to_root_of_any_depth(spark):
     got = {r.k: (r.root, r.depth) for r in M.path_to_root(frame, "k", "up").collect()}
     lost = dict.fromkeys((200, 201, 202, 210, 220, 221), (None, None))
     assert got == {i: (0, i) for i in range(100)} | lost | {300: (300, 0)}
-    assert M.path_to_root(frame.where("k = 210"), "k", "up").collect() == [(210, None, None)] and M.path_to_root(frame.where("false"), "k", "up").count() == 0
+    assert M.path_to_root(
+        frame.where("k = 210"), "k", "up"
+    ).collect() == [(210, None, None)] and M.path_to_root(frame.where("false"), "k", "up").count() == 0
 
 
 def test_empty_frames(spark):

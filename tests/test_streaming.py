@@ -28,12 +28,25 @@ def test_growth_since_the_last_snapshot(spark, tmp_path):
 
 
 def test_bursts_keep_the_last_write(spark):
-    rows = spark.createDataFrame([("k", "2024-01-01 00:00:00", "a"), ("k", "2024-01-01 00:00:01", "b"), ("k", "2024-01-01 00:00:05", "c"), ("l", "2024-01-01 00:00:00", "d")], "k string, at string, v string").selectExpr("k", "cast(at as timestamp) as at", "v")
-    assert sorted((r.k, r.v, r.writes) for r in S.settled_writes(rows, "k", "at", "v").collect()) == [("k", "b", 2), ("k", "c", 1), ("l", "d", 1)]
+    rows = spark.createDataFrame(
+        [
+            ("k", "2024-01-01 00:00:00", "a"),
+            ("k", "2024-01-01 00:00:01", "b"),
+            ("k", "2024-01-01 00:00:05", "c"),
+            ("l", "2024-01-01 00:00:00", "d"),
+        ],
+        "k string, at string, v string",
+    ).selectExpr("k", "cast(at as timestamp) as at", "v")
+    assert sorted(
+        (r.k, r.v, r.writes) for r in S.settled_writes(rows, "k", "at", "v").collect()
+    ) == [("k", "b", 2), ("k", "c", 1), ("l", "d", 1)]
 
 
 def test_days(spark):
-    rows = spark.createDataFrame([("2024-01-01 23:59:59", "a"), ("2024-01-02 00:00:00", "a"), ("2024-01-02 10:00:00", "a")], "at string, t string").selectExpr("cast(at as timestamp) as at", "t")
+    rows = spark.createDataFrame(
+        [("2024-01-01 23:59:59", "a"), ("2024-01-02 00:00:00", "a"), ("2024-01-02 10:00:00", "a")],
+        "at string, t string",
+    ).selectExpr("cast(at as timestamp) as at", "t")
     assert sorted((str(r.day), r.n) for r in S.per_day(rows, "at", ["t"]).collect()) == [("2024-01-01", 1), ("2024-01-02", 2)]
 
 
@@ -76,5 +89,8 @@ def test_projection_keeps_the_variance_that_eight_components_can(spark):
 
 
 def test_growth_of_a_table_is_that_of_the_stream(spark):
-    rows = spark.createDataFrame([(1, 1, 5, 2, 0), (1, 2, 7, 1, 0), (1, 3, 7, 1, 0), (2, 1, 0, 0, 0), (2, 5, 1, 1, 1)], "user_id long, at long, solved long, stars long, errs long")
+    rows = spark.createDataFrame(
+        [(1, 1, 5, 2, 0), (1, 2, 7, 1, 0), (1, 3, 7, 1, 0), (2, 1, 0, 0, 0), (2, 5, 1, 1, 1)],
+        "user_id long, at long, solved long, stars long, errs long",
+    )
     assert sorted(map(tuple, S.growth(rows).collect())) == [(1, 2, 2, 0, 0), (2, 5, 1, 1, 1)]
