@@ -10,7 +10,7 @@ partial minima.
 
 Only suffixes that can repeat are put into groups. Each window has a least hash of its 8-word runs, its key, which
 equal windows share; windows in a row with one key make a region. Keys that one document alone has are dropped,
-and equal regions, as of exact copies, are put together before their suffixes are made.
+and equal regions, as of exact copies, are put together; suffixes are made where a key has several different ones.
 
 Cases: a null text has no words; a null id takes no part and keeps all; windows of documents with the same id
 do not remove each other; rows with equal ids are judged each; an empty table gives an empty table;
@@ -135,7 +135,9 @@ def cut_regions(docs: DataFrame, shared: DataFrame) -> DataFrame:
                             seen.clear()
                         seen.add(region)
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names
+                    )
 
     wanted = docs.join(shared, "doc_id").select("doc_id", "text", "tag", "wanted")
     return wanted.mapInArrow(run, "doc_id long, tag long, key long, region binary, first int, n int, content binary")
@@ -253,10 +255,13 @@ def subtrees(groups: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInArrow(run, "region binary, i int, least long")
 
 
-def whole_windows(rows: DataFrame) -> DataFrame:
-    """The same for suffixes whose prefix is the whole window: each prefix is a node, its least id found by partial minima."""
+def whole_windows(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same for suffixes whose prefix is the whole window: each prefix is a node, its least id found by partial minima.
+
+    The minima are written first: a join of two written tables is one that Spark can split where a key is large.
+    """
     names = [f"p{n}" for n in LENGTHS[1:]]
-    least = rows.groupBy(*names).agg(F.min("doc_id").alias("least"))
+    least = scratch.settled(rows.groupBy(*names).agg(F.min("doc_id").alias("least")), "nodes")
     return rows.join(least, names).where("least < doc_id").select("region", "i", "least")
 
 
@@ -313,24 +318,31 @@ def find_removals(docs: DataFrame, scratch: Scratch, with_text: bool = False) ->
     scanned = scratch.settled(survey(rows), "survey")
     keys = scanned.where("key is not null").select("key", "doc_id")
     several = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
+    several = scratch.settled(several, "several")  # written, like other sides below, so that Spark can split joins on large keys
     shared = keys.join(several, "key").groupBy("doc_id").agg(F.collect_set("key").alias("wanted"))
     cut = scratch.settled(cut_regions(rows, shared), "regions")
     found = cut.where("region is not null")
     # One row for each different region, with its least document; content is in at least one of its rows.
-    different = scratch.settled(found.groupBy("region").agg(F.min("doc_id").alias("doc_id"), F.max("content").alias("content")), "different")
+    of_region = F.min("doc_id").alias("doc_id"), F.max("content").alias("content")
+    different = scratch.settled(found.groupBy("key", "region").agg(*of_region), "different")
+    # A window can be in two different regions only if their key is: the suffixes of a key's only region need no tree.
+    crowded = scratch.settled(different.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "crowded")
+    crowd = scratch.settled(different.join(crowded, "key", "left_semi"), "crowd")
     spark = rows.sparkSession
     parts = max(8, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    groups, whole = split_by_prefixes(different, scratch)
+    groups, whole = split_by_prefixes(crowd, scratch)
     lower = subtrees(groups, parts)
-    lower = lower if whole is None else lower.unionByName(whole_windows(whole))
+    lower = lower if whole is None else lower.unionByName(whole_windows(whole, scratch))
     by_region = lower.groupBy("region").agg(F.collect_list(F.struct("i", "least")).alias("lower"))
-    known = different.select("region", F.col("doc_id").alias("own")).join(by_region, "region", "left")
+    known = scratch.settled(different.select("region", F.col("doc_id").alias("own")).join(by_region, "region", "left"), "known")
     one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
     bit = lambda x: F.when(x["least"] < F.col("doc_id"), one(x["i"])).otherwise(F.lit(0).cast("long"))
     some = F.aggregate(F.transform("lower", bit), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
     every = F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), F.col("n")))
     windows = F.when(F.col("own") < F.col("doc_id"), every).otherwise(F.coalesce(some, F.lit(0).cast("long")))
-    hits = found.select("region", "doc_id", "tag", "first", "n").join(known, "region").select("doc_id", "tag", "first", windows.alias("windows"))
+    hits = found.select("region", "doc_id", "tag", "first", "n").join(known, "region").select(
+        "doc_id", "tag", "first", windows.alias("windows")
+    )
     struck = hits.where("windows <> 0").groupBy("doc_id", "tag").agg(F.collect_set(F.struct("first", "windows")).alias("struck"))
     texts = cut.where("region is null").select("doc_id", "tag", "content").dropDuplicates(["doc_id", "tag"])
     return scanned.where("key is null").select("doc_id", "tag", "n_words", "sha"), strike(texts, struck, with_text)
@@ -361,13 +373,15 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
+with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+    lambda x: x <> '') as words from documents),
 starts as (select doc_id, unnest(range(1, len(words) - 48)) as i, words from w where len(words) >= 50),
 windows as (select doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) as h from starts),
 firsts as (select h, min(doc_id) as first_id from windows group by h having count(*) > 1),
 covered as (select distinct doc_id, unnest(range(i, i + 50)) as j from windows join firsts using (h) where first_id < doc_id),
 gone as (select doc_id, list(j) as js, count(*) as n from covered group by doc_id),
 kept as (select w.doc_id, len(words) as n_words, coalesce(n, 0) as n_removed,
-  case when n is null then words else list_filter(words, lambda x, i: not list_contains(js, i)) end as kept from w left join gone using (doc_id))
+  case when n is null then words else list_filter(words, lambda x, i: not list_contains(js,
+    i)) end as kept from w left join gone using (doc_id))
 select doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from kept
 """
