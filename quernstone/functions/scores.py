@@ -11,6 +11,8 @@ TOLERANCE = (130, 95, 62, 38, 20, 8)
 NODES = (500, 2000, 8000, 40000, 200000, 1500000)
 #: Days until a card comes again, by successes in a row.
 INTERVALS = (1, 3, 7, 16, 35, 70, 140)
+#: Slope of the curve of winning chances, and the evaluation beyond which it is flat.
+SLOPE, FLAT = 0.00368208, 1600
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
@@ -19,7 +21,7 @@ def clamp(x: Column, low: float, high: float) -> Column:
 
 def win_chance(cp: Column) -> Column:
     """Chance of winning in percent from hundredths of a pawn."""
-    return 50 + 50 * (2 / (1 + F.exp(-0.00368208 * clamp(cp, -1600, 1600))) - 1)
+    return 50 + 50 * (2 / (1 + F.exp(-SLOPE * clamp(cp, -FLAT, FLAT))) - 1)
 
 
 def fold_mate(kind: Column, value: Column) -> Column:

@@ -21,6 +21,7 @@ def hero_view(series: DataFrame) -> DataFrame:
     ).withColumn("mine", white_moves == F.col("hero_white"))
 
 
+#: The defaults are fixed values: hundredths of a pawn, plies, and men's worth.
 def advantage_points(
     series: DataFrame,
     thresh: int = 200,
@@ -37,28 +38,20 @@ def advantage_points(
     Verdicts: none (no stable advantage), jump (it came at once and is decisive), tactic (no quiet moment near),
     short (too few plies left), ok. `gain` is the material that the next plies win, null if unknown.
     """
-    whole = W.partitionBy("game")
-    by_ply = whole.orderBy("i")
-    ahead, onward = by_ply.rowsBetween(0, stable), by_ply.rowsBetween(0, W.unboundedFollowing)
-    rows = hero_view(series)
-    rows = rows.select(
-        "game",
-        "i",
-        "pov",
-        "mine",
-        "gain",
-        F.min("pov").over(ahead).alias("held"),
-        F.min("pov").over(onward).alias("worst"),
-        F.count("*").over(whole).alias("n"),
-    )
+    of_game = W.partitionBy("game")
+    by_ply = of_game.orderBy("i")
+    ahead, so_far = by_ply.rowsBetween(0, stable), by_ply.rowsBetween(W.unboundedPreceding, 0)
+    from_the_end = of_game.orderBy(F.desc("i")).rowsBetween(W.unboundedPreceding, 0)
+    rows = hero_view(series).withColumn("worst", F.min("pov").over(from_the_end)).withColumn("held", F.min("pov").over(ahead))
     starts = F.col("mine") & (F.col("pov") >= thresh) & (F.col("held") >= 0.75 * thresh)
-    rows = rows.withColumn("first", F.min(F.when(starts, F.col("i"))).over(whole))
-    quiet = F.col("mine") & (F.col("i") >= F.col("first")) & (F.col("i") < F.col("first") + look) & (F.col("pov") >= low) & (F.col("pov") < jump) & ~F.coalesce(F.col("gain") >= gain, F.lit(False))
+    rows = rows.withColumn("first", F.min(F.when(starts, F.col("i"))).over(so_far))  # null before it
+    near = (F.col("i") >= F.col("first")) & (F.col("i") < F.col("first") + look)
+    calm = (F.col("pov") >= low) & (F.col("pov") < jump) & ~F.coalesce(F.col("gain") >= gain, F.lit(False))
     found = rows.groupBy("game").agg(
-        F.first("n").alias("n"),
-        F.first("first").alias("first"),
+        F.count("*").alias("n"),
+        F.min("first").alias("first"),
         F.max(F.when(F.col("i") == F.col("first"), F.col("pov"))).alias("at_first"),
-        F.min(F.when(quiet, F.struct("i", "worst"))).alias("point"),
+        F.min(F.when(F.col("mine") & near & calm, F.struct("i", "worst"))).alias("point"),
     )
     verdict = F.when(F.col("first").isNull(), "none").when(F.col("at_first") >= jump, "jump").when(F.col("point").isNull(), "tactic").when(
         F.col("n") - 1 - F.col("point.i") < rest, "short"

@@ -210,3 +210,29 @@ def test_path_to_root_of_any_depth(spark):
 def test_empty_frames(spark):
     none = spark.createDataFrame([], "game int, i int, ev int, hero_white boolean, white_starts boolean, gain int")
     assert P.advantage_points(none).count() == 0 and P.game_summaries(P.move_losses(none)).count() == 0
+
+
+def test_scratch_tables_go_when_they_are_released(spark):
+    import os
+
+    from quernstone import scratch
+
+    kept = scratch.settled(spark.range(3), "kept")
+    path = scratch.WRITTEN[spark.sparkContext.applicationId][-1]
+    with scratch.Scratch(spark) as own:
+        own.settled(spark.range(3), "own")
+        inside = own.paths[0]
+        assert os.path.isdir(inside)
+    assert kept.count() == 3 and not os.path.isdir(inside)
+    scratch.release(spark)
+    assert not os.path.isdir(path)
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from quernstone import scratch
+
+    conf = SimpleNamespace(get=lambda key, default: default)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.scratch_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
