@@ -297,8 +297,7 @@ SQL = {
     "template_margin": f"{MARGIN} select * from g",
     "margin_percentiles": f"""{MARGIN} select round(min(margin), 6) as least, round(quantile_cont(margin, 0.01), 6) as p1,
         round(quantile_cont(margin, 0.5), 6) as median, count(*) as n from g""",
-    "knn_majority": f"""with v as (select vec_id, embedding, case when vec_id % 9 = 0 then (label + 1) % 10 else label end as label from
-        embeddings),
+    "knn_majority": f"""with v as (select vec_id, embedding, case when embedding[1] > 0 then 1 else 0 end as label from embeddings),
         d as (select q.vec_id as q_key, q.label as q_label, e.vec_id, e.label, {DIST.format(a="q.embedding", b="e.embedding")} as d
           from v q, v e where q.vec_id % 20 = 0 and q.vec_id <> e.vec_id and q.vec_id % 2 = e.vec_id % 2),
         r as (select *, row_number() over (partition by q_key order by d, vec_id) as k from d),
