@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Worth of the men.
 WORTH = {"p": 1, "n": 3, "b": 3, "r": 5, "q": 9}
+#: What a breach of the rules costs.
+COSTS = {"king": 10, "pawns": 3, "outer": 4, "men": 2, "queens": 2}
 
 
 def placement(fen: Column) -> Column:
@@ -107,10 +109,10 @@ def passed_pawn(cells: Column) -> Column:
 def breach_cost(cells: Column) -> Column:
     """A weighted count of what breaks the rules: kings, pawns, pawns on the outer ranks, men, queens beyond lost pawns."""
     outer = F.concat(F.substring(cells, 1, 8), F.substring(cells, 57, 8))
-    cost = 4 * F.regexp_count(outer, F.lit("[pP]"))
+    cost = COSTS["outer"] * F.regexp_count(outer, F.lit("[pP]"))
     over = lambda n: F.greatest(F.lit(0), n)
     for king, queen, pawn, any_man in (("K", "Q", "P", "[KQRBNP]"), ("k", "q", "p", "[kqrbnp]")):
         lost = over(8 - men(cells, pawn))
-        cost = cost + 10 * F.abs(men(cells, king) - 1) + 3 * over(men(cells, pawn) - 8)
-        cost = cost + 2 * over(F.regexp_count(cells, F.lit(any_man)) - 16) + 2 * over(men(cells, queen) - 1 - lost)
+        cost = cost + COSTS["king"] * F.abs(men(cells, king) - 1) + COSTS["pawns"] * over(men(cells, pawn) - 8)
+        cost = cost + COSTS["men"] * over(F.regexp_count(cells, F.lit(any_man)) - 16) + COSTS["queens"] * over(men(cells, queen) - 1 - lost)
     return cost

@@ -12,7 +12,13 @@ LETTERS = "KQRBNKQRBN---"
 #: Cyrillic letters that look like files.
 LOOKALIKES = (("а", "a"), ("с", "c"), ("е", "e"))
 CYRILLIC = "А-Яа-яЁё"
-#: A move as prose has it: a piece, a way, a square; castling; a pawn's two files.
+#: What speaks for a candidate move and against it.
+PER_PLY, PER_PLACE = 1.5, 2
+MARKED = {"!!": 34, "!": 26, "?": -60}
+FLAGGED = {"mates": 12, "doubted": -32, "praised": 12, "won": 12}
+#: Fixed value: hundredths of a pawn below which two moves are equals.
+TIE = 30
+#: A move as prose has it: a piece, a way, a square; castling; a pawn's two files.
 PROSE_MOVE = r"(?:[KQRBN]?[a-h]?[1-8]?[-:x]?[a-h][1-8](?:=?[QRBN])?|0-0-0|0-0|[a-h][a-h])[+#]*[!?]*"
 
 
@@ -85,7 +91,7 @@ def engine_lines(rows: DataFrame, line: str, order: str, keys: list[str]) -> Dat
     return deepest.select(*keys, "rank", "x.*")
 
 
-def twins(lines: DataFrame, keys: list[str], tie: int = 30) -> DataFrame:
+def twins(lines: DataFrame, keys: list[str], tie: int = TIE) -> DataFrame:
     """Positions whose two best lines (rank, cp, moves) begin otherwise and are less than `tie` apart."""
     both = lines.groupBy(*keys).agg(*(F.max(F.when(F.col("rank") == r, F.struct("cp", "moves"))).alias(f"r{r}") for r in (1, 2)))
     gap = F.col("r1.cp") - F.col("r2.cp")
@@ -111,9 +117,10 @@ def suspicious(items: DataFrame, chosen: str, candidates: str) -> DataFrame:
 
 def best_candidate(candidates: DataFrame, key: str, order: str) -> DataFrame:
     """The candidate with the highest score, of equals the first. Rows: key, order (from 0), plies, marks, mates, doubted, praised, won."""
-    marks = F.when(F.contains("marks", F.lit("!!")), 34).when(F.contains("marks", F.lit("!")), 26).otherwise(0)
-    points = 1.5 * F.col("plies") + 2 * F.col(order) + marks - F.when(F.contains("marks", F.lit("?")), 60).otherwise(0)
-    for flag, worth in (("mates", 12), ("doubted", -32), ("praised", 12), ("won", 12)):
+    has = lambda mark: F.contains("marks", F.lit(mark))
+    points = PER_PLY * F.col("plies") + PER_PLACE * F.col(order)
+    points = points + F.when(has("!!"), MARKED["!!"]).when(has("!"), MARKED["!"]).otherwise(0) + F.when(has("?"), MARKED["?"]).otherwise(0)
+    for flag, worth in FLAGGED.items():
         points = points + F.when(F.col(flag), worth).otherwise(0)
     best = F.max(F.struct(points.cast("double").alias("points"), (-F.col(order)).alias("at")))
     found = candidates.where("plies > 0").groupBy(key).agg(best.alias("x"))

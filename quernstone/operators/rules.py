@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+#: Seconds below which a game is fast; small and decisive evaluations; half moves of the fifty-move rule.
+FAST, SMALL, DECISIVE, FIFTY_MOVES = 600, 150, 300, 100
+
 
 def weighted_pick(rows: DataFrame, key: str, weight: Column, order: str, u: Column) -> DataFrame:
     """One row of each key, drawn by weight: the greatest log-weight plus Gumbel noise made from u in (0, 1)."""
@@ -112,7 +115,7 @@ def own_reason(me: str, white: str, black: str, variant: str, base: Column, plie
     same = lambda c: F.coalesce(F.lower(c) == me.lower(), F.lit(False))
     odd = F.coalesce((F.col(variant) != "") & ~F.contains(F.lower(variant), F.lit("standard")), F.lit(False))
     found = F.when(~same(white) & ~same(black), "not one's own").when(odd, "other rules")
-    return found.when(F.coalesce(base < 600, F.lit(False)), "fast").when(plies < 2 * least, "short")
+    return found.when(F.coalesce(base < FAST, F.lit(False)), "fast").when(plies < 2 * least, "short")
 
 
 def missed(mine: Column, result: Column, hero_white: Column, tags: Column) -> tuple[Column, Column]:
@@ -129,7 +132,7 @@ def sections_of(moves: Column, mates: Column, black: Column) -> Column:
     return F.array_compact(F.array(*(F.when(rule, name) for name, rule in rules)))
 
 
-def little_advantage(mate: Column, cp: Column, limit: int = 150) -> Column:
+def little_advantage(mate: Column, cp: Column, limit: int = SMALL) -> Column:
     """No mate, and an evaluation that is known and small."""
     return mate.isNull() & F.coalesce(cp < limit, F.lit(False))
 
@@ -140,7 +143,7 @@ def parted(rows: DataFrame, accepted: Column) -> tuple[DataFrame, DataFrame]:
     return rows.where(rule), rows.where(~rule)
 
 
-def last_symbols(plies: Column, mate: Column, cp: Column, limit: int = 300) -> Column:
+def last_symbols(plies: Column, mate: Column, cp: Column, limit: int = DECISIVE) -> Column:
     """A symbol for each ply: what the evaluation says at the last one, nothing before."""
     symbol = F.when(mate.isNotNull(), "#").when(cp >= limit, "+−").when(cp <= -limit, "−+").otherwise("")
     return F.transform(F.sequence(F.lit(1), plies), lambda i: F.when(i == plies, symbol).otherwise(""))
@@ -180,7 +183,7 @@ def game_ends(plies: DataFrame, game: str, order: str) -> DataFrame:
     rows = plies.withColumn("__seen", seen)
     stuck = F.col("moves_left") == 0
     why = F.when(stuck & F.col("in_check"), "mate").when(stuck, "stalemate").when(F.col("__seen") >= 3, "repetition")
-    why = why.when(F.col("clock") >= 100, "fifty moves").when(F.col("too_little"), "material")
+    why = why.when(F.col("clock") >= FIFTY_MOVES, "fifty moves").when(F.col("too_little"), "material")
     return rows.withColumn("why", why).where("why is not null").groupBy(game).agg(
         F.min(F.struct(F.col(order).alias("at"), "why")).alias("x")
     ).select(game, "x.*")
