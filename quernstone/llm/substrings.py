@@ -36,7 +36,7 @@ WINDOW = 50
 RUN = 8
 LENGTHS = (8, 16, 32, WINDOW)  # words of the prefixes by which suffixes are split
 REGION = 63  # windows in a region at most: one bit each
-GROUP = 50_000  # suffixes that a subtree takes; the prefix of a larger group is lengthened
+GROUP = 8_000  # suffixes that a subtree takes; the prefix of a larger group is lengthened
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
 

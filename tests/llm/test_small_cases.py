@@ -553,7 +553,7 @@ def strike_brute(texts):
     return out
 
 
-@pytest.mark.parametrize("group", [0, 3, 25, 50_000])
+@pytest.mark.parametrize("group", [0, 3, 25, 8_000])
 def test_substrings(spark, docs, group, monkeypatch):
     rng = random.Random(5)
     word = lambda: f"w{rng.randint(0, 400)}"
