@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op3_byte_bpe
+from .fill_middle import OP11_SQL, op11_fill_middle
 from .html_text import op8_html_text
 from .jpeg import op1_progressive_jpeg
 from .neardup import OP9_SQL, op9_minhash_neardup
@@ -30,8 +31,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_text": op8_html_text,
         "op9_minhash_neardup": op9_minhash_neardup,
         "op10_url_filters": op10_url_filters,
+        "op11_fill_middle": op11_fill_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op5_warc_salvage": OP5_SQL, "op9_minhash_neardup": OP9_SQL, "op10_url_filters": OP10_SQL}
+    return {
+        "op2_substring_dedup": OP2_SQL,
+        "op5_warc_salvage": OP5_SQL,
+        "op9_minhash_neardup": OP9_SQL,
+        "op10_url_filters": OP10_SQL,
+        "op11_fill_middle": OP11_SQL,
+    }
