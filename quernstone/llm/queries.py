@@ -16,6 +16,7 @@ from .quality import op4_quality_rules
 from .substrings import OP2_SQL, op2_substring_dedup
 from .token_counts import op7_token_counts
 from .url_filters import OP10_SQL, op10_url_filters
+from .vector_codes import OP12_SQL, op12_vector_codes
 from .warc import OP5_SQL, op5_warc_salvage
 
 
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_minhash_neardup": op9_minhash_neardup,
         "op10_url_filters": op10_url_filters,
         "op11_fill_middle": op11_fill_middle,
+        "op12_vector_codes": op12_vector_codes,
     }
 
 
@@ -42,4 +44,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_minhash_neardup": OP9_SQL,
         "op10_url_filters": OP10_SQL,
         "op11_fill_middle": OP11_SQL,
+        "op12_vector_codes": OP12_SQL,
     }
