@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op3_byte_bpe
+from .chat_windows import OP13_SQL, op13_chat_windows
 from .fill_middle import OP11_SQL, op11_fill_middle
 from .html_text import op8_html_text
 from .jpeg import op1_progressive_jpeg
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_url_filters": op10_url_filters,
         "op11_fill_middle": op11_fill_middle,
         "op12_vector_codes": op12_vector_codes,
+        "op13_chat_windows": op13_chat_windows,
     }
 
 
@@ -45,4 +47,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_url_filters": OP10_SQL,
         "op11_fill_middle": OP11_SQL,
         "op12_vector_codes": OP12_SQL,
+        "op13_chat_windows": OP13_SQL,
     }
