@@ -4,7 +4,12 @@ First each page scores its containers by the running text that they hold, links
 them, climbs from the best one to the container of the whole article, and votes for its path: tags and
 classes from the body down, with digits generalised. Spark adds the votes by host and path and takes each
 host's winner. Then every page is read again and its text taken from the elements on the winning path; a
-page where these are missing or hold no text uses its own best container.
+page where these are missing, or hold less than one MANYth of its own best container's text, uses that container.
+
+What is beside the article: elements for menus, headers, footers and controls, hidden ones, and those whose class, id or role
+has an aside word for its main word (`comment-list`, `site-footer`), inline elements too. A form, an element whose name only
+mentions such a word (`comment-status-open`), and an article or main of any name are beside the article unless they hold
+MOST of the page's running text: then the page is inside them.
 
 Votes and winners are small rows, so a host with a third of all pages is counted by partial sums. The
 winners are written before pages meet them, one row for each host: Spark knows their size, sends them to all
@@ -36,8 +41,8 @@ TOKEN = re.compile(
     r"|<[!?][^>]*+>",
     re.S | re.I,
 )
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'=<>/]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++)))?+""")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Elements by what they are for.
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form"
@@ -45,21 +50,29 @@ BLOCKS = frozenset(
 )
 BREAKS = frozenset("br hr".split())
 CONTAINERS = frozenset("article main section div td body center".split())
-ASIDE_TAGS = frozenset("nav footer aside form menu dialog button input label".split())
+ASIDE_TAGS = frozenset("nav footer aside menu dialog".split())
+CONTROLS = frozenset("button label".split())
+ARTICLES = frozenset("article main".split())
 ENDS_P = BLOCKS - {"html", "body"}
 CELLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words in classes, ids and roles that mark what is not the article.
 ASIDE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adverts|banner|breadcrumbs?|comments?|commentlist|complementary|contentinfo|cookies?"
-    r"|consent|disqus|footer|gdpr|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notices?|popup|promo\w*"
-    r"|recommend\w*|related|replies|respond|search|share|sharing|sidebars?|signup|skip|social|sponsor\w*|subscribe|teaser"
-    r"|toolbar|topbar|widgets?)(?:$|[\s_-])",
-    re.I,
+    r"(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|commentlist|complementary|contentinfo|cookies?|consent|disqus|footer"
+    r"|gdpr|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notices?|popup|promo\w*|recommend\w*|related"
+    r"|replies|respond|search|share|sharing|sidebars?|signup|skip|social|sponsor\w*|subscribe|teaser|toolbar|topbar|widgets?)"
+)
+#: Words at the end of a name that tell the place or the shape, not the purpose.
+PLAIN_WORDS = frozenset(
+    "area bar block body bottom box col column container content desktop field form group header heading icon inner item items large left link"
+    " links list main mobile outer panel primary right row secondary section slot small text title top unit wrap wrapper".split()
 )
+HIDDEN_WORDS = frozenset("d-none hidden sr-only visually-hidden".split())
 
 
 FEW_LINKS = 4  # text added to an article has at most one character in so many inside links
+MOST = 0.5  # share of a page's running text that is not taken for something beside the article
+MANY = 20  # times the text on the host's path, from which on a page's own container counts
 #: Classes that tell what a layout has beside the article.
 ABOUT_LAYOUT = re.compile(r"(?:.*[_-])?(?:has|with|without|no)[_-]", re.I)
 
@@ -70,6 +83,8 @@ class Element:
     path: str
     aside: bool
     container: int
+    doubts: tuple[int, ...] = ()  # elements around it that may be beside the article
+    inline: bool = False
 
 
 @dataclass
@@ -88,19 +103,48 @@ class Page:
     containers: list[Container] = field(default_factory=list)
 
 
+def attributes(source: str) -> dict[str, str]:
+    """Names in lower case and values; of equal names the first."""
+    found: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(source):
+        found.setdefault(name.lower(), next(filter(None, values), ""))
+    return found
+
+
+def hidden(told: dict[str, str]) -> bool:
+    return "hidden" in told or UNSEEN.search(told.get("style", "")) is not None or any(c in HIDDEN_WORDS for c in told.get("class", "").lower().split())
+
+
+def beside(name: str) -> tuple[bool, bool]:
+    """Whether an aside word is the main word of a name, and whether there is one at all."""
+    if ABOUT_LAYOUT.match(name):
+        return False, False
+    words = [w for w in re.split(r"[_\W\d]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
+    found = [ASIDE_WORDS.fullmatch(w) is not None for w in words]
+    while words and words[-1] in PLAIN_WORDS:
+        words.pop()
+    return bool(words) and found[len(words) - 1], any(found)
+
+
+def named_beside(told: dict[str, str]) -> tuple[bool, bool]:
+    found = [beside(name) for key in ("class", "id", "role") for name in told.get(key, "").split()]
+    return any(sure for sure, _ in found), any(some for _, some in found)
+
+
 def read_page(source: str) -> Page:
     page = Page(containers=[Container("body", -1)])
     stack = [Element("body", "body", False, 0)]
+    blocks: list[tuple[int, str, int, tuple[int, ...]]] = []
     held: list[str] = []
-    links = in_link = 0
+    links = in_link = doubts = 0
 
     def flush() -> None:
         nonlocal links
         if held:
             text = " ".join("".join(held).split())
             held.clear()
-            if text and not stack[-1].aside:
-                page.blocks.append((stack[-1].container, text, links))
+            if text:
+                blocks.append((stack[-1].container, text, links, stack[-1].doubts))
         links = 0
 
     def close(tag: str, within: set[str] | frozenset[str] = frozenset()) -> None:
@@ -111,57 +155,79 @@ def read_page(source: str) -> Page:
             if stack[i].tag in within:
                 return
 
-    at = 0
-    for m in TOKEN.finditer(source):
-        if m.start() > at:
-            text = entities.unescape(source[at : m.start()])
+    def say(text: str) -> None:
+        nonlocal links
+        if not stack[-1].aside:
             held.append(text)
             if in_link:
                 links += len(text)
+
+    at = 0
+    for m in TOKEN.finditer(source):
+        if m.start() > at:
+            say(entities.unescape(source[at : m.start()]))
         at = m.end()
-        if m[1]:
-            continue
-        if not m[3]:
+        if m[1] or not m[3]:
             continue
         tag = m[3].lower()
         if tag == "a":
             in_link = 0 if m[2] else 1
-        elif tag in BREAKS:
+        if tag in BREAKS:
+            flush()
+        elif tag in BLOCKS:
             flush()
-        elif tag in BLOCKS or tag in ASIDE_TAGS:
-            if tag in BLOCKS:
-                flush()
             if m[2]:
                 if tag not in ("body", "html"):
                     close(tag)
                 continue
-            if tag in ("body", "html", "input"):
+            if tag in ("body", "html"):
                 continue
-            if tag in ENDS_P and stack[-1].tag == "p":
-                stack.pop()
+            if tag in ENDS_P:
+                top = len(stack) - 1
+                while stack[top].inline:
+                    top -= 1
+                if stack[top].tag == "p":
+                    del stack[top:]
             if tag in HEADINGS and stack[-1].tag in HEADINGS:
                 stack.pop()
             if tag in CELLS:
                 close(tag, CELLS[tag])
-            if tag in ASIDE_TAGS and tag not in BLOCKS:
-                flush()
-            over = stack[-1]
-            names = " ".join(next(filter(None, x), "") for x in NAMED.findall(m[4]))
-            named_aside = any(ASIDE_WORDS.search(name) and not ABOUT_LAYOUT.match(name) for name in names.split())
-            aside = over.aside or tag in ASIDE_TAGS or named_aside
-            if tag == "header" and not any(e.tag in ("article", "main") for e in stack):
+            over, told = stack[-1], attributes(m[4]) if m[4].strip() else {}
+            sure, some = named_beside(told)
+            aside = over.aside or tag in ASIDE_TAGS or hidden(told) or sure and tag not in ARTICLES
+            if tag == "header" and not any(e.tag in ARTICLES for e in stack):
                 aside = True
-            classes = next(filter(None, next(iter(CLASS.findall(m[4])), ())), "")
-            shown = sorted(set(re.sub(r"\d+", "#", classes).split()))
+            shown = sorted(set(re.sub(r"\d+", "#", told.get("class", "")).split()))
             path = f"{over.path}>{tag}" + "".join(f".{c}" for c in shown) if tag in CONTAINERS else over.path
-            container = over.container
+            container, unsure = over.container, over.doubts
             if tag in CONTAINERS:
                 page.containers.append(Container(path, container, tag))
                 container = len(page.containers) - 1
-            stack.append(Element(tag, path, aside, container))
+            if tag == "form" or some:
+                unsure, doubts = (*unsure, doubts), doubts + 1
+            stack.append(Element(tag, path, aside, container, unsure))
+        elif tag == "input":
+            continue
+        elif m[2]:
+            if any(e.inline and e.tag == tag for e in stack[1:]):
+                while not (stack[-1].inline and stack[-1].tag == tag):
+                    stack.pop()
+                stack.pop()
+        elif not m[4].endswith("/"):
+            told = attributes(m[4]) if m[4].strip() else {}
+            again = stack[-1].inline and stack[-1].tag == tag
+            if again or tag in CONTROLS or told and (named_beside(told)[0] or hidden(told)):
+                over = stack[-1]
+                stack.append(Element(tag, over.path, True, over.container, over.doubts, True))
     if at < len(source):
-        held.append(entities.unescape(source[at:]))
+        say(entities.unescape(source[at:]))
     flush()
+    inside = [0] * doubts
+    for _, text, linked, unsure in blocks:
+        for i in unsure:
+            inside[i] += max(0, len(text) - linked)
+    most = MOST * sum(max(0, len(text) - linked) for _, text, linked, _ in blocks)
+    page.blocks = [b[:3] for b in blocks if all(inside[i] >= most for i in b[3])]
     return page
 
 
@@ -218,11 +284,13 @@ def text_on(page: Page, path: str) -> str:
 
 
 def extract(source: str, path: str | None) -> str:
-    """The text on the path; on that of the page's own best container if there is none."""
+    """The text on the path; on that of the page's own best container if there is none, or next to none."""
     page = read_page(source)
     found = text_on(page, path) if path is not None else ""
-    if not found and (own := best(page)):
-        found = text_on(page, own.path)
+    if (own := best(page)) and own.path != path:
+        other = text_on(page, own.path)
+        if len(other) >= MANY * len(found):
+            return other
     return found
 
 

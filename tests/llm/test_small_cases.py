@@ -732,3 +732,67 @@ def test_words_by_batch_are_the_librarys():
 def test_doc_ids_keep_their_kind(docs):
     assert dict(bpe.round_trip_digests(docs, BPE).dtypes)["doc_id"] == "bigint"
     assert docs.select(F.max("doc_id")).first()[0] == 7
+
+
+ARTICLE = " ".join(["The article goes on, with a few words more."] * 12)
+
+
+@pytest.mark.parametrize(
+    "page, wanted",
+    [
+        (f'<article class="post comment-status-open"><p>{ARTICLE}</p></article>', ARTICLE),
+        (f'<main class="share-enabled"><p>{ARTICLE}</p></main>', ARTICLE),
+        (f'<main class="search"><p>{ARTICLE}</p></main><div class=search><p>Search us</p></div>', ARTICLE),
+        (f"<form id=all><div class=content><p>{ARTICLE}</p><label>Name</label><input name=q><button>Send</button></div></form>", ARTICLE),
+        (f"<form><label>Mail</label><p>Write to us.</p></form><p>{ARTICLE}</p>", ARTICLE),
+        (f"<p>Hello <button>Click me</button> world</p><p>{ARTICLE}</p>", f"Hello world {ARTICLE}"),
+        (f"<p>Hello <label>Name <b>x</b></label>world</p><p>{ARTICLE}</p>", f"Hello world {ARTICLE}"),
+        (f'<p>One <span class="advert">Buy <span>it</span> now</span> two</p><p>{ARTICLE}</p>', f"One two {ARTICLE}"),
+        (f'<p>One <span class=advert>Buy<p>two</p><p>{ARTICLE}</p>', f"One two {ARTICLE}"),
+        (f'<p hidden>no</p><p style="color:red;display: none">no</p><p class=sr-only>no</p><p title="hidden">{ARTICLE}</p>', ARTICLE),
+        (f'<div class="comment-list"><p>{ARTICLE} Indeed.</p></div><article><p>{ARTICLE}</p></article>', ARTICLE),
+        (f'<div class="related-article"><p>Read this too</p></div><article><p>{ARTICLE}</p></article>', ARTICLE),
+        (f'<div class="page no-sidebar"><p>{ARTICLE}</p></div><div id="siteFooter"><p>We are here</p></div>', ARTICLE),
+        (f'<p>{ARTICLE} <a class="share" href=x>Share</a><i class="icon"/></p>', ARTICLE),
+    ],
+)
+def test_html_asides(page, wanted):
+    assert html_text.extract(f"<html><body>{page}</body></html>", None) == wanted
+
+
+def test_html_takes_the_pages_own_article_where_the_path_has_next_to_nothing():
+    page = f"<div class=a>Short note.</div><div class=b>{ARTICLE}</div>"
+    assert html_text.extract(page, "body>div.a") == ARTICLE
+    assert html_text.extract(f"<div class=a>{ARTICLE[:200]}</div><div class=b>{ARTICLE}</div>", "body>div.a") == ARTICLE[:200].strip()
+
+
+def test_html_finds_articles_among_forms_controls_adverts_and_hidden_text(spark):
+    """200 pages of ten hosts: forms around the page, controls and adverts inside lines, hidden text, names that mislead."""
+    rng = random.Random(17)
+    vocabulary = [f"{a}{b}" for a in "ka lo mi nu per sta ven".split() for b in "ta ri do sel mon".split()]
+    words = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    around = [
+        ("<form id=f{n} method=post><div class=page>", "</div></form>"),
+        ("<article class='post comments-closed n{n}'>", "</article>"),
+        ("<main class='share-enabled has-sidebar'>", "</main>"),
+        ("<div class='entry search-result-page'>", "</div>"),
+        ("<section id=story>", "</section>"),
+    ]
+    rows, truth = [], {}
+    for n in range(200):
+        begin, end = around[n % 5]
+        blocks = [words(rng.randint(10, 60)) for _ in range(rng.randint(3, 10))]
+
+        def cluttered(block):
+            first, _, rest = block.partition(" ")
+            extra = rng.choice(["", "<button>Click AA</button>", "<span class='ad-slot'>AA <b>AA</b></span>", "<label>AA</label>", "<i hidden>AA</i>"])
+            return f"<p>{first} {extra} {rest}</p>" + rng.choice(["", "<p style='display:none'>AA AA</p>", "<p class=advert>AA</p>", "<div hidden><p>AA</p></div>"])
+
+        body = "".join(map(cluttered, blocks))
+        side = f"<div class='sidebar'><p>AA {words(20)}</p></div><ul class='comment-list'><li>AA {words(rng.randint(5, 80))}</ul>"
+        form = "<form class=newsletter><label>AA</label><p>AA sign up</p><input type=text><button>AA</button></form>"
+        rows.append((n, f"http://f{n % 10}.example/{n}", f"<html><body>{form}{begin.format(n=n)}{body}{end}{side}<footer>AA</footer></body></html>"))
+        truth[n] = " ".join(blocks)
+    found = html_text.extract_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(found) == 200 and all(r.text for r in found) and not any("AA" in r.text for r in found)
+    assert sum(r.text == truth[r.page_id] for r in found) >= 198
