@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("activity", "merge", "points", "library", "text", "match", "games", "rules", "notation", "boards")
+MODULES = ("activity", "merge", "points", "library", "text", "match", "games", "rules", "notation", "boards", "pictures")
 
 #: Queries whose rows SQL does not give: their tests say what they must do.
 UNLIKE_SQL: tuple[str, ...] = ("kmeans_assign", "pca_project")
