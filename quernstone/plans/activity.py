@@ -146,8 +146,27 @@ def resumed_job(spark, sf):
     return spark.read.parquet(done).select("n_nationkey", "value", F.col("batch").cast("int").alias("batch"))
 
 
+def pushed_writes(spark, sf):
+    """What the other side has of each user after three batches of events, of whose pushes the first two fail half done."""
+    top = f"{scratch_folder(spark)}/outbox-{uuid.uuid4().hex}"
+
+    def send(rows, push):
+        rows.where(F.lit(push == 2) | (F.col("user_id") % 2 == 0)).write.mode("overwrite").parquet(f"{top}/cloud/push={push}")
+        if push < 2:
+            raise ConnectionError("no answer")
+
+    rows = events(spark, sf).select("user_id", "event_id", "event_type")
+    step = S.outbox(f"{top}/box", "user_id", "event_id", send)
+    for batch in range(3):
+        step(rows.where((F.col("event_id") / 7).cast("long") % 3 == batch), batch)
+    newest = F.max_by(F.struct("event_id", "event_type"), F.struct("push", "event_id")).alias("w")
+    there = spark.read.parquet(f"{top}/cloud").groupBy("user_id").agg(newest)
+    return there.select("user_id", "w.*").crossJoin(F.broadcast(S.unsent(spark, f"{top}/box").agg(F.count("*").alias("left"))))
+
+
 QUERIES = {
     f.__name__: f for f in (
+        pushed_writes,
         daily_counts,
         daily_window,
         daily_locf,
@@ -168,6 +187,7 @@ QUERIES = {
 
 E = "with e as (select *, cast(ts as date) as day from events)"
 SQL = {
+    "pushed_writes": "select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type, 0::bigint as \"left\" from events group by 1",
     "daily_counts": f"{E} select user_id, day, event_type, count(*) as n, arg_max(value, (ts, event_id)) as last_value from e group by all",
     "daily_window": f"{E} select day, event_type, count(*) as n, count(distinct user_id) as users from e group by all",
     "daily_locf": f"""{E}, t as (select max(day) as today from e),

@@ -5,11 +5,15 @@ The texts are written here by rules of the row alone, so SQL gives what has to b
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators import ml
+from ..scratch import scratch_folder
 from ..sources import games as G
+from ..sources import months as L
 from ..sources import pages as P
 from ..sources.tables import events, table
 
@@ -156,6 +160,16 @@ def newest_games(spark, sf):
     return G.newest_games(rows, "o_orderdate", "o_orderkey", 100, wanted).select("o_orderkey", "o_orderstatus")
 
 
+def budgeted_scan(spark, sf):
+    """Of orders laid out by month, the 50 newest that are not pending of each priority."""
+    folder = f"{scratch_folder(spark)}/orders-{uuid.uuid4().hex}"
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
+    L.write_by_month(orders, "o_orderdate", "month", folder)
+    who = orders.select("o_orderpriority").distinct()
+    found = L.newest_within(spark, folder, "month", ["o_orderdate", "o_orderkey"], 50, F.col("o_orderstatus") != "P", who)
+    return found.select("o_orderpriority", "o_orderkey", "o_orderdate")
+
+
 def compact_json(spark, sf):
     """Rows as JSON without what is null."""
     small = F.when(F.col("n_nationkey") % 3 != 0, F.col("n_regionkey"))
@@ -202,6 +216,7 @@ QUERIES = {
         activity_days,
         address_kinds,
         newest_games,
+        budgeted_scan,
         compact_json,
         cell_prints,
         prefix_read,
@@ -238,6 +253,8 @@ SQL = {
     "newest_games": """select o_orderkey, o_orderstatus from orders where o_orderstatus <> 'P' and o_orderpriority not in ('1-URGENT',
         '2-HIGH')
         order by o_orderdate desc, o_orderkey desc limit 100""",
+    "budgeted_scan": """select o_orderpriority, o_orderkey, o_orderdate from orders where o_orderstatus <> 'P' qualify row_number() over (partition by
+        o_orderpriority order by o_orderdate desc, o_orderkey desc) <= 50""",
     "compact_json": """select '{"n":' || n_nationkey || case when n_nationkey % 3 <> 0 then ',"r":' || n_regionkey else '' end ||
         ',"t":"' || n_name || '"}' as json from nation""",
     "cell_prints": """select n_regionkey, '[' || string_agg('{"size":' || length(n_name) || ',"n":' || n_nationkey || '}',

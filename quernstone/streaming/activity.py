@@ -7,34 +7,55 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+FIELDS = ("solved", "stars", "errs")
 
-def grown(snapshots: DataFrame, key: str = "user_id", fields: tuple[str, ...] = ("solved", "stars", "errs")) -> DataFrame:
-    """key, at and what each field grew by since the key's last snapshot; the first one is the baseline. Rows: key, at long, fields long."""
-    names = [key, "at", *fields]
 
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("at")
-        before = list(state.get) if state.exists else None
-        out = []
-        for row in rows[["at", *fields]].itertuples(index=False):
-            now = [int(x) for x in row[1:]]
-            if before is not None:
-                change = [max(0, b - a) for a, b in zip(before, now, strict=True)]
-                if any(change):
-                    out.append((k[0], int(row[0]), *change))
+class Growth(StatefulProcessor):
+    """Keeps each key's last snapshot and gives what the next one has more. A snapshot that is no newer than the last changes nothing."""
+
+    def __init__(self, key: str, fields: tuple[str, ...]):
+        self.key, self.fields = key, fields
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", ", ".join(f"{n} long" for n in ("at", *self.fields)))
+
+    def handleInitialState(self, key: tuple, initialState: Row, timerValues: object) -> None:
+        if not self.last.exists() or self.last.get()[0] < initialState["at"]:
+            self.last.update((initialState["at"], *(initialState[f] for f in self.fields)))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        before = tuple(self.last.get()) if self.last.exists() else None
+        for now in sorted((row["at"], *(row[f] for f in self.fields)) for row in rows):  # those of one key in one batch
+            if before is not None and now[0] <= before[0]:
+                continue
+            change = [max(0, b - a) for a, b in zip(before or now, now, strict=True)][1:]
+            if any(change):
+                yield Row(**dict(zip((self.key, "at", *self.fields), (key[0], now[0], *change), strict=True)))
             before = now
-        state.update(tuple(before))
-        yield pd.DataFrame(out, columns=names)
+        if before is not None:
+            self.last.update(before)
+
 
-    schema = ", ".join(f"{n} long" for n in names)
-    return snapshots.groupBy(key).applyInPandasWithState(
-        step, schema, ", ".join(f"{f} long" for f in fields), "append", GroupStateTimeout.NoTimeout
+def keep_state(spark: SparkSession) -> None:
+    """State stores in RocksDB, which `grown` needs; to be set before a stream starts."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def grown(snapshots: DataFrame, key: str = "user_id", fields: tuple[str, ...] = FIELDS, baseline: DataFrame | None = None) -> DataFrame:
+    """Of a stream of snapshots: key, at and what each field grew by since the key's last snapshot.
+
+    What a key had before the stream began comes from `baseline` (key, at, fields), the initial state; without one there, a
+    key's first snapshot is its baseline. Columns key, at and fields are longs.
+    """
+    names = [key, "at", *fields]
+    first = baseline.select(*names).groupBy(key) if baseline is not None else None
+    return snapshots.select(*names).groupBy(key).transformWithState(
+        Growth(key, fields), ", ".join(f"{n} long" for n in names), "append", "None", first
     )
 
 
@@ -57,7 +78,7 @@ def per_day(rows: DataFrame, at: str, keys: list[str], late: str = "1 day") -> D
     )
 
 
-def growth(snapshots: DataFrame, key: str = "user_id", fields: tuple[str, ...] = ("solved", "stars", "errs")) -> DataFrame:
+def growth(snapshots: DataFrame, key: str = "user_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """What `grown` gives, for a table of snapshots: the same rows by a window instead of kept state."""
     by = W.partitionBy(key).orderBy("at")
     change = [F.greatest(F.lit(0), F.col(f) - F.lag(f).over(by)).cast("long").alias(f) for f in fields]
@@ -91,3 +112,40 @@ def resumable(done: str, key: str, work: Callable[[DataFrame], DataFrame]) -> Ca
         work(batch.dropDuplicates([key]).join(mine, key, "left_semi")).write.mode("overwrite").parquet(f"{done}/batch={batch_id}")
 
     return run
+
+
+def outbox(folder: str, key: str, at: str, send: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: hands writes on to `send`, one push at a time, and keeps them until a push has gone through.
+
+    A batch's writes, the last of each key, are stored first (`pending`). Then all that no push has taken yet is claimed,
+    of each key the last, and sent in one push; when that is done, the push's number is stored (`sent`) and stands for
+    all batches up to it. If sending fails the claim is void: the error is logged (`errors`), the stream goes on and the next
+    push takes the same writes again, or newer ones of their keys. A push that was sent but not stored as sent comes again
+    with equal or newer rows, so `send` has to put rows by key.
+    """
+    top = folder.rstrip("/")
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        last = lambda rows: rows.groupBy(key).agg(F.max_by(F.struct("*"), at).alias("__w")).select("__w.*")
+        last(batch).write.mode("overwrite").parquet(f"{top}/pending/batch={batch_id}")
+        claimed = last(unsent(spark, top)).select(*batch.columns)
+        if claimed.isEmpty():
+            return
+        try:
+            send(claimed, batch_id)
+        except Exception as cause:  # noqa: BLE001  whatever the other side says, the writes stay
+            told = spark.createDataFrame([(batch_id, str(cause)[:1000])], "push long, error string")
+            told.write.mode("overwrite").parquet(f"{top}/errors/push={batch_id}")
+            return
+        spark.range(batch_id, batch_id + 1).withColumnRenamed("id", "upto").coalesce(1).write.mode("overwrite").parquet(f"{top}/sent/push={batch_id}")
+
+    return run
+
+
+def unsent(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored writes that no push has taken."""
+    top = folder.rstrip("/")
+    rows = spark.read.parquet(f"{top}/pending")
+    upto = spark.read.parquet(f"{top}/sent").agg(F.max("upto")).first()[0] if written(spark, f"{top}/sent") else -1
+    return rows.where(F.col("batch") > upto)
