@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..scratch import Scratch, settled
+from .ranking import numbered, same_keys
 
 MOST_CLASSES = 2_000
 BLOCK = 4096  # vectors of a block
@@ -84,20 +85,27 @@ def shifted(vector: Column, by: int) -> Column:
 def match_templates(rows: DataFrame, found: DataFrame, key: str, vector: str, group: str, shade: str, most_shift: int = 4) -> DataFrame:
     """The nearest template of the row's colour, each held to the row in all its shifts, with its distance and the margin to the next.
 
-    One row for each colour has all its templates, so a row meets them by a join on colour and needs no shuffle after it.
+    Templates are written once. Up to MOST_CLASSES of them travel as one row for each colour, which meets the rows where they
+    lie; more of them, each in all its shifts, are compared block by block.
     """
     moves = range(-most_shift, most_shift + 1)
-    in_all = found.select(
-        shade,
-        F.struct(F.col(group).alias("c"), F.array(*(shifted(F.col("mean"), m) for m in moves)).alias("shifts")).alias("t")
-    )
-    banks = in_all.groupBy(shade).agg(F.collect_list("t").alias("bank"))
-    near = lambda t: F.array_min(F.transform(t["shifts"], lambda m: distance(F.col(vector), m)))
-    far = F.transform("bank", lambda t: F.struct(near(t).alias("d"), t["c"].alias("c")))
-    two = F.slice(F.array_sort(far), 1, 2)
-    best = rows.select(key, shade, vector).join(
-        F.broadcast(banks) if found.count() <= MOST_CLASSES else banks, shade
-    ).select(key, two.alias("two"))
+    found = settled(found.select(shade, group, "mean"), "templates")
+    if found.count() > MOST_CLASSES:
+        every = found.select(shade, F.col(group).alias("__c"), F.posexplode(F.array(*(shifted(F.col("mean"), m) for m in moves))).alias("__m", vector))
+        placed = settled(numbered(every, [], [shade, "__c", "__m"], "__t"), "shifts").select("__t", "__c", shade, vector)
+        asked = rows.select(key, shade, vector).withColumn("__c", F.lit(None).cast(dict(placed.dtypes)["__c"]))
+        near = nearest_rows(asked, placed, key, vector, len(moves) + 1, alike=(shade,), carry=("__c",), row_key="__t")
+        each = near.groupBy(F.col("q_key").alias(key), "__c").agg(F.min("d").alias("d"))
+        best = each.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("d", F.col("__c").alias("c")))), 1, 2).alias("two"))
+    else:
+        in_all = found.select(
+            shade,
+            F.struct(F.col(group).alias("c"), F.array(*(shifted(F.col("mean"), m) for m in moves)).alias("shifts")).alias("t")
+        )
+        banks = in_all.groupBy(shade).agg(F.collect_list("t").alias("bank"))
+        near = lambda t: F.array_min(F.transform(t["shifts"], lambda m: distance(F.col(vector), m)))
+        far = F.transform("bank", lambda t: F.struct(near(t).alias("d"), t["c"].alias("c")))
+        best = rows.select(key, shade, vector).join(F.broadcast(banks), shade).select(key, F.slice(F.array_sort(far), 1, 2).alias("two"))
     first, second = F.get("two", F.lit(0)), F.get("two", F.lit(1))
     margin = (second["d"] - first["d"]) / F.greatest(second["d"], F.lit(1e-9))
     return best.select(key, first["c"].alias("nearest"), first["d"].alias("d"), margin.alias("margin"))
@@ -117,13 +125,14 @@ def nearest_rows(
     whole = {n: int(f.count()) for n, f in (("q", queries), ("r", rows))}
     parts = {n: max(1, -(-count // BLOCK)) for n, count in whole.items()}
     kinds = dict(rows.dtypes)
+    ids = {"q": dict(queries.dtypes)[key], "r": kinds[row_key]}
 
     def dealt(frame: DataFrame, own: str, other: str, name: str) -> DataFrame:
         block = F.pmod(F.xxhash64(name), F.lit(parts[own])).cast("int").alias(own)
         copies = F.explode(F.sequence(F.lit(0), F.lit(parts[other] - 1))).alias(other)
         return frame.select(
             F.lit(own).alias("side"),
-            F.col(name).alias("id"),
+            *(F.when(F.lit(own == side), F.col(name)).cast(kind).alias(f"{side}_id") for side, kind in ids.items()),
             F.transform(vector, lambda x: x.cast("double")).alias("v"),
             *more,
             block,
@@ -138,8 +147,8 @@ def nearest_rows(
 
     def compare(table: pa.Table) -> pa.Table:
         sides = [table.filter(pa.compute.equal(table["side"], s)) for s in ("q", "r")]
-        (q_ids, r_ids), (q, r) = ([t["id"].to_numpy() for t in sides], [np.array(t["v"].to_pylist(), np.float64) for t in sides])
-        values = [{c: t[c].to_numpy() for c in more} | {key: t["id"].to_numpy(), row_key: t["id"].to_numpy()} for t in sides]
+        (q_ids, r_ids), (q, r) = ([t[i].to_numpy() for t, i in zip(sides, ("q_id", "r_id"), strict=True)], [np.array(t["v"].to_pylist(), np.float64) for t in sides])
+        values = [{c: t[c].to_numpy() for c in more} | {key: own, row_key: own} for t, own in zip(sides, (q_ids, r_ids), strict=True)]
         took: list[np.ndarray] = []
         of: list[np.ndarray] = []
         far: list[np.ndarray] = []
@@ -157,7 +166,7 @@ def nearest_rows(
             far.append(d[best])
         took_all, of_all, far_all = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (took, of, far))
         take = lambda t, name, at: t[name].take(pa.array(at, pa.int64()))
-        columns = [take(sides[0], "id", of_all), take(sides[1], "id", took_all)]
+        columns = [take(sides[0], "q_id", of_all), take(sides[1], "r_id", took_all)]
         columns += [take(sides[0], c, of_all) for c in more] + [take(sides[1], c, took_all) for c in more]
         return pa.table([*columns, pa.array(far_all, pa.float64())], names=["q_key", row_key, *fields, "d"])
 
@@ -169,16 +178,18 @@ def nearest_rows(
 def exact_quantiles(rows: DataFrame, value: str, shares: dict[str, float], groups: tuple[str, ...] = ()) -> DataFrame:
     """Quantiles of a column, in each group, between two neighbours where the place is no whole number. Nulls don't count.
 
-    The values are written in order in many parts; counts of the parts tell in which one, and where there, a rank is.
-    So no task holds more than a part, however large a group is.
+    Equal values are counted first. The different ones are written in order in many parts; counts of the parts tell in which one,
+    and running sums there where, a rank is. So no task holds more than a part, however large a group is and however
+    often a value comes.
     """
     spark = rows.sparkSession
     keys = list(groups)
     with Scratch(spark) as scratch:
         parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
         given = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-        dealt = scratch.settled(given.repartitionByRange(parts, *keys, "__v").withColumn("__part", F.spark_partition_id()), "ordered")
-        sizes = dealt.groupBy(*keys, "__part").agg(F.count("*").alias("size"))
+        counted = given.groupBy(*keys, "__v").agg(F.count("*").alias("__c"))
+        dealt = scratch.settled(counted.repartitionByRange(parts, *keys, "__v").withColumn("__part", F.spark_partition_id()), "ordered")
+        sizes = dealt.groupBy(*keys, "__part").agg(F.sum("__c").alias("size"))
         by = W.partitionBy(*keys).orderBy("__part")  # a row for each part
         sizes = sizes.withColumn("before", F.sum("size").over(by) - F.col("size"))
         sizes = scratch.settled(sizes.withColumn("n", F.sum("size").over(W.partitionBy(*keys))), "sizes")
@@ -186,16 +197,15 @@ def exact_quantiles(rows: DataFrame, value: str, shares: dict[str, float], group
         held = [f(place(p)) for p in shares.values() for f in (F.floor, F.ceil)]
         inside = lambda rank: (rank >= F.col("before")) & (rank < F.col("before") + F.col("size"))
         wanted = sizes.where(sum((inside(r).cast("int") for r in held), F.lit(0)) > 0)
-        same = F.lit(True)
-        for k in [*keys, "__part"]:
-            same = same & F.col(f"d.{k}").eqNullSafe(F.col(f"w.{k}"))
-        found = dealt.alias("d").join(wanted.alias("w"), same).select(
-            *(F.col(f"d.{k}").alias(k) for k in [*keys, "__part"]), "__v", "before", "n"
+        found = dealt.alias("d").join(wanted.alias("w"), same_keys("d", "w", [*keys, "__part"])).select(
+            *(F.col(f"d.{k}").alias(k) for k in [*keys, "__part"]), "__v", "__c", "before", "n"
         )
-        ranked = found.withColumn("rank", F.col("before") + F.row_number().over(W.partitionBy(*keys, "__part").orderBy("__v")) - 1)
+        upto = F.sum("__c").over(W.partitionBy(*keys, "__part").orderBy("__v"))
+        ranked = found.withColumn("upto", F.col("before") + upto).withColumn("first", F.col("upto") - F.col("__c"))
         out = []
         for name, p in shares.items():
-            low, high = (F.max(F.when(F.col("rank") == f(place(p)), F.col("__v"))) for f in (F.floor, F.ceil))
+            at = lambda f: (f(place(p)) >= F.col("first")) & (f(place(p)) < F.col("upto"))  # noqa: B023, E731
+            low, high = (F.max(F.when(at(f), F.col("__v"))) for f in (F.floor, F.ceil))
             out.append((low + (high - low) * F.max(place(p) - F.floor(place(p)))).alias(name))
         return settled(ranked.groupBy(*keys).agg(*out, F.max("n").alias("n")), "quantiles")
 

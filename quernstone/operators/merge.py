@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .ranking import numbered
+
 
 def both(local: DataFrame, cloud: DataFrame) -> DataFrame:
     return local.withColumn("src", F.lit(0)).unionByName(cloud.withColumn("src", F.lit(1)))
@@ -84,8 +86,8 @@ def drop_sources(rows: DataFrame, source: str, gone: list[str]) -> DataFrame:
 
 
 def renumber(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """Numbers from 1 within each group."""
-    return rows.withColumn("n", F.row_number().over(W.partitionBy(group).orderBy(*order)))
+    """Numbers from 1 within each group, of any size."""
+    return numbered(rows, [group], order, "n").withColumn("n", (F.col("n") + 1).cast("int"))
 
 
 def tiered(keys: DataFrame, key: str, tiers: list[tuple[str, DataFrame]], value: str) -> DataFrame:

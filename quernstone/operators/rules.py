@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .ranking import numbered, same_keys
+
 #: Seconds below which a game is fast; small and decisive evaluations; half moves of the fifty-move rule.
 FAST, SMALL, DECISIVE, FIFTY_MOVES = 600, 150, 300, 100
 
@@ -17,18 +19,17 @@ def weighted_pick(rows: DataFrame, key: str, weight: Column, order: str, u: Colu
 
 
 def even_sample(rows: DataFrame, key: str, order: str, most: int) -> DataFrame:
-    """At most so many rows of each key, evenly spaced over its order, first and last among them."""
-    by = W.partitionBy(key)
-    ranked = rows.withColumn("r", F.row_number().over(by.orderBy(order)) - 1).withColumn("n", F.count("*").over(by))
-    slot = lambda r: F.floor(r * (most - 1) / (F.col("n") - 1))
-    keep = (F.col("n") <= most) | (F.col("r") == 0) | (slot(F.col("r")) > slot(F.col("r") - 1))
-    return ranked.where(keep).drop("r", "n")
+    """At most so many rows of each key, evenly spaced over its order, first and last among them. Keys may be of any size."""
+    sizes = rows.groupBy(key).agg(F.count("*").alias("__n"))
+    ranked = numbered(rows, [key], [order], "__r").alias("r").join(sizes.alias("s"), same_keys("r", "s", [key])).select("r.*", "__n")
+    slot = lambda r: F.floor(r * (most - 1) / (F.col("__n") - 1))
+    keep = (F.col("__n") <= most) | (F.col("__r") == 0) | (slot(F.col("__r")) > slot(F.col("__r") - 1))
+    return ranked.where(keep).drop("__r", "__n")
 
 
 def match_by_place(left: DataFrame, right: DataFrame, group: str, left_order: str, right_order: str) -> DataFrame:
-    """The n-th of the left with the n-th of the right in each group; what has no partner is kept and shows it."""
-    a = left.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(left_order)))
-    b = right.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(right_order)))
+    """The n-th of the left with the n-th of the right in each group, of any size; what has no partner is kept and shows it."""
+    a, b = (numbered(rows, [group], [order], "place").withColumn("place", (F.col("place") + 1).cast("int")) for rows, order in ((left, left_order), (right, right_order)))
     return a.join(b, [group, "place"], "full")
 
 

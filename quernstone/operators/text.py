@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .ranking import numbered
+
 
 def fill_forward(rows: DataFrame, key: str, order: list[str], value: Column, name: str) -> DataFrame:
     """Each row with the last value that is not null, its own included."""
@@ -33,25 +37,67 @@ def spans(segments: DataFrame, key: str, order: str, text: str) -> DataFrame:
     return segments.withColumn("end_at", F.sum(F.length(text)).over(by)).withColumn("start_at", F.col("end_at") - F.length(text))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+BLOCK = 256  # pieces of a text that are put together before they join the rest
+
+
+def folded(pieces: Column, step: Callable[[Column, Column], tuple[Column, Column]], backwards: bool = False) -> Column:
+    """What `step` says of each piece, joined: it gets the depth so far and the piece, and gives the depth after it and a text.
+
+    Pieces go by blocks, so that a long text's many pieces are not copied again with each of them.
+    """
+    held = lambda depth, out: F.struct(depth.cast("int").alias("depth"), out.alias("out"))
+    joined = lambda out, more: F.concat(more, out) if backwards else F.concat(out, more)
+    places = lambda p: F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int"))
+    blocks = let(F.reverse(pieces) if backwards else pieces, lambda p: F.transform(places(p), lambda i: F.slice(p, i * BLOCK + 1, F.lit(BLOCK))))
+
+    def within(acc: Column, piece: Column) -> Column:
+        depth, said = step(acc["depth"], piece)
+        return held(depth, joined(acc["out"], said))
+
+    def over(acc: Column, block: Column) -> Column:
+        inner = F.aggregate(block, held(acc["depth"], F.lit("")), within)
+        return let(inner, lambda x: held(x["depth"], joined(acc["out"], x["out"])))
+
+    return F.aggregate(blocks, held(F.lit(0), F.lit("")), over, lambda acc: acc["out"])
+
+
 def strip_brackets(text: Column) -> Column:
     """The text outside round and square brackets, however deep; a closing bracket without an opening one is dropped.
 
     The text is cut at brackets; each piece is kept or not by the depth that the brackets before it leave.
     """
-    pieces = F.split(text, r"(?<=[()\[\]])|(?=[()\[\]])")
-    opens, closes = (lambda p: p.isin("(", "[")), (lambda p: p.isin(")", "]"))
-
-    def step(acc: Column, p: Column) -> Column:
-        depth = F.when(opens(p), acc["depth"] + 1).when(closes(p), F.greatest(F.lit(0), acc["depth"] - 1)).otherwise(acc["depth"])
-        kept = F.when(opens(p) | closes(p) | (acc["depth"] > 0), acc["out"]).otherwise(F.concat(acc["out"], F.array(p)))
-        return F.struct(depth.alias("depth"), kept.alias("out"))
-
-    return F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out")),
-        step,
-        lambda acc: F.array_join(acc["out"], ""),
-    )
+
+    def step(depth: Column, piece: Column) -> tuple[Column, Column]:
+        opens, closes = piece.isin("(", "["), piece.isin(")", "]")
+        after = F.when(opens, depth + 1).when(closes, F.greatest(F.lit(0), depth - 1)).otherwise(depth)
+        return after, F.when(opens | closes | (depth > 0), "").otherwise(piece)
+
+    return folded(F.split(text, r"(?<=[()\[\]])|(?=[()\[\]])"), step)
+
+
+def strip_pairs(text: Column, instead: str = " ") -> Column:
+    """The text with `instead` for each outermost pair of round brackets and all in it; a bracket without its match stays.
+
+    From the end on, each closing bracket waits for an opening one, which is marked; then what is inside marked ones goes.
+    """
+    mark = "\u0001"
+
+    def matched(waiting: Column, piece: Column) -> tuple[Column, Column]:
+        opens = (piece == "(") & (waiting > 0)
+        return F.when(piece == ")", waiting + 1).when(opens, waiting - 1).otherwise(waiting), F.when(opens, mark).otherwise(piece)
+
+    def outside(depth: Column, piece: Column) -> tuple[Column, Column]:
+        ends = (piece == ")") & (depth > 0)
+        after = F.when(piece == mark, depth + 1).when(ends, depth - 1).otherwise(depth)
+        return after, F.when(ends & (depth == 1), instead).when((piece == mark) | (depth > 0), "").otherwise(piece)
+
+    found = folded(F.split(F.translate(text, mark, " "), r"(?<=[()])|(?=[()])"), matched, backwards=True)
+    return folded(F.split(found, f"(?<=[{mark})])|(?=[{mark})])"), outside)
 
 
 def label_key(label: Column) -> Column:
@@ -60,8 +106,9 @@ def label_key(label: Column) -> Column:
 
 
 def reading_order(rows: DataFrame, page: str, x: Column, y: str, middle: Column) -> DataFrame:
-    """The place of each item on a page of two columns: the left one first, downwards in each."""
-    return rows.withColumn("place", F.row_number().over(W.partitionBy(page).orderBy((x > middle).cast("int"), y)))
+    """The place of each item on a page of two columns, of any length: the left one first, downwards in each."""
+    placed = numbered(rows, [page], [(x > middle).cast("int"), y], "place")
+    return placed.withColumn("place", (F.col("place") + 1).cast("int"))
 
 
 def base_seconds(control: Column) -> Column:

@@ -49,9 +49,9 @@ def games(spark, sf):
 
 
 def game_file(spark, sf):
-    """One file for each user."""
+    """One file for each user and month."""
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("day", "game"))), lambda x: x["game"])
-    found = G.read_games(games(spark, sf).groupBy("user_id").agg(F.array_join(in_order, "\n").alias("value")))
+    found = G.read_games(games(spark, sf).groupBy("user_id", F.date_trunc("month", "day")).agg(F.array_join(in_order, "\n").alias("value")))
     notes = F.transform("evals", lambda e: F.concat_ws(":", e["at"].cast("string"), e["cp"].cast("string")))
     head = F.col("headers")
     return found.select(
@@ -77,13 +77,13 @@ def transcript_blocks(spark, sf):
 
 
 def markdown_table(spark, sf):
-    """A table of parts for each brand."""
+    """A table of parts for each brand and thousand of numbers."""
     row = F.concat(F.lit("| "), F.col("p_partkey").cast("string"), F.lit("|"), "p_name", F.lit(" |"))
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("row")))), lambda x: x["row"])
     text = F.concat(F.lit("text\n| No | Name |\n|----|:-----:|\n"), F.array_join(in_order, "\n"), F.lit("\nend"))
-    tables = table(spark, sf, "part").groupBy("p_brand").agg(text.alias("text"))
-    rows = tables.select("p_brand", F.posexplode(P.table_rows(F.col("text"))).alias("n", "cells"))
-    return rows.where("n > 0").select("p_brand", "n", F.array_join("cells", ";").alias("cells"))
+    tables = table(spark, sf, "part").groupBy("p_brand", F.floor(F.col("p_partkey") / 1000).alias("part")).agg(text.alias("text"))
+    rows = tables.select("p_brand", "part", F.posexplode(P.table_rows(F.col("text"))).alias("n", "cells"))
+    return rows.where("n > 0").select("p_brand", "part", "n", F.array_join("cells", ";").alias("cells"))
 
 
 def embedded_data(spark, sf):
@@ -99,7 +99,7 @@ def embedded_data(spark, sf):
 
 
 def archive_days(spark, sf):
-    """An archive of all events as games of user 7 against others."""
+    """Archives of all events, one for each user and month, as games of user 7 against others."""
     n = F.col("event_id")
     me, other = F.struct(
         F.lit("Me").alias("username"), (1000 + n % 900).cast("int").alias("rating")
@@ -111,7 +111,7 @@ def archive_days(spark, sf):
         F.unix_seconds(F.col("ts").cast("timestamp")).alias("end_time"),
         kind.alias("time_class"),
     )
-    months = events(spark, sf).groupBy("user_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(game)).alias("games"))).alias("value"))
+    months = events(spark, sf).groupBy("user_id", F.date_trunc("month", "day")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(game)).alias("games"))).alias("value"))
     return G.games_by_day(months, "value", "me").select("day", "control", "games")
 
 
@@ -239,7 +239,7 @@ SQL = {
         select conv_id as doc, case role when 'user' then 'h' when 'system' then 'diag' else 'p' end as kind,
           case role when 'user' then h when 'system' then 'w ' || h else substr(h, 1, 8) || ' ' || substr(h, 9,
         24) end as payload from t""",
-    "markdown_table": """select p_brand, cast(row_number() over (partition by p_brand order by p_partkey) as int) as n,
+    "markdown_table": """select p_brand, p_partkey // 1000 as part, cast(row_number() over (partition by p_brand, p_partkey // 1000 order by p_partkey) as int) as n,
         p_partkey || ';' || trim(p_name) as cells from part""",
     "embedded_data": """select n_regionkey, min(n_nationkey) over (partition by n_regionkey) as first,
         cast(n_nationkey as varchar) as n, n_name as name from nation""",

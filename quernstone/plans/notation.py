@@ -49,13 +49,13 @@ def latin_squares(spark, sf):
 
 
 def answers_by_number(spark, sf):
-    """A page of answers for each brand: the number on a line of its own, or before the first move."""
+    """A page of answers for each brand and thousand of numbers: the number on a line of its own, or before the first move."""
     k = F.col("p_partkey")
     own_line = F.concat(F.lit("\n "), text_of(k), F.lit(". \n 1.e4  e5\n2."), text_of(k % 9), F.lit("f3"))
     in_line = F.concat(F.lit("\n"), text_of(k), F.lit(". 4.d4 \n d5 "), text_of(k % 7))
     entry = F.struct(k.alias("k"), F.when(k % 2 == 0, own_line).otherwise(in_line).alias("t"))
     page = F.concat(F.lit("Answers"), F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["t"]), ""))
-    pages = table(spark, sf, "part").groupBy("p_brand").agg(page.alias("page"))
+    pages = table(spark, sf, "part").groupBy("p_brand", F.floor(k / 1000)).agg(page.alias("page"))
     return pages.select("p_brand", F.explode(N.answers_by_number(F.col("page"))).alias("a")).select("p_brand", "a.n", "a.answer")
 
 

@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A move of a game, and a header's line.
+from ..operators.text import strip_pairs
+
+#: Fixed values of the format: a move, a header's line, an evaluation in a comment, and the digits that numbers of moves begin with.
 MOVE = r"^(?:O-O-O|O-O|0-0-0|0-0|[KQRBN]?[a-h]?[1-8]?x?[a-h][1-8](?:=[QRBN])?)[+#]?[!?]{0,2}$"
 HEADER = r'(?m)^\s*\[\s*([A-Za-z0-9_]+)\s+"([^"]*)"\s*\]\s*$'
+EVALUATION = r"\[%eval\s+(#?-?[\d.]+)"
+NUMBER = r"^\d+\.+"
+#: What a game's text is made of, after its headers: comments in braces, comments to the end of a line, glyphs, words.
+PIECE = r"\{[^}]*\}?|;[^\n]*|\$\d+|[^\s{};$]+"
+FIRST_HEADER = r'(?m)(?=^[ \t]*\[Event[ \t"])'
 MATE = 10_000
 
 
 def split_games(raw: Column) -> Column:
-    """The games of a file: cut before each event header, indented ones too, kept if they have a move number or a header."""
-    parts = F.transform(
-        F.split(F.replace(raw, F.lit("\r"), F.lit("")), r"\n(?=\s*\[Event\s)"),
-        lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""),
-    )
-    return F.filter(parts, lambda x: x.rlike(r"\d\.|\["))
+    """The games of a file, each from its event header on, which may be indented; what has neither a header nor a numbered move is none."""
+    parts = F.transform(F.split(F.translate(raw, "\r", ""), FIRST_HEADER), lambda x: F.btrim(x, F.lit(" \n\t\f\u000b")))
+    return F.filter(parts, lambda x: F.contains(x, F.lit("[")) | x.rlike(r"\d\."))
 
 
 def headers(raw: Column) -> Column:
@@ -28,51 +32,41 @@ def headers(raw: Column) -> Column:
     return F.map_from_arrays(one_each, last)
 
 
-def strip_variations(text: Column) -> Column:
-    """The text with a space for what stands in matching round brackets, however deep; a bracket without its match stays."""
-    def add(levels: Column, more: Column) -> Column:
-        return F.concat(F.slice(levels, F.lit(1), F.size(levels) - 1), F.array(F.concat(F.element_at(levels, -1), more)))
-
-    def step(levels: Column, piece: Column) -> Column:
-        closes = (piece == ")") & (F.size(levels) > 1)
-        return F.when(piece == "(", F.concat(levels, F.array(F.lit("")))).when(
-            closes, add(F.slice(levels, F.lit(1), F.size(levels) - 1), F.lit(" "))
-        ).otherwise(add(levels, piece))
-
-    return F.aggregate(F.split(text, r"(?<=[()])|(?=[()])"), F.array(F.lit("")), step, lambda levels: F.array_join(levels, "("))
+def said(raw: Column) -> Column:
+    """What a game says in its main line, in order: structs of a move (without its number and marks) or a comment; the other is null.
 
-
-def movetext(raw: Column) -> Column:
-    """What is left for moves: headers, then variations, glyphs and line comments go, in this order."""
-    out = strip_variations(F.regexp_replace(raw, r"(?m)^\s*\[[^\]]*\]\s*$", " "))
-    return F.regexp_replace(out, r"\$\d+|;[^\n]*", " ")
-
-
-def tokens(raw: Column) -> Column:
-    """Comments in braces and words, move numbers taken off."""
-    found = F.regexp_extract_all(movetext(raw), F.lit(r"(\{[^}]*\}|[^\s{}]+)"), F.lit(1))
-    return F.transform(found, lambda t: F.regexp_replace(t, r"^\d+\.+", ""))
+    Variations go first: brackets count wherever they stand, in comments too.
+    """
+    body = strip_pairs(F.regexp_replace(raw, r"(?m)^[ \t]*\[[^\]\n]*\][ \t]*$", " "))
+    words = F.transform(F.regexp_extract_all(body, F.lit(f"({PIECE})"), F.lit(1)), lambda t: F.regexp_replace(t, NUMBER, ""))
+    kinds = F.transform(
+        words,
+        lambda t: F.struct(
+            F.when(t.rlike(MOVE), F.rtrim(t, F.lit("!?"))).alias("move"), F.when(F.startswith(t, F.lit("{")), t).alias("note")
+        ),
+    )
+    return F.filter(kinds, lambda x: x["move"].isNotNull() | x["note"].isNotNull())
 
 
 def moves(raw: Column) -> Column:
     """The moves in order, without marks."""
-    return F.transform(F.filter(tokens(raw), lambda t: t.rlike(MOVE)), lambda t: F.regexp_replace(t, r"[!?]+$", ""))
+    return F.filter(F.transform(said(raw), lambda x: x["move"]), lambda m: m.isNotNull())
 
 
 def evaluations(raw: Column) -> Column:
     """Moves made so far to the evaluation noted there, in hundredths; a mate in n is 10000 - n. Notes before the first move don't count."""
-    note = lambda t: F.regexp_extract(t, r"^\{.*?\[%eval\s+(#?-?[\d.]+)", 1)
+    noted = lambda x: F.coalesce(F.regexp_extract(x["note"], EVALUATION, 1), F.lit(""))
     mate = lambda e: F.replace(e, F.lit("#"), F.lit("")).try_cast("int")
     of_mate = lambda e: F.when(mate(e) > 0, MATE - mate(e)).otherwise(-MATE - mate(e))
     value = lambda e: F.when(F.startswith(e, F.lit("#")), of_mate(e)).otherwise(F.floor(F.round(e.try_cast("double") * 100, 6) + 0.5).cast("int"))
 
-    def step(acc: Column, t: Column) -> Column:
-        added = F.concat(acc["found"], F.array(F.struct(acc["n"].alias("at"), value(note(t)).alias("cp"))))
-        found = F.when((note(t) != "") & (acc["n"] > 0), added).otherwise(acc["found"])
-        return F.struct((acc["n"] + t.rlike(MOVE).cast("int")).alias("n"), found.alias("found"))
+    def step(acc: Column, x: Column) -> Column:
+        counts = (noted(x) != "") & (acc["n"] > 0)
+        added = F.array_append(acc["found"], F.struct(acc["n"].alias("at"), value(noted(x)).alias("cp")))
+        return F.struct((acc["n"] + x["move"].isNotNull().cast("int")).alias("n"), F.when(counts, added).otherwise(acc["found"]).alias("found"))
 
     empty = F.array().cast("array<struct<at:int,cp:int>>")
-    return F.aggregate(tokens(raw), F.struct(F.lit(0).alias("n"), empty.alias("found")), step, lambda acc: acc["found"])
+    return F.aggregate(said(raw), F.struct(F.lit(0).alias("n"), empty.alias("found")), step, lambda acc: acc["found"])
 
 
 def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:

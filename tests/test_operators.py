@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,13 +187,59 @@ def test_new_items_are_those_without_attempts(spark):
     } == {1: ("clean", 5), 2: ("new", 9), 3: ("new", None)}
 
 
+def test_quantiles_of_one_value_many_times(spark):
+    frame = spark.range(20_000).select(F.when(F.col("id") % 10 < 9, 5.0).otherwise(F.col("id").cast("double")).alias("v"))
+    got = M.exact_quantiles(frame, "v", {"low": 0.2, "high": 0.95}).first()
+    values = [5.0 if i % 10 < 9 else float(i) for i in range(20_000)]
+    assert (got.low, got.n) == (5.0, 20_000) and np.isclose(got.high, np.quantile(values, 0.95))
+
+
+def test_many_templates_are_matched_block_by_block(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, i % 2, rng.random(9).tolist()) for i in range(80)], "k int, s int, v array<double>")
+    found = spark.createDataFrame([(c, c % 2, rng.random(9).tolist()) for c in range(11)], "g int, s int, mean array<double>")
+    shown = lambda: sorted((r.k, r.nearest, round(r.d, 9), round(r.margin, 9)) for r in M.match_templates(rows, found, "k", "v", "g", "s", 2).collect())
+    few = shown()
+    monkeypatch.setattr(M, "MOST_CLASSES", 3)
+    assert len(few) == 80 and shown() == few
+
+
+def test_brackets_of_long_texts_go_as_in_a_plain_loop(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("()[]ab ", k=k)) for k in (0, 1, 5, 40, 40, 600, 3000)] + ["(" * 2000 + ")" * 1999, "x(y)" * 9000]
+
+    def outside(text):
+        depth, out = 0, []
+        for c in text:
+            depth = depth + 1 if c in "([" else max(0, depth - 1) if c in ")]" else depth
+            out.append("" if depth or c in "()[]" else c)
+        return "".join(out)
+
+    def pairs(text):
+        waiting, match = [], {}
+        for i, c in enumerate(text):
+            if c == "(":
+                waiting.append(i)
+            elif c == ")" and waiting:
+                match[waiting.pop()] = i
+        out, i = [], 0
+        while i < len(text):
+            out.append(" " if i in match else text[i])
+            i = match.get(i, i) + 1
+        return "".join(out)
+
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = frame.select("t", T.strip_brackets(F.col("t")).alias("a"), T.strip_pairs(F.col("t")).alias("b")).collect()
+    assert all(r.a == outside(r.t) and r.b == pairs(r.t) for r in found) and len(found) == len(texts)
+
+
 def test_variations_of_any_depth(spark):
     deep = "1. e4 " + "(1. d4 {[%eval 0.10]} " * 12 + ")" * 12 + " e5 {[%eval 0.35]} 2. Nf3 {:( here} Nc6"
     row = S.read_games(spark.createDataFrame([(f'[Event "x"]\n\n{deep}',)], "value string")).first()
     assert row.moves == ["e4", "e5", "Nf3", "Nc6"] and [(e["at"], e["cp"]) for e in row.evals] == [(2, 35)]
     texts = ["a (b (c) d", "a) (b) c", "((a)(b)) c", "", None]
     frame = spark.createDataFrame([(t,) for t in texts], "t string")
-    assert [r.x for r in frame.select(S.strip_variations(F.col("t")).alias("x")).collect()] == ["a (b   d", "a)   c", "  c", "", None]
+    assert [r.x for r in frame.select(T.strip_pairs(F.col("t")).alias("x")).collect()] == ["a (b   d", "a)   c", "  c", "", None]
 
 
 def test_path_to_root_of_any_depth(spark):
