@@ -1,16 +1,19 @@
 """Substring dedup: words in long passages that a document with a smaller id has too are removed.
 
-A suffix starts at each word that begins a window of 50 words. Suffixes are split by their prefixes, which have
-8 words and are lengthened to 16, 32 and 50 words where more suffixes share one than a group may have. So a group
-is what the suffix tree has below one of its nodes, and its subtree fits in memory. Its suffixes are put in order;
-the runs of neighbours that share a prefix are the subtree's internal nodes, and those of depth 50 are the
-repeats, whose least document id decides: a maximal repeat of m words is m - 49 of them, one for each of its
-windows. Where even 50 words are too common the prefix is such a node itself, and its least id is found by
-partial minima.
-
-Only suffixes that can repeat are put into groups. Each window has a least hash of its 8-word runs, its key, which
-equal windows share; windows in a row with one key make a region. Keys that one document alone has are dropped,
-and equal regions, as of exact copies, are put together; suffixes are made where a key has several different ones.
+Only suffixes that can repeat are looked at. Each window has a least hash of its 8-word runs, its key, which
+equal windows share; windows in a row with one key make a region. Keys that one document alone has are dropped. Equal
+regions, as of exact copies, are one, with its least document and whether others have it; it is in the trees once.
+
+A suffix starts at each word that begins a window. The suffixes of a key's regions are one group as long as its
+regions have at most TOGETHER words: they are put in order by their words, the words that neighbours share are counted, and
+runs of neighbours that share WINDOW or more are the subtree's deep internal nodes. A repeat is a stretch of a region
+whose windows are below nodes with one least document id; it is given once, with its length. Nothing but words decides.
+
+The regions of a key with more words have their suffixes split by their prefixes instead, which have 8 words and are
+lengthened to 16, 32 and 50 words where more suffixes share one than a group may have. So a group is what the suffix tree has
+below one of its nodes, and its subtree fits in memory. Where even 50 words are too common the prefix is such a node
+itself, and its least id is found by partial minima. Here prefixes go by 64-bit names of each of these lengths, all of which
+have to agree, so that a part of a third of all documents needs no text in any shuffle.
 
 Cases: a null text has no words; a null id takes no part and keeps all; windows of documents with the same id
 do not remove each other; rows with equal ids are judged each; an empty table gives an empty table;
@@ -36,7 +39,9 @@ WINDOW = 50
 RUN = 8
 LENGTHS = (8, 16, 32, WINDOW)  # words of the prefixes by which suffixes are split
 REGION = 63  # windows in a region at most: one bit each
-GROUP = 8_000  # suffixes that a subtree takes; the prefix of a larger group is lengthened
+TOGETHER = 60_000  # words of a key's regions that are one group; more are split by prefixes
+BATCH = 300_000  # words of the groups whose suffixes are put in order at once
+GROUP = 8_000  # suffixes that a group split by prefixes takes; the prefix of a larger one is lengthened
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -143,6 +148,91 @@ def cut_regions(docs: DataFrame, shared: DataFrame) -> DataFrame:
     return wanted.mapInArrow(run, "doc_id long, tag long, key long, region binary, first int, n int, content binary")
 
 
+def word_ranks(contents: list[list[bytes]]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Ranks, by their words, of the stretches of 1, 2, 4 .. 64 words from each word on, and how many words there are to its region's end.
+
+    Stretches that a region's end cuts short come before longer ones that begin with them.
+    """
+    rank = {word: i for i, word in enumerate(sorted({word for words in contents for word in words}))}
+    lengths = np.fromiter(map(len, contents), np.int64, len(contents))
+    n = int(lengths.sum())
+    rest = np.repeat(np.cumsum(lengths), lengths) - np.arange(n)
+    levels, span = [np.fromiter((rank[word] for words in contents for word in words), np.int64, n)], 1
+    while span <= WINDOW:
+        then = np.full(n, -1, np.int64)
+        then[:-span] = levels[-1][span:]
+        then[rest <= span] = -1
+        levels.append(np.unique(levels[-1] * (n + 1) + then + 1, return_inverse=True)[1])
+        span *= 2
+    return levels, rest
+
+
+def shared_words(levels: list[np.ndarray], rest: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many words the suffixes at a and at b have in common from their starts on."""
+    most, same = np.minimum(rest[a], rest[b]), np.zeros(len(a), np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        at = np.minimum(np.stack([a, b]) + same, len(rest) - 1)
+        same += ((same + (1 << k) <= most) & (levels[k][at[0]] == levels[k][at[1]])).astype(np.int64) << k
+    return same
+
+
+def repeats(rows: list[tuple[int, int, bool, int, list[bytes]]]) -> tuple[np.ndarray, ...]:
+    """Of regions (key, doc_id, several, n, words), those of a key in a row: row, first window, windows and least id of each repeat.
+
+    `several`: other documents have the region, too, so that its own windows repeat.
+    """
+    keys, docs, several, windows, contents = zip(*rows, strict=True)
+    levels, rest = word_ranks(contents)
+    n = np.array(windows)
+    of = np.repeat(np.arange(len(rows)), n)
+    i = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    lengths = np.fromiter(map(len, contents), np.int64, len(rows))
+    at = (np.cumsum(lengths) - lengths)[of] + i
+    group = np.cumsum(np.append(0, np.diff(np.array(keys, np.int64)) != 0))[of]
+    own = np.array(docs, np.int64)[of]
+    order = np.lexsort((levels[-1][at], group))
+    a = at[order]
+    joined = (group[order][1:] == group[order][:-1]) & (shared_words(levels, rest, a[:-1], a[1:]) >= WINDOW)
+    starts = np.flatnonzero(np.append(True, ~joined))
+    least = np.empty(len(of), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(own[order], starts), np.diff(np.append(starts, len(of))))
+    chosen = np.flatnonzero(np.array(several)[of] | (least < own))
+    if not len(chosen):
+        return (np.empty(0, np.int64),) * 4
+    goes_on = (np.diff(of[chosen]) == 0) & (np.diff(i[chosen]) == 1) & (np.diff(least[chosen]) == 0)
+    begins = np.flatnonzero(np.append(True, ~goes_on))
+    return of[chosen][begins], i[chosen][begins], np.diff(np.append(begins, len(chosen))), least[chosen][begins]
+
+
+def tree_repeats(different: DataFrame, parts: int) -> DataFrame:
+    """region, first, windows and least of each repeat in the groups of keys."""
+    names = ["region", "first", "windows", "least"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def found() -> pa.RecordBatch:
+            row, first, windows, least = repeats([r[1:] for r in held])
+            region = pa.array([r[0] for r in held], pa.binary()).take(pa.array(row))
+            return pa.RecordBatch.from_arrays([region, *(pa.array(c.astype(k)) for c, k in ((first, np.int32), (windows, np.int32), (least, np.int64)))], names=names)
+
+        for batch in batches:
+            for rows in rows_of(batch, 1024):
+                for region, key, doc_id, several, n, content in rows:
+                    if size >= BATCH and held[-1][1] != key:
+                        yield found()
+                        held.clear()
+                        size = 0
+                    held.append((region, key, doc_id, several, n, content.split()))
+                    size += n + WINDOW - 1
+        if held:
+            yield found()
+
+    dealt = different.select("region", "key", "doc_id", "several", "n", "content").repartition(parts, "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "region binary, first int, windows int, least long")
+
+
 def name_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of two hashes in this order."""
     x = (a ^ (a >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + b
@@ -323,26 +413,31 @@ def find_removals(docs: DataFrame, scratch: Scratch, with_text: bool = False) ->
     cut = scratch.settled(cut_regions(rows, shared), "regions")
     found = cut.where("region is not null")
     # One row for each different region, with its least document; content is in at least one of its rows.
-    of_region = F.min("doc_id").alias("doc_id"), F.max("content").alias("content")
-    different = scratch.settled(found.groupBy("key", "region").agg(*of_region), "different")
-    # A window can be in two different regions only if their key is: the suffixes of a key's only region need no tree.
-    crowded = scratch.settled(different.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "crowded")
-    crowd = scratch.settled(different.join(crowded, "key", "left_semi"), "crowd")
+    of_region = [F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("most"), F.max("n").alias("n"), F.max("content").alias("content")]
+    different = found.groupBy("key", "region").agg(*of_region).withColumn("several", F.col("most") > F.col("doc_id")).drop("most")
+    different = scratch.settled(different, "different")
     spark = rows.sparkSession
     parts = max(8, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    groups, whole = split_by_prefixes(crowd, scratch)
-    lower = subtrees(groups, parts)
-    lower = lower if whole is None else lower.unionByName(whole_windows(whole, scratch))
-    by_region = lower.groupBy("region").agg(F.collect_list(F.struct("i", "least")).alias("lower"))
-    known = scratch.settled(different.select("region", F.col("doc_id").alias("own")).join(by_region, "region", "left"), "known")
-    one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
-    bit = lambda x: F.when(x["least"] < F.col("doc_id"), one(x["i"])).otherwise(F.lit(0).cast("long"))
-    some = F.aggregate(F.transform("lower", bit), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-    every = F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), F.col("n")))
-    windows = F.when(F.col("own") < F.col("doc_id"), every).otherwise(F.coalesce(some, F.lit(0).cast("long")))
-    hits = found.select("region", "doc_id", "tag", "first", "n").join(known, "region").select(
-        "doc_id", "tag", "first", windows.alias("windows")
-    )
+    words = F.sum(F.col("n") + WINDOW - 1)
+    large = scratch.settled(different.groupBy("key").agg(words.alias("words")).where(F.col("words") > TOGETHER).select("key"), "large-keys")
+    if large.isEmpty():
+        repeated = tree_repeats(different, parts)
+    else:
+        crowd = scratch.settled(different.join(large, "key", "left_semi"), "crowd")
+        groups, whole = split_by_prefixes(crowd, scratch)
+        lower = subtrees(groups, parts)
+        lower = lower if whole is None else lower.unionByName(whole_windows(whole, scratch))
+        copies = crowd.where("several").selectExpr("region", "0 as first", "n as windows", "doc_id as least")
+        repeated = tree_repeats(different.join(large, "key", "left_anti"), parts).unionByName(copies)
+        repeated = repeated.unionByName(lower.selectExpr("region", "i as first", "1 as windows", "least"))
+    by_region = repeated.groupBy("region").agg(F.collect_list(F.struct("first", "windows", "least")).alias("repeats"))  # 63 windows at most
+    known = scratch.settled(by_region, "known")
+    left = lambda x, by: F.call_function("shiftleft", x, by)
+    bits = lambda x: left(F.bitwise_not(left(F.lit(-1).cast("long"), x["windows"])), x["first"])
+    none = F.lit(0).cast("long")
+    lower_ids = F.transform("repeats", lambda x: F.when(x["least"] < F.col("doc_id"), bits(x)).otherwise(none))
+    windows = F.aggregate(lower_ids, none, lambda a, b: a.bitwiseOR(b))
+    hits = found.select("region", "doc_id", "tag", "first").join(known, "region").select("doc_id", "tag", "first", windows.alias("windows"))
     struck = hits.where("windows <> 0").groupBy("doc_id", "tag").agg(F.collect_set(F.struct("first", "windows")).alias("struck"))
     texts = cut.where("region is null").select("doc_id", "tag", "content").dropDuplicates(["doc_id", "tag"])
     return scanned.where("key is null").select("doc_id", "tag", "n_words", "sha"), strike(texts, struck, with_text)

@@ -6,6 +6,7 @@ import unicodedata
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
@@ -569,6 +570,7 @@ def test_substrings(spark, docs, group, monkeypatch):
         texts.append((i, rng.choice([" ", "\n", "\t "]).join(w for p in parts for w in p)))
     texts += [(70, "loop " * 300), (71, "loop " * 120 + "end"), (59, texts[-1][1]), (72, LONG)]
     monkeypatch.setattr(substrings, "GROUP", group)
+    monkeypatch.setattr(substrings, "TOGETHER", group if group < 1000 else substrings.TOGETHER)
     frame = spark.createDataFrame([(*t, 1) for t in texts], "doc_id long, text string, key int")
     assert Counter(
         tuple(r) for r in substrings.removal_digests(frame).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
@@ -600,6 +602,42 @@ def test_subtree_nodes_are_the_prefixes_that_suffixes_share():
         assert depth == max([n for n in substrings.LENGTHS if a[:n] == b[:n]], default=0)
 
 
+def test_suffixes_in_order_share_the_words_that_they_share():
+    rng = random.Random(11)
+    contents = [[b"abc"[k : k + 1] for k in rng.choices(range(3), k=rng.randint(50, 112))] for _ in range(8)]
+    contents += [contents[0][5:], [b"a"] * 112, [b"a"] * 60, contents[1][:70] + contents[2][:42]]
+    levels, rest = substrings.word_ranks(contents)
+    flat = [(c, i) for c, words in enumerate(contents) for i in range(len(words))]
+    pairs = [(rng.randrange(len(flat)), rng.randrange(len(flat))) for _ in range(4000)] + [(i, i) for i in range(9)]
+    found = substrings.shared_words(levels, rest, *map(np.array, zip(*pairs, strict=True)))
+    for (a, b), same in zip(pairs, found.tolist(), strict=True):
+        x, y = (contents[flat[k][0]][flat[k][1] :] for k in (a, b))
+        assert same == next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+        assert (levels[-1][a] < levels[-1][b]) == (x[:64] < y[:64])
+
+
+def test_repeats_are_those_of_plain_loops():
+    rng = random.Random(12)
+    words = [f"v{k}".encode() for k in rng.choices(range(3), k=4000)]
+    rows = []
+    for key in range(20):
+        start = rng.randrange(3000)
+        for _ in range(rng.randint(1, 6)):
+            n, at = rng.randint(1, 63), start + rng.randrange(40)
+            rows.append((key, rng.randrange(9), rng.random() < 0.3, n, words[at : at + n + 49]))
+    wanted = {}
+    for r, (key, doc, several, n, own) in enumerate(rows):
+        for i in range(n):
+            docs = [d for k, d, _, m, other in rows if k == key for j in range(m) if other[j : j + 50] == own[i : i + 50]]
+            if several or min(docs) < doc:
+                wanted[r, i] = min(docs)
+    row, first, windows, least = substrings.repeats(rows)
+    got = {(r, i): x for r, f, w, x in zip(row.tolist(), first.tolist(), windows.tolist(), least.tolist(), strict=True) for i in range(f, f + w)}
+    assert got == wanted and len(row) < len(got)
+    ends = {(r, f + w): x for r, f, w, x in zip(row.tolist(), first.tolist(), windows.tolist(), least.tolist(), strict=True)}
+    assert all(ends.get((r, f)) != x for r, f, x in zip(row.tolist(), first.tolist(), least.tolist(), strict=True))  # each one once, and whole
+
+
 def jaccard_brute(texts, size, percent=80):
     sets = []
     for i, t in texts:
