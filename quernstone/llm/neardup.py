@@ -7,7 +7,8 @@ whose sketches differ more than sets of 0.8 do is not looked at; all other pairs
 Bands and sketches together find pairs at the limit with a share that tests/llm measures on planted pairs (README).
 
 Documents with the same set are one node, which is named by 64 bits of the set's digest, so that texts
-under one id stay apart; the least id of a component is looked up at the end. A bucket never emits all its
+under one id stay apart; 64 further bits tell whether a name stands for different sets, which then get names of all 128 bits.
+The least id of a component is looked up at the end. A bucket never emits all its
 pairs: its members are held against one centre, then, while it still has several components, against other centres drawn at
 random, and what is still apart at last is compared over component borders only, so no link between components is
 lost. Large buckets are compared in blocks of rows by columns, each a task's share. Copies by the thousand make as
@@ -28,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components, ordered
 from .common import Scratch, documents, rows_of, settled
-from .graph import components, joined, ordered
+from .graph import joined
 from .substrings import WordHashes, tagged
 
 ROWS, BANDS = 5, 40
@@ -92,14 +94,19 @@ def band_keys(sign: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def node_of(shingles: np.ndarray) -> int:
-    """64 bits of the set's digest."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "big", signed=True)
+NAME_BITS = 64
 
 
-def survey(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, tag, set size, node (from the digest of the set), sketch and band keys of every text."""
-    names = ["doc_id", "tag", "n", "node", "s1", "s2", "s3", "bands"]
+def node_of(shingles: np.ndarray, bits: int = NAME_BITS) -> tuple[int, int]:
+    """So many bits of the set's digest, and 64 more."""
+    digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    name, rest = (int.from_bytes(part, "big", signed=True) for part in (digest[:8], digest[8:]))
+    return name >> (64 - bits), rest
+
+
+def survey(docs: DataFrame, size: int, bits: int) -> DataFrame:
+    """doc_id, tag, set size, node and rest (from the digest of the set), sketch and band keys of every text."""
+    names = ["doc_id", "tag", "n", "node", "rest", "s1", "s2", "s3", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -113,14 +120,14 @@ def survey(docs: DataFrame, size: int) -> DataFrame:
                         pa.array([doc_id for doc_id, _, _ in rows], pa.int64()),
                         pa.array([tag for _, tag, _ in rows], pa.int64()),
                         pa.array(list(map(len, sets)), pa.int64()),
-                        pa.array(map(node_of, sets), pa.int64()),
+                        *(pa.array(c, pa.int64()) for c in zip(*(node_of(x, bits) for x in sets), strict=True)),
                         *(pa.array([s[k] for s in sketches], pa.int64()) for k in range(3)),
                         pa.array([band_keys(s) if len(x) else None for s, x in zip(signs, sets, strict=True)], pa.list_(pa.int64())),
                     ],
                     names=names,
                 )
 
-    schema = "doc_id long, tag long, n long, node long, s1 long, s2 long, s3 long, bands array<long>"
+    schema = "doc_id long, tag long, n long, node long, rest long, s1 long, s2 long, s3 long, bands array<long>"
     return docs.select("doc_id", "tag", "text").mapInArrow(run, schema)
 
 
@@ -175,10 +182,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def linked(rows: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
-    scanned = scratch.settled(survey(rows, size), "signatures")
-    real = scanned.where("n > 0 and doc_id is not null")
+    scanned = scratch.settled(survey(rows, size, NAME_BITS), "signatures")
     of_node = F.struct("doc_id", "tag", "n", "s1", "s2", "s3", "bands")
-    one_each = scratch.settled(real.groupBy("node").agg(F.min(of_node).alias("x")).select("node", "x.*"), "nodes")
+
+    def nodes() -> DataFrame:
+        one = scanned.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min(of_node).alias("x"), (F.min("rest") < F.max("rest")).alias("clash"))
+        return scratch.settled(one.select("node", "x.*", "clash"), "nodes")
+
+    one_each = nodes()
+    clashing = scratch.settled(one_each.where("clash").select("node", "clash"), "clashing")
+    if not clashing.isEmpty():
+        whole_name = F.when(F.col("clash"), F.xxhash64("node", "rest").bitwiseXOR(F.col("rest"))).otherwise(F.col("node"))
+        scanned = scratch.settled(scanned.join(clashing, "node", "left").withColumn("node", whole_name).drop("clash"), "signatures")
+        one_each = nodes()
+    one_each = one_each.drop("clash")
     light = one_each.select("node", "n", "s1", "s2", "s3")
 
     keyed = one_each.select("node", F.explode("bands").alias("key"))

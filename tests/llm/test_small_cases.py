@@ -12,7 +12,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.llm import bpe, graph, html_text, jpeg, neardup, packing, quality, substrings, token_counts, url_filters, warc
+from quernstone.operators.graph import components
+from quernstone.llm import bpe, common, graph, html_text, jpeg, neardup, packing, quality, substrings, token_counts, url_filters, warc
 
 BPE = P.path("byte_bpe_multi_50k.tiktoken")
 COUNTS = P.path("byte_bpe_50k.json")
@@ -733,9 +734,9 @@ def test_borders_are_compared_in_blocks_without_losing_a_link(spark, block, monk
 
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 200)]
-    found = {r.node: r.component for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    found = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 140)}
-    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
     more = graph.joined(
         spark.createDataFrame([(1, 0), (0, 0), (5, 4), (4, 4)], "node long, component long"),
         spark.createDataFrame([(5, 1), (8, 9)], "a long, b long"),
@@ -834,3 +835,37 @@ def test_html_finds_articles_among_forms_controls_adverts_and_hidden_text(spark)
     found = html_text.extract_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(found) == 200 and all(r.text for r in found) and not any("AA" in r.text for r in found)
     assert sum(r.text == truth[r.page_id] for r in found) >= 198
+
+
+def test_names_that_clash_are_told_apart(spark, monkeypatch):
+    """Names of one bit: nearly all sets share theirs with others."""
+    rng = random.Random(21)
+    texts = [(i, " ".join(f"v{rng.randint(0, 9)}" for _ in range(rng.randint(0, 9)))) for i in range(60)] + [(70, "a b c d"), (71, "a b c d"), (72, "x")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    monkeypatch.setattr(neardup, "NAME_BITS", 1)
+    assert Counter(map(tuple, neardup.near_duplicates(frame, size=4).collect())) == jaccard_brute(texts, 4)
+
+
+def test_long_sketches_keep_pairs_at_the_limit(spark):
+    """100,000 pairs of sets of similarity 0.8, each pair in a bucket of its own, go through the comparison over borders: ten may be lost."""
+    pairs = 100_000
+
+    def made(batches):
+        for batch in batches:
+            out = []
+            for k in batch.column(0).to_pylist():
+                every = np.random.default_rng(k).integers(0, 2**63, (10, 10, 50)[k % 3], dtype=np.uint64)
+                side = len(every) // 10
+                for half, own in enumerate((every[: len(every) - side], every[side:])):
+                    sign = neardup.signature(own)
+                    out.append((2 * k + half, k, len(own), *neardup.bits_of(sign[: neardup.BITS]), np.sort(own).view(np.int64)))
+            columns = [pa.array(c) for c in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "key", "n", "s1", "s2", "s3", "shingles"])
+
+    every = spark.range(0, pairs, 1, 32).mapInArrow(made, "node long, key long, n long, s1 long, s2 long, s3 long, shingles array<long>")
+    with common.Scratch(spark) as scratch:
+        every = scratch.settled(every, "made")
+        placed = every.select("node", "key", F.col("node").alias("component"), "n", "s1", "s2", "s3", F.lit(2).cast("long").alias("size"))
+        one_each = every.select("node", F.array("key").alias("bands"))
+        found = neardup.over_borders(placed, every.select("node", "shingles"), one_each, 80, scratch)
+        assert pairs - 10 <= found.count() <= pairs
