@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..scratch import settled
+
 from ..functions.scores import INTERVALS
 from ..sources.tables import js_round
 
@@ -58,7 +60,8 @@ def next_item(items: DataFrame, now: Column, order: str, day: int) -> DataFrame:
 
 
 def page(rows: DataFrame, order: list[Column], number: int, size: int = 50) -> DataFrame:
-    """One page of the ordered rows; a number beyond the last page means the last. Sorted by Spark, of which only the pages up to it are kept."""
+    """One page of the ordered rows; a number beyond the last page means the last. Rows are worked out once; of the sort only the pages up to it are kept."""
+    rows = settled(rows, "paged")
     count = rows.count()
     number = max(0, min(number, (count - 1) // size))
     return rows.orderBy(*order).offset(number * size).limit(size)

@@ -288,6 +288,27 @@ def centre_of_mass(ink: Column, width: int) -> tuple[Column, Column]:
     return weigh(lambda i: F.floor(i / width)), weigh(lambda i: i % width)
 
 
+def centred(ink: Column, width: int) -> Column:
+    """The picture moved so that its centre of mass is its middle, drawn anew between its cells; nothing comes in from outside."""
+
+    def drawn(held: Column) -> Column:
+        height = F.size(ink) / width
+        cell = lambda y, x: F.when((y >= 0) & (y < height) & (x >= 0) & (x < width), F.get(ink, (y * width + x).cast("int"))).otherwise(0.0)
+
+        def at(i: Column) -> Column:
+            y = F.floor(i / width) + held["y"] - (height - 1) / 2
+            x = i % width + held["x"] - (width - 1) / 2
+            top, left = F.floor(y), F.floor(x)
+            down, right = y - top, x - left
+            upper = cell(top, left) * (1 - right) + cell(top, left + 1) * right
+            return upper * (1 - down) + (cell(top + 1, left) * (1 - right) + cell(top + 1, left + 1) * right) * down
+
+        return F.transform(F.sequence(F.lit(0), F.size(ink) - 1), at)
+
+    y, x = centre_of_mass(ink, width)
+    return F.get(F.transform(F.array(F.struct(y.alias("y"), x.alias("x"))), drawn), F.lit(0))
+
+
 def board_quality(matched: DataFrame, board: str) -> DataFrame:
     """The worst and the summed distance of each board's cells from their templates, and its least margin."""
     worst, summed = F.round(F.max("d"), 5).alias("worst"), F.round(F.sum("d"), 4).alias("total")

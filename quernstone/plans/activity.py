@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import activity as A
-from ..scratch import scratch_folder
+from ..scratch import kept_until_release, scratch_folder
 from ..sources.tables import events, js_round, last_day, table
 from ..streaming import activity as S
 
@@ -137,18 +137,19 @@ def write_bursts(spark, sf):
 
 
 def resumed_job(spark, sf):
-    """Three batches, of which the second repeats keys and the third is the second again."""
-    done = f"{scratch_folder(spark)}/job-{uuid.uuid4().hex}"
-    step = S.resumable(done, "n_nationkey", lambda rows: rows.select("n_nationkey", (F.col("n_nationkey") * 2).alias("value")))
-    nations = table(spark, sf, "nation").select("n_nationkey")
-    for batch, rows in ((0, "n_nationkey <= 15"), (1, "n_nationkey >= 10"), (1, "n_nationkey >= 10")):
-        step(nations.where(rows), batch)
-    return spark.read.parquet(done).select("n_nationkey", "value", F.col("batch").cast("int").alias("batch"))
+    """Orders in three batches, of which the second repeats keys and the third is the second again."""
+    done = kept_until_release(spark, f"{scratch_folder(spark)}/job-{uuid.uuid4().hex}")
+    kept_until_release(spark, f"{done}-keys")
+    step = S.resumable(done, "o_orderkey", lambda rows: rows.select("o_orderkey", (F.col("o_orderkey") * 2).alias("value")))
+    orders = table(spark, sf, "orders").select("o_orderkey")
+    for batch, rows in ((0, "o_orderkey % 5 < 3"), (1, "o_orderkey % 5 >= 2"), (1, "o_orderkey % 5 >= 2")):
+        step(orders.where(rows), batch)
+    return spark.read.parquet(done).select("o_orderkey", "value", F.col("batch").cast("int").alias("batch"))
 
 
 def pushed_writes(spark, sf):
     """What the other side has of each user after three batches of events, of whose pushes the first two fail half done."""
-    top = f"{scratch_folder(spark)}/outbox-{uuid.uuid4().hex}"
+    top = kept_until_release(spark, f"{scratch_folder(spark)}/outbox-{uuid.uuid4().hex}")
 
     def send(rows, push):
         rows.where(F.lit(push == 2) | (F.col("user_id") % 2 == 0)).write.mode("overwrite").parquet(f"{top}/cloud/push={push}")
@@ -257,5 +258,5 @@ SQL = {
         event_id) < interval 6 hours then 0 else 1 end as new from events),
         g as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as part from r) select
         user_id, arg_max(event_id, (ts, event_id)) as event_id, count(*) as writes from g group by user_id, part""",
-    "resumed_job": "select n_nationkey, n_nationkey * 2 as value, case when n_nationkey <= 15 then 0 else 1 end as batch from nation",
+    "resumed_job": "select o_orderkey, o_orderkey * 2 as value, case when o_orderkey % 5 < 3 then 0 else 1 end as batch from orders",
 }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators import ml
-from ..scratch import scratch_folder
+from ..scratch import kept_until_release, scratch_folder
 from ..sources import games as G
 from ..sources import months as L
 from ..sources import pages as P
@@ -62,6 +62,14 @@ def game_file(spark, sf):
     )
 
 
+def files_of_games(spark, sf):
+    """The games of all users in text files, written and read as whole files: moves counted by day."""
+    folder = kept_until_release(spark, f"{scratch_folder(spark)}/files-{uuid.uuid4().hex}")
+    games(spark, sf).repartition(16, "user_id").select("game").write.text(folder)
+    found = G.read_games(G.read_files(spark, folder))
+    return found.groupBy(F.col("headers")["Event"].alias("day")).agg(F.count("*").alias("games"), F.sum(F.size("moves")).alias("moves"), F.sum(F.size("evals")).alias("evals"))
+
+
 def transcript_blocks(spark, sf):
     """One page for each conversation: a turn is a heading, a diagram or a paragraph of two lines."""
     turns = table(spark, sf, "conversations").where("conv_id is not null").select(
@@ -162,7 +170,7 @@ def newest_games(spark, sf):
 
 def budgeted_scan(spark, sf):
     """Of orders laid out by month, the 50 newest that are not pending of each priority."""
-    folder = f"{scratch_folder(spark)}/orders-{uuid.uuid4().hex}"
+    folder = kept_until_release(spark, f"{scratch_folder(spark)}/orders-{uuid.uuid4().hex}")
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
     L.write_by_month(orders, "o_orderdate", "month", folder)
     who = orders.select("o_orderpriority").distinct()
@@ -209,6 +217,7 @@ def pca_project(spark, sf):
 QUERIES = {
     f.__name__: f for f in (
         game_file,
+        files_of_games,
         transcript_blocks,
         markdown_table,
         embedded_data,
@@ -234,6 +243,8 @@ SQL = {
           coalesce(string_agg(i || ':' || case when event_id % 11 = 0 then -10000 + event_id % 9 + 1 else event_id % 700 - 350 end,
         ' ' order by i) filter (event_id % 3 = 0), '') as evals
         from e group by user_id, day""",
+    "files_of_games": """select cast(cast(ts as date) as varchar) as day, count(distinct user_id) as games, count(*) as moves,
+        count(*) filter (event_id % 3 = 0) as evals from events group by 1""",
     "transcript_blocks": """with t as (select distinct conv_id, turn, role, md5(coalesce(text,
         '')) as h from conversations where conv_id is not null)
         select conv_id as doc, case role when 'user' then 'h' when 'system' then 'diag' else 'p' end as kind,

@@ -109,6 +109,14 @@ def ink_centres(spark, sf):
     return rows.select("vec_id", F.round(y, 4).alias("y"), F.round(x, 4).alias("x"))
 
 
+def centred_ink(spark, sf):
+    """The same pictures drawn anew around their centres of mass: two cells of each, and all ink."""
+    cells = F.transform("embedding", lambda x: x.cast("double") * 400)
+    rows = vectors(spark, sf).withColumn("ink", F.transform(M.stretched(cells, F.lit(100.0)), lambda x: 1.001 - x))
+    drawn = rows.select("vec_id", M.centred(F.col("ink"), 8).alias("p"))
+    return drawn.select("vec_id", F.round(F.get("p", F.lit(0)), 4).alias("first"), F.round(F.get("p", F.lit(27)), 4).alias("inner"), F.round(M.total(F.col("p")), 3).alias("ink"))
+
+
 def telling_places(spark, sf):
     """Rows of labels 0 and 1 by their density where the two means differ most."""
     rows = vectors(spark, sf).where("label in (0, 1)")
@@ -248,6 +256,7 @@ QUERIES = {
             needs_eyes,
             z_scores,
             ink_centres,
+            centred_ink,
             telling_places,
             drawn_frames,
             cell_background,
@@ -317,6 +326,16 @@ SQL = {
         k as (select vec_id, list_transform(c, lambda x: 1.001 - greatest(0, least(1, (x - low) / greatest(100 - low, 30)))) as ink from l)
         select vec_id, round(list_sum(list_transform(ink, lambda x, i: x * ((i - 1) // 8))) / list_sum(ink), 4) as y,
         round(list_sum(list_transform(ink, lambda x, i: x * ((i - 1) % 8))) / list_sum(ink), 4) as x from k""",
+    "centred_ink": """with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double) * 400) as c from embeddings),
+        l as (select *, list_aggregate(c, 'quantile_cont', 0.02) as low from v),
+        k as (select vec_id, list_transform(c, lambda x: 1.001 - greatest(0, least(1, (x - low) / greatest(100 - low, 30)))) as ink from l),
+        m as (select *, list_sum(list_transform(ink, lambda x, i: x * ((i - 1) // 8))) / list_sum(ink) - 3.5 as dy,
+        list_sum(list_transform(ink, lambda x, i: x * ((i - 1) % 8))) / list_sum(ink) - 3.5 as dx from k),
+        s as (select vec_id, i, ink, i // 8 + dy as y, i % 8 + dx as x from m, range(0, 64) t(i)),
+        w as (select vec_id, i, sum(case when floor(y) + a between 0 and 7 and floor(x) + b between 0 and 7 then ink[((floor(y) + a) * 8 + floor(x) + b + 1)::int] else 0 end
+        * (case when a = 1 then y - floor(y) else 1 - y + floor(y) end) * (case when b = 1 then x - floor(x) else 1 - x + floor(x) end)) as p
+        from s, range(0, 2) ta(a), range(0, 2) tb(b) group by all)
+        select vec_id, round(max(p) filter (i = 0), 4) as first, round(max(p) filter (i = 27), 4) as inner, round(sum(p), 3) as ink from w group by 1""",
     "telling_places": f"""{MEANS}, f as (select i, a.v - b.v as d from (select * from p where label = 0) a join (select * from p where
         label = 1) b using (i)), t as (select list(i order by d desc, i) as js from (select * from f order by d desc, i limit 10))
         select vec_id, round(list_sum(list_transform(js, lambda j: cast(embedding[j] as double))) / 10, 5) as density,

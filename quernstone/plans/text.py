@@ -73,8 +73,10 @@ def prefilter_reasons(spark, sf):
 
 def time_controls(spark, sf):
     shapes = F.array(*(F.lit(x) for x in ("", "-", "?", "600+5", "40/7200", "40/5400+30", "abc", "300")))
-    rows = table(spark, sf, "nation").select("n_nationkey", F.element_at(shapes, F.col("n_nationkey") % 8 + 1).alias("control"))
-    return rows.select("n_nationkey", "control", T.base_seconds(F.col("control")).alias("seconds"))
+    whole = F.concat((F.col("o_orderkey") % 900).cast("string"), F.lit("+"), (F.col("o_orderkey") % 31).cast("string"))
+    control = F.when(F.col("o_orderkey") % 3 == 0, whole).otherwise(F.element_at(shapes, (F.col("o_orderkey") % 8 + 1).cast("int")))
+    rows = table(spark, sf, "orders").select("o_orderkey", control.alias("control"))
+    return rows.select("o_orderkey", "control", T.base_seconds(F.col("control")).alias("seconds"))
 
 
 def content_ids(spark, sf):
@@ -230,9 +232,9 @@ SQL = {
     "prefilter_reasons": """select case when o_orderstatus = 'P' then 'not decisive' when contains(lower(o_orderpriority),
         'low') then 'wrong winner' when o_custkey % 1200 < 600 then 'fast' when o_totalprice < 60000 then 'short' else 'kept' end as
         reason, count(*) as n from orders group by 1""",
-    "time_controls": """with r as (select n_nationkey, ['', '-', '?', '600+5', '40/7200', '40/5400+30', 'abc',
-        '300'][n_nationkey % 8 + 1] as control from nation)
-        select n_nationkey, control, case when control in ('', '-', '?') then null else try_cast(string_split(string_split(control,
+    "time_controls": """with r as (select o_orderkey, case when o_orderkey % 3 = 0 then (o_orderkey % 900) || '+' || (o_orderkey % 31) else ['', '-', '?', '600+5',
+        '40/7200', '40/5400+30', 'abc', '300'][o_orderkey % 8 + 1] end as control from orders)
+        select o_orderkey, control, case when control in ('', '-', '?') then null else try_cast(string_split(string_split(control,
         '+')[1], '/')[-1] as int) end as seconds from r""",
     "content_ids": """with r as (select doc_id, substr(sha1(case when doc_id % 5 = 0 then source else '' end || '|' || coalesce(text,
         '')), 1, 16) as gid from documents) select gid, min(doc_id) as first_doc, count(*) as copies from r group by gid""",

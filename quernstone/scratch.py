@@ -31,6 +31,12 @@ def settled(df: DataFrame, name: str, used: list[str] | None = None) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept_until_release(spark: SparkSession, path: str) -> str:
+    """A folder that a job writes by itself, named here so that `release` deletes it, too."""
+    WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 class Scratch:
     """Tables that an operator writes for itself and deletes once its own result is written."""
 
