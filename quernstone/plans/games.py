@@ -10,8 +10,8 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..operators import ml
-from ..scratch import kept_until_release, scratch_folder
+from ..operators import match, ml
+from ..scratch import kept_until_release, scratch_folder, settled
 from ..sources import games as G
 from ..sources import months as L
 from ..sources import pages as P
@@ -207,6 +207,21 @@ def kmeans_assign(spark, sf):
     return ml.clusters(rows, "embedding", 12).select("vec_id", "label", "cluster")
 
 
+def split_cluster(spark, sf):
+    """The largest of the clusters put into three of its own."""
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    found = settled(ml.clusters(rows, "embedding", 12), "clusters")
+    return ml.split_cluster(found, "embedding", 0, 3).select("vec_id", "label", "cluster")
+
+
+def dense_groups(spark, sf):
+    """Two groups found by 2-means, and the rows' density where their means differ most."""
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    found = settled(ml.clusters(rows, "embedding", 2), "clusters")
+    places = match.telling_places(match.class_means(found, "cluster", "embedding"), "cluster", 0, 1, 10)
+    return match.dense_there(found, places, "embedding", 0.0).select("vec_id", "cluster", F.round("density", 5).alias("density"), "dense")
+
+
 def pca_project(spark, sf):
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
     return ml.project(rows, "embedding", 8, 7, "vec_id").select(
@@ -231,6 +246,8 @@ QUERIES = {
         prefix_read,
         visible_rows,
         kmeans_assign,
+        split_cluster,
+        dense_groups,
         pca_project,
     )
 }
