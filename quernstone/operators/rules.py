@@ -33,6 +33,12 @@ def match_by_place(left: DataFrame, right: DataFrame, group: str, left_order: st
     return a.join(b, [group, "place"], "full")
 
 
+def aligned_boards(slots: DataFrame, diagrams: DataFrame, book: str, slot_order: str, order: str, continued: str) -> DataFrame:
+    """The n-th diagram of a book with its n-th slot; a slot that is `continued` from a page before uses up a diagram and has no board."""
+    met = match_by_place(slots, diagrams, book, slot_order, order)
+    return met.where(F.col(slot_order).isNotNull() & F.col(order).isNotNull() & ~F.col(continued)).drop(continued)
+
+
 def terminal_value(moves_left: Column, in_check: Column, white_to_move: Column) -> Column:
     """A position without moves: a mate is plus or minus 10000 for White, a stalemate 0; null if it goes on."""
     return F.when(moves_left > 0, None).when(~in_check, 0).when(white_to_move, -10000).otherwise(10000)

@@ -94,6 +94,20 @@ def markdown_table(spark, sf):
     return rows.where("n > 0").select("p_brand", "part", "n", F.array_join("cells", ";").alias("cells"))
 
 
+def numbered_problems(spark, sf):
+    """A text of problems for each brand and thousand of numbers; one of seven has no position."""
+    k = F.col("p_partkey")
+    side = F.when(k % 2 == 0, F.lit("белых")).otherwise(F.lit("чёрных"))
+    board = F.when(k % 7 == 0, F.lit("none")).otherwise(F.concat(F.lit("```\n8/8/"), k.cast("string"), F.lit(" w - -\n```")))
+    lines = F.concat(
+        F.lit("## "), k.cast("string"), F.lit(". "), "p_name", F.lit("\n\n**Ход "), side, F.lit("** · ход "), F.col("p_size").cast("string"),
+        F.lit("\n\n"), board, F.lit("\n\n**Решение.** 1.Rd"), (k % 8 + 1).cast("string"), F.lit("\n  Kc7 2.e4\n"),
+    )
+    text = F.concat(F.lit("# Book\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), lines.alias("t")))), lambda x: x["t"]), "\n"))
+    texts = table(spark, sf, "part").groupBy("p_brand", F.floor(k / 1000)).agg(text.alias("text"))
+    return texts.select("p_brand", F.inline(P.numbered_problems(F.col("text"))))
+
+
 def embedded_data(spark, sf):
     """A script for each region, with its nations."""
     entry = F.struct(F.col("n_nationkey").alias("n"), F.col("n_name").alias("name"))
@@ -235,6 +249,7 @@ QUERIES = {
         files_of_games,
         transcript_blocks,
         markdown_table,
+        numbered_problems,
         embedded_data,
         archive_days,
         activity_days,
@@ -269,6 +284,9 @@ SQL = {
         24) end as payload from t""",
     "markdown_table": """select p_brand, p_partkey // 1000 as part, cast(row_number() over (partition by p_brand, p_partkey // 1000 order by p_partkey) as int) as n,
         p_partkey || ';' || trim(p_name) as cells from part""",
+    "numbered_problems": """select p_brand, p_partkey::int as n, trim(p_name) as title, case when p_partkey % 2 = 0 then 'w' else 'b' end as side,
+        p_size::int as move, '8/8/' || p_partkey || ' w - -' as position, '1.Rd' || (p_partkey % 8 + 1) || ' Kc7 2.e4' as solution
+        from part where p_partkey % 7 <> 0""",
     "embedded_data": """select n_regionkey, min(n_nationkey) over (partition by n_regionkey) as first,
         cast(n_nationkey as varchar) as n, n_name as name from nation""",
     "archive_days": """select cast(ts as date) as day, ['blitz', 'bullet', 'rapid', 'daily'][event_id % 4 + 1] as control,

@@ -29,6 +29,13 @@ def match_by_place(spark, sf):
     return R.match_by_place(customers, suppliers, "nation", "c_custkey", "s_suppkey")
 
 
+def aligned_boards(spark, sf):
+    """Orders as slots of twenty books, each ninth one continued, and customers as the books' diagrams."""
+    slots = table(spark, sf, "orders").select((F.col("o_orderkey") % 20).alias("book"), "o_orderkey", (F.col("o_orderkey") % 9 == 0).alias("continued"))
+    diagrams = table(spark, sf, "customer").select((F.col("c_custkey") % 20).alias("book"), "c_custkey")
+    return R.aligned_boards(slots, diagrams, "book", "o_orderkey", "c_custkey", "continued")
+
+
 def lines(spark, sf):
     return table(spark, sf, "customer").select(
         "c_custkey", F.floor("c_acctbal").cast("int").alias("cp"), (F.col("c_custkey") % 3).cast("int").alias("k")
@@ -127,6 +134,7 @@ QUERIES = {
         weighted_pick,
         even_sample,
         match_by_place,
+        aligned_boards,
         terminal_values,
         answers,
         trade_penalties,
@@ -146,6 +154,9 @@ SQL = {
     "even_sample": """with r as (select p_brand, p_partkey, row_number() over (partition by p_brand order by p_partkey) - 1 as r,
         count(*) over (partition by p_brand) as n from part)
         select p_brand, p_partkey from r where n <= 9 or r = 0 or r * 8 // (n - 1) > floor((r - 1) * 8 / (n - 1))""",
+    "aligned_boards": """with a as (select o_orderkey % 20 as book, o_orderkey, row_number() over (partition by o_orderkey % 20 order by o_orderkey) as place
+        from orders), b as (select c_custkey % 20 as book, c_custkey, row_number() over (partition by c_custkey % 20 order by c_custkey) as place from customer)
+        select book, place, o_orderkey, c_custkey from a join b using (book, place) where o_orderkey % 9 <> 0""",
     "match_by_place": """with a as (select c_nationkey as nation, c_custkey, row_number() over (partition by c_nationkey order by
         c_custkey) as place from customer), b as (select s_nationkey as nation, s_suppkey,
         row_number() over (partition by s_nationkey order by s_suppkey) as place from supplier)

@@ -27,6 +27,36 @@ def blocks(files: DataFrame, name: str, text: str) -> DataFrame:
     return parts.select(name, "seq", F.when(marker == "", "p").otherwise(marker).alias("kind"), payload.alias("payload"))
 
 
+#: Fixed values of the format: the side to move, the number of the move, and the mark before a solution.
+SIDES = {"белых": "w", "чёрных": "b"}
+TO_MOVE, OF_MOVE, SOLUTION = "Ход", "ход", "Решение."
+
+
+def numbered_problems(text: Column) -> Column:
+    """Problems (n, title, side, move, position, solution) of a text of sections like `## 12. Title`.
+
+    A section tells the side and the move in bold, the position between fences, and the solution after its mark to the
+    section's end, in one line. Sections that lack one of the first three are left out; without a solution it is empty.
+    """
+    sections = F.split(F.translate(text, "\r", ""), r"(?m)^(?=## \d+\. )")
+    taken = lambda x, pattern, i=1: F.regexp_extract(x, pattern, i)
+    names = F.create_map(*(F.lit(v) for pair in SIDES.items() for v in pair))
+    told = rf"\*\*{TO_MOVE} ({'|'.join(SIDES)})\*\*\s*·\s*{OF_MOVE} (\d+)"
+    after = lambda x: F.when(F.contains(x, F.lit(SOLUTION)), F.substring_index(x, SOLUTION, -1)).otherwise("")
+    read = F.transform(
+        sections,
+        lambda x: F.struct(
+            taken(x, r"^## (\d+)\. ").try_cast("int").alias("n"),
+            F.trim(taken(x, r"^## \d+\. (.*)")).alias("title"),
+            F.try_element_at(names, taken(x, told)).alias("side"),
+            taken(x, told, 2).try_cast("int").alias("move"),
+            F.trim(taken(x, r"(?m)^```\n([^\n]+)\n```$")).alias("position"),
+            F.trim(F.regexp_replace(F.replace(after(x), F.lit("*"), F.lit("")), r"\s+", " ")).alias("solution"),
+        ),
+    )
+    return F.filter(read, lambda x: x["n"].isNotNull() & x["side"].isNotNull() & (x["position"] != ""))
+
+
 def table_rows(text: Column) -> Column:
     """The rows of a markdown table, cells trimmed; the heading's rule line is left out."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^\s*\|") & ~x.rlike(r"^\s*\|[\s:|-]+\|?\s*$"))

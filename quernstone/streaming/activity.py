@@ -92,9 +92,10 @@ def written(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
 
 
-def resumable(done: str, key: str, work: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+def resumable(done: str, key: str, work: Callable[[DataFrame], DataFrame], rows_in_file: int = 0) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: works on what earlier batches lack and writes it as the batch's own part of `done`.
 
+    With a number of rows, a part's files hold so many at most, in order of the key, each file's keys after those of the one before.
     A log of keys lies beside the results, by batch too, so no batch reads results; a batch that comes again writes
     its part anew and adds nothing.
     """
@@ -109,7 +110,10 @@ def resumable(done: str, key: str, work: Callable[[DataFrame], DataFrame]) -> Ca
             todo = todo.join(earlier.select(key), key, "left_anti")
         todo.select(key).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
         mine = spark.read.parquet(f"{log}/batch={batch_id}")
-        work(batch.dropDuplicates([key]).join(mine, key, "left_semi")).write.mode("overwrite").parquet(f"{done}/batch={batch_id}")
+        found = work(batch.dropDuplicates([key]).join(mine, key, "left_semi"))
+        if rows_in_file:
+            found = found.repartitionByRange(key).sortWithinPartitions(key)
+        found.write.mode("overwrite").option("maxRecordsPerFile", rows_in_file).parquet(f"{done}/batch={batch_id}")
 
     return run
 

@@ -122,6 +122,20 @@ def test_days(spark):
     assert sorted((str(r.day), r.n) for r in S.per_day(rows, "at", ["t"]).collect()) == [("2024-01-01", 1), ("2024-01-02", 2)]
 
 
+def test_parts_of_a_job_are_sorted_files_of_25_rows(spark, tmp_path):
+    done = str(tmp_path / "done")
+    step = S.resumable(done, "gid", lambda rows: rows.selectExpr("gid", "gid * 2 as value"), 25)
+    step(spark.range(200, 0, -1).withColumnRenamed("id", "gid"), 0)
+    step(spark.range(150, 260).withColumnRenamed("id", "gid"), 1)
+    files = {}
+    for r in spark.read.parquet(done).select("gid", "batch", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at")).orderBy("at").collect():
+        files.setdefault((r.batch, r.file), []).append(r.gid)
+    assert all(len(keys) <= 25 and keys == sorted(keys) for keys in files.values())
+    for batch, wanted in ((0, range(1, 201)), (1, range(201, 260))):
+        own = sorted(keys for (b, _), keys in files.items() if b == batch)
+        assert [k for keys in own for k in keys] == list(wanted)
+
+
 def test_a_job_that_comes_again_adds_nothing(spark, tmp_path):
     done = str(tmp_path / "done")
     step = S.resumable(done, "gid", lambda rows: rows.selectExpr("gid", "gid * 2 as value"))
