@@ -23,8 +23,10 @@ url and html are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -72,6 +74,8 @@ HIDDEN_WORDS = frozenset("d-none hidden sr-only visually-hidden".split())
 
 FEW_LINKS = 4  # text added to an article has at most one character in so many inside links
 MOST = 0.5  # share of a page's running text that is not taken for something beside the article
+LITTLE = 1e-6  # worth that is not handed on to containers further out
+LONG_PATH = 1000  # letters of a path from which on its digest stands for it
 MANY = 20  # times the text on the host's path, from which on a page's own container counts
 #: Classes that tell what a layout has beside the article.
 ABOUT_LAYOUT = re.compile(r"(?:.*[_-])?(?:has|with|without|no)[_-]", re.I)
@@ -83,7 +87,7 @@ class Element:
     path: str
     aside: bool
     container: int
-    doubts: tuple[int, ...] = ()  # elements around it that may be beside the article
+    doubt: int = -1  # the innermost element around it that may be beside the article
     inline: bool = False
 
 
@@ -111,6 +115,11 @@ def attributes(source: str) -> dict[str, str]:
     return found
 
 
+def short(path: str) -> str:
+    """The path, or its digest if it is long: paths are only held against each other, and elements may nest without end."""
+    return path if len(path) <= LONG_PATH else "#" + hashlib.blake2b(path.encode(), digest_size=16).hexdigest()
+
+
 def hidden(told: dict[str, str]) -> bool:
     return "hidden" in told or UNSEEN.search(told.get("style", "")) is not None or any(c in HIDDEN_WORDS for c in told.get("class", "").lower().split())
 
@@ -134,9 +143,11 @@ def named_beside(told: dict[str, str]) -> tuple[bool, bool]:
 def read_page(source: str) -> Page:
     page = Page(containers=[Container("body", -1)])
     stack = [Element("body", "body", False, 0)]
-    blocks: list[tuple[int, str, int, tuple[int, ...]]] = []
+    opened: Counter[str] = Counter()
+    blocks: list[tuple[int, str, int, int]] = []
     held: list[str] = []
-    links = in_link = doubts = 0
+    around: list[int] = []  # of each element that may be beside the article the next one around it
+    links = in_link = 0
 
     def flush() -> None:
         nonlocal links
@@ -144,13 +155,21 @@ def read_page(source: str) -> Page:
             text = " ".join("".join(held).split())
             held.clear()
             if text:
-                blocks.append((stack[-1].container, text, links, stack[-1].doubts))
+                blocks.append((stack[-1].container, text, links, stack[-1].doubt))
         links = 0
 
+    def cut(at: int) -> None:
+        opened.subtract(e.tag for e in stack[at:])
+        del stack[at:]
+
+    def push(e: Element) -> None:
+        opened[e.tag] += 1
+        stack.append(e)
+
     def close(tag: str, within: set[str] | frozenset[str] = frozenset()) -> None:
-        for i in range(len(stack) - 1, 0, -1):
+        for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
             if stack[i].tag == tag:
-                del stack[i:]
+                cut(i)
                 return
             if stack[i].tag in within:
                 return
@@ -182,52 +201,60 @@ def read_page(source: str) -> Page:
                 continue
             if tag in ("body", "html"):
                 continue
-            if tag in ENDS_P:
+            if tag in ENDS_P and opened["p"]:
                 top = len(stack) - 1
                 while stack[top].inline:
                     top -= 1
                 if stack[top].tag == "p":
-                    del stack[top:]
+                    cut(top)
             if tag in HEADINGS and stack[-1].tag in HEADINGS:
-                stack.pop()
+                cut(len(stack) - 1)
             if tag in CELLS:
                 close(tag, CELLS[tag])
             over, told = stack[-1], attributes(m[4]) if m[4].strip() else {}
             sure, some = named_beside(told)
             aside = over.aside or tag in ASIDE_TAGS or hidden(told) or sure and tag not in ARTICLES
-            if tag == "header" and not any(e.tag in ARTICLES for e in stack):
+            if tag == "header" and not any(opened[t] for t in ARTICLES):
                 aside = True
             shown = sorted(set(re.sub(r"\d+", "#", told.get("class", "")).split()))
-            path = f"{over.path}>{tag}" + "".join(f".{c}" for c in shown) if tag in CONTAINERS else over.path
-            container, unsure = over.container, over.doubts
+            path = short(f"{over.path}>{tag}" + "".join(f".{c}" for c in shown)) if tag in CONTAINERS else over.path
+            container, doubt = over.container, over.doubt
             if tag in CONTAINERS:
                 page.containers.append(Container(path, container, tag))
                 container = len(page.containers) - 1
             if tag == "form" or some:
-                unsure, doubts = (*unsure, doubts), doubts + 1
-            stack.append(Element(tag, path, aside, container, unsure))
+                around.append(doubt)
+                doubt = len(around) - 1
+            push(Element(tag, path, aside, container, doubt))
         elif tag == "input":
             continue
         elif m[2]:
-            if any(e.inline and e.tag == tag for e in stack[1:]):
-                while not (stack[-1].inline and stack[-1].tag == tag):
-                    stack.pop()
-                stack.pop()
+            top = len(stack) - 1 if opened[tag] else 0
+            while stack[top].inline and stack[top].tag != tag:
+                top -= 1
+            if stack[top].inline:
+                cut(top)
         elif not m[4].endswith("/"):
             told = attributes(m[4]) if m[4].strip() else {}
             again = stack[-1].inline and stack[-1].tag == tag
             if again or tag in CONTROLS or told and (named_beside(told)[0] or hidden(told)):
                 over = stack[-1]
-                stack.append(Element(tag, over.path, True, over.container, over.doubts, True))
+                push(Element(tag, over.path, True, over.container, over.doubt, True))
     if at < len(source):
         say(entities.unescape(source[at:]))
     flush()
-    inside = [0] * doubts
-    for _, text, linked, unsure in blocks:
-        for i in unsure:
-            inside[i] += max(0, len(text) - linked)
-    most = MOST * sum(max(0, len(text) - linked) for _, text, linked, _ in blocks)
-    page.blocks = [b[:3] for b in blocks if all(inside[i] >= most for i in b[3])]
+    running = [max(0, len(text) - linked) for _, text, linked, _ in blocks]
+    inside = [0] * len(around)
+    for size, (*_, doubt) in zip(running, blocks, strict=True):
+        if doubt >= 0:
+            inside[doubt] += size
+    for i in range(len(around) - 1, -1, -1):  # the outer ones come first
+        if around[i] >= 0:
+            inside[around[i]] += inside[i]
+    most, counts = MOST * sum(running), list[bool]()
+    for size, outer in zip(inside, around, strict=True):
+        counts.append(size >= most and (outer < 0 or counts[outer]))
+    page.blocks = [b[:3] for b in blocks if b[3] < 0 or counts[b[3]]]
     return page
 
 
@@ -235,7 +262,7 @@ def score(page: Page) -> None:
     """A container earns the running text of its own blocks, each one around it half of what the one inside earns."""
     for container, text, links in page.blocks:
         worth = max(0, len(text) - 2 * links) + 25.0 * text.count(",")
-        while container >= 0:
+        while container >= 0 and worth > LITTLE:
             page.containers[container].score += worth
             container, worth = page.containers[container].parent, worth / 2
 

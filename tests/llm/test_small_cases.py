@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import unicodedata
 import zlib
 from collections import Counter
@@ -869,3 +870,21 @@ def test_long_sketches_keep_pairs_at_the_limit(spark):
         one_each = every.select("node", F.array("key").alias("bands"))
         found = neardup.over_borders(placed, every.select("node", "shingles"), one_each, 80, scratch)
         assert pairs - 10 <= found.count() <= pairs
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<div>" * 60_000 + "text" + "</div>" * 60_000,
+        "<div>" * 40_000 + "text" + "</p></section></li>" * 40_000,
+        "<form><div class='share-this'>" * 30_000 + "text",
+        "<span class=ad>" * 60_000 + "</b>" * 60_000 + "</span>" * 60_000 + "text",
+        "<ul><li>" * 30_000 + "text",
+        "<header>" * 60_000 + "</header>" * 60_000 + "text",
+        "<p>" * 60_000 + "text" + "<" * 60_000,
+    ],
+)
+def test_html_that_nests_without_end(source):
+    began = time.process_time()
+    found = html_text.extract(f"<body>{source}", None)
+    assert found.startswith("text") and time.process_time() - began < 20
