@@ -29,10 +29,24 @@ def laid_out(lines: DataFrame) -> DataFrame:
     return lines.select("group", "line", F.inline(places(F.col("sans"))))
 
 
+def place_of(ply: Column) -> Column:
+    """The place of a ply of the row's line, null if the line has no such ply."""
+    return F.get(places(F.col("sans")), (ply + 1).cast("int"))["place"]
+
+
+def noted(lines: DataFrame, notes: DataFrame) -> DataFrame:
+    """line, ply and note of all lines that run through the places of notes: group, place, note."""
+    return laid_out(lines).join(notes.hint("merge"), ["group", "place"]).select("line", "ply", "note")
+
+
 def with_notes(lines: DataFrame, changes: DataFrame) -> DataFrame:
-    """Lines whose notes at the plies of changes (line, ply, note) are those; an empty or null one takes the note away."""
+    """Lines whose notes at the plies of changes (line, ply, note) are those; an empty or null one takes the note away.
+
+    Moves, places and notes of many lines compress so well that Spark takes them for small and sends them all through the
+    driver, so joins with all lines are asked for by sorting, here and where changes are made.
+    """
     own = changes.groupBy("line").agg(F.map_from_entries(F.collect_list(F.struct("ply", F.coalesce("note", F.lit("")).alias("note")))).alias("__new"))
-    held = lines.join(own, "line", "left")
+    held = lines.join(own.hint("merge"), "line", "left")
     none = F.create_map().cast("map<int,string>")
     new, old = F.coalesce("__new", none), F.coalesce(F.col("notes").cast("map<int,string>"), none)
     kept = F.map_filter(old, lambda ply, note: ~F.map_contains_key(new, ply))
@@ -42,10 +56,10 @@ def with_notes(lines: DataFrame, changes: DataFrame) -> DataFrame:
 
 def shared_notes(lines: DataFrame) -> DataFrame:
     """Lines as they are read in: a comment goes to all lines of its group that run through its move; of several the least line's."""
-    at = laid_out(lines)
-    said = lines.select("line", F.explode("notes").alias("ply", "note")).where("note <> ''")
-    first = said.join(at, ["line", "ply"]).groupBy("group", "place").agg(F.min_by("note", "line").alias("note"))
-    return with_notes(lines, at.join(first, ["group", "place"]).select("line", "ply", "note"))
+    said = lines.select("group", "line", "sans", F.explode("notes").alias("ply", "note")).where("note <> ''")
+    placed = said.select("group", "line", "note", place_of(F.col("ply")).alias("place")).where("place is not null")
+    first = placed.groupBy("group", "place").agg(F.min_by("note", "line").alias("note"))
+    return with_notes(lines, noted(lines, first))
 
 
 def edited_notes(lines: DataFrame, edits: DataFrame) -> DataFrame:
@@ -53,9 +67,10 @@ def edited_notes(lines: DataFrame, edits: DataFrame) -> DataFrame:
 
     Only edited comments move. Edits meet by group and place before lines do, so a place has one row however many lines share it.
     """
-    at = laid_out(lines)
-    last = edits.join(at, ["line", "ply"]).groupBy("group", "place").agg(F.max_by(F.struct("note"), F.struct("at", "line"))["note"].alias("note"))
-    return with_notes(lines, at.join(last, ["group", "place"]).select("line", "ply", "note"))
+    met = edits.join(lines.select("group", "line", "sans").hint("merge"), "line")
+    placed = met.select("group", "line", "at", "note", place_of(F.col("ply")).alias("place")).where("place is not null")
+    last = placed.groupBy("group", "place").agg(F.max_by(F.struct("note"), F.struct("at", "line"))["note"].alias("note"))
+    return with_notes(lines, noted(lines, last))
 
 
 def shown_notes(sans: Column, notes: Column, first: Column) -> Column:

@@ -31,6 +31,18 @@ def test_comments_hang_on_moves(spark):
     assert notes(R.edited_notes(lines, edits.where("false")))[1] == {-1: "open", 1: "reply"}
 
 
+def test_lines_are_not_sent_to_the_driver(spark):
+    n = F.col("id")
+    moves = F.array(F.lit("e4"), (n % 3).cast("string"))
+    lines = spark.range(300).select((n % 5).alias("group"), n.alias("line"), moves.alias("sans"), F.when(n % 4 == 0, F.create_map(F.lit(1), F.lit("on"))).alias("notes"))
+    edits = lines.where("line % 7 = 0").select("line", F.lit(0).alias("ply"), F.lit("new").alias("note"), F.col("line").alias("at"))
+    for found in (R.shared_notes(lines), R.edited_notes(lines, edits)):
+        assert found.count() == 300
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_comments_are_shown_after_their_moves(spark):
     rows = [(1, 1, list("abcde"), {-1: "s", 0: "A", 1: "B", 2: "C", 3: "D", 4: "E"}, ""), (1, 2, [], {-1: "s"}, "")]
     frame = spark.createDataFrame(rows, LINES)
