@@ -21,6 +21,7 @@ from .graph import components
 INNER = (0.3, 0.7)  # the part of a cell, along a side, that is looked at
 STRETCH = 64  # places of a line within which runs are held against each other
 FLAT = 4096  # pictures that are scored at once
+NOISE = 1e-9  # places are looked at again whose contrasts differ by less than this share of all that was summed up
 
 
 def summed_areas(pictures: np.ndarray) -> np.ndarray:
@@ -51,9 +52,25 @@ def contrast(sums: np.ndarray, y: float, x: float, size: float, cells: int = 8)
     return means[:, light].mean(1) - means[:, ~light].mean(1)
 
 
+def own_contrast(pictures: np.ndarray, y: float, x: float, size: float, cells: int = 8) -> np.ndarray:
+    """`contrast` from nothing but the pixels of the cells, added cell after cell: equal pixels give equal contrasts."""
+    (top, bottom), (left, right) = sides(y, size, cells), sides(x, size, cells)
+    edges = lambda first, last: np.stack([first, last], 1).ravel()[:-1]
+    lines = np.add.reduceat(pictures[:, : bottom[-1]], edges(top, bottom), axis=1)[:, ::2]
+    sums = np.add.reduceat(lines[:, :, : right[-1]], edges(left, right), axis=2)[:, :, ::2]
+    means = sums / ((bottom - top)[:, None] * (right - left)[None, :])
+    total = np.zeros(len(pictures))
+    for r in range(cells):
+        for c in range(cells):
+            total += means[:, r, c] if (r + c) % 2 == 0 else -means[:, r, c]
+    return total / (cells * cells / 2)
+
+
 def grid_offsets(rows: DataFrame, key: str, pixels: str, width: str, places: list[tuple[float, float, float]]) -> DataFrame:
     """key, y, x, size and score of the grid of eight by eight cells with the most contrast among the places; of equal ones the first.
 
+    Summed areas tell which places come close to the best; these are held against each other by their own pixels, as the
+    rounding of large sums would choose among equal ones.
     Nulls where no place fits, and where pixels are null, hold a null or do not fill lines of the width.
     """
     kind = dict(rows.dtypes)[key]
@@ -72,12 +89,19 @@ def grid_offsets(rows: DataFrame, key: str, pixels: str, width: str, places: lis
                 for count, w in set(zip(counts[counts > 0].tolist(), widths[counts > 0].tolist(), strict=True)):
                     at = np.flatnonzero((counts == count) & (widths == w))
                     values = pc.list_flatten(batch.column(1).take(pa.array(at))).to_numpy(zero_copy_only=False)
-                    sums = summed_areas(values.reshape(len(at), count // w, w))
-                    for place in places:
-                        held = contrast(sums, *place)
-                        if held is not None:
-                            better = at[held > score[at]]
-                            found[better], score[better] = place, held[held > score[at]]
+                    pictures = values.reshape(len(at), count // w, w)
+                    sums = summed_areas(pictures)
+                    held = [(place, c) for place in places if (c := contrast(sums, *place)) is not None]
+                    if not held:
+                        continue
+                    most = np.fmax.reduce([c for _, c in held])
+                    least = most - NOISE * summed_areas(np.abs(pictures))[:, -1, -1]
+                    for place, c in held:
+                        near = np.flatnonzero(c >= least)
+                        if len(near):
+                            own = own_contrast(pictures[near], *place)
+                            better = own > score[at[near]]
+                            found[at[near[better]]], score[at[near[better]]] = place, own[better]
                 none = ~np.isfinite(score)
                 columns = [pa.array(c, pa.float64(), mask=none) for c in (*found.T, score)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, "y", "x", "size", "score"])

@@ -3,12 +3,14 @@
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
 from quernstone.operators import pictures as P
+from tests.duck import same
 
 
 def flood(marked, corners=False):
@@ -76,6 +78,34 @@ def test_grids_are_found(spark):
     assert sum(max(abs(a - b) for a, b in zip(found[n], truth[n], strict=True)) <= 2 for n in truth) == 30  # the middles of cells stay on their cells
 
 
+def test_equal_places_are_told_apart_by_their_order(spark):
+    """The same noise under every place, so that only the order of the places is left to choose by."""
+    rng = np.random.default_rng(7)
+    board = np.kron(np.add.outer(np.arange(9), np.arange(9)) % 2, np.ones((3, 3)))
+    rows = []
+    for n in range(300):
+        tile = rng.normal(0, 3, (3, 3))
+        rows.append((n, (np.tile(tile, (9, 9)) + 100.0 * (board == 0)).ravel().tolist(), 27))
+    places = [(float(y), float(x), 3.0) for y, x in ((0, 0), (1, 1), (3, 3))]
+    frame = spark.createDataFrame(rows, "n int, p array<double>, w int")
+    assert {(r.y, r.x) for r in P.grid_offsets(frame, "n", "p", "w", [places[0], places[2]]).collect()} == {(0.0, 0.0)}
+    assert {(r.y, r.x) for r in P.grid_offsets(frame, "n", "p", "w", [places[2], places[0]]).collect()} == {(3.0, 3.0)}
+
+
+def test_vectors_that_lack_numbers(spark, tmp_path):
+    from quernstone.plans import pictures as Q
+
+    rng = np.random.default_rng(3)
+    vectors = [rng.normal(0, 0.1, 64).tolist() for _ in range(40)]
+    vectors[3][5] = vectors[4][60] = None
+    vectors[7], vectors[8], vectors[9] = None, vectors[9][:40], [None] * 64
+    frame = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").coalesce(1)
+    frame.write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    same(Q.grid_offsets(spark, str(tmp_path)), con, Q.SQL["grid_offsets"])
+
+
 def test_areas_are_those_of_slices():
     picture = np.random.default_rng(1).random((1, 30, 34))
     sums = P.summed_areas(picture)
