@@ -85,13 +85,15 @@ def transcript_blocks(spark, sf):
 
 
 def markdown_table(spark, sf):
-    """A table of parts for each brand and thousand of numbers."""
-    row = F.concat(F.lit("| "), F.col("p_partkey").cast("string"), F.lit("|"), "p_name", F.lit(" |"))
+    """A table of parts for each brand, written in pieces: its head, and its parts by thousands of numbers."""
+    parts = table(spark, sf, "part")
+    row = F.concat(F.lit("| "), F.col("p_partkey").cast("string"), F.lit("|"), F.coalesce("p_name", F.lit("")), F.lit(" |"))
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("row")))), lambda x: x["row"])
-    text = F.concat(F.lit("text\n| No | Name |\n|----|:-----:|\n"), F.array_join(in_order, "\n"), F.lit("\nend"))
-    tables = table(spark, sf, "part").groupBy("p_brand", F.floor(F.col("p_partkey") / 1000).alias("part")).agg(text.alias("text"))
-    rows = tables.select("p_brand", "part", F.posexplode(P.table_rows(F.col("text"))).alias("n", "cells"))
-    return rows.where("n > 0").select("p_brand", "part", "n", F.array_join("cells", ";").alias("cells"))
+    body = parts.groupBy("p_brand", F.floor(F.col("p_partkey") / 1000).alias("piece")).agg(F.array_join(in_order, "\n").alias("text"))
+    first = F.lit("text\n| No | Name |\n|----|:-----:|")
+    head = parts.groupBy("p_brand").agg((F.floor(F.min("p_partkey") / 1000) - 1).alias("piece")).select("p_brand", "piece", first.alias("text"))
+    rows = P.rows_in_pieces(head.unionByName(body), ["p_brand"], "piece", "text")
+    return rows.where("n > 0").select("p_brand", "n", F.array_join("cells", ";").alias("cells"))
 
 
 def numbered_problems(spark, sf):
@@ -282,7 +284,7 @@ SQL = {
         select conv_id as doc, case role when 'user' then 'h' when 'system' then 'diag' else 'p' end as kind,
           case role when 'user' then h when 'system' then 'w ' || h else substr(h, 1, 8) || ' ' || substr(h, 9,
         24) end as payload from t""",
-    "markdown_table": """select p_brand, p_partkey // 1000 as part, cast(row_number() over (partition by p_brand, p_partkey // 1000 order by p_partkey) as int) as n,
+    "markdown_table": """select p_brand, cast(row_number() over (partition by p_brand order by p_partkey) as int) as n,
         p_partkey || ';' || trim(p_name) as cells from part""",
     "numbered_problems": """select p_brand, p_partkey::int as n, trim(p_name) as title, case when p_partkey % 2 = 0 then 'w' else 'b' end as side,
         p_size::int as move, '8/8/' || p_partkey || ' w - -' as position, '1.Rd' || (p_partkey % 8 + 1) || ' Kc7 2.e4' as solution

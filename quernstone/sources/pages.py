@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ..operators.ranking import same_keys
 
 
 def blocks(files: DataFrame, name: str, text: str) -> DataFrame:
@@ -63,6 +66,20 @@ def table_rows(text: Column) -> Column:
     return F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), lambda cell: F.trim(cell)))
 
 
+def rows_in_pieces(files: DataFrame, name: list[str], piece: str, text: str) -> DataFrame:
+    """name, n (from 0 on over the whole file) and cells of the table's rows in files that come in pieces of whole lines.
+
+    Only a count for each piece goes over a whole file.
+    """
+    read = files.select(*name, F.col(piece).alias("__piece"), table_rows(F.col(text)).alias("__rows"))
+    counts = read.select(*name, "__piece", F.size("__rows").alias("__size"))
+    before = F.sum("__size").over(W.partitionBy(*name).orderBy("__piece")) - F.col("__size")
+    starts = counts.select(*name, "__piece", before.alias("__start"))
+    placed = read.alias("r").join(starts.alias("s").hint("merge"), same_keys("r", "s", [*name, "__piece"]))
+    held = placed.select(*(F.col(f"r.{c}").alias(c) for c in name), "__start", F.posexplode("__rows").alias("__at", "cells"))
+    return held.select(*name, (F.col("__start") + F.col("__at")).cast("int").alias("n"), "cells")
+
+
 def embedded_json(script: Column) -> Column:
     """The object that a script assigns: from its first brace to its last."""
     return F.regexp_extract(script, r"(?s)^[^{]*(\{.*\})", 1)

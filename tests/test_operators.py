@@ -283,3 +283,21 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
     conf = SimpleNamespace(get=lambda key, default: default)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch.scratch_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+
+
+def test_tables_are_numbered_over_their_pieces(spark, tmp_path):
+    """Parts of one brand on both sides of a thousand are one table; the SQL numbers whole brands."""
+    import duckdb
+
+    from quernstone.plans import games as Q
+    from tests.duck import same
+
+    parts = spark.range(4000).select(
+        F.col("id").alias("p_partkey"), F.concat(F.lit(" name "), F.col("id").cast("string")).alias("p_name"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("Brand#"), F.col("id") % 3)).alias("p_brand")
+    )
+    parts.where("p_partkey > 1500 or p_partkey % 3 = 1").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    found = Q.markdown_table(spark, str(tmp_path))
+    same(found, con, Q.SQL["markdown_table"])
+    assert found.columns == ["p_brand", "n", "cells"] and found.where("p_brand = 'Brand#1'").agg(F.max("n")).first()[0] == 1333
