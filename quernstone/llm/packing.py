@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, documents, settled, texts_of
 
-BYTES_AT_ONCE = 8_000_000  # text that is encoded together
-REMEMBERED = 300_000  # words after which a worker starts a new table; it keeps the one before
+BYTES_AT_ONCE = 3_000_000  # text that is encoded together
+WORDS_AT_ONCE = 2_000  # words that the library is asked for together
+REMEMBERED = 150_000  # words after which a worker starts a new table; it keeps the one before
 
 
 class WordIds:
@@ -63,9 +64,11 @@ class WordIds:
                 new.append(i)
             else:
                 found[i] = known[words[i]] = ids
-        encoded = self.tokenizer.encode_batch_fast([words[i] for i in new], add_special_tokens=False)
-        for i, got in zip(new, encoded, strict=True):
-            found[i] = array("I", got.ids).tobytes()
+        for at in range(0, len(new), WORDS_AT_ONCE):  # what the library gives back for a word is far larger than its ids
+            some = new[at : at + WORDS_AT_ONCE]
+            encoded = self.tokenizer.encode_batch_fast([words[i] for i in some], add_special_tokens=False)
+            for i, got in zip(some, encoded, strict=True):
+                found[i] = array("I", got.ids).tobytes()
         known.update((words[i], found[i]) for i in new if len(words[i]) <= 64)  # long ones hardly come again
         return found
 

@@ -148,6 +148,21 @@ def test_packing(docs, none):
     assert packing.pack_documents(none, WORDS).count() == 0
 
 
+def test_packing_asks_the_library_for_few_words_at_once():
+    own, sizes = packing.WordIds(WORDS), []
+
+    class Asked:
+        def encode_batch_fast(self, words, **more):
+            sizes.append(len(words))
+            return library.encode_batch_fast(words, **more)
+
+    library, own.tokenizer = own.tokenizer, Asked()
+    words = [f"w{i}x" for i in range(5001)]
+    found = own.look_up(words)
+    assert sum(sizes) == 5001 and max(sizes) <= 2000
+    assert [np.frombuffer(x, "<u4").tolist() for x in found[::500]] == [library.encode(w, add_special_tokens=False).ids for w in words[::500]]
+
+
 def test_packing_comes_close_to_the_fewest_sequences(spark):
     rows = packing.pack_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), WORDS).collect()
     least = -(-sum(r.length for r in rows) // 2048)
