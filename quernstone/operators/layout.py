@@ -46,7 +46,10 @@ def flow(lines: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """
     named = F.coalesce(*(F.when(F.col("style") == s, F.lit(k)) for s, k in kinds.items()), F.lit("text"))
     page = W.partitionBy("doc", "page").orderBy("column", "y0", "x0", "text")
-    rows = with_edges(lines).withColumn("kind", named).where("kind <> ''").select(
+    # all windows over a page, and the counts of pages, share this one deal of the lines; the join below would ask for pages on one side only
+    known = lines.where("doc is not null and page is not null").select("doc", "page", "column", "y0", "y1", "x0", "style", "text")
+    dealt = known.repartition("doc", "page")
+    rows = with_edges(dealt).withColumn("kind", named).where("kind <> ''").select(
         "doc", "page", "column", "y0", "y1", "x0", "text", "edge", "kind",
         F.lag("kind").over(page).alias("before"),
         F.lag("y0").over(page).alias("top"),
@@ -56,22 +59,24 @@ def flow(lines: DataFrame, kinds: dict[str, str]) -> DataFrame:
     close = (F.col("before") == F.col("kind")) & (F.abs(F.col("y0") - F.col("top")) < HEADING_GAP)
     set_off = (F.col("x0") - F.col("edge") > INDENT) | F.coalesce(F.col("y0") - F.col("bottom") > GAP, F.lit(False))
     begins = F.when(F.col("kind") != "text", ~F.coalesce(close, F.lit(False))).when(F.col("before").isNull(), None).otherwise((F.col("before") != "text") | set_off)
-    rows = rows.withColumn("begins", begins)
+    rows = rows.select("doc", "page", "at", "kind", begins.cast("int").alias("begins"), set_off.alias("off"), F.trim("text").alias("text"))
     # the first line of a page goes on with the page before unless that ends in a heading or the line is set off
-    pages = rows.groupBy("doc", "page").agg(F.max_by("kind", "at").alias("last"))
-    follows = F.lag("last").over(W.partitionBy("doc").orderBy("page"))
-    rows = rows.join(pages.select("doc", "page", follows.alias("follows")), ["doc", "page"])
-    top = F.coalesce(F.col("follows") != "text", F.lit(True)) | set_off
-    rows = rows.withColumn("begins", F.coalesce("begins", top).cast("int"))
-    so_far = page.rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumn("n", F.sum("begins").over(so_far))
-    carried = rows.groupBy("doc", "page").agg(F.max("n").alias("most")).where("most > 0")
-    owners = pages.select("doc", "page").join(carried, ["doc", "page"], "left")
-    earlier = W.partitionBy("doc").orderBy("page").rowsBetween(W.unboundedPreceding, -1)
-    owner = F.last(F.when(F.col("most").isNotNull(), F.struct("page", F.col("most").alias("n"))), ignorenulls=True).over(earlier)
-    rows = rows.join(owners.select("doc", "page", owner.alias("owner")), ["doc", "page"])
+    pages = rows.groupBy("doc", "page").agg(
+        F.max_by("kind", "at").alias("last"), F.sum(F.coalesce("begins", F.lit(0))).alias("begun"), F.max(F.when(F.col("begins").isNull(), F.col("off"))).alias("off")
+    )
+    in_order = W.partitionBy("doc").orderBy("page")
+    follows = F.coalesce(F.lag("last").over(in_order) != "text", F.lit(True))
+    top = F.when(F.col("off").isNotNull(), follows | F.col("off")).otherwise(False).cast("int")
+    pages = pages.select("doc", "page", "begun", top.alias("first"))
+    most = F.col("begun") + F.col("first")
+    owner = F.last(F.when(most > 0, F.struct("page", most.alias("n"))), ignorenulls=True).over(in_order.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.join(pages.select("doc", "page", "first", owner.alias("owner")).hint("merge"), ["doc", "page"])
+    so_far = W.partitionBy("doc", "page").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("n", F.sum(F.coalesce("begins", "first")).over(so_far))
     own = F.when(F.col("n") > 0, F.struct("page", "n")).otherwise(F.col("owner"))
-    pieces = rows.select("doc", own.alias("own"), "page", "at", "kind", F.trim("text").alias("text"))
-    whole = pieces.groupBy("doc", "own").agg(F.sort_array(F.collect_list(F.struct("page", "at", "kind", "text"))).alias("l"))
+    # what a page has of a paragraph moves as one row
+    parts = rows.groupBy("doc", "page", "n", own.alias("own")).agg(F.sort_array(F.collect_list(F.struct("at", "kind", "text"))).alias("l"))
+    whole = parts.groupBy("doc", "own").agg(F.sort_array(F.collect_list(F.struct("page", "l"))).alias("l"))
+    whole = whole.withColumn("l", F.flatten(F.transform("l", lambda x: x["l"])))
     texts = F.transform("l", lambda x: x["text"])
     return whole.select("doc", "own.page", "own.n", F.element_at("l", 1)["kind"].alias("kind"), glued(texts).alias("text"))

@@ -91,3 +91,13 @@ def test_lines_become_paragraphs(spark):
         ("text", "Indented. Goes on, too, here."), ("head", "Last"), ("text", "After a heading."),
     ]
     assert Y.flow(lines.where("false"), {"Title": "head"}).count() == 0
+
+
+def test_lines_of_pages_are_dealt_once(spark):
+    from quernstone.plans import repertoire as Q
+
+    found = Q.page_flow(spark, "/root/testdata/sf0.001")
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    dealt = [line for line in plan.splitlines() if " Exchange hashpartitioning" in line]
+    assert len(dealt) == 4 and plan.count("ReusedExchange") == 1
