@@ -10,9 +10,12 @@ from ..scratch import Scratch, settled
 BY_NUMBER = 2
 
 
-def components(edges: DataFrame, used: list[str] | None = None) -> DataFrame:
+def components(edges: DataFrame, used: list[str] | None = None, by_sorting: bool = False) -> DataFrame:
     """node and component (the least node of it) for the nodes of edges (a, b).
 
+    Written nodes that compress well, such as places in pictures, look small to Spark, which then sends them all through the
+    driver; `by_sorting` asks for joins that don't.
+
     In each round every node joins the first of itself and its neighbours; edges move to what their ends
     joined and vanish inside one node. In the first rounds nodes are ordered by their numbers, which
     ends the stars that star-shaped comparison makes; then by a hash that is new in each round, by which a
@@ -20,10 +23,11 @@ def components(edges: DataFrame, used: list[str] | None = None) -> DataFrame:
     partial minima.
     """
     with Scratch(edges.sparkSession) as scratch:
-        return settled(contracted(edges, scratch), "components", used)
+        return settled(contracted(edges, scratch, by_sorting), "components", used)
 
 
-def contracted(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def contracted(edges: DataFrame, scratch: Scratch, by_sorting: bool = False) -> DataFrame:
+    side = lambda rows: rows.hint("merge") if by_sorting else rows
     left = scratch.settled(edges.select(*ordered(F.col("a"), F.col("b"))).where("a < b").distinct(), "edges")
     steps: list[DataFrame] = []
     while not left.isEmpty():
@@ -34,8 +38,8 @@ def contracted(edges: DataFrame, scratch: Scratch) -> DataFrame:
             ends.groupBy("a").agg(F.min(order("b")).alias("m")).select("a", F.least("m", order("a"))["v"].alias("to")),
             "step",
         )
-        moved = left.join(step.withColumnRenamed("to", "x"), "a").select("b", "x").join(
-            step.select(F.col("a").alias("b"), F.col("to").alias("y")), "b"
+        moved = left.join(side(step.withColumnRenamed("to", "x")), "a").select("b", "x").join(
+            side(step.select(F.col("a").alias("b"), F.col("to").alias("y"))), "b"
         )
         left = scratch.settled(moved.where("x <> y").select(*ordered(F.col("x"), F.col("y"))).distinct(), "edges")
         steps.append(step)
@@ -44,10 +48,10 @@ def contracted(edges: DataFrame, scratch: Scratch) -> DataFrame:
     at = steps[0].select(F.col("a").alias("node"), "to")
     for step in steps[1:]:
         at = at.join(
-            step.select(F.col("a").alias("to"), F.col("to").alias("then")), "to", "left"
+            side(step.select(F.col("a").alias("to"), F.col("to").alias("then"))), "to", "left"
         ).select("node", F.coalesce("then", "to").alias("to"))
     least = at.groupBy("to").agg(F.min("node").alias("component"))
-    return at.join(least, "to").select("node", "component")
+    return at.join(side(least), "to").select("node", "component")
 
 
 def ordered(a: Column, b: Column) -> list[Column]:

@@ -2,6 +2,7 @@
 
 For grids a picture is one row, its pixels row after row. For regions it is a table of cells, so a picture may be
 larger than any row: cells become runs along a line, runs that touch on neighbouring lines are edges, and labels are the components.
+Written runs compress to a few bytes each, so joins between them are asked for by sorting: Spark would send them through the driver.
 """
 
 from __future__ import annotations
@@ -126,9 +127,9 @@ def labelled(lines: DataFrame, picture: str, scratch: Scratch, corners: bool = F
     upper = lines.select(picture, (F.col("y") + 1).alias("y"), "x0", "x1", F.col("node").alias("a"), stretch(F.col("x0") - reach, F.col("x1") + reach))
     lower = lines.select(picture, "y", F.col("x0").alias("l0"), F.col("x1").alias("l1"), F.col("node").alias("b"), stretch(F.col("x0"), F.col("x1")))
     meet = (F.col("x0") - reach <= F.col("l1")) & (F.col("l0") <= F.col("x1") + reach)
-    edges = upper.join(lower, [picture, "y", "at"]).where(meet).select("a", "b")
-    found = components(edges, scratch.paths)
-    return lines.join(found, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component", "node")
+    edges = upper.join(lower.hint("merge"), [picture, "y", "at"]).where(meet).select("a", "b")
+    found = components(edges, scratch.paths, by_sorting=True)
+    return lines.join(found.hint("merge"), "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component", "node")
 
 
 def regions(cells: DataFrame, picture: str, mark: Column, corners: bool = False) -> DataFrame:
@@ -150,11 +151,11 @@ def without_specks(cells: DataFrame, picture: str, mark: Column, least: int, sli
         box = named.groupBy(picture, "root").agg(
             F.sum(F.col("x1") - F.col("x0") + 1).alias("area"),
             *(f(c).alias(n) for f, c, n in ((F.min, "y", "top"), (F.max, "y", "bottom"), (F.min, "x0", "left"), (F.max, "x1", "right"))),
-        ).join(size, picture)
+        ).join(size.hint("merge"), picture)
         edge = (F.col("top") == 0) | (F.col("left") == 0) | (F.col("bottom") == F.col("h")) | (F.col("right") == F.col("w"))
         thin = F.least(F.col("bottom") - F.col("top"), F.col("right") - F.col("left")) + 1 <= sliver
         kept = box.where((F.col("area") >= least) & ~(edge & thin)).select("root")
-        return settled(named.join(kept, "root", "left_semi").select(picture, "y", F.explode(F.sequence("x0", "x1")).alias("x")), "cleaned")
+        return settled(named.join(kept.hint("merge"), "root", "left_semi").select(picture, "y", F.explode(F.sequence("x0", "x1")).alias("x")), "cleaned")
 
 
 def holes(cells: DataFrame, picture: str, mark: Column) -> DataFrame:
@@ -163,5 +164,5 @@ def holes(cells: DataFrame, picture: str, mark: Column) -> DataFrame:
         size = scratch.settled(cells.groupBy(picture).agg(F.max("y").alias("h"), F.max("x").alias("w")), "sizes")
         named = scratch.settled(labelled(runs(cells, picture, ~mark), picture, scratch), "labelled")
         edge = (F.col("y") == 0) | (F.col("x0") == 0) | (F.col("y") == F.col("h")) | (F.col("x1") == F.col("w"))
-        shut = named.join(size, picture).groupBy("root").agg(F.max(edge).alias("open")).where("not open").select("root")
-        return settled(named.join(shut, "root", "left_semi").select(picture, "y", F.explode(F.sequence("x0", "x1")).alias("x")), "holes")
+        shut = named.join(size.hint("merge"), picture).groupBy("root").agg(F.max(edge).alias("open")).where("not open").select("root")
+        return settled(named.join(shut.hint("merge"), "root", "left_semi").select(picture, "y", F.explode(F.sequence("x0", "x1")).alias("x")), "holes")

@@ -117,3 +117,14 @@ def test_areas_are_those_of_slices():
             total[(r + c) % 2].append(picture[0, t:b, le:ri].mean())
     assert abs(got - (np.mean(total[0]) - np.mean(total[1]))) < 1e-9
     assert P.contrast(sums, 7, 3, 3.0) is None and P.contrast(sums, -1, 0, 2.0) is None
+
+
+def test_places_are_not_sent_to_the_driver(spark):
+    from quernstone.operators.graph import contracted
+    from quernstone.scratch import Scratch
+
+    edges = spark.range(200).select(F.struct(F.lit(1), "id").alias("a"), F.struct(F.lit(1), F.col("id") + 1).alias("b"))
+    with Scratch(spark) as scratch:
+        found = contracted(edges, scratch, by_sorting=True)
+        assert found.select("component").distinct().count() == 1
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
