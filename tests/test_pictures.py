@@ -123,7 +123,7 @@ def test_places_are_not_sent_to_the_driver(spark):
     from quernstone.operators.graph import contracted
     from quernstone.scratch import Scratch
 
-    edges = spark.range(200).select(F.struct(F.lit(1), "id").alias("a"), F.struct(F.lit(1), F.col("id") + 1).alias("b"))
+    edges = spark.range(200).select(F.struct(F.lit(1).alias("p"), F.col("id").alias("x")).alias("a"), F.struct(F.lit(1).alias("p"), (F.col("id") + 1).alias("x")).alias("b"))
     with Scratch(spark) as scratch:
         found = contracted(edges, scratch, by_sorting=True)
         assert found.select("component").distinct().count() == 1
