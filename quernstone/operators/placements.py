@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -12,66 +14,121 @@ from ..streaming.activity import written
 
 STRIPS = 4
 CROWD = 200  # known placements that one key may have before it is made longer
+FEW = 8  # unusual men up to which placements meet by what is left without some of them
 LEVELS = 3  # times a key is made longer: 16, 28, 37 cells
 SIDES = {"K": "k", "Q": "q", "R": "r", "B": "b", "N": "n", "P": "p"}
 
 
-def strips(cells: Column) -> Column:
+def strips(men: Column) -> Column:
     """Every fourth cell, from the first, the second and so on: each with the cells that are left."""
     place = lambda x, i: i % STRIPS
     return F.transform(
         F.sequence(F.lit(0), F.lit(STRIPS - 1)),
         lambda m: F.struct(
             m.cast("string").alias("strip"),
-            F.array_join(F.filter(cells, lambda x, i: place(x, i) == m), "").alias("own"),
-            F.filter(cells, lambda x, i: place(x, i) != m).alias("rest"),
+            F.array_join(F.filter(men, lambda x, i: place(x, i) == m), "").alias("own"),
+            F.array_join(F.filter(men, lambda x, i: place(x, i) != m), "").alias("rest"),
         ),
     )
 
 
 def keyed(rows: DataFrame) -> DataFrame:
-    """Rows (id, c, path, own, rest) with each strip of the rest put to their keys."""
-    more = rows.select("id", "c", F.col("path").alias("p"), F.col("own").alias("o"), F.inline(strips(F.col("rest"))))
-    return more.select("id", "c", F.concat("p", "strip").alias("path"), F.concat("o", F.lit("/"), "own").alias("own"), "rest")
+    """Rows (id, path, own, rest) with each strip of the rest put to their keys."""
+    apart = rows.select("id", F.col("path").alias("p"), F.col("own").alias("o"), F.split("rest", "").alias("men"))
+    more = apart.select("id", "p", "o", F.inline(strips(F.col("men"))))
+    return more.select("id", F.concat("p", "strip").alias("path"), F.concat("o", F.lit("/"), "own").alias("own"), "rest")
+
+
+def usual_men(placements: DataFrame) -> list[str]:
+    """The commonest man of each of the 64 cells of rows (rest)."""
+    men = placements.select(F.posexplode(F.split("rest", "")).alias("at", "man")).groupBy("at", "man").count()
+    return [r.man for r in men.groupBy("at").agg(F.max_by("man", F.struct("count", "man")).alias("man")).orderBy("at").collect()]
+
+
+def unusual(cells: Column, usual: list[str]) -> Column:
+    """The cells whose men are not the usual ones, in order: each as a text of its place and man, and as one of its place alone.
+
+    Places begin with different characters in the two, so texts put together stay apart.
+    """
+    plain = F.array(*map(F.lit, usual))
+    both = lambda x, i: F.struct(F.concat(F.char(F.lit(128) + i), x).alias("man"), F.char(F.lit(192) + i).alias("mark"))
+    return F.filter(F.transform(F.split(cells, ""), lambda x, i: F.when(x != F.get(plain, i), both(x, i))), lambda x: x.isNotNull())
+
+
+def lessened(odd: Column, most: int) -> Column:
+    """Each way to leave out some of the unusual men and to mark the places of others, `most` at most: the text of it, both counts."""
+
+    def step(ways: Column, x: Column) -> Column:
+        free = F.filter(ways, lambda w: w["gone"] + w["marked"] < most)
+        way = lambda text, gone, marked: F.struct(text.alias("text"), gone.alias("gone"), marked.alias("marked"))
+        return F.concat(
+            F.transform(ways, lambda w: way(F.concat(w["text"], x["man"]), w["gone"], w["marked"])),
+            F.transform(free, lambda w: way(w["text"], w["gone"] + 1, w["marked"])),
+            F.transform(free, lambda w: way(F.concat(w["text"], x["mark"]), w["gone"], w["marked"] + 1)),
+        )
+
+    return F.aggregate(odd, F.array(F.struct(F.lit("").alias("text"), F.lit(0).alias("gone"), F.lit(0).alias("marked"))), step)
+
+
+def near_by_few_men(found: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """f, node and d: the nearest of `known` (id, odd) to each of `found` (id, odd) by `most` cells or fewer; ties to the greatest id.
+
+    Where two placements differ, one has an unusual man and the other the usual one, or both have unusual ones. With the
+    former left out and the places of the latter marked, both are the same text. One known placement is kept for each text,
+    the one with the fewest men left out: what another needs beyond it is the same for all, so no text has many.
+    """
+    f = found.select(F.col("id").alias("f"), F.inline(lessened(F.col("odd"), most))).select("f", "text", (F.col("gone") + F.col("marked")).alias("own"))
+    ways = known.select("id", F.inline(lessened(F.col("odd"), most)))
+    k = ways.groupBy("text").agg(F.min(F.struct("gone", (-F.col("id")).alias("id"))).alias("k"))
+    d = F.col("own") + F.col("k.gone")
+    return f.join(k, "text").where(d <= most).groupBy("f").agg(F.min(F.struct(d.alias("d"), F.col("k.id").alias("id"))).alias("m")).select(
+        "f", (-F.col("m.id")).alias("node"), F.col("m.d").alias("d")
+    )
 
 
 def near_placements(found: DataFrame, known: DataFrame, key: str, node: str, cells: str, most: int = 3) -> DataFrame:
     """key, node and d: the known placement of 64 cells with the fewest other cells, `most` (three at most) or fewer; ties to the greatest node.
 
-    Four strips of cells, and at most three differ: one strip is equal, and placements meet by it. A strip that many known
-    placements share (empty cells) is put to one of the four strips of what is left, of which again one is equal, and so on.
-    What still has many is dealt: its known placements in blocks, the found ones to each. Equal placements meet once, on
-    either side.
+    Four strips of cells, and at most three differ: one strip is equal, and placements meet by it. Where many known
+    placements share a strip, most have the same men (none) on most cells: found ones with few other men meet known ones by
+    what is left without some of those (`near_by_few_men`). For the others, a strip that many share is put to one of the
+    four strips of what is left, of which again one is equal, and so on. What still has many is dealt: its known placements
+    in blocks, the found ones to each. Equal placements meet once, on either side.
     """
     if not 0 <= most < STRIPS:
         raise ValueError(f"of {STRIPS} strips one is equal where fewer than {STRIPS} cells differ")
     with Scratch(found.sparkSession) as scratch:
         usable = F.length(cells) == 64
-        one = lambda rows, *more: rows.where(usable).groupBy(F.col(cells).alias("id")).agg(F.count("*").alias("n"), *more)
-        start = lambda rows: keyed(rows.select("id", F.split("id", "").alias("c")).selectExpr("id", "c", "'' as path", "'' as own", "c as rest"))
-        latest = scratch.settled(one(known.where(F.col(node).isNotNull()), F.max(node).alias("node")), "known")
-        sides = [scratch.settled(start(rows), "strips") for rows in (one(found), latest)]
-        pairs = []
+        start = lambda rows: scratch.settled(keyed(rows.selectExpr("id", "'' as path", "'' as own", "rest")), "strips")
+        crowds = lambda rows: scratch.settled(rows.groupBy("path", "own").count().where(F.col("count") > CROWD), "crowded")
+        one = known.where(usable & F.col(node).isNotNull()).groupBy(F.col(cells).alias("rest")).agg(F.max(node).alias("id"))
+        latest = scratch.settled(one, "known")
+        asked = scratch.settled(found.where(usable).select(F.col(cells).alias("rest")).distinct().withColumn("id", F.monotonically_increasing_id()), "found")
+        every, sides = [], [asked, start(latest)]
+        crowded = crowds(sides[1])
+        if not crowded.isEmpty():
+            usual = usual_men(latest.join(sides[1].join(crowded, ["path", "own"], "left_semi").select("id").distinct(), "id", "left_semi"))
+            f, k = (scratch.settled(s.withColumn("odd", unusual(F.col("rest"), usual)), "unusual") for s in (asked, latest))
+            n = F.size("odd")
+            every.append(near_by_few_men(f.where(n <= FEW), k.where(n <= FEW + most), most))
+            sides = [f.where(n > FEW), start(k.where(n > FEW - most))]
+            crowded = crowds(sides[1])
+        sides[0] = start(sides[0])
         for level in range(LEVELS + 1):
-            crowded = scratch.settled(sides[1].groupBy("path", "own").count().where(F.col("count") > CROWD), "crowded")
             last = level == LEVELS
             few = [s if last else s.join(crowded, ["path", "own"], "left_anti") for s in sides]
             blocks = F.coalesce(F.ceil(F.col("count") / CROWD), F.lit(1)) if last else F.lit(1)
             dealt = [s.join(crowded, ["path", "own"], "left") if last else s for s in few]
-            f = dealt[0].select("path", "own", F.col("id").alias("f"), F.col("c").alias("fc"), F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("block"))
-            k = dealt[1].select("path", "own", F.col("id").alias("k"), F.col("c").alias("kc"), F.pmod(F.xxhash64("id"), blocks.cast("long")).alias("block"))
-            d = F.size(F.filter(F.zip_with("fc", "kc", lambda a, b: a != b), lambda x: x))
-            pairs.append(f.join(k, ["path", "own", "block"]).select("f", "k", d.alias("d")).where(F.col("d") <= most))
+            f = dealt[0].select("path", "own", F.col("id").alias("f"), F.col("rest").alias("fr"), F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("block"))
+            k = dealt[1].select("path", "own", F.col("id").alias("node"), F.col("rest").alias("kr"), F.pmod(F.xxhash64("id"), blocks.cast("long")).alias("block"))
+            d = F.size(F.filter(F.zip_with(F.split("fr", ""), F.split("kr", ""), lambda a, b: a != b), lambda x: x))
+            every.append(f.join(k, ["path", "own", "block"]).select("f", "node", d.alias("d")).where(F.col("d") <= most))
             if last or crowded.isEmpty():
                 break
             sides = [scratch.settled(keyed(s.join(crowded, ["path", "own"], "left_semi")), "strips") for s in sides]
-        every = pairs[0]
-        for more in pairs[1:]:
-            every = every.unionByName(more)
-        near = every.join(latest.select(F.col("id").alias("k"), "node"), "k").groupBy("f").agg(
-            F.min(F.struct("d", (-F.col("node")).alias("node"))).alias("m")
-        )
-        best = scratch.settled(near.select(F.col("f").alias("f"), (-F.col("m.node")).alias(node), F.col("m.d").alias("d")), "nearest")
+            crowded = crowds(sides[1])
+        near = reduce(DataFrame.unionByName, every).groupBy(F.col("f").alias("id")).agg(F.min(F.struct("d", (-F.col("node")).alias("node"))).alias("m"))
+        best = scratch.settled(near.join(asked, "id").select(F.col("rest").alias("f"), (-F.col("m.node")).alias(node), F.col("m.d").alias("d")), "nearest")
         rows = found.select(F.col(key), F.col(cells).alias("f"))
         return settled(rows.join(best, "f", "left").select(key, node, "d"), "placed")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.board import COSTS
 from ..operators import placements as P
+from ..scratch import Scratch
 from ..sources.tables import table
 from .match import BOARDS, boards
 
@@ -14,12 +15,14 @@ SWEEPS = 6
 
 def near_placements(spark, sf):
     """Boards of customers, copies of a supplier's with up to five cells changed, against those of all suppliers."""
-    known = boards(spark, sf).select(F.col("id").alias("node"), "cells")
     n, size = F.col("c_custkey"), F.lit(table(spark, sf, "supplier").count())
-    copies = table(spark, sf, "customer").select(n, (n % size).alias("node"))
-    changed = F.transform(F.split("cells", ""), lambda x, i: F.when(F.exists(F.sequence(F.lit(1), F.lit(5)), lambda k: (k <= n % 6) & (i == (n * 31 + k * 13) % 64)), F.lit("q")).otherwise(x))
-    found = copies.join(known, "node").select("c_custkey", F.array_join(changed, "").alias("cells"))
-    return P.near_placements(found, known, "c_custkey", "node", "cells")
+    put = lambda cells, k: F.overlay(cells, F.lit("q"), ((n * 31 + k * 13) % 64 + 1).cast("int"), F.lit(1))
+    changed = F.aggregate(F.slice(F.array(*map(F.lit, range(1, 6))), F.lit(1), (n % 6).cast("int")), F.col("cells"), put)
+    with Scratch(spark) as scratch:
+        known = scratch.settled(boards(spark, sf).select(F.col("id").alias("node"), "cells"), "boards")
+        copies = table(spark, sf, "customer").select(n, (n % size).alias("node"))
+        found = scratch.settled(copies.join(known, "node").select(n, changed.alias("cells")), "copies")
+        return P.near_placements(found, known, "c_custkey", "node", "cells")
 
 
 def clusters(spark, sf):

@@ -177,7 +177,8 @@ def boards(spark, sf):
     )
     few = F.transform(men, lambda m, i: F.when(i == 60, "K").when(i == 4, "k").when(i.isin(0, 7), "r").when(i.isin(56, 63), "R").when((i + n) % 11 == 0, F.translate(m, "KkPp", "....")).otherwise("."))
     cells = F.array_join(F.when(n % 7 < 2, few).otherwise(men), "")
-    made = table(spark, sf, "supplier").select(n.alias("id"), F.concat(B.compress(cells), F.lit(" w - - 0 1")).alias("fen"))
+    dealt = table(spark, sf, "supplier").select(n).repartition(spark.sparkContext.defaultParallelism)  # a board takes half a millisecond, its number a byte
+    made = dealt.select(n.alias("id"), F.concat(B.compress(cells), F.lit(" w - - 0 1")).alias("fen"))
     return made.withColumn("cells", B.expand(B.placement(F.col("fen"))))
 
 
