@@ -84,20 +84,27 @@ def strip_pairs(text: Column, instead: str = " ") -> Column:
     """The text with `instead` for each outermost pair of round brackets and all in it; a bracket without its match stays.
 
     From the end on, each closing bracket waits for an opening one, which is marked; then what is inside marked ones goes.
+    A piece is an opening bracket with the text after it, a run of closing ones, or a text. Marks part the pieces, too, so
+    that what the first fold gives is cut without looking for brackets again.
     """
-    mark = "\u0001"
+    mark, plain = "\u0001", "t"
+    begins = lambda piece, bracket: F.startswith(piece, F.lit(bracket))
+    marked = F.replace(F.replace(text, F.lit(mark), F.lit(" ")), F.lit("("), F.lit(f"{mark}("))
 
     def matched(waiting: Column, piece: Column) -> tuple[Column, Column]:
-        opens = (piece == "(") & (waiting > 0)
-        return F.when(piece == ")", waiting + 1).when(opens, waiting - 1).otherwise(waiting), F.when(opens, mark).otherwise(piece)
+        ends, opens = begins(piece, ")"), begins(piece, "(") & (waiting > 0)
+        after = F.when(ends, waiting + F.length(piece)).when(opens, waiting - 1).otherwise(waiting)
+        return after, F.concat(F.when(ends | opens, mark).otherwise(mark + plain), piece)
 
     def outside(depth: Column, piece: Column) -> tuple[Column, Column]:
-        ends = (piece == ")") & (depth > 0)
-        after = F.when(piece == mark, depth + 1).when(ends, depth - 1).otherwise(depth)
-        return after, F.when(ends & (depth == 1), instead).when((piece == mark) | (depth > 0), "").otherwise(piece)
-
-    found = folded(F.split(F.translate(text, mark, " "), r"(?<=[()])|(?=[()])"), matched, backwards=True)
-    return folded(F.split(found, f"(?<=[{mark})])|(?=[{mark})])"), outside)
+        opens, ends, more = begins(piece, "("), begins(piece, ")"), F.length(piece) - depth
+        after = F.when(opens, depth + 1).when(ends, F.greatest(F.lit(0), -more)).otherwise(depth)
+        left = F.concat(F.when(depth > 0, instead).otherwise(""), F.repeat(F.lit(")"), more))
+        said = F.when(opens, "").when(ends, F.when(more >= 0, left).otherwise(""))
+        return after, said.when(depth > 0, "").otherwise(F.substring(piece, 2, 2**31 - 1))
+
+    found = folded(F.split(F.regexp_replace(marked, r"\)+", f"{mark}$0{mark}"), mark), matched, backwards=True)
+    return folded(F.split(found, mark), outside)
 
 
 def label_key(label: Column) -> Column:

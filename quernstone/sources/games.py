@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.text import strip_pairs
+from ..operators.text import let, strip_pairs
 
 #: Fixed values of the format: a move, a header's line, an evaluation in a comment, and the digits that numbers of moves begin with.
 MOVE = r"^(?:O-O-O|O-O|0-0-0|0-0|[KQRBN]?[a-h]?[1-8]?x?[a-h][1-8](?:=[QRBN])?)[+#]?[!?]{0,2}$"
@@ -26,10 +26,14 @@ def split_games(raw: Column) -> Column:
 
 def headers(raw: Column) -> Column:
     """Header names to values; of repeated names the last."""
-    names, values = (F.regexp_extract_all(raw, F.lit(HEADER), F.lit(i)) for i in (1, 2))
-    one_each = F.array_distinct(names)
-    last = F.transform(one_each, lambda k: F.get(values, F.size(names) - F.array_position(F.reverse(names), k).cast("int")))
-    return F.map_from_arrays(one_each, last)
+    found = F.struct(*(F.regexp_extract_all(raw, F.lit(HEADER), F.lit(i)).alias(name) for i, name in enumerate(("names", "values"), 1)))
+
+    def last(x: Column) -> Column:
+        one_each = F.array_distinct(x["names"])
+        place = lambda k: F.size(x["names"]) - F.array_position(F.reverse(x["names"]), k).cast("int")
+        return F.map_from_arrays(one_each, F.transform(one_each, lambda k: F.get(x["values"], place(k))))
+
+    return let(found, last)
 
 
 def said(raw: Column) -> Column:
@@ -48,25 +52,34 @@ def said(raw: Column) -> Column:
     return F.filter(kinds, lambda x: x["move"].isNotNull() | x["note"].isNotNull())
 
 
+def moves_of(things: Column) -> Column:
+    """The moves, in order and without marks, of what a game says."""
+    return F.filter(F.transform(things, lambda x: x["move"]), lambda m: m.isNotNull())
+
+
 def moves(raw: Column) -> Column:
     """The moves in order, without marks."""
-    return F.filter(F.transform(said(raw), lambda x: x["move"]), lambda m: m.isNotNull())
+    return moves_of(said(raw))
 
 
-def evaluations(raw: Column) -> Column:
-    """Moves made so far to the evaluation noted there, in hundredths; a mate in n is 10000 - n. Notes before the first move don't count."""
-    noted = lambda x: F.coalesce(F.regexp_extract(x["note"], EVALUATION, 1), F.lit(""))
+def evaluations_of(things: Column) -> Column:
+    """Moves made so far to the evaluation noted there, of what a game says.
+
+    Evaluations are put together with a mark for each move and cut at the marks, so no list is copied with each note.
+    """
+    move, end = "\u0001", "\u0002"
     mate = lambda e: F.replace(e, F.lit("#"), F.lit("")).try_cast("int")
     of_mate = lambda e: F.when(mate(e) > 0, MATE - mate(e)).otherwise(-MATE - mate(e))
     value = lambda e: F.when(F.startswith(e, F.lit("#")), of_mate(e)).otherwise(F.floor(F.round(e.try_cast("double") * 100, 6) + 0.5).cast("int"))
+    noted = F.transform(things, lambda x: F.when(x["move"].isNotNull(), move).otherwise(F.concat(F.regexp_extract(x["note"], EVALUATION, 1), F.lit(end))))
+    after = lambda part, n: F.filter(F.split(part, end), lambda e: (e != "") & (n > 0))
+    each = F.transform(F.split(F.array_join(noted, ""), move), lambda part, n: F.transform(after(part, n), lambda e: F.struct(n.alias("at"), value(e).alias("cp"))))
+    return F.flatten(each)
 
-    def step(acc: Column, x: Column) -> Column:
-        counts = (noted(x) != "") & (acc["n"] > 0)
-        added = F.array_append(acc["found"], F.struct(acc["n"].alias("at"), value(noted(x)).alias("cp")))
-        return F.struct((acc["n"] + x["move"].isNotNull().cast("int")).alias("n"), F.when(counts, added).otherwise(acc["found"]).alias("found"))
 
-    empty = F.array().cast("array<struct<at:int,cp:int>>")
-    return F.aggregate(said(raw), F.struct(F.lit(0).alias("n"), empty.alias("found")), step, lambda acc: acc["found"])
+def evaluations(raw: Column) -> Column:
+    """Moves made so far to the evaluation noted there, in hundredths; a mate in n is 10000 - n. Notes before the first move don't count."""
+    return evaluations_of(said(raw))
 
 
 def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -78,8 +91,9 @@ def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def read_games(files: DataFrame, text: str = "value") -> DataFrame:
     """One row for each game of files read as whole texts: headers, moves, evaluations."""
     games = files.select(F.explode(split_games(F.col(text))).alias("raw"))
-    raw = F.col("raw")
-    return games.select("raw", headers(raw).alias("headers"), moves(raw).alias("moves"), evaluations(raw).alias("evals"))
+    raw, things = F.col("raw"), F.col("said")
+    once = games.select("raw", headers(raw).alias("headers"), said(raw).alias("said"))
+    return once.select("raw", "headers", moves_of(things).alias("moves"), evaluations_of(things).alias("evals"))
 
 
 def source_of(address: Column, strict: bool = False) -> Column:
